@@ -197,7 +197,7 @@ def lists_alias(values: Column, aliases: Column) -> Column:
 def article_body(markdown: Column) -> Column:
     """A wiki page without its title and the closing sections."""
     no_title = F.regexp_replace(markdown, r"^# [^\n]*\n+", "")
-    return F.trim(F.regexp_replace(no_title, r"(?s)\n## (?:Linked images|Technical documents|Linked occurrences)\b.*$", ""))
+    return js_trim(F.regexp_replace(no_title, r"(?s)\n## (?:Linked images|Technical documents|Linked occurrences)\b.*$", ""))
 
 
 def tsv_field(x: Column) -> Column:

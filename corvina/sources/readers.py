@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvina.functions.text import js_trim
+
 TECH_COLUMNS = ("doc", "doc_root", "json_data", "chunk", "length", "chunk_id", "ata", "parts", "doc_type")
 EVENT_COLUMNS = ("doc", "chunk_id", "chunk")
 
@@ -122,9 +124,9 @@ def list_pages(spark: SparkSession, path: str, suffix: str = "pdf", limit: int |
 def parse_scenarios(rows: DataFrame, text: str = "value", start: str = r"NC-\d{4}-\d{3}") -> DataFrame:
     """Records of scenario texts: each begins with an id at a line's start; id, title (rest of the line) and body."""
     parts = F.posexplode(F.split(F.col(text), rf"(?m)(?=^{start}\b)"))
-    out = rows.select(parts.alias("pos", "record")).filter(F.trim("record") != "")
+    out = rows.select(parts.alias("pos", "record")).filter(js_trim(F.col("record")) != "")
     ref = F.regexp_extract("record", f"^({start})", 1)
-    return out.select("pos", F.nullif(ref, F.lit("")).alias("case_ref"), F.trim(F.regexp_extract("record", rf"^{start}[ \t:-]*([^\n]*)", 1)).alias("title"), F.trim(F.regexp_replace("record", r"^[^\n]*\n?", "")).alias("body"), F.when(ref == "", "unparsed").otherwise("parsed").alias("status"))
+    return out.select("pos", F.nullif(ref, F.lit("")).alias("case_ref"), F.trim(F.regexp_extract("record", rf"^{start}[ \t:-]*([^\n]*)", 1)).alias("title"), js_trim(F.regexp_replace("record", r"^[^\n]*\n?", "")).alias("body"), F.when(ref == "", "unparsed").otherwise("parsed").alias("status"))
 
 
 def parse_double_json(rows: DataFrame, id_: str, value: str) -> DataFrame:
