@@ -124,11 +124,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a block of texts: byte spans, the document of each and 64-bit hashes of their lower-cased bytes."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, inside: np.ndarray = WORD, lower=lambda raw: LOWER[raw]):
         self.raw, self.at = utf8(column)
         self.n = len(self.at) - 1
-        self.data = LOWER[self.raw]
-        word = WORD[self.data]
+        self.data = lower(self.raw)
+        word = inside[self.data]
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.at] = True
         before = np.concatenate(([False], word[:-1])) if len(word) else word
@@ -137,8 +137,12 @@ class Words:
         self.end = np.flatnonzero(word & (~after | edge[1:])) + 1
         self.doc = np.searchsorted(self.at, self.start, "right") - 1
         power, self._inverse = _grow(len(self.data) + 1)
+        self._sum = np.zeros(len(self.data) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            self._sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
+            terms = self.data.astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= power[:-1]
+            np.cumsum(terms, out=self._sum[1:])
 
     def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
         start, end = (self.start if start is None else start), (self.end if end is None else end)

@@ -12,7 +12,6 @@ once each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from functools import lru_cache
 
@@ -26,46 +25,137 @@ from pyspark.sql import functions as F
 from corvina.llm import common as C
 
 CAPACITY = 4096
-CACHE_ENTRIES = 300_000
-CACHED_CHARS = 64
+#: Slots of the cache, and how many may be taken before it starts anew.
+SLOTS, TAKEN = 1 << 22, 2_500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, loose boolean"
-#: Characters that Python's split() takes for white space and Unicode does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_RUN = np.ones(256, bool)
+_RUN[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of texts that the quick way cannot take: Python's own separators, and code points beyond ASCII and U+00C0-U+00FF.
+_ODD = np.zeros(256, bool)
+_ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, *range(0xC4, 256)]] = True
+
+
+def _lower(raw: np.ndarray) -> np.ndarray:
+    """Lower case of UTF-8 text up to U+00FF; there it is the tokenizer's, and no two characters compose."""
+    out = C.LOWER[raw]
+    if len(raw):
+        capital = np.zeros(len(raw), bool)
+        capital[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+        out[capital] += 32
+    return out
+
+
+class Table:
+    """Hashes of runs with their ids: open addressing over numpy arrays, so that whole blocks are looked up at once."""
+
+    def __init__(self, slots: int = SLOTS, taken: int = TAKEN):
+        self.slots, self.limit = slots, taken
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
+        self.pool, self.used, self.taken = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of every hash, or -1."""
+        out, todo, mask = np.full(len(h), -1), np.arange(len(h)), np.uint64(self.slots - 1)
+        slot = (h & mask).astype(np.int64)
+        while len(todo):
+            key = self.keys[slot]
+            hit = key == h[todo]
+            out[todo[hit]] = slot[hit]
+            more = ~hit & (key != 0)
+            todo, slot = todo[more], (slot[more] + 1) & (self.slots - 1)
+        return out
+
+    def put(self, h: int, ids: np.ndarray) -> None:
+        slot = h & (self.slots - 1)
+        while self.keys[slot]:
+            slot = (slot + 1) & (self.slots - 1)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.keys[slot], self.at[slot], self.size[slot] = h, self.used, len(ids)
+        self.used += len(ids)
+        self.taken += 1
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all slots end to end, and the number of each."""
+        size = self.size[slots].astype(np.int64)
+        skip = np.cumsum(size)
+        return self.pool[np.repeat(self.at[slots] - skip + size, size) + np.arange(skip[-1] if len(skip) else 0)], size
 
 
 class Tokens:
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+    """Ids of texts.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its runs of other
-    characters, which are kept in a bounded cache.
+    characters. Runs are looked up by 64-bit hash in a bounded table; one that is not there is cut into words by the
+    tokenizer's own split pattern, and its model merges each. Texts beyond U+00FF, with separator characters or with the
+    beginning of a special token go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
+
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [t.split() for t in texts]
-        missing = [*set().union(*runs).difference(self.cache)]
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_ENTRIES:
-                self.cache = {}
-                missing = [*set().union(*runs)]
-            self.cache.update(zip(missing, self._encode(missing), strict=True))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, r)) for r in runs]
-        for long in [m for m in missing if len(m) > CACHED_CHARS]:
-            del self.cache[long]
-        for i, t in enumerate(texts):
-            if not t.isprintable() and _SEPARATORS.search(t):
-                out[i] = self._encode([t])[0]
-        return out
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")).findall
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
+        self.table = Table()
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _run(self, run: str) -> list[int]:
+        if run.isalpha():
+            words = (run,)
+        elif run[:-1].isalpha() and run[-1] in ".,;:!?":
+            words = (run[:-1], run[-1])
+        else:
+            words = self.words(run)
+        model, bytes_of = self.model.tokenize, self.bytes_of
+        return [t.id for w in words for t in model(w.translate(bytes_of))]
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of every text of a column without nulls."""
+        raw, at = C.utf8(column)
+        odd = np.diff(np.concatenate(([0], np.cumsum(_ODD[raw])))[at]) > 0
+        mark = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124)) if len(raw) else []
+        odd[np.searchsorted(at, mark, "right") - 1] = True
+        if odd.any():
+            out: list[np.ndarray] = [None] * len(column)
+            for of, encode in ((np.flatnonzero(odd), lambda c: self.whole(c.to_pylist())), (np.flatnonzero(~odd), self._plain)):
+                if len(of):
+                    for i, ids in zip(of.tolist(), encode(column.take(pa.array(of))), strict=True):
+                        out[i] = ids
+            return out
+        return self._plain(column)
+
+    def _plain(self, column: pa.Array) -> list[np.ndarray]:
+        w = C.Words(column, _RUN, _lower)
+        h = np.maximum(w.hashes(), np.uint64(1))
+        slots = self.table.find(h)
+        if (slots < 0).any():
+            missing, first = np.unique(h[slots < 0], return_index=True)
+            first = np.flatnonzero(slots < 0)[first]
+            if self.table.taken + len(missing) > self.table.limit:
+                self.table.clear()
+                missing, first = np.unique(h, return_index=True)
+            data = w.data.tobytes()
+            for k, a, b in zip(missing.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True):
+                self.table.put(k, self._run(data[a:b].decode("utf-8")))
+            slots = self.table.find(h)
+        ids, size = self.table.ids(slots)
+        cut = np.cumsum(np.bincount(w.doc, size, w.n).astype(np.int64))
+        return np.split(ids, cut[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -73,9 +163,6 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-_END = np.asarray([1], "<u4").tobytes()
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Every document's ids and the closing id 1, cut into pieces of at most capacity."""
 
@@ -84,9 +171,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             for part in C.blocks(batch):
                 out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
-                    ids += _END
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").fill_null("")), strict=True):
+                    ids = np.append(ids, np.uint32(1)).astype("<u4").tobytes()
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
                         for name, value in zip(out, (doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
