@@ -3,7 +3,9 @@
 On a bounded sample of vectors a neighbour graph is built and cut into balanced partitions, by balanced bisection and
 moves that lower the cut within a size limit. A small softmax classifier learns the partition of a vector. It files
 every row under its most probable partition, and routes a query to its most probable partitions, whose rows are then
-ranked by exact cosine. Partitions are dealt in blocks of bounded size, so a crowded one is many tasks.
+ranked by exact cosine. How much probability the visited partitions must sum to is set on sample rows kept from
+training, so that they find the wanted share of their true neighbours. Partitions are dealt in blocks of bounded size,
+so a crowded one is many tasks.
 
 Defined results: vectors that are null, empty, zero or hold null, NaN or infinite components take no part, nor do rows
 without id; of rows with one id the smallest vector counts; only vectors of a query's own dimension are candidates; ties
@@ -75,41 +77,66 @@ def balanced_partition(x: np.ndarray, parts: int, neighbours: int = 10, sweeps:
     return label
 
 
-def fit(table: pa.Table, parts: int, steps: int = 300, rate: float = 2.0) -> bytes:
-    """Partition a sample of id, v and train the softmax router on it; npz bytes of weights and bias."""
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def needed(x: np.ndarray, w: np.ndarray, b: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """For the k nearest of each of rows, the probability of all partitions more probable than the neighbour's own."""
+    s = x[rows] @ x.T
+    s[np.arange(len(rows)), rows] = -np.inf
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    part, p = (x @ w + b).argmax(1), softmax(x[rows] @ w + b)
+    own = np.take_along_axis(p, part[near], 1)
+    return (p[:, None, :] * (p[:, None, :] > own[:, :, None])).sum(2).ravel()
+
+
+def fit(table: pa.Table, parts: int, recall: float, k: int = 5, steps: int = 400, rate: float = 8.0) -> bytes:
+    """Partition a sample of id, v and train the softmax router on it; npz bytes of weights, bias and probability.
+
+    Every fourth row is kept from training; the probability finds the wanted share of neighbours for these and for the rest.
+    """
     out = io.BytesIO()
     rows = sorted(zip(table.column("id").to_pylist(), table.column("v").to_pylist(), strict=True)) if table.num_rows else []
     dims = [len(v) for _, v in rows]
     dim = max(set(dims), key=lambda d: (dims.count(d), -d)) if dims else 1
     x = np.array([v for _, v in rows if len(v) == dim], float).reshape(-1, dim)
-    w, b = np.zeros((dim, 1)), np.zeros(1)
+    w, b, probability = np.zeros((dim, 1)), np.zeros(1), 2.0
     if len(x):
         x = unit(x)
-        label = balanced_partition(x, parts)
-        k = label.max() + 1
-        w, b = np.stack([x[label == i].mean(0) for i in range(k)], 1) * 4, np.zeros(k)
-        y = np.eye(k)[label]
+        kept = np.arange(len(x)) % 4 == 3
+        t = x[~kept]
+        label = balanced_partition(t, parts)
+        n = label.max() + 1
+        w, b = np.stack([t[label == i].mean(0) for i in range(n)], 1) * 4, np.zeros(n)
+        y = np.eye(n)[label]
         for _ in range(steps):
-            z = x @ w + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            p = (p / p.sum(1, keepdims=True) - y) / len(x)
-            w -= rate * (x.T @ p + 1e-4 * w)
+            p = (softmax(t @ w + b) - y) / len(t)
+            w -= rate * (t.T @ p + 1e-5 * w)
             b -= rate * p.sum(0)
-    np.savez(out, w=w, b=b)
+        for _ in range(60):  # even out what is filed under each partition
+            size = np.bincount((t @ w + b).argmax(1), minlength=n)
+            b -= 0.1 * np.log((size + 1) / (len(t) / n + 1))
+        if kept.sum() >= 25 and len(x) > k:
+            own = [np.quantile(needed(x, w, b, np.flatnonzero(g)[:2000], k), recall, method="higher") for g in (kept, ~kept)]  # rows it learned from look surer
+            probability = 2.0 if recall >= 1 else float(max(own)) + 1e-9
+    np.savez(out, w=w, b=b, probability=probability)
     return out.getvalue()
 
 
-def build(rows: DataFrame, parts: int, sample: int) -> bytes:
+def build(rows: DataFrame, parts: int, sample: int, recall: float) -> bytes:
     """The router, fitted on about sample rows of id, v (the documented bound)."""
-    return C.fit_in_task(C.bounded_sample(rows.select("id", "v", F.lit(0).alias("all")), "all", sample, ["id"]).select("id", "v"), lambda t: fit(t, parts))
+    return C.fit_in_task(C.bounded_sample(rows.select("id", "v", F.lit(0).alias("all")), "all", sample, ["id"]).select("id", "v"), lambda t: fit(t, parts, recall))
 
 
-def route(rows: DataFrame, router: bytes, probability: float) -> DataFrame:
-    """rows with part: the most probable partitions, as many as reach the given probability (0: only the first)."""
+def route(rows: DataFrame, router: bytes, probability: float | None) -> DataFrame:
+    """rows with part: the most probable partitions, as many as reach a probability (0: the first; None: the router's own)."""
 
     def run(batches):
         m = np.load(io.BytesIO(router))
         w, b = m["w"], m["b"]
+        wanted = float(m["probability"]) if probability is None else probability
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -118,12 +145,10 @@ def route(rows: DataFrame, router: bytes, probability: float) -> DataFrame:
             known = np.flatnonzero(dims == len(w))
             if len(known):
                 x = unit(np.stack([np.asarray(v, float) for v in batch.column("v").take(pa.array(known)).to_pylist()]))
-                z = x @ w + b
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
+                p = softmax(x @ w + b)
                 order = np.argsort(-p, axis=1, kind="stable")
                 upto = np.cumsum(np.take_along_axis(p, order, 1), 1)
-                n = np.minimum((upto < probability).sum(1) + 1, p.shape[1])
+                n = np.minimum((upto < wanted).sum(1) + 1, p.shape[1])
                 take = np.arange(p.shape[1])[None, :] < n[:, None]
                 at, part = np.repeat(known, n).tolist(), order[take].tolist()
             other = np.flatnonzero(dims != len(w)).tolist()
@@ -153,12 +178,15 @@ def rank_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndar
     return out
 
 
-def nearest(df: DataFrame, k: int = 5, every: int = 50, parts: int = 16, probability: float = 0.97, sample: int = 6000, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """k nearest found of every row whose id is divisible by every: query_id, rank, vec_id, score (cosine)."""
+def nearest(df: DataFrame, k: int = 5, every: int = 50, parts: int = 16, recall: float = 0.96, sample: int = 6000, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """k nearest found of every row whose id is divisible by every: query_id, rank, vec_id, score (cosine).
+
+    recall: the share of neighbours that the routing is set to find; 1 or more visits every partition.
+    """
     whole = C.materialise(usable(df, id_, vector, False), "vectors")
-    router = build(whole, parts, sample)
+    router = build(whole, parts, sample, recall)
     rows = C.materialise(route(fewest_equal(whole, k), router, 0.0), "filed")
-    queries = C.materialise(route(whole.filter(F.col("id") % every == 0), router, probability), "routed")
+    queries = C.materialise(route(whole.filter(F.col("id") % every == 0), router, None), "routed")
 
     def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []

@@ -156,7 +156,7 @@ def test_vector_edges(spark):
     usable = {0: [1.0, 0.5], 100: [0.5, 1.0], 600: [0.0, 0.0], 800: [1.0, 2.0, 3.0], 3: [0.5, 1.0]} | {1000 + i: [0.25, 0.25] for i in range(40)}
     assert sorted(map(tuple, topk.top_k(df).collect())) == brute_top(usable, 100, 10, whole)
     del usable[600]
-    got = sorted(map(tuple, ann.nearest(df, every=100, probability=2.0).collect()))
+    got = sorted(map(tuple, ann.nearest(df, every=100, recall=1.0).collect()))
     want = brute_top(usable, 100, 5, cosine)
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
     assert topk.top_k(df.limit(0)).count() == 0 and ann.nearest(df.limit(0)).count() == 0
