@@ -194,6 +194,9 @@ def test_segment_tree_merges(reference):
         for _ in range(30):
             piece = "".join(rng.choice("aaabcdethinORé ") for _ in range(n))
             assert bpe.merge(piece.encode(), ranks) == reference._encode_single_piece(piece.encode())
+    codec = bpe.codec(public_tokenizers.path(queries.BYTE_BPE), public_tokenizers.PATTERN)
+    pieces = ["".join(rng.choice("aaabcdethinORé ") for _ in range(rng.randint(1, 60))).encode() for _ in range(3000)]
+    assert codec.merged(pieces) == [reference._encode_single_piece(p) for p in pieces]
 
 
 # ---- personal data
