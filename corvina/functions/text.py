@@ -50,7 +50,8 @@ def blank_to_null(x: Column) -> Column:
 
 def fold(x: Column) -> Column:
     """Lower case without marks, non-ASCII removed: the NFKD folding of Latin text inside the JVM."""
-    return F.regexp_replace(F.lower(F.translate(x, MARKED, PLAIN)), r"[^\x00-\x7F]", "")
+    plain = F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(x, MARKED, PLAIN), r"[^\x00-\x7F]", "")).otherwise(x)
+    return F.lower(plain)
 
 
 def _nfkd(x: pd.Series) -> pd.Series:
@@ -68,9 +69,19 @@ def query_tokens(x: Column, distinct: bool = True) -> Column:
     return F.array_distinct(tokens) if distinct else tokens
 
 
+def raw_tokens(x: Column) -> Column:
+    """Runs of letters and digits, lower-cased, with their marks."""
+    return F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def unmarked(x: Column) -> Column:
+    """Latin letters without their marks; slow by the character, so best used on single distinct tokens."""
+    return F.translate(x, MARKED, PLAIN)
+
+
 def index_tokens(x: Column) -> Column:
     """Runs of letters and digits, lower-cased, without marks; other letters stay."""
-    return F.regexp_extract_all(F.lower(F.translate(x, MARKED, PLAIN)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return raw_tokens(unmarked(x))
 
 
 def match_query(tokens: Column, operator: str = "AND") -> Column:

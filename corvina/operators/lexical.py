@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.functions.text import index_tokens, query_tokens
+from corvina.functions import text as X
 
 K1, B = 1.2, 0.75
 #: Idf of a term that half of the rows or more hold.
 IDF_FLOOR = 1e-6
 
 
+def _tokens(rows: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
+    """id, dl, w and raw: every token of every field with the field's weight, and the number of tokens of the row."""
+    fields = [X.raw_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in weights]
+    by_field = F.array(*[F.struct(F.lit(float(w)).alias("w"), t.alias("t")) for t, w in zip(fields, weights.values(), strict=True)])
+    counted = rows.select(F.col(id_).alias("id"), by_field.alias("f")).withColumn("dl", F.aggregate("f", F.lit(0), lambda n, x: n + F.size(x["t"])).cast("long"))
+    return counted.select("id", "dl", F.inline("f")).select("id", "dl", "w", F.explode("t").alias("raw"))
+
+
 def postings(rows: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
-    """id, term and wtf (weighted frequency). Weights by field; the frequency is counted before any shuffle leaves a task."""
-    parts = [F.transform(index_tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))), (lambda w: lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))(w)) for f, w in weights.items()]
-    terms = rows.select(F.col(id_).alias("id"), F.explode(F.concat(*parts)).alias("t"))
-    return terms.groupBy("id", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("wtf"))
+    """id, term and wtf (weighted frequency). Counted before any shuffle leaves a task; marks are taken off what is left."""
+    counted = _tokens(rows, id_, weights).groupBy("id", "raw").agg(F.sum("w").alias("wtf"))
+    return counted.select("id", X.unmarked(F.col("raw")).alias("term"), "wtf").groupBy("id", "term").agg(F.sum("wtf").alias("wtf"))
 
 
 def lengths(rows: DataFrame, id_: str, fields: list[str]) -> DataFrame:
     """id and dl, the number of tokens over all fields, unweighted."""
-    sizes = [F.size(index_tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields]
+    sizes = [F.size(X.raw_tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields]
     return rows.select(F.col(id_).alias("id"), sum(sizes[1:], sizes[0]).cast("long").alias("dl"))
 
 
@@ -29,23 +36,22 @@ def search(rows: DataFrame, queries: DataFrame, id_: str, weights: dict[str, flo
     """query_id, id, bm25, n_matched and lexical_rank for queries (query_id, query).
 
     Every token matches as a prefix. mode: and | or | fallback (all tokens, or any where no row has all). Lower scores are
-    better; ties go by id. Query tokens meet the vocabulary, not the postings, by their first two characters, and only
-    postings of matched terms go on.
+    better; ties go by id. Tokens of rows are kept only if some query token begins with their first two characters: a
+    broadcast of at most 36 * 36 heads, as query tokens are ASCII letters and digits.
     """
-    asked = queries.select("query_id", query_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
+    asked = queries.select("query_id", X.query_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
     asked = asked.select("query_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
-    index = postings(rows, id_, weights)
-    vocabulary = index.select("term").distinct().withColumn("head", F.substring("term", 1, 2))
     wanted = asked.select("token").distinct().withColumn("head", F.substring("token", 1, 2))
-    pairs = vocabulary.join(wanted, "head").filter(F.startswith("term", "token")).select("term", "token")
-    hits = index.join(pairs, "term").groupBy("token", "id").agg(F.sum("wtf").alias("tf"))
-    sizes = lengths(rows, id_, list(weights))
-    total = sizes.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
+    heads = F.broadcast(wanted.select("head").distinct())
+    near = _tokens(rows, id_, weights).withColumn("head", X.unmarked(F.substring("raw", 1, 2))).join(heads, "head")
+    counted = near.groupBy("id", "dl", "head", "raw").agg(F.sum("w").alias("wtf")).withColumn("term", X.unmarked(F.col("raw")))
+    hits = counted.join(wanted, "head").filter(F.startswith("term", "token")).groupBy("token", "id", "dl").agg(F.sum("wtf").alias("tf"))
+    total = lengths(rows, id_, list(weights)).agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("token").agg(F.count("*").alias("n"))
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = df.join(F.broadcast(total)).select("token", "avgdl", F.when(raw > 0, raw).otherwise(IDF_FLOOR).alias("idf"))  # one row of totals
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(idf, "token").join(sizes, "id").withColumn("part", part)
+    scored = hits.join(idf, "token").select("token", "id", part.alias("part"))
     found = asked.join(scored, "token").groupBy("query_id", "n_tokens", "id").agg((-F.sum("part")).alias("bm25"), F.count("*").alias("n_matched"))
     full = F.col("n_matched") == F.col("n_tokens")
     if mode == "and":
@@ -53,19 +59,20 @@ def search(rows: DataFrame, queries: DataFrame, id_: str, weights: dict[str, flo
     elif mode == "fallback":
         any_full = F.max(full).over(Window.partitionBy("query_id"))
         found = found.withColumn("_any", any_full).filter(full | (~F.col("_any") & (F.col("n_tokens") > 1))).drop("_any")
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "id"))  # sums differ in their last bits with the order of their terms
+    # sums differ in their last bits with the order of their terms
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "id"))
     return found.withColumn("lexical_rank", ranked).filter(F.col("lexical_rank") <= limit).select("query_id", "id", "bm25", "n_matched", "lexical_rank")
 
 
 def token_frequency(rows: DataFrame, id_: str, text: str) -> DataFrame:
     """id, token, tf and df of the query tokens of every row."""
-    counts = rows.select(F.col(id_).alias("id"), F.explode(query_tokens(F.col(text), distinct=False)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    counts = rows.select(F.col(id_).alias("id"), F.explode(X.query_tokens(F.col(text), distinct=False)).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
     return counts
 
 
 def keyword_scores(rows: DataFrame, queries: DataFrame, id_: str, name: str, text: str, limit: int = 10) -> DataFrame:
     """The plain baseline: for each query token, repeats included, twice its frequency, and 5 if name holds it."""
-    asked = queries.select("query_id", F.explode(query_tokens(F.col("query"), distinct=False)).alias("token"))
+    asked = queries.select("query_id", F.explode(X.query_tokens(F.col("query"), distinct=False)).alias("token"))
     asked = asked.groupBy("query_id", "token").agg(F.count("*").alias("times"))
     counts = token_frequency(rows, id_, text)
     in_text = asked.join(counts, "token").select("query_id", "id", (F.col("times") * 2 * F.col("tf")).alias("points"))
