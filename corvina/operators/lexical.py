@@ -28,22 +28,29 @@ def postings(rows: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
 
 def lengths(rows: DataFrame, id_: str, fields: list[str]) -> DataFrame:
     """id and dl, the number of tokens over all fields, unweighted."""
-    sizes = [F.size(X.raw_tokens(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields]
+    sizes = [F.regexp_count(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit(X.TOKEN)) for f in fields]
     return rows.select(F.col(id_).alias("id"), sum(sizes[1:], sizes[0]).cast("long").alias("dl"))
 
 
+def _heads(wanted: DataFrame) -> DataFrame:
+    """head and raw_head: the heads asked for, with every way to write their two characters with marks."""
+    written = wanted.sparkSession.createDataFrame(X.WRITTEN, "plain string, raw string")
+    first, second = (written.select(F.col("plain").alias(f"p{i}"), F.col("raw").alias(f"r{i}")) for i in (1, 2))
+    heads = wanted.select("head", F.substring("head", 1, 1).alias("p1"), F.substring("head", 2, 1).alias("p2")).distinct()
+    return heads.join(F.broadcast(first), "p1").join(F.broadcast(second), "p2").select("head", F.concat("r1", "r2").alias("raw_head"))
+
+
 def search(rows: DataFrame, queries: DataFrame, id_: str, weights: dict[str, float], limit: int = 10, mode: str = "fallback") -> DataFrame:
     """query_id, id, bm25, n_matched and lexical_rank for queries (query_id, query).
 
     Every token matches as a prefix. mode: and | or | fallback (all tokens, or any where no row has all). Lower scores are
     better; ties go by id. Tokens of rows are kept only if some query token begins with their first two characters: a
-    broadcast of at most 36 * 36 heads, as query tokens are ASCII letters and digits.
+    broadcast of at most 36 * 36 heads and their spellings with marks, as query tokens are ASCII letters and digits.
     """
     asked = queries.select("query_id", X.query_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
     asked = asked.select("query_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
     wanted = asked.select("token").distinct().withColumn("head", F.substring("token", 1, 2))
-    heads = F.broadcast(wanted.select("head").distinct())
-    near = _tokens(rows, id_, weights).withColumn("head", X.unmarked(F.substring("raw", 1, 2))).join(heads, "head")
+    near = _tokens(rows, id_, weights).withColumn("raw_head", F.substring("raw", 1, 2)).join(F.broadcast(_heads(wanted)), "raw_head")
     counted = near.groupBy("id", "dl", "head", "raw").agg(F.sum("w").alias("wtf")).withColumn("term", X.unmarked(F.col("raw")))
     hits = counted.join(wanted, "head").filter(F.startswith("term", "token")).groupBy("token", "id", "dl").agg(F.sum("wtf").alias("tf"))
     total = lengths(rows, id_, list(weights)).agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))

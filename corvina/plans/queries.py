@@ -201,12 +201,12 @@ def result_identity(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey % 4 AS query_id, l_partkey AS identity, arg_min(nullif(l_returnflag, ''), (l_linenumber, l_orderkey)) FILTER (WHERE l_returnflag <> '') AS returnflag,
-  arg_min(l_shipdate, (l_linenumber, l_orderkey)) AS shipdate, arg_min(l_linestatus || l_quantity, (-length(l_linestatus || l_quantity), l_linenumber, l_orderkey)) AS content
+SELECT l_orderkey % 4 AS query_id, l_partkey AS identity, arg_min(nullif(l_returnflag, ''), (l_linenumber, l_orderkey, l_suppkey, l_extendedprice)) FILTER (WHERE l_returnflag <> '') AS returnflag,
+  arg_min(l_shipdate, (l_linenumber, l_orderkey, l_suppkey, l_extendedprice)) AS shipdate, arg_min(l_linestatus || l_quantity, (-length(l_linestatus || l_quantity), l_linenumber, l_orderkey, l_suppkey, l_extendedprice)) AS content
 FROM lineitem GROUP BY ALL""".replace("l_linestatus || l_quantity", "(l_linestatus || CAST(CAST(l_quantity AS INT) AS VARCHAR))"))
 def merged_payload(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 4).alias("query_id"), F.col("l_partkey").alias("identity"), "l_linenumber", "l_orderkey", F.col("l_returnflag").alias("returnflag"), F.col("l_shipdate").alias("shipdate"), F.concat("l_linestatus", F.col("l_quantity").cast("int").cast("string")).alias("content"))
-    return fusion.merged_payload(rows, ["returnflag", "shipdate"], ["l_linenumber", "l_orderkey"], "content")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 4).alias("query_id"), F.col("l_partkey").alias("identity"), "l_linenumber", "l_orderkey", "l_suppkey", "l_extendedprice", F.col("l_returnflag").alias("returnflag"), F.col("l_shipdate").alias("shipdate"), F.concat("l_linestatus", F.col("l_quantity").cast("int").cast("string")).alias("content"))
+    return fusion.merged_payload(rows, ["returnflag", "shipdate"], ["l_linenumber", "l_orderkey", "l_suppkey", "l_extendedprice"], "content")
 
 
 @query("""
