@@ -40,11 +40,12 @@ def _heads(wanted: DataFrame) -> DataFrame:
     return heads.join(F.broadcast(first), "p1").join(F.broadcast(second), "p2").select("head", F.concat("r1", "r2").alias("raw_head"))
 
 
-def search(rows: DataFrame, queries: DataFrame, id_: str, weights: dict[str, float], limit: int = 10, mode: str = "fallback") -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, id_: str, weights: dict[str, float], limit: int = 10, mode: str = "fallback", keep: DataFrame | None = None, order: tuple = ("id",)) -> DataFrame:
     """query_id, id, bm25, n_matched and lexical_rank for queries (query_id, query).
 
     Every token matches as a prefix. mode: and | or | fallback (all tokens, or any where no row has all). Lower scores are
-    better; ties go by id. Tokens of rows are kept only if some query token begins with their first two characters: a
+    better; ties go by order, columns of keep or id. keep (id, ...): the rows that may be found; word statistics cover all
+    rows, but the fallback is decided on these. Tokens of rows are kept only if some query token begins with their first two characters: a
     broadcast of at most 36 * 36 heads and their spellings with marks, as query tokens are ASCII letters and digits.
     """
     asked = queries.select("query_id", X.query_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
@@ -60,15 +61,19 @@ def search(rows: DataFrame, queries: DataFrame, id_: str, weights: dict[str, flo
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(idf, "token").select("token", "id", part.alias("part"))
     found = asked.join(scored, "token").groupBy("query_id", "n_tokens", "id").agg((-F.sum("part")).alias("bm25"), F.count("*").alias("n_matched"))
+    if keep is not None:
+        found = found.join(keep, "id")
     full = F.col("n_matched") == F.col("n_tokens")
     if mode == "and":
         found = found.filter(full)
-    elif mode == "fallback":
-        any_full = F.max(full).over(Window.partitionBy("query_id"))
-        found = found.withColumn("_any", any_full).filter(full | (~F.col("_any") & (F.col("n_tokens") > 1))).drop("_any")
-    # sums differ in their last bits with the order of their terms
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 9), "id"))
-    return found.withColumn("lexical_rank", ranked).filter(F.col("lexical_rank") <= limit).select("query_id", "id", "bm25", "n_matched", "lexical_rank")
+    # Rows with all tokens come first, so the first limit rows, which each task cuts before the shuffle, tell whether there
+    # are any. Sums differ in their last bits with the order of their terms, hence the rounding.
+    first = [F.when(full, 0).otherwise(1)] if mode == "fallback" else []
+    by_query = Window.partitionBy("query_id")
+    ranked = found.withColumn("lexical_rank", F.row_number().over(by_query.orderBy(*first, F.round("bm25", 9), *order))).filter(F.col("lexical_rank") <= limit)
+    if mode == "fallback":
+        ranked = ranked.withColumn("_any", F.max(full).over(by_query)).filter(full | ~F.col("_any"))
+    return ranked.select("query_id", "id", "bm25", "n_matched", "lexical_rank")
 
 
 def token_frequency(rows: DataFrame, id_: str, text: str) -> DataFrame:
@@ -84,8 +89,9 @@ def keyword_scores(rows: DataFrame, queries: DataFrame, id_: str, name: str, tex
     counts = token_frequency(rows, id_, text)
     in_text = asked.join(counts, "token").select("query_id", "id", (F.col("times") * 2 * F.col("tf")).alias("points"))
     names = rows.select(F.col(id_).alias("id"), F.lower(F.col(name)).alias("name"))
-    # names are few distinct strings at most one for each row; every token of the stated queries is looked for in each
-    in_name = names.join(asked, F.contains(F.col("name"), F.col("token"))).select("query_id", "id", (F.col("times") * 5).alias("points"))
+    # each distinct name meets the tokens of the stated queries once
+    held = names.select("name").distinct().join(asked, F.contains(F.col("name"), F.col("token")))
+    in_name = names.join(held, "name").select("query_id", "id", (F.col("times") * 5).alias("points"))
     scored = in_text.unionByName(in_name).groupBy("query_id", "id").agg(F.sum("points").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)

@@ -38,9 +38,8 @@ def supersede(episodes: DataFrame, key: str, supersedes: str) -> DataFrame:
 
 def search(episodes: DataFrame, queries: DataFrame, limit: int = 3) -> DataFrame:
     """Live validated episodes by BM25 over four fields. Word statistics cover all episodes, dead ones too; filters come first."""
-    every = episodes.count()
-    hits = lexical.search(episodes, queries, "episode_id", EPISODE_WEIGHTS, limit=max(every, 1))
     live = episodes.filter(F.col("validated") & F.col("superseded_by").isNull())
-    joined = hits.withColumnRenamed("id", "episode_id").join(live, "episode_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 9), F.desc("updated_at"), "episode_id"))
-    return joined.withColumn("n", rank).filter(F.col("n") <= limit)
+    order = (F.desc("updated_at"), "id")
+    hits = lexical.search(episodes, queries, "episode_id", EPISODE_WEIGHTS, limit, keep=live.select(F.col("episode_id").alias("id"), "updated_at"), order=order)
+    named = hits.withColumnRenamed("id", "episode_id").withColumnRenamed("lexical_rank", "n")
+    return named.join(live, "episode_id")

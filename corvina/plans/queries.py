@@ -539,9 +539,8 @@ def episode_upsert_supersede(spark, sf_dir):
 EPISODE_ASKED = [(1, "fr src1"), (2, "und de"), (3, "les"), (4, "nosuchword")]
 
 
-@query(f"""WITH {sql.bm25(sql.values(EPISODE_ASKED, 'query_id, query'), "SELECT doc_id AS id, source AS case_ref, lang AS label, text AS summary, '' AS corrections FROM documents", memory.EPISODE_WEIGHTS, 10**9)},
-live AS (SELECT query_id, id, bm25 FROM bm25_found JOIN labels ON doc_id = id AND quality = 1 AND toxic = 0)
-SELECT query_id, id AS episode_id, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), id) AS INT) AS n FROM live QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), id) <= 3""")
+@query(f"""WITH {sql.bm25(sql.values(EPISODE_ASKED, 'query_id, query'), "SELECT doc_id AS id, source AS case_ref, lang AS label, text AS summary, '' AS corrections FROM documents", memory.EPISODE_WEIGHTS, 3, where="id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)")}
+SELECT query_id, id AS episode_id, round(bm25, 6) AS bm25, CAST(lexical_rank AS INT) AS n FROM bm25_found""")
 def episodic_search(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     e = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(

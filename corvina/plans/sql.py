@@ -26,7 +26,7 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns}))"
 
 
-def bm25(queries: str, rows: str, weights: dict[str, float], limit: int, mode: str = "fallback") -> str:
+def bm25(queries: str, rows: str, weights: dict[str, float], limit: int, mode: str = "fallback", where: str = "true") -> str:
     """CTEs ending in bm25_found (query_id, id, bm25, n_matched, lexical_rank). queries: (query_id, query); rows: (id, fields)."""
     fields = " UNION ALL ".join(f"SELECT id, unnest({index_tokens(f'coalesce(CAST({f} AS VARCHAR), chr(32))')}) AS term, CAST({w} AS DOUBLE) AS w FROM bm25_rows" for f, w in weights.items())
     keep = {"and": "n_matched = n_tokens", "or": "true", "fallback": "n_matched = n_tokens OR (NOT bool_or(n_matched = n_tokens) OVER (PARTITION BY query_id) AND n_tokens > 1)"}[mode]
@@ -41,7 +41,7 @@ bm25_hits AS (SELECT token, id, sum(wtf) AS tf FROM (SELECT DISTINCT token FROM
 bm25_idf AS (SELECT token, CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_rows - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf
              FROM (SELECT token, count(*) AS n FROM bm25_hits GROUP BY token), bm25_all),
 bm25_sums AS (SELECT query_id, n_tokens, id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25, count(*) AS n_matched
-              FROM bm25_asked JOIN bm25_hits USING (token) JOIN bm25_idf USING (token) JOIN bm25_dl USING (id), bm25_all GROUP BY ALL),
+              FROM bm25_asked JOIN bm25_hits USING (token) JOIN bm25_idf USING (token) JOIN bm25_dl USING (id), bm25_all WHERE {where} GROUP BY ALL),
 bm25_kept AS (SELECT * FROM (SELECT *, {keep} AS keep FROM bm25_sums) WHERE keep),
 bm25_found AS (SELECT query_id, id, bm25, n_matched, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), id) AS lexical_rank
                FROM bm25_kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), id) <= {limit})"""
