@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once; one longer document makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Largest table, in rows times the row width given by the caller, that may be broadcast.
 BROADCAST_BYTES = 16 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a new temporary folder."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary folder in local mode (tests), else the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corvina-")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        path = "file://" + tempfile.mkdtemp(prefix="corvina-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 

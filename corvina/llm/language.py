@@ -37,11 +37,11 @@ def _features(column: pa.Array):
     letters = C.WORD[w.data] & ~((w.data >= 48) & (w.data <= 57))
     data = np.where(letters, w.data, 32).astype(np.uint32)
     n = len(data)
-    doc = np.repeat(np.arange(w.n), np.diff(w.at))
+    doc = np.repeat(np.arange(w.n, dtype=np.int32), np.diff(w.at))
     out = []
     for size, base in ((3, 0), (4, BUCKETS)):
         if n < size:
-            out.append((doc[:0], np.zeros(0, np.int64)))
+            out.append((doc[:0], np.zeros(0, np.int32)))
             continue
         h = np.zeros(n - size + 1, np.uint32)
         for i in range(size):
@@ -49,7 +49,7 @@ def _features(column: pa.Array):
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         same = doc[: n - size + 1] == doc[size - 1 :]
-        out.append((doc[: n - size + 1][same], ((h >> np.uint32(16)).astype(np.int64) + base)[same]))
+        out.append((doc[: n - size + 1][same], ((h >> np.uint32(16)).astype(np.int32) + base)[same]))
     out.append((w.doc, (w.hashes() % np.uint64(BUCKETS)).astype(np.int64) + 2 * BUCKETS))
     return w.n, out
 
@@ -99,7 +99,7 @@ def fit(table: pa.Table, families: dict[str, str] = FAMILIES, epochs: int = 6) -
                 cut = np.searchsorted(d, np.arange(n + 1))
                 for i in range(n):
                     s = slice(cut[i], cut[i + 1])
-                    found[i].append((key[s], count[s] / total[i]))
+                    found[i].append((key[s].astype(np.int32), (count[s] / total[i]).astype(np.float32)))
             rows += [(np.concatenate([a for a, _ in x]), np.concatenate([b for _, b in x])) for x in found]
     names = sorted(set(langs))
     family = {x: families.get(x, x) for x in names}
@@ -152,7 +152,7 @@ def _predict(m, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return names[choice].astype(object), p_family * p_lang
 
 
-def train(docs: DataFrame, per_language: int = 1500, keep=None) -> bytes:
+def train(docs: DataFrame, per_language: int = 1000, keep=None) -> bytes:
     """Fit on about per_language labelled rows of each language (the bound on the sample); keep is an extra filter."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if keep is not None:
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
     return label(docs.select("doc_id", "text"), model).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
 
 
-def identify(docs: DataFrame, per_language: int = 1500, test: tuple[int, int] = (4, 2)) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 1000, test: tuple[int, int] = (4, 2)) -> DataFrame:
     """Learn from the rows outside the held-out split, then label every row: doc_id, held_out, lang_pred, score."""
     model = train(docs, per_language, ~C.held_out(*test))
     return predict(docs, model).select("doc_id", C.held_out(*test).alias("held_out"), "lang_pred", "score")

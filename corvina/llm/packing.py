@@ -26,7 +26,7 @@ from corvina.llm import common as C
 
 CAPACITY = 4096
 #: Slots of the cache, and how many may be taken before it starts anew.
-SLOTS, TAKEN = 1 << 22, 2_500_000
+SLOTS, TAKEN = 1 << 21, 1_200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, loose boolean"
 _RUN = np.ones(256, bool)
@@ -54,7 +54,7 @@ class Table:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
+        self.keys, self.at, self.size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint32), np.zeros(self.slots, np.uint32)
         self.pool, self.used, self.taken = np.zeros(1 << 16, np.uint32), 0, 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ class Table:
         """Ids of all slots end to end, and the number of each."""
         size = self.size[slots].astype(np.int64)
         skip = np.cumsum(size)
-        return self.pool[np.repeat(self.at[slots] - skip + size, size) + np.arange(skip[-1] if len(skip) else 0)], size
+        return self.pool[np.repeat(self.at[slots].astype(np.int64) - skip + size, size) + np.arange(skip[-1] if len(skip) else 0)], size
 
 
 class Tokens:
