@@ -1,10 +1,11 @@
 """Operator 9: personal data, by patterns and by information-theoretic sanitisation.
 
-Patterns find the base spans. Their values are the protected entities. A word in the context of an entity discloses it as
-far as it tells of it: from document counts over the whole corpus, disclosure = PMI(word; entity) / IC(entity), where
-PMI = ln(N n(e,t) / (n(e) n(t))) and IC = ln(N / n(e)). Words at or over the threshold, seen with the entity in enough
-documents, become spans of kind ``term`` (to be removed) or, below the removal threshold, ``general`` (to be
-generalised). A document of one pass yields narrow rows; no text is shuffled.
+Patterns find the base spans. Their values are the protected entities. A word of a document with an entity discloses it
+as far as it tells of it: from document counts over the whole corpus, disclosure = PMI(word; entity) / IC(entity), where
+PMI = ln(N n(e,t) / (n(e) n(t))) and IC = ln(N / n(e)). Where a word at or over the threshold, seen with the entity in
+min_docs documents or more, stands in a document of the entity, all its mentions outside base spans become spans of kind
+``term`` (to be removed) or, below the removal threshold, ``general`` (to be generalised). min_docs is the support that
+PMI needs: with one document every word found nowhere else would tell all. No text is shuffled, only hashes of words.
 
 Defined results: null and empty texts have no spans; rows with equal doc_id and text have equal spans and count as one
 document; an empty table gives no rows; other columns are ignored. Spans of one kind never overlap.
@@ -38,7 +39,7 @@ _TERM = re.compile(r"[^\W\d_]{4,}")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Distinct words a task counts before it hands them on.
 FLUSH = 200_000
-SCAN = "row binary, doc_id long, counts array<long>, base string, context array<struct<e:long,t:long,s:int,f:int>>, t long, df long"
+SCAN = "row binary, doc_id long, counts array<long>, base string, entities array<long>, words array<struct<t:long,s:int,f:int>>, t long, df long"
 
 
 def luhn(digits: str) -> bool:
@@ -80,18 +81,22 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode("utf-8")) - 2**63
 
 
-def context_terms(text: str, spans: list[tuple[str, int, int]], chars: int) -> list[dict]:
-    """Words within chars of each span and outside all spans, with the hash of the entity: its kind and value."""
-    out = []
-    inside = sorted((s, e) for _, s, e in spans)
-    for kind, start, end in spans:
-        value = text[start:end].lower() if kind == "email" else _NOT_DIGIT.sub("" if kind != "ip" else ".", text[start:end])
-        entity, low, high = _hash(f"{kind}:{value}"), max(0, start - chars), end + chars
-        for m in _TERM.finditer(text, low, min(len(text), high)):
-            if (m.start() == low and low and text[low - 1].isalnum()) or (m.end() == high and high < len(text) and text[high].isalnum()):
-                continue  # a word cut by the window
-            if not any(s < m.end() and m.start() < e for s, e in inside):
-                out.append({"e": entity, "t": _hash(m[0].lower()), "s": m.start(), "f": m.end()})
+def entity(text: str, kind: str, start: int, end: int) -> int:
+    """The hash of a span's entity: its kind and value, however it is written."""
+    value = text[start:end].lower() if kind == "email" else _NOT_DIGIT.sub("" if kind != "ip" else ".", text[start:end])
+    return _hash(f"{kind}:{value}")
+
+
+def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(word, start, end) of every word of a text, lower-cased; start and end are -1 for a word that touches a span."""
+    out, inside = [], sorted((s, e) for _, s, e in spans)
+    at, reach = 0, -1  # spans before at begin before the word's end; the furthest of them ends at reach
+    for m in _TERM.finditer(text):
+        start, end = m.span()
+        while at < len(inside) and inside[at][0] < end:
+            reach = max(reach, inside[at][1])
+            at += 1
+        out.append((m[0].lower(), -1, -1) if start < reach else (m[0].lower(), start, end))
     return out
 
 
@@ -100,68 +105,101 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")))
 
 
-def scan(docs: DataFrame, chars: int) -> DataFrame:
-    """A row for each document (base spans and context), and rows (t, df) of how many documents hold a word."""
+def scan(docs: DataFrame) -> DataFrame:
+    """A row for each document (base spans; its entities and all its words if it has any), and rows (t, df) of how many documents hold a word."""
 
     def run(batches):
         df: Counter[int] = Counter()
+        entry = pa.struct([("t", pa.int64()), ("s", pa.int32()), ("f", pa.int32())])
+        shape = pa.schema([("row", pa.binary()), ("doc_id", pa.int64()), ("counts", pa.list_(pa.int64())), ("base", pa.string()), ("entities", pa.list_(pa.int64())), ("words", pa.list_(entry)), ("t", pa.int64()), ("df", pa.int64())])
+        hashes: dict[str, int] = {}
 
-        def counted():
-            out = pa.RecordBatch.from_pylist([{"t": t, "df": n} for t, n in df.items()], schema=shape)
+        def hashed(word: str) -> int:
+            h = hashes.get(word)
+            if h is None:
+                if len(hashes) >= FLUSH:
+                    hashes.clear()
+                h = hashes[word] = _hash(word)
+            return h
+
+        def record(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in shape], schema=shape)
+
+        def counted() -> pa.RecordBatch:
+            out = record(len(df), t=np.fromiter(df.keys(), np.int64, len(df)), df=np.fromiter(df.values(), np.int64, len(df)))
             df.clear()
             return out
 
-        entry = pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("f", pa.int32())])
-        shape = pa.schema([("row", pa.binary()), ("doc_id", pa.int64()), ("counts", pa.list_(pa.int64())), ("base", pa.string()), ("context", pa.list_(entry)), ("t", pa.int64()), ("df", pa.int64())])
-        hashes: dict[str, int] = {}
         for batch in batches:
             for part in C.blocks(batch):
-                rows = []
-                for key, doc_id, text in zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                counts, base, entities, at, words = [], [], [], [0], ([], [], [])
+                for text in part.column("text").to_pylist():
                     text = text or ""
                     spans = base_spans(text)
                     kinds = Counter(k for k, _, _ in spans)
-                    rows.append({"row": key, "doc_id": doc_id, "counts": [kinds[k] for k in KINDS], "base": ",".join(f"{k}:{s}:{e}" for k, s, e in spans), "context": context_terms(text, spans, chars)})
-                    for word in set(_TERM.findall(text.lower())):
-                        h = hashes.get(word)
-                        if h is None:
-                            if len(hashes) >= FLUSH:
-                                hashes.clear()
-                            h = hashes[word] = _hash(word)
-                        df[h] += 1
-                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                    counts.append([kinds[k] for k in KINDS])
+                    base.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
+                    entities.append(list({entity(text, *x) for x in spans}))
+                    if spans:
+                        for word, s, f in occurrences(text, spans):
+                            words[0].append(hashed(word))
+                            words[1].append(s)
+                            words[2].append(f)
+                        df.update(set(words[0][at[-1] :]))
+                    else:
+                        df.update(map(hashed, {w.lower() for w in set(_TERM.findall(text))}))
+                    at.append(len(words[0]))
+                held = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(words, entry, strict=True)], fields=list(entry))
+                held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), held, type=shape.field("words").type)
+                yield record(part.num_rows, row=part.column("row"), doc_id=part.column("doc_id"), counts=counts, base=base, entities=entities, words=held)
                 if len(df) >= FLUSH:
                     yield counted()
         yield counted()
 
-    return docs.select(row_key().alias("row"), "doc_id", "text").mapInArrow(run, SCAN)
+    return docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    return F.broadcast(df) if C.small_enough(df, row_bytes) else df
 
 
 def disclosing(scanned: DataFrame, threshold: float, min_docs: int) -> DataFrame:
-    """(e, t, disclosure) of the words that tell enough of an entity."""
+    """(row, t, disclosure) of the words of each document that tell enough of one of its entities.
+
+    An entity and a word count as seen together in every document that holds both. Pairs are made only where the counts
+    of the two allow the threshold at all: n_et is at most n_e and n_t, and the disclosure rises with it.
+    """
     docs = scanned.filter(F.col("row").isNotNull())
     n = docs.count()
-    seen = docs.filter(F.size("context") > 0).select("row", F.explode("context").alias("c")).select("row", "c.e", "c.t").distinct()
-    pairs = seen.groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_docs)
-    entities = seen.select("row", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    words = scanned.filter(F.col("t").isNotNull()).groupBy("t").agg(F.sum("df").alias("n_t"))
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    pmi = F.log(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    scored = pairs.join(entities, "e").join(words, "t").filter(F.col("n_e") < n).withColumn("disclosure", pmi / ic)
-    return scored.filter(F.col("disclosure") >= threshold).select("e", "t", "disclosure")
-
-
-def find(docs: DataFrame, threshold: float = 0.9, removal: float = 0.97, min_docs: int = 3, chars: int = 48) -> DataFrame:
+    held = docs.filter(F.size("entities") > 0)
+    seen = held.select("row", F.explode("entities").alias("e")).distinct()
+    entities = C.materialise(seen.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e").between(min_docs, n - 1)), "entities")
+    named = C.materialise(seen.join(broadcast_if_small(entities, 32), "e"), "named")
+    here = C.materialise(named.select("row").distinct(), "named-rows")
+    words = scanned.filter(F.col("t").isNotNull()).groupBy("t").agg(F.sum("df").alias("n_t")).filter(F.col("n_t") >= min_docs)
+    told = held.select("row", "words.t").join(broadcast_if_small(here, 48), "row", "left_semi")
+    told = told.select("row", F.explode(F.array_distinct("t")).alias("t")).distinct().join(words, "t")
+
+    def disclosure(n_et: Column) -> Column:
+        pmi = F.log(F.lit(float(max(n, 1))) * n_et / (F.col("n_e") * F.col("n_t")))
+        return pmi / F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
+
+    together = named.join(told, "row").filter(disclosure(F.least("n_e", "n_t")) >= threshold - 1e-9)
+    together = C.materialise(together.select("row", "e", "t", "n_e", "n_t"), "together")
+    pairs = together.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.min("n_e").alias("n_e"), F.min("n_t").alias("n_t")).filter(F.col("n_et") >= min_docs)
+    telling = C.materialise(pairs.select("e", "t", disclosure(F.col("n_et")).alias("disclosure")).filter(F.col("disclosure") >= threshold), "telling")
+    return together.select("row", "e", "t").join(broadcast_if_small(telling, 48), ["e", "t"]).groupBy("row", "t").agg(F.max("disclosure").alias("disclosure"))
+
+
+def find(docs: DataFrame, threshold: float = 0.9, removal: float = 0.97, min_docs: int = 3) -> DataFrame:
     """row, doc_id, counts, base and added (array of kind, start, end) of every row of docs."""
-    scanned = C.materialise(scan(docs, chars), "pii")
-    telling = C.materialise(disclosing(scanned, threshold, min_docs), "disclosing")
-    if C.small_enough(telling, 48):
-        telling = F.broadcast(telling)
+    scanned = C.materialise(scan(docs), "pii")
+    telling = broadcast_if_small(C.materialise(disclosing(scanned, threshold, min_docs), "disclosing"), 64)
     rows = scanned.filter(F.col("row").isNotNull())
-    context = rows.filter(F.size("context") > 0).select("row", F.explode("context").alias("c")).select("row", "c.*").distinct().join(telling, ["e", "t"])
-    kind = F.when(F.max("disclosure") >= removal, ADDED[1]).otherwise(ADDED[0])
-    spans = context.groupBy("row", "s", "f").agg(kind.alias("kind")).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", "s", "f"))).alias("added"))
-    return rows.drop("context", "t", "df").join(spans, "row", "left")
+    words = rows.filter(F.size("entities") > 0).select("row", F.explode("words").alias("w")).select("row", "w.*").filter("s >= 0")
+    kind = F.when(F.col("disclosure") >= removal, ADDED[1]).otherwise(ADDED[0]).alias("kind")
+    spans = words.join(telling, ["row", "t"]).select("row", F.struct(kind, "s", "f").alias("a")).groupBy("row").agg(F.sort_array(F.collect_set("a")).alias("added"))
+    return rows.drop("entities", "words", "t", "df").join(spans, "row", "left")
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:

@@ -1,10 +1,11 @@
 """Line dedup, SimHash, byte-level BPE, personal data and packing against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -264,6 +265,50 @@ def test_pii_discloses_words(make):
     assert out[1] == "write to [REMOVED] at [EMAIL] about lot 1" and out[9] == texts[9]
 
 
+def test_pii_discloses_words_of_whole_texts(make):
+    far = " and so it went on from there" * 5
+    texts = [f"mail w0@x.org or {'a' * i}{far} to Wolverton; regards, wolverton" for i in range(4)] + [f"mail w0@x.org{far}"] + ["and so it went on from there to mail regards"] * 60
+    got = {r.doc_id: r.spans for r in pii.personal_data(make(texts)).collect()}
+    for i in range(4):
+        at = [m.start() for m in re.finditer("(?i)wolverton", texts[i])]
+        assert got[i].split(",")[1:] == [f"term:{a}:{a + 9}" for a in at], got[i]
+    assert got[4] == "email:5:13" and not any(got[i] for i in range(5, 65))
+    # n_e counts the documents where nothing stands beside the entity, too
+    bare = ["v1@y.org at Belgrove"] * 3 + ["at Belgrove"] + ["v1@y.org"] * 30 + ["and so it went on from there"] * 66
+    assert {r.spans for r in pii.personal_data(make(bare)).collect()} == {"email:0:8", ""}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pii_terms_equal_brute_force(make, seed):
+    rng = random.Random(seed)
+    names = [f"p{i}@q.org" for i in range(6)]
+    texts = []
+    for _ in range(80):
+        own = rng.sample(names, rng.choice([0, 0, 0, 1, 2]))
+        words = [f"word{'abcdefghij'[rng.randrange(10)]}" for _ in range(rng.randrange(12))]
+        words += [w for e in own for w in (f"secret{'abcdef'[int(e[1])]}",) * rng.randrange(3)]
+        words += ["padding"] * rng.randrange(20) + own
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    n, n_t, n_e, n_et = len(texts), Counter(), Counter(), Counter()
+    held = [({w for w in pii._TERM.findall(t.lower())}, {t[s:e] for _, s, e in brute_spans(t)}) for t in texts]
+    for t, e in held:
+        n_t.update(t)
+        n_e.update(e)
+        n_et.update((x, w) for x in e for w in t)
+    disclosure = {(e, w): math.log(n * k / (n_e[e] * n_t[w])) / math.log(n / n_e[e]) for (e, w), k in n_et.items() if k >= 3}
+    want = []
+    for t, (_, own) in zip(texts, held, strict=True):
+        base, out = brute_spans(t), []
+        for m in pii._TERM.finditer(t):
+            best = max((disclosure.get((e, m[0]), 0) for e in own), default=0)
+            if best >= 0.9 and not any(s < m.end() and m.start() < e for _, s, e in base):
+                out.append(("term" if best >= 0.97 else "general", m.start(), m.end()))
+        want.append(",".join(f"{k}:{s}:{e}" for k, s, e in base + sorted(out)))
+    got = {r.doc_id: r.spans for r in pii.personal_data(make(texts)).collect()}
+    assert [got[i] for i in range(n)] == want and any("term" in x for x in want)
+
+
 # ---- packing
 
 
