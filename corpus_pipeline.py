@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import language, lines, packing, pii, simhash
-from corvina.llm.common import documents_of, materialise
+from corvina.llm.common import documents_of, free_name, materialise, small_enough
 from corvina.llm.queries import WORD_BPE
 
 #: No SQL expresses the classifier, the fingerprints or the tokenizer; tests compare with brute-force versions.
@@ -35,11 +35,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a component of near duplicates one row stays, of the document that names it; rows without doc_id all stay."""
-    found = simhash.near_duplicates(docs)
-    heads = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of a component of near duplicates one row stays, the first by doc_id (nulls last), then by a digest of the row.
+
+    Rows equal in all columns are reduced in each task before they are shuffled.
+    """
+    heads = materialise(simhash.heads(docs), "heads")
+    key = free_name(docs, "_key")
+    keyed, named = docs.withColumn(key, simhash.row_key(docs)), heads.withColumnRenamed("key", key)
+    kept = keyed.join(named.filter("n = 1"), key, "left_semi")
+    copied = materialise(named.filter("n > 1"), "copied-heads")
+    if not copied.isEmpty():
+        copied = F.broadcast(copied) if small_enough(copied, 64) else copied
+        kept = kept.unionByName(keyed.join(copied, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

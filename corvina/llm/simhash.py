@@ -17,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm import common as C
@@ -45,16 +45,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, key: Column | None = None) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; beside them key (binary), if given."""
 
     def run(batches):
         for batch in batches:
             for part in C.blocks(batch):
                 fps = np.array([fingerprint(t, words) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+                more = {"key": part.column("key")} if "key" in part.schema.names else {}
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "fp": pa.array(fps)} | more)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text", *([] if key is None else [key.alias("key")]))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ("" if key is None else ", key binary"))
 
 
 class BKTree:
@@ -207,8 +209,27 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, shard: int
     """doc_id, fingerprint (hex) and component_id of every row."""
     fps = C.materialise(fingerprints(docs, words), "fingerprints")
     nodes = C.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "nodes")
-    labels = components(links(nodes, radius, shard))
-    labelled = nodes.join(labels, nodes.fp == labels.id, "left").select("fp", "smallest", F.coalesce("label", "fp").alias("label"))
+    labelled = with_label(nodes, radius, shard)
     least = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
     of_fp = labelled.select("fp", "label").join(least, "label").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def with_label(nodes: DataFrame, radius: int, shard: int) -> DataFrame:
+    """nodes with label, which names the component of their fp."""
+    labels = components(links(nodes, radius, shard))
+    return nodes.join(labels, nodes.fp == labels.id, "left").withColumn("label", F.coalesce("label", "fp")).drop("id")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A digest of text, then one of all other columns."""
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias(C.free_name(docs, "_null"))))
+    return F.concat(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))), F.unhex(F.md5(rest.cast("binary"))))
+
+
+def heads(docs: DataFrame, radius: int = 3, words: int = 3, shard: int = SHARD) -> DataFrame:
+    """Of each component the row_key of its first row, by doc_id (nulls last) and row_key, and n, the rows that have this key."""
+    rows = C.materialise(fingerprints(docs, words, row_key(docs)), "fingerprints").groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key", "n")
+    nodes = C.materialise(rows.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    return with_label(nodes, radius, shard).groupBy("label").agg(F.min("first").alias("first")).select("first.key", "first.n")

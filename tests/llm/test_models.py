@@ -211,6 +211,15 @@ def test_pipeline(spark, sf):
     assert bins <= least + 1
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark, make):
+    text = {n: " ".join(f"{n}{i * k % 97}" for i, k in enumerate([7] * 60)) for n in ("red", "blue", "green", "grey")}
+    near = text["red"].replace("red7 ", "red7  ")  # the same words
+    rows = [(7, "red"), (7, "blue"), (8, "green"), (3, "green"), (None, "green"), *[(None, "grey")] * 40]
+    docs = make([text[t] for _, t in rows] + [near], [i for i, _ in rows] + [9]).repartition(3)
+    got = sorted((r.doc_id or 0, r.text.split("0")[0]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect())
+    assert got == [(0, "grey"), (3, "green"), (7, "blue"), (7, "red")]
+
+
 def test_pipeline_stages_on_edges(spark, edges, empty):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0, name
