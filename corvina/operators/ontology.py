@@ -85,21 +85,29 @@ def image_score(candidate: Column, identifier: Column, description: Column, supp
     return score, reasons, (candidate | identifier | description) & (score >= MIN_SCORE)
 
 
+def grams(x: Column, n: int) -> Column:
+    """All substrings of n letters, each once."""
+    last = F.length(x) - n + 1
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
+    return F.array_distinct(F.when(last >= 1, pieces).otherwise(F.array().cast("array<string>")))
+
+
 def image_relations(images: DataFrame, part_rows: DataFrame) -> DataFrame:
     """Links of images (id, doc, caption, technical_description and the arrays of its caption) with parts.
 
-    Aliases and texts meet by a shared word first: an alias can only be held by a text that has its words, so images and
-    parts that share none never meet.
+    Images and parts meet by a piece first: a text that holds an alias has the alias's first three letters somewhere, and
+    an alias that holds a value has the value's first three letters, or all of a shorter one. An empty value is in every alias.
     """
     aliases = F.array_distinct(F.concat(F.array("canonical_name"), "aliases", F.array(F.regexp_replace("slug", "-", " "))))
     p = part_rows.select("slug", aliases.alias("names"), "supporting_docs")
-    said = F.concat_ws(" ", "caption", "technical_description", F.array_join("part_or_zone_candidates", " "), F.array_join("visible_identifiers", " "))
-    # a value may also be part of an alias, and a text's word may go on beyond an alias, so words are cut to three letters
-    grams = lambda x: F.array_distinct(F.transform(F.regexp_extract_all(F.lower(x), F.lit("[^ ]{3}"), F.lit(0)), lambda g: g))
-    all_grams = lambda x: F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.lower(F.substring(x, i, F.lit(3)))), lambda g: F.length(g) == 3))
-    pk = p.withColumn("g", F.explode(grams(F.array_join("names", "   "))))
-    ik = images.select("id", F.explode(all_grams(said)).alias("g"))
-    meet = pk.select("slug", "g").join(ik, "g").select("slug", "id").distinct()
+    named = p.select("slug", F.explode("names").alias("a")).filter(F.length(F.trim("a")) >= 3).select("slug", F.lower(F.trim("a")).alias("a"))
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    values = images.select("id", F.explode(F.concat(listed("part_or_zone_candidates"), listed("visible_identifiers"))).alias("x")).filter("x IS NOT NULL").withColumn("x", F.lower("x"))
+    texts = images.select("id", F.explode(F.array("caption", "technical_description")).alias("x")).filter("x IS NOT NULL").withColumn("x", F.lower("x")).unionByName(values)
+    held = named.select("slug", F.substring("a", 1, 3).alias("g")).distinct().join(texts.select("id", F.explode(grams(F.col("x"), 3)).alias("g")).distinct(), "g")
+    pieces = F.concat(F.array(F.lit("")), *[grams(F.col("a"), n) for n in (1, 2, 3)])
+    holding = named.select("slug", F.explode(pieces).alias("g")).distinct().join(values.select("id", F.substring("x", 1, 3).alias("g")).distinct(), "g")
+    meet = held.select("slug", "id").unionByName(holding.select("slug", "id")).distinct()
     both = meet.join(p, "slug").join(images, "id")
     score, reasons, holds = image_score(
         X.lists_alias(F.col("part_or_zone_candidates"), F.col("names")), X.lists_alias(F.col("visible_identifiers"), F.col("names")),

@@ -156,6 +156,15 @@ def test_neighbours(spark):
     assert [r.neighbour for r in sorted((r for r in got if r.entity == 3), key=lambda r: r.n)] == [i for i in range(11) if i != 3]
 
 
+def test_images_meet_parts_by_any_value(spark):
+    values = ["P2", "rame", "shie", "A", "", "xno 1 a by", "zz"]
+    images = spark.createDataFrame([(f"i{k}", "d", "", None, [], [v], [], []) for k, v in enumerate(values)], "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>")
+    names = ["Pump P2", "frame", "windshield", "No 1 A B"]
+    parts = spark.createDataFrame([(f"s{k}", n, [], []) for k, n in enumerate(names)], "slug string, canonical_name string, aliases array<string>, supporting_docs array<string>")
+    got = {(r["from"], r.to) for r in ontology.image_relations(images, parts).collect()}
+    assert got == {(f"part:s{j}", f"image:i{k}") for k, v in enumerate(values) for j, n in enumerate(names) if v.lower() in n.lower() or n.lower() in v.lower()}
+
+
 def test_image_scores(spark):
     image = [("a220-1", "A220_page_1.pdf", "Starter Air Valve location", "The starter air valve feeds", ["Starter Air Valve"], ["starter air valve"], ["Fig 1"], ["feeds"], "wiki/x.png")]
     images = spark.createDataFrame(image, "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>, asset_path string")
