@@ -153,16 +153,16 @@ def entity_search(entries: DataFrame, queries: DataFrame, title: Column, metadat
 
 
 def neighbours(entities: DataFrame, classes: list[str], id_: str, title: str, limit: int = 10) -> DataFrame:
-    """Entities that share a value with another, by class of value (columns of one value each)."""
+    """Entities that share a value with another, by class of value (columns of one value or an array), in any case."""
     out = None
     for c in classes:
-        side = entities.filter(F.col(c).isNotNull())
-        a = side.select(F.col(id_).alias("entity"), F.col(c).alias("_v"))
-        b = side.select(F.col(id_).alias("neighbour"), F.col(title).alias("_t"), F.col(c).alias("_v"))
-        # rows rank inside the value's group: an entity's neighbours are the group's first limit + 1 without itself
-        first = b.withColumn("_n", F.row_number().over(Window.partitionBy("_v").orderBy("_t", "neighbour"))).filter(F.col("_n") <= limit + 1)
-        pairs = a.join(first, "_v").filter("entity <> neighbour")
-        n = F.row_number().over(Window.partitionBy("entity").orderBy("_n"))
+        values = F.col(c) if entities.schema[c].dataType.typeName() == "array" else F.array(c)
+        side = entities.select(F.col(id_).alias("entity"), F.col(title).alias("_t"), F.explode(values).alias("_v"))
+        side = side.withColumn("_v", F.lower(F.trim(F.col("_v").cast("string")))).filter("_v <> ''").groupBy("entity", "_v").agg(F.min("_t").alias("_t"))
+        # rows rank inside the value's group: of each value, an entity's first neighbours are among the group's first limit + 1
+        first = side.withColumnRenamed("entity", "neighbour").withColumn("_n", F.row_number().over(Window.partitionBy("_v").orderBy("_t", "neighbour"))).filter(F.col("_n") <= limit + 1)
+        pairs = side.drop("_t").join(first, "_v").filter("entity <> neighbour").groupBy("entity", "neighbour").agg(F.min("_t").alias("_t"))
+        n = F.row_number().over(Window.partitionBy("entity").orderBy("_t", "neighbour"))
         part = pairs.withColumn("n", n).filter(F.col("n") <= limit).select(F.lit(c).alias("class"), "entity", "neighbour", "n")
         out = part if out is None else out.unionByName(part)
     return out

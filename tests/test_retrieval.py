@@ -156,6 +156,12 @@ def test_neighbours(spark):
     assert [r.neighbour for r in sorted((r for r in got if r.entity == 3), key=lambda r: r.n)] == [i for i in range(11) if i != 3]
 
 
+def test_neighbours_share_one_of_several_values(spark):
+    e = spark.createDataFrame([(1, "a", ["ATA-36", "ATA-21"]), (2, "b", [" ata-21", "ATA-36"]), (3, "c", ["Ata-36", ""]), (4, "d", [""]), (5, "e", None), (6, "f", ["ATA-21"])], "id int, title string, ata array<string>")
+    got = {(r.entity, r.n): r.neighbour for r in ontology.neighbours(e, ["ata"], "id", "title", 2).collect()}
+    assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 1, (3, 2): 2, (6, 1): 1, (6, 2): 2}
+
+
 def test_images_meet_parts_by_any_value(spark):
     values = ["P2", "rame", "shie", "A", "", "xno 1 a by", "zz"]
     images = spark.createDataFrame([(f"i{k}", "d", "", None, [], [v], [], []) for k, v in enumerate(values)], "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>")
