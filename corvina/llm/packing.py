@@ -3,7 +3,10 @@
 Token pieces are dealt to partitions of bounded size, each packed by best-fit decreasing. A lower bound from dual
 feasible functions (threshold functions and the rounding family) certifies a partition whose bin count it reaches.
 Partitions with a gap keep their full bins and hand the pieces of the others to the next round, where they are dealt
-anew to fewer partitions and best-fit decreasing runs again.
+anew to fewer partitions and best-fit decreasing runs again. A certified partition hands on only the bins of which a
+256th or more is free, in large partitions a few: no partition can do better alone, but the part-filled bins of many fit
+into fewer. So partitions fall by orders of magnitude each round; after ``rounds`` rounds what is left stays as it is.
+certificate() gives the number of sequences beside the bound of all pieces together.
 
 Defined results: a null or empty text is the single id 1; tied lengths go by (doc_id, piece); repeated rows are packed
 once each; an empty table gives no rows; other columns are ignored.
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from corvina.llm import common as C
 
 CAPACITY = 4096
+#: A certified partition hands on the bins of which this part is free.
+LOOSE = 256
 #: Slots of the cache, and how many may be taken before it starts anew.
 SLOTS, TAKEN = 1 << 21, 1_200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,16 +51,42 @@ def _lower(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+class Pool:
+    """A growing array that values are appended to."""
+
+    def __init__(self, kind):
+        self.values, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Append values; where they begin."""
+        at = self.used
+        if at + len(values) > len(self.values):
+            self.values = np.concatenate((self.values, np.zeros(max(len(self.values), len(values)), self.values.dtype)))
+        self.values[at : at + len(values)] = values
+        self.used += len(values)
+        return at
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of the spans start .. start + size, end to end."""
+    skip = np.cumsum(size)
+    return np.repeat(start - skip + size, size) + np.arange(skip[-1] if len(skip) else 0)
+
+
 class Table:
-    """Hashes of runs with their ids: open addressing over numpy arrays, so that whole blocks are looked up at once."""
+    """Runs with their ids: open addressing over numpy arrays by a run's hash, so that whole blocks are looked up at once.
+
+    The bytes of every run are kept and compared on a hit, as different runs may have one hash.
+    """
 
     def __init__(self, slots: int = SLOTS, taken: int = TAKEN):
         self.slots, self.limit = slots, taken
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint32), np.zeros(self.slots, np.uint32)
-        self.pool, self.used, self.taken = np.zeros(1 << 16, np.uint32), 0, 0
+        self.keys, self.taken = np.zeros(self.slots, np.uint64), 0
+        self.at, self.size, self.text_at, self.text_size = (np.zeros(self.slots, np.int64) for _ in range(4))
+        self.pool, self.text = Pool(np.uint32), Pool(np.uint8)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Slot of every hash, or -1."""
@@ -69,31 +100,39 @@ class Table:
             todo, slot = todo[more], (slot[more] + 1) & (self.slots - 1)
         return out
 
-    def put(self, h: int, ids: np.ndarray) -> None:
+    def put(self, h: int, run: np.ndarray, ids: np.ndarray) -> None:
         slot = h & (self.slots - 1)
         while self.keys[slot]:
             slot = (slot + 1) & (self.slots - 1)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.keys[slot], self.at[slot], self.size[slot] = h, self.used, len(ids)
-        self.used += len(ids)
+        self.keys[slot], self.size[slot], self.text_size[slot] = h, len(ids), len(run)
+        self.at[slot], self.text_at[slot] = self.pool.add(ids), self.text.add(run)
         self.taken += 1
 
+    def same(self, slots: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the run of each slot has the bytes of its span of data."""
+        size = end - start
+        out = self.text_size[slots] == size
+        some = np.flatnonzero(out)
+        cuts = np.searchsorted(np.cumsum(size[some]), np.arange(C.BLOCK_BYTES, int(size[some].sum()) + 1, C.BLOCK_BYTES))
+        for part in np.split(some, cuts):
+            if len(part):
+                differ = np.flatnonzero(data[spread(start[part], size[part])] != self.text.values[spread(self.text_at[slots[part]], size[part])])
+                out[part[np.searchsorted(np.cumsum(size[part]), differ, "right")]] = False
+        return out
+
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slots end to end, and the number of each."""
-        size = self.size[slots].astype(np.int64)
-        skip = np.cumsum(size)
-        return self.pool[np.repeat(self.at[slots].astype(np.int64) - skip + size, size) + np.arange(skip[-1] if len(skip) else 0)], size
+        size = self.size[slots]
+        return self.pool.values[spread(self.at[slots], size)], size
 
 
 class Tokens:
     """Ids of texts.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its runs of other
-    characters. Runs are looked up by 64-bit hash in a bounded table; one that is not there is cut into words by the
-    tokenizer's own split pattern, and its model merges each. Texts beyond U+00FF, with separator characters or with the
-    beginning of a special token go to the tokenizer as they are.
+    characters. Runs are looked up in a bounded table; one that is not there is cut into words by the tokenizer's own
+    split pattern, and its model merges each, as do those of a run that shares another's hash. Texts beyond U+00FF, with
+    separator characters or with the beginning of a special token go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -142,6 +181,18 @@ class Tokens:
     def _plain(self, column: pa.Array) -> list[np.ndarray]:
         w = C.Words(column, _RUN, _lower)
         h = np.maximum(w.hashes(), np.uint64(1))
+        data, found = w.data.tobytes(), []
+        # a slice holds no more runs than the table may take, however long a text is
+        for at in range(0, len(h), self.table.limit):
+            part = slice(at, at + self.table.limit)
+            found.append(self._runs(w.data, data, w.start[part], w.end[part], h[part]))
+        ids = np.concatenate([i for i, _ in found]) if found else np.zeros(0, np.uint32)
+        size = np.concatenate([n for _, n in found]) if found else np.zeros(0, np.int64)
+        cut = np.cumsum(np.bincount(w.doc, size, w.n).astype(np.int64))
+        return np.split(ids, cut[:-1])
+
+    def _runs(self, raw: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs end to end, and the number of each."""
         slots = self.table.find(h)
         if (slots < 0).any():
             missing, first = np.unique(h[slots < 0], return_index=True)
@@ -149,13 +200,17 @@ class Tokens:
             if self.table.taken + len(missing) > self.table.limit:
                 self.table.clear()
                 missing, first = np.unique(h, return_index=True)
-            data = w.data.tobytes()
-            for k, a, b in zip(missing.tolist(), w.start[first].tolist(), w.end[first].tolist(), strict=True):
-                self.table.put(k, self._run(data[a:b].decode("utf-8")))
+            for k, a, b in zip(missing.tolist(), start[first].tolist(), end[first].tolist(), strict=True):
+                self.table.put(k, raw[a:b], np.asarray(self._run(data[a:b].decode("utf-8")), np.uint32))
             slots = self.table.find(h)
         ids, size = self.table.ids(slots)
-        cut = np.cumsum(np.bincount(w.doc, size, w.n).astype(np.int64))
-        return np.split(ids, cut[:-1])
+        other = np.flatnonzero(~self.table.same(slots, raw, start, end))
+        if not len(other):
+            return ids, size
+        own = np.split(ids, np.cumsum(size)[:-1])
+        for i in other.tolist():
+            own[i] = np.asarray(self._run(data[start[i] : end[i]].decode("utf-8")), np.uint32)
+        return np.concatenate(own), np.array([len(x) for x in own])
 
 
 @lru_cache(maxsize=2)
@@ -185,9 +240,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs: the best of the threshold and rounding families of dual feasible functions."""
-    if not len(sizes):
+    return counted_bound(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def counted_bound(n: np.ndarray, capacity: int) -> int:
+    """lower_bound of n[s] pieces of each size s."""
+    if not n.any():
         return 0
-    n = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1)
     count, total = np.cumsum(n), np.cumsum(n * x)
     cut = np.arange(1, capacity // 2 + 1)  # below cut: 0; above capacity - cut: a whole bin; between: the size
@@ -237,14 +296,17 @@ def _pack(rows: DataFrame, partitions: int, round_: int, capacity: int) -> DataF
         certified = len(left) <= lower_bound(sizes, capacity)
         got["sequence_id"] = (round_ << 56) + (TaskContext.get().partitionId() << 28) + bins
         got["offset"] = offsets
-        got["loose"] = (not certified) & (left[bins] > 0)
+        got["loose"] = left[bins] >= (capacity // LOOSE if certified else 1)
         yield got
 
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(partitions).mapInPandas(run, PACKED)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000, rounds: int = 4) -> DataFrame:
-    """Pack pieces(): adds sequence_id and offset. per_partition bounds the pieces of a task."""
+def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000, rounds: int = 8) -> DataFrame:
+    """Pack pieces(): adds sequence_id and offset. per_partition bounds the pieces of a task.
+
+    rounds bounds the exchanges: gaps that are open after the last one stay open.
+    """
     rows = C.materialise(rows, "pieces")
     partitions = max(1, math.ceil(rows.count() / per_partition))
     done, loose = [], rows
@@ -263,6 +325,15 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000,
     return out.drop("loose")
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """The number of sequences, and the bins that any packing of the same pieces needs; lengths are counted, not gathered."""
+    sequences = packed.agg(F.count_distinct("sequence_id")).first()[0]
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():  # capacity rows at most
+        counts[length] = n
+    return sequences, counted_bound(counts, capacity)
+
+
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, per_partition: int = 50_000) -> DataFrame:
     """Tokenise, cut and pack all documents."""
     return pack(pieces(docs, path, capacity), capacity, per_partition)

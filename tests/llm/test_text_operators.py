@@ -348,6 +348,41 @@ def test_packing_repacks_gaps(spark, sf):
     assert least <= bins <= one
 
 
+@pytest.mark.parametrize("per_partition", [200, 1000])
+def test_packing_comes_near_the_bound_of_all_pieces(spark, sf, per_partition):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    rows_ = packing.C.materialise(packing.pieces(docs, public_tokenizers.path(queries.WORD_BPE)), "pieces")
+    packed = packing.C.materialise(packing.pack(rows_, per_partition=per_partition), "packed")
+    bins, bound = packing.certificate(packed)
+    assert bound <= bins <= bound + 2
+    assert packed.count() == rows_.count() == packed.select("doc_id", "piece").distinct().count()
+
+
+def thue_morse(a, b, n):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_runs_of_equal_hash_keep_their_ids(make):
+    import pyarrow as pa
+
+    texts = [thue_morse("a", "b", 2048), thue_morse("b", "a", 2048)]
+    hashes = packing.C.Words(pa.array(texts), packing._RUN, packing._lower).hashes()
+    assert hashes[0] == hashes[1]
+    texts = [*texts, f"x {texts[0]} y {texts[1]}", texts[1]]
+    got = packing.best_fit_packing(make(texts), public_tokenizers.path(queries.WORD_BPE)).collect()
+    check_packing(got, [*enumerate(texts)])
+
+
+def test_more_distinct_runs_than_the_table_takes(make):
+    tokens = packing.Tokens(public_tokenizers.path(queries.WORD_BPE))
+    tokens.table = packing.Table(64, 30)
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i * k % 997}" for i in range(500)) for k in (3, 5)]
+    plain = Tokenizer.from_file(public_tokenizers.path(queries.WORD_BPE))
+    assert [x.tolist() for x in tokens.encode(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_edges(edges, empty):
     got = packing.best_fit_packing(edges, public_tokenizers.path(queries.WORD_BPE)).collect()
     check_packing(got, [*enumerate(EDGES), (9, EDGES[9])])
