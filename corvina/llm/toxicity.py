@@ -1,8 +1,13 @@
 """Operator 10: toxicity, a logistic classifier with counterfactual regularisation.
 
 Each training text that names an identity group gets a counterfactual twin in which the identity terms are swapped for
-others of their list; the squared change of the logit is penalised, so that neutral mentions of a group do not
-raise the score. Features are the presence of whole words and of word beginnings that are, beyond chance, commoner in
+others of their list. A labelled corpus may name no group at all, so every other training text is given a mention: one
+identity term, its counterpart in the swapped twin, and none in the text itself. The squared changes of the logit
+between these are penalised, so that neutral mentions of a group do not raise the score. That matters as features are
+also word beginnings, which a group's name may share with an insult. The mentions are bounded by the training sample: one
+a text, dealt over the terms that share a feature with the model, as only these can change a score.
+
+Features are the presence of whole words and of word beginnings that are, beyond chance, commoner in
 toxic texts; their weights are never negative, so long clean text cannot hide an insult. They are kept as exact 64-bit
 hashes, so a word never seen in training adds nothing to a score.
 
@@ -31,6 +36,8 @@ IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants"),
     ("black", "white", "asian", "latino", "african", "european", "arab", "indigenous"),
+    ("moroccan", "algerian", "tunisian", "egyptian", "turkish", "kurdish", "pathan", "punjabi", "bengali", "mexican", "cuban", "polish", "irish", "korean", "somali"),
+    ("moroccans", "algerians", "tunisians", "egyptians", "turks", "kurds", "pathans", "punjabis", "bengalis", "mexicans", "cubans", "poles", "koreans", "somalis"),
     ("immigrants", "refugees", "natives", "foreigners", "migrants"),
     ("deaf", "blind", "disabled", "autistic"),
     ("old", "young", "elderly"),
@@ -66,8 +73,16 @@ def _rows(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def mention(text: str, term: str) -> str:
+    """The text with a neutral mention of a group before it."""
+    return f"{term} {text}"
+
+
 def fit(table: pa.Table, epochs: int = 8, rate: float = 0.15, l1: float = 2e-4, penalty: float = 0.5, prune: float = 0.05, z: float = 3.0, seed: int = 11) -> bytes:
-    """Train on a table of doc_id, text, y: AdaGrad with soft thresholds; penalty weighs the counterfactual term."""
+    """Train on a table of doc_id, text, y: AdaGrad with soft thresholds; penalty weighs the counterfactual term.
+
+    The model also holds n_twins, the swapped texts, and n_mentions, the texts given a mention.
+    """
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows else table
     texts, y = [x or "" for x in table.column("text").to_pylist()], np.asarray(table.column("y").to_pylist(), float)
     twins = {i: counterfactual(t) for i, t in enumerate(texts) if _TERMS.search(t)}
@@ -85,6 +100,9 @@ def fit(table: pa.Table, epochs: int = 8, rate: float = 0.15, l1: float = 2e-4,
         return at[seen[at] == k] if len(seen) else at[:0]
 
     rows, twin_rows = [index(k) for k in rows], {i: index(k) for i, k in twin_rows.items()}
+    of_term = {t: index(k) for t, k in zip(_SWAP, _rows(list(_SWAP)), strict=True)}
+    live = [t for t in _SWAP if len(of_term[t])]
+    mentioned = {i: live[k % len(live)] for k, i in enumerate(i for i in range(n) if live and i not in twins)}
     w, g, b = np.zeros(len(seen)), np.full(len(seen), 1e-3), 0.0
     positive = y.mean() if len(y) else 0.5
     cost = {1.0: 0.5 / max(positive, 1e-9), 0.0: 0.5 / max(1 - positive, 1e-9)}
@@ -96,6 +114,13 @@ def fit(table: pa.Table, epochs: int = 8, rate: float = 0.15, l1: float = 2e-4,
         u = w[at] - r * d
         w[at] = np.maximum(u - r * l1, 0)
 
+    def pull(at, other):
+        """Lower the squared change of the logit between two texts."""
+        more, less = np.setdiff1d(at, other), np.setdiff1d(other, at)
+        change = 2 * penalty * float(w[more].sum() - w[less].sum())
+        step(more, change)
+        step(less, -change)
+
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
             at = rows[i]
@@ -103,13 +128,15 @@ def fit(table: pa.Table, epochs: int = 8, rate: float = 0.15, l1: float = 2e-4,
             b -= 0.02 * d
             step(at, d)
             if i in twin_rows:
-                other = twin_rows[i]
-                change = float(w[at].sum() - w[other].sum())
-                step(np.setdiff1d(at, other), 2 * penalty * change)
-                step(np.setdiff1d(other, at), -2 * penalty * change)
+                pull(at, twin_rows[i])
+            elif penalty and i in mentioned:  # the features of mention() are those of the text and of the term
+                term = mentioned[i]
+                one, two = np.union1d(at, of_term[term]), np.union1d(at, of_term[_SWAP[term]])
+                pull(one, two)
+                pull(one, at)
     keep = np.abs(w) >= prune
     out = io.BytesIO()
-    np.savez_compressed(out, keys=seen[keep], w=w[keep], bias=b)
+    np.savez_compressed(out, keys=seen[keep], w=w[keep], bias=b, n_twins=len(twins), n_mentions=len(mentioned))
     return out.getvalue()
 
 
@@ -118,24 +145,34 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, test: tuple
     return C.fit_in_task(training_rows(docs, labels, "toxic", per_class, test), fit)
 
 
+def scorer(model: bytes):
+    """A function that scores a column of texts."""
+    m = np.load(io.BytesIO(model))
+    keys, w, bias = m["keys"], m["w"], float(m["bias"])
+    # a bitmap of low hash bits lets most words skip the exact look-up
+    near = np.zeros(1 << 20, bool)
+    near[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def scores(column: pa.Array) -> np.ndarray:
+        n, doc, key = _keys(column)
+        hit = near[(key & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        doc, key = doc[hit], key[hit]
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        same = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+        d, k, _ = C.distinct_in_doc(doc[same], at[same])
+        return C.sigmoid(bias + np.bincount(d, w[k] if len(k) else None, n))
+
+    return scores
+
+
 def score(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id and score (0 to 1, higher: likelier toxic) of every row."""
 
     def run(batches):
-        m = np.load(io.BytesIO(model))
-        keys, w, bias = m["keys"], m["w"], float(m["bias"])
-        # a bitmap of low hash bits lets most words skip the exact look-up
-        near = np.zeros(1 << 20, bool)
-        near[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        scores = scorer(model)
         for batch in batches:
             for part in C.blocks(batch):
-                n, doc, key = _keys(part.column("text"))
-                hit = near[(key & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                doc, key = doc[hit], key[hit]
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                same = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                d, k, _ = C.distinct_in_doc(doc[same], at[same])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(C.sigmoid(bias + np.bincount(d, w[k] if len(k) else None, n)))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(scores(part.column("text")))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, OUT)
 

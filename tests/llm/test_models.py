@@ -1,6 +1,7 @@
 """Classifiers against their split and held-out labels, vector searches against brute force, and the pipeline."""
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from corvina.llm import ann, language, packing, quality, queries, topk, toxicity
+from corvina.llm import ann, common, language, packing, quality, queries, topk, toxicity
 
 from .conftest import EDGES
 
@@ -88,6 +89,64 @@ def test_counterfactual_penalty_lowers_the_change():
     assert toxicity.counterfactual("A Muslim and women") == "A christian and men"
 
 
+@pytest.fixture(scope="module")
+def labelled(sf):
+    """Training table and held-out (text, toxic) of the largest given tables."""
+    sf1 = sf.replace("sf0.001", "sf0.1")
+    rows = pd.read_parquet(f"{sf1}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{sf1}/labels.parquet"), on="doc_id").sort_values("doc_id")
+    test = np.array([zlib.crc32(str(d).encode()) % 5 == 0 for d in rows.doc_id])
+    train = rows[~test]
+    table = pa.table({"doc_id": train.doc_id, "text": train.text, "y": train.toxic.astype(int)})
+    return table, rows[test].text.fillna("").tolist(), rows[test].toxic.to_numpy()
+
+
+def test_mentions_of_groups_leave_scores_alone(labelled):
+    import io
+
+    table, texts, toxic = labelled
+    clean = [t for t, y in zip(texts, toxic, strict=True) if not y][:100]
+    false, moved = {}, {}
+    for penalty in (0.0, 0.5):
+        model = toxicity.fit(table, penalty=penalty)
+        assert np.load(io.BytesIO(model))["n_mentions"] > 3000  # the given texts name no group
+        scores = toxicity.scorer(model)
+        plain = scores(pa.array(clean))
+        named = np.array([scores(pa.array([toxicity.mention(t, term) for t in clean])) for term in ("moroccan", "pathans", "women", "muslim")])
+        false[penalty], moved[penalty] = (named >= 0.5).mean(), np.abs(named - plain).max()
+        got = scores(pa.array(texts))
+        assert (got[toxic == 1] >= 0.5).mean() > 0.9 and (got[toxic == 0] >= 0.5).mean() < 0.02
+    assert moved[0.5] < 0.01 < 0.1 < moved[0.0]  # moron and pathetic share their beginnings with these names
+    assert false[0.5] < false[0.0] and false[0.5] <= (plain >= 0.5).mean()
+
+
+def plain_hash(word, salt=0):
+    """The hash of common.Words in plain integers."""
+    m = 2**64
+    h = sum((c + 1) * pow(common._P, i, m) for i, c in enumerate(word)) + salt * 0x632BE59BD9B4E019
+    h = (h % m ^ h % m >> 31) * 0xBF58476D1CE4E5B9 % m
+    return h ^ h >> 29
+
+
+def plain_words(text):
+    low = bytes(c + 32 if 65 <= c < 91 else c for c in text.encode())
+    return re.findall(rb"[0-9a-z\x80-\xff]+", low)
+
+
+def test_toxicity_scores_equal_plain_sums(labelled):
+    import io
+
+    table, texts, _ = labelled
+    model = toxicity.fit(table.slice(0, 900))
+    m = np.load(io.BytesIO(model))
+    w = dict(zip(m["keys"].tolist(), m["w"].tolist(), strict=True))
+    texts = ["", "idiot", "Idiots, and a STUPID clown", "moron ÉCOLE", *texts[:12]]
+    want = []
+    for t in texts:
+        found = {(0, x) for x in plain_words(t)} | {(p, x[:p]) for x in plain_words(t) for p in (4, 5, 6) if len(x) > p}
+        want.append(1 / (1 + math.exp(-float(m["bias"]) - sum(w.get(plain_hash(x, p), 0) for p, x in found))))
+    assert np.allclose(toxicity.scorer(model)(pa.array(texts)), want, atol=1e-12) and len(set(want)) > 3
+
+
 # ---- language
 
 
