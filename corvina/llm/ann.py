@@ -4,7 +4,9 @@ On a bounded sample of vectors a neighbour graph is built and cut into balanced
 moves that lower the cut within a size limit. A small softmax classifier learns the partition of a vector. It files
 every row under its most probable partition, and routes a query to its most probable partitions, whose rows are then
 ranked by exact cosine. How much probability the visited partitions must sum to is set on sample rows kept from
-training, so that they find the wanted share of their true neighbours. Partitions are dealt in blocks of bounded size,
+training, so that they find the wanted share of their true neighbours; a query visits on until the partitions it has
+visited hold k rows besides itself, so it never gets fewer than there are. The number of partitions grows with the
+square root of the rows, from 16 to MOST_PARTS, and the sample with it. Partitions are dealt in blocks of bounded size,
 so a crowded one is many tasks.
 
 Defined results: vectors that are null, empty, zero or hold null, NaN or infinite components take no part, nor do rows
@@ -26,6 +28,13 @@ from corvina.llm import common as C
 from corvina.llm.topk import best, by_block, fewest_equal, usable
 
 SCHEMA = "id long, v array<double>, dim int, part int"
+#: Bounds of the router: its partitions, the sample rows for each of them, and the least sample.
+LEAST_PARTS, MOST_PARTS, SAMPLE_OF_PART, LEAST_SAMPLE = 16, 256, 75, 6000
+
+
+def parts_for(n: int) -> int:
+    """Partitions for n rows: half the square root, within the bounds."""
+    return int(min(MOST_PARTS, max(LEAST_PARTS, round(n**0.5 / 2))))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -130,8 +139,11 @@ def build(rows: DataFrame, parts: int, sample: int, recall: float) -> bytes:
     return C.fit_in_task(C.bounded_sample(rows.select("id", "v", F.lit(0).alias("all")), "all", sample, ["id"]).select("id", "v"), lambda t: fit(t, parts, recall))
 
 
-def route(rows: DataFrame, router: bytes, probability: float | None) -> DataFrame:
-    """rows with part: the most probable partitions, as many as reach a probability (0: the first; None: the router's own)."""
+def route(rows: DataFrame, router: bytes, probability: float | None, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """rows with part: the most probable partitions, as many as reach a probability (0: the first; None: the router's own).
+
+    sizes: the rows of each partition; the partitions of a row go on until they hold least rows, or all.
+    """
 
     def run(batches):
         m = np.load(io.BytesIO(router))
@@ -148,7 +160,10 @@ def route(rows: DataFrame, router: bytes, probability: float | None) -> DataFram
                 p = softmax(x @ w + b)
                 order = np.argsort(-p, axis=1, kind="stable")
                 upto = np.cumsum(np.take_along_axis(p, order, 1), 1)
-                n = np.minimum((upto < wanted).sum(1) + 1, p.shape[1])
+                short = upto < wanted
+                if sizes is not None:
+                    short |= np.cumsum(sizes[order], 1) < least
+                n = np.minimum(short.sum(1) + 1, p.shape[1])
                 take = np.arange(p.shape[1])[None, :] < n[:, None]
                 at, part = np.repeat(known, n).tolist(), order[take].tolist()
             other = np.flatnonzero(dims != len(w)).tolist()
@@ -178,21 +193,34 @@ def rank_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndar
     return out
 
 
-def nearest(df: DataFrame, k: int = 5, every: int = 50, parts: int = 16, recall: float = 0.96, sample: int = 6000, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """k nearest found of every row whose id is divisible by every: query_id, rank, vec_id, score (cosine).
-
-    recall: the share of neighbours that the routing is set to find; 1 or more visits every partition.
-    """
+def search(df: DataFrame, k: int = 5, every: int = 50, parts: int | None = None, recall: float = 0.96, sample: int | None = None, id_: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """What nearest() returns, and the routed queries (id, dim, part and n_rows, the rows of this partition)."""
     whole = C.materialise(usable(df, id_, vector, False), "vectors")
-    router = build(whole, parts, sample, recall)
+    parts = parts or parts_for(whole.count())
+    router = build(whole, parts, sample or max(LEAST_SAMPLE, SAMPLE_OF_PART * parts), recall)
     rows = C.materialise(route(fewest_equal(whole, k), router, 0.0), "filed")
-    queries = C.materialise(route(whole.filter(F.col("id") % every == 0), router, None), "routed")
-
-    def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    held = rows.groupBy("dim", "part").agg(F.count("*").alias("n_rows"))
+    dim, n_parts = np.load(io.BytesIO(router))["w"].shape
+    sizes = np.zeros(n_parts, np.int64)
+    for part, n in held.filter(F.col("dim") == dim).select("part", "n_rows").collect():  # one row for each partition
+        sizes[part] = n
+    queries = C.materialise(route(whole.filter(F.col("id") % every == 0), router, None, sizes, k + 1), "routed")
+    C.release(whole)
+
+    def ranked(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(v) and len(q):
             found = rank_block(v["id"].to_numpy(), np.stack(v["v"].to_list()).astype(float), q["id"].to_numpy(), np.stack(q["v"].to_list()).astype(float), k)
         return pd.DataFrame({"query_id": pd.Series([f[0] for f in found], dtype="int64"), "vec_id": pd.Series([f[1] for f in found], dtype="int64"), "score": pd.Series([f[2] for f in found], dtype="float64")})
 
-    found = by_block(queries, rows, queries.count(), rows.count(), search, "query_id long, vec_id long, score double", ("part",))
-    return best(found, k)
+    found = by_block(queries, rows, queries.count(), rows.count(), ranked, "query_id long, vec_id long, score double", ("part",))
+    return best(found, k), queries.select("id", "dim", "part").join(F.broadcast(held), ["dim", "part"])
+
+
+def nearest(df: DataFrame, k: int = 5, every: int = 50, parts: int | None = None, recall: float = 0.96, sample: int | None = None, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """k nearest found of every row whose id is divisible by every: query_id, rank, vec_id, score (cosine).
+
+    recall: the share of neighbours that the routing is set to find; 1 or more visits every partition. parts and sample:
+    the router's partitions and training rows; by default they grow with the rows (parts_for, SAMPLE_OF_PART).
+    """
+    return search(df, k, every, parts, recall, sample, id_, vector)[0]

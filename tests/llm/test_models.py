@@ -238,6 +238,34 @@ def test_recall(spark, sf01):
         assert abs(r.score - cosine(vectors[r.query_id], vectors[r.vec_id])) < 1e-12
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_small_clusters_get_all_their_neighbours(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = [2, 3, 2, 3, *[40] * 12]
+    centres = rng.normal(size=(16, 8)) * 10
+    points = np.concatenate([c + 0.01 * rng.normal(size=(n, 8)) for c, n in zip(centres, sizes, strict=True)])
+    df = frame(spark, [(i * 5, list(map(float, p)), 1, "x") for i, p in enumerate(points[rng.permutation(len(points))])])
+    got = ann.nearest(df, every=5).toPandas()
+    assert (got.groupby("query_id").size() == 5).all() and got.query_id.nunique() == len(points)
+
+
+def test_visited_share_on_clusters(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 32))
+    points = centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 32))
+    df = frame(spark, [(i, list(map(float, p)), 1, "x") for i, p in enumerate(points)])
+    found, routed = ann.search(df, every=20)
+    got, visits = found.toPandas(), routed.toPandas().groupby("id").n_rows.sum()
+    x = ann.unit(points)
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(g.vec_id) & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 5 * 200 and hits >= 0.9 * len(got)
+    assert len(visits) == 200 and visits.mean() < 0.25 * 4000  # of vectors with structure, a small share is ranked
+
+
 def test_partitions_are_balanced():
     x = ann.unit(np.random.default_rng(4).normal(size=(800, 16)))
     size = np.bincount(ann.balanced_partition(x, 8))
