@@ -17,6 +17,7 @@ go to the smaller id. Vectors of another dimension than the sample's commonest a
 from __future__ import annotations
 
 import io
+import math
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm import common as C
-from corvina.llm.topk import best, by_block, fewest_equal, usable
+from corvina.llm.topk import best, fewest_equal, usable
 
 SCHEMA = "id long, v array<double>, dim int, part int"
 #: Bounds of the router: its partitions, the sample rows for each of them, and the least sample.
@@ -37,6 +38,21 @@ def parts_for(n: int) -> int:
     return int(min(MOST_PARTS, max(LEAST_PARTS, round(n**0.5 / 2))))
 
 
+#: Most queries and vectors of a block.
+QUERIES, VECTORS = 16_384, 16_384
+
+
+def by_block(queries: DataFrame, vectors: DataFrame, n_queries: int, n_vectors: int, search, schema: str) -> DataFrame:
+    """Run search(vectors, queries), two pandas frames, for every pair of blocks of a partition."""
+    i, j = max(1, math.ceil(n_vectors / VECTORS)), max(1, math.ceil(n_queries / QUERIES))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = vectors.withColumn("i", deal(i)).withColumn("j", spread(j))
+    right = queries.withColumn("j", deal(j)).withColumn("i", spread(i))
+    key = ["dim", "part", "i", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -213,7 +229,7 @@ def search(df: DataFrame, k: int = 5, every: int = 50, parts: int | None = None,
             found = rank_block(v["id"].to_numpy(), np.stack(v["v"].to_list()).astype(float), q["id"].to_numpy(), np.stack(q["v"].to_list()).astype(float), k)
         return pd.DataFrame({"query_id": pd.Series([f[0] for f in found], dtype="int64"), "vec_id": pd.Series([f[1] for f in found], dtype="int64"), "score": pd.Series([f[2] for f in found], dtype="float64")})
 
-    found = by_block(queries, rows, queries.count(), rows.count(), ranked, "query_id long, vec_id long, score double", ("part",))
+    found = by_block(queries, rows, queries.count(), rows.count(), ranked, "query_id long, vec_id long, score double")
     return best(found, k), queries.select("id", "dim", "part").join(F.broadcast(held), ["dim", "part"])
 
 

@@ -59,6 +59,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """name as a column reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -202,11 +202,26 @@ def test_exact_top_k(spark, sf, monkeypatch):
     got = sorted(map(tuple, queries.op6_topk(spark, sf).collect()))
     want = brute_top(loaded(spark, sf), 100, 10, whole)
     assert got == want
-    monkeypatch.setattr(topk, "VECTORS", 100)
-    monkeypatch.setattr(topk, "QUERIES", 3)
+    for name, size in (("BLOCK_BYTES", 512 * 50), ("QUERY_BLOCK_BYTES", 512), ("GROUP_BYTES", 520)):
+        monkeypatch.setattr(topk, name, size)
     assert sorted(map(tuple, queries.op6_topk(spark, sf).collect())) == want
 
 
+def test_few_exact_vectors_are_read(spark, sf):
+    df = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    found, read = topk.search(df)
+    n, queries_ = df.count(), df.filter("vec_id % 100 = 0").count()
+    assert found.count() == 10 * queries_ and 10 * queries_ <= read < 0.02 * n * queries_
+
+
+def test_cells_bound_every_product():
+    rng = np.random.default_rng(3)
+    x, q = np.floor(rng.normal(0, 300, (400, 24))), np.floor(rng.normal(0, 300, (30, 24)))
+    x[:, 3], x[:, 4] = 7, rng.integers(0, 2, 400) * 1e9
+    low, high = topk.bounds(q, *topk.cells(x))
+    assert (low <= q @ x.T).all() and (q @ x.T <= high).all()
+
+
 VECTORS = [(0, [1.0, 0.5]), (100, [0.5, 1.0]), (200, None), (300, [None, 1.0]), (400, [float("nan"), 1.0]), (500, [float("inf"), 1.0]), (600, [0.0, 0.0]), (700, []), (800, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (3, [0.5, 1.0]), (0, [1.0, 0.5])]
 
 
@@ -225,6 +240,9 @@ def test_huge_components_stay_exact(spark):
     df = frame(spark, [(0, [3e7, 1.0], 1, ""), (1, [3e7, 1.0], 1, ""), (2, [3e7, -1.0], 1, ""), (3, [3e30, 1.0], 1, "")])
     got = [tuple(r) for r in topk.top_k(df, k=2).collect()]
     assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1)]  # clipped scores tie, so the smaller ids come first
+    vast = spark.createDataFrame([(i, [(-1) ** i * 1e308, 1.0 + i]) for i in range(4)], "vec_id long, embedding array<double>")
+    got = [tuple(r)[2:] for r in topk.top_k(vast, k=3).collect()]
+    assert got == [(2, 2**63 - 1), (1, -(2**63)), (3, -(2**63))]
     df = frame(spark, [(0, [3e5, 0.001], 1, ""), (1, [3e5, 1.0], 1, ""), (2, [3e5, -1.0], 1, "")])
     assert [tuple(r) for r in topk.top_k(df, k=2).collect()] == [(0, 1, 1, (1024 * 300_000) ** 2 + 1024), (0, 2, 2, (1024 * 300_000) ** 2 - 1024)]
 
