@@ -109,15 +109,20 @@ class Table:
         self.taken += 1
 
     def same(self, slots: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Whether the run of each slot has the bytes of its span of data."""
+        """Whether the run of each slot has the bytes of its span of data; the spans are runs that follow each other."""
         size = end - start
         out = self.text_size[slots] == size
-        some = np.flatnonzero(out)
-        cuts = np.searchsorted(np.cumsum(size[some]), np.arange(C.BLOCK_BYTES, int(size[some].sum()) + 1, C.BLOCK_BYTES))
-        for part in np.split(some, cuts):
-            if len(part):
-                differ = np.flatnonzero(data[spread(start[part], size[part])] != self.text.values[spread(self.text_at[slots[part]], size[part])])
-                out[part[np.searchsorted(np.cumsum(size[part]), differ, "right")]] = False
+        upto = np.cumsum(size)
+        cuts = np.unique(np.searchsorted(upto, np.arange(C.BLOCK_BYTES, upto[-1] + 1, C.BLOCK_BYTES))) if len(upto) else []
+        for part in np.split(np.arange(len(size)), cuts):
+            if not len(part):
+                continue
+            here = data[start[part[0]] : end[part[-1]]]
+            here = here[_RUN[here]]
+            if not out[part].all():
+                here, part = here[np.repeat(out[part], size[part])], part[out[part]]
+            differ = np.flatnonzero(here != self.text.values[spread(self.text_at[slots[part]], size[part])])
+            out[part[np.searchsorted(np.cumsum(size[part]), differ, "right")]] = False
         return out
 
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
