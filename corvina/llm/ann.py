@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from corvina.llm import common as C
 from corvina.llm.topk import best, fewest_equal, usable
 
-SCHEMA = "id long, v array<double>, dim int, part int"
+SCHEMA = "id long, v array<double>, dim int, parts array<int>"
 #: Bounds of the router: its partitions, the sample rows for each of them, and the least sample.
 LEAST_PARTS, MOST_PARTS, SAMPLE_OF_PART, LEAST_SAMPLE = 16, 256, 75, 6000
 
@@ -38,18 +38,19 @@ def parts_for(n: int) -> int:
     return int(min(MOST_PARTS, max(LEAST_PARTS, round(n**0.5 / 2))))
 
 
-#: Most queries and vectors of a block.
-QUERIES, VECTORS = 16_384, 16_384
+#: Most queries and vectors of a block, and the shards that partitions are dealt to: a task ranks a query once for a shard.
+QUERIES, VECTORS, SHARDS = 16_384, 16_384, 16
 
 
 def by_block(queries: DataFrame, vectors: DataFrame, n_queries: int, n_vectors: int, search, schema: str) -> DataFrame:
-    """Run search(vectors, queries), two pandas frames, for every pair of blocks of a partition."""
+    """Run search(vectors, queries), two pandas frames, for every pair of blocks of a shard, of n_vectors rows at most."""
     i, j = max(1, math.ceil(n_vectors / VECTORS)), max(1, math.ceil(n_queries / QUERIES))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = vectors.withColumn("i", deal(i)).withColumn("j", spread(j))
-    right = queries.withColumn("j", deal(j)).withColumn("i", spread(i))
-    key = ["dim", "part", "i", "j"]
+    left = vectors.withColumn("shard", F.col("part") % SHARDS).withColumn("i", deal(i)).withColumn("j", spread(j))
+    shards = F.array_distinct(F.transform("parts", lambda p: p % SHARDS))
+    right = queries.withColumn("shard", F.explode(shards)).withColumn("j", deal(j)).withColumn("i", spread(i))
+    key = ["dim", "shard", "i", "j"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, schema)
 
 
@@ -156,7 +157,7 @@ def build(rows: DataFrame, parts: int, sample: int, recall: float) -> bytes:
 
 
 def route(rows: DataFrame, router: bytes, probability: float | None, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
-    """rows with part: the most probable partitions, as many as reach a probability (0: the first; None: the router's own).
+    """rows with parts: the most probable partitions, as many as reach a probability (0: the first; None: the router's own).
 
     sizes: the rows of each partition; the partitions of a row go on until they hold least rows, or all.
     """
@@ -168,39 +169,47 @@ def route(rows: DataFrame, router: bytes, probability: float | None, sizes: np.n
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, part = [], []
             dims = np.asarray(batch.column("dim"))
+            parts = [[0]] * len(dims)
             known = np.flatnonzero(dims == len(w))
             if len(known):
-                x = unit(np.stack([np.asarray(v, float) for v in batch.column("v").take(pa.array(known)).to_pylist()]))
+                x = unit(np.asarray(batch.column("v").take(pa.array(known)).flatten()).reshape(-1, len(w)))
                 p = softmax(x @ w + b)
                 order = np.argsort(-p, axis=1, kind="stable")
-                upto = np.cumsum(np.take_along_axis(p, order, 1), 1)
-                short = upto < wanted
+                short = np.cumsum(np.take_along_axis(p, order, 1), 1) < wanted
                 if sizes is not None:
                     short |= np.cumsum(sizes[order], 1) < least
                 n = np.minimum(short.sum(1) + 1, p.shape[1])
-                take = np.arange(p.shape[1])[None, :] < n[:, None]
-                at, part = np.repeat(known, n).tolist(), order[take].tolist()
-            other = np.flatnonzero(dims != len(w)).tolist()
-            out = batch.take(pa.array(at + other, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("id", "v", "dim")), pa.array(part + [0] * len(other), pa.int32())], ["id", "v", "dim", "part"])
+                for i, row, m in zip(known.tolist(), order, n.tolist(), strict=True):
+                    parts[i] = row[:m].tolist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "dim")), pa.array(parts, pa.list_(pa.int32()))], ["id", "v", "dim", "parts"])
 
     return rows.select("id", "v", "dim").mapInArrow(run, SCHEMA)
 
 
-def rank_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple]:
-    """(query_id, vec_id, cosine) of each query's k best rows; scores are taken anew, pair by pair, before ranking."""
+def rank_block(ids: np.ndarray, x: np.ndarray, parts: np.ndarray, query_ids: np.ndarray, q: np.ndarray, visits: list, k: int, chunk: int = 64) -> list[tuple]:
+    """(query_id, vec_id, cosine) of each query's k best rows in the partitions it visits.
+
+    Scores of the nearest are taken anew, pair by pair, before they are ranked.
+    """
+    order = np.argsort(parts, kind="stable")
+    ids, x, parts = ids[order], x[order], parts[order]
+    names, first = np.unique(parts, return_index=True)
+    last = np.append(first[1:], len(ids))
+    visited = np.array([np.isin(names, v) for v in visits])
     out, ux, uq = [], unit(x), unit(q)
     norm = np.sqrt((x * x).sum(1))
-    for at in range(0, len(q), 64):
-        s = uq[at : at + 64] @ ux.T
+    for at in range(0, len(q), chunk):
+        s = np.full((len(q[at : at + chunk]), len(ids)), -np.inf)
+        for p, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+            rows = np.flatnonzero(visited[at : at + chunk, p])
+            if len(rows):
+                s[rows, a:b] = uq[at + rows] @ ux[a:b].T
         for row in range(len(s)):
             qi, qv = query_ids[at + row], q[at + row]
             s[row, ids == qi] = -np.inf
             m = min(k, len(ids))
-            near = np.flatnonzero(s[row] >= np.partition(s[row], len(ids) - m)[len(ids) - m] - 1e-9)
-            near = near[ids[near] != qi]
+            near = np.flatnonzero((s[row] >= np.partition(s[row], len(ids) - m)[len(ids) - m] - 1e-9) & (s[row] > -np.inf))
             exact = (x[near] * qv).sum(1) / (norm[near] * np.sqrt((qv * qv).sum()))
             bad = ~np.isfinite(exact) | (norm[near] < 1e-150)
             exact = np.where(bad, (ux[near] * uq[at + row]).sum(1), exact)  # squares out of a double's range
@@ -214,7 +223,7 @@ def search(df: DataFrame, k: int = 5, every: int = 50, parts: int | None = None,
     whole = C.materialise(usable(df, id_, vector, False), "vectors")
     parts = parts or parts_for(whole.count())
     router = build(whole, parts, sample or max(LEAST_SAMPLE, SAMPLE_OF_PART * parts), recall)
-    rows = C.materialise(route(fewest_equal(whole, k), router, 0.0), "filed")
+    rows = C.materialise(route(fewest_equal(whole, k), router, 0.0).select("id", "v", "dim", F.col("parts")[0].alias("part")), "filed")
     held = rows.groupBy("dim", "part").agg(F.count("*").alias("n_rows"))
     dim, n_parts = np.load(io.BytesIO(router))["w"].shape
     sizes = np.zeros(n_parts, np.int64)
@@ -226,11 +235,13 @@ def search(df: DataFrame, k: int = 5, every: int = 50, parts: int | None = None,
     def ranked(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(v) and len(q):
-            found = rank_block(v["id"].to_numpy(), np.stack(v["v"].to_list()).astype(float), q["id"].to_numpy(), np.stack(q["v"].to_list()).astype(float), k)
+            x, y = (np.stack(f["v"].to_list()).astype(float) for f in (v, q))
+            found = rank_block(v["id"].to_numpy(), x, v["part"].to_numpy(), q["id"].to_numpy(), y, q["parts"].to_list(), k)
         return pd.DataFrame({"query_id": pd.Series([f[0] for f in found], dtype="int64"), "vec_id": pd.Series([f[1] for f in found], dtype="int64"), "score": pd.Series([f[2] for f in found], dtype="float64")})
 
-    found = by_block(queries, rows, queries.count(), rows.count(), ranked, "query_id long, vec_id long, score double")
-    return best(found, k), queries.select("id", "dim", "part").join(F.broadcast(held), ["dim", "part"])
+    fullest = held.groupBy("dim", F.col("part") % SHARDS).agg(F.sum("n_rows").alias("n")).agg(F.max("n")).first()[0] or 0
+    found = by_block(queries, rows, queries.count(), fullest, ranked, "query_id long, vec_id long, score double")
+    return best(found, k), queries.select("id", "dim", F.explode("parts").alias("part")).join(F.broadcast(held), ["dim", "part"])
 
 
 def nearest(df: DataFrame, k: int = 5, every: int = 50, parts: int | None = None, recall: float = 0.96, sample: int | None = None, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
