@@ -27,23 +27,29 @@ def work_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df once as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    by: a column of few values that gets a folder for each.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/corvina/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.corvina_path = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete what materialise() wrote for df, once nothing reads it any more."""
     path = getattr(df, "corvina_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
 
 
 def small_enough(df: DataFrame, row_bytes: int) -> bool:

@@ -2,8 +2,9 @@
 
 Documents come in batches of falling doc_id. A batch's distinct line keys are sorted by hash and merge-anti-joined with
 the runs written so far: a key that no run holds gets its keeper, the largest doc_id of this batch and so of all; a key
-that some run holds only adds to the count. The batch then becomes a run of level 0; as soon as a level has FANOUT runs
-they are compacted into one sorted run of the next level. Keys are 128-bit hashes, so no text is shuffled for them.
+that some run holds only adds to the count. The batch then becomes a run of level 0; as soon as a level has two runs
+they are compacted into one sorted run of the next level. Runs are tables bucketed and sorted by hash, so joining and
+compacting them moves no row of a run between tasks. Keys are 128-bit hashes, so no text is shuffled for them.
 
 Defined results: a null or empty text is one empty line; a row without doc_id keeps nothing and adds nothing to the
 counts; rows that share a doc_id count as one document; an empty table gives no rows; other columns are ignored.
@@ -12,16 +13,20 @@ counts; rows that share a doc_id count as one document; an empty table gives no
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import common as C
 
 STRIP = " \t\n\x0b\x0c\r"
-FANOUT = 3
+#: Documents of a batch, and the most batches: of a larger corpus, batches are larger.
+BATCH_DOCS, MOST_BATCHES = 100_000, 32
+#: A key of more than this part of all keys is joined by broadcast; there are fewer of them than this number.
+HOT = 100_000
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -30,8 +35,8 @@ def line_key(line: str, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key.encode("utf-8").lower()) if len(key) >= min_chars else None  # bytes.lower(): A-Z only
 
 
-def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id and h of every distinct key of a document."""
+def line_keys(docs: DataFrame, min_chars: int, cuts: list[int] | None = None) -> DataFrame:
+    """doc_id, batch and h of every distinct key of a document; batch: how many of cuts doc_id does not exceed, -1 without one."""
 
     def run(batches):
         for batch in batches:
@@ -43,72 +48,112 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
                     keys += found
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "h"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h binary")
+    batch = sum(((F.col("doc_id") <= c).cast("int") for c in cuts or []), F.lit(0))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h binary").withColumn("batch", F.coalesce(batch, F.lit(-1)) if cuts else F.when(F.col("doc_id").isNull(), -1).otherwise(0))
 
 
 class Runs:
-    """Runs of (h, keeper, n) sorted by h, in levels; n is the documents counted, keeper the doc_id that keeps a line."""
+    """Runs of (h, keeper, n) sorted by h, in levels; n is the documents counted, keeper the doc_id that keeps a line.
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, []
+    A run is a table in the shared folder, bucketed by h as Spark's shuffles are, and so merged where it lies.
+    """
 
-    def merged(self) -> DataFrame | None:
-        """All runs as one, with the counts of a key added up."""
-        runs = [r for level in self.levels for r in level]
-        return self._merge(runs) if runs else None
+    def __init__(self, spark: SparkSession):
+        self.spark, self.levels = spark, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(r) for level in self.levels for r in level]
+
+    def merged(self) -> DataFrame:
+        """All runs compacted into one, from the smallest levels up."""
+        while len(self.runs()) > 1:
+            lower = next(i for i, level in enumerate(self.levels) if level)
+            upper = next(i for i, level in enumerate(self.levels) if i > lower and level)
+            self._compact([self.levels[lower].pop(), self.levels[upper].pop()], upper)
+        return self.runs()[0]
 
     @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("h").agg(F.max("keeper").alias("keeper"), F.sum("n").alias("n")) if len(runs) > 1 else out
+    def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs as one, with the counts of a key added up: a merge join of what is bucketed and sorted alike."""
+        a, b = (r.select("h", F.col("keeper").alias(f"keeper{i}"), F.col("n").alias(f"n{i}")) for i, r in enumerate((a, b)))
+        both = a.join(b.hint("merge"), "h", "full")
+        return both.select("h", F.greatest("keeper0", "keeper1").alias("keeper"), (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"))
+
+    def joined(self, batch: DataFrame) -> DataFrame:
+        """The batch as a run: keys that some run holds have no keeper."""
+        held = F.lit(False)
+        for i, run in enumerate(self.runs()):
+            batch = batch.join(run.select("h", F.lit(True).alias(f"in{i}")).hint("merge"), "h", "left")
+            held = held | F.coalesce(f"in{i}", F.lit(False))
+        return batch.select("h", F.when(~held, F.col("keeper")).alias("keeper"), "n")
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of (h, keeper, n), distinct in h, whose doc_ids lie below those of all runs."""
-        known = [r.select("h") for level in self.levels for r in level]
-        if known:
-            held = known[0]
-            for k in known[1:]:
-                held = held.unionByName(k)
-            batch = batch.withColumnRenamed("keeper", "own")
-            batch = C.materialise(batch, "batch")
-            fresh = batch.join(held, "h", "left_anti").withColumnRenamed("own", "keeper")
-            more = batch.join(held, "h", "left_semi").select("h", F.lit(None).cast("long").alias("keeper"), "n")
-            batch = fresh.unionByName(more)
-        self._put(0, C.materialise(batch.sortWithinPartitions("h"), "run0"))
+        self._put(0, self.joined(batch))
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
+        name = f"corvina_run_{uuid.uuid4().hex}"
+        path = f"{C.work_dir(self.spark)}/corvina/{name}"
+        run.write.format("parquet").option("path", path).bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        self.levels[level].append(name)
+        if len(self.levels[level]) == 2:
             old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, C.materialise(self._merge(old).sortWithinPartitions("h"), f"run{level + 1}"))
-            for r in old:
-                C.release(r)
+            self._compact(old, level + 1)
 
+    def _compact(self, old: list[str], level: int) -> None:
+        self._put(level, self.merge(*map(self.spark.table, old)))
+        self._drop(old)
 
-def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3) -> DataFrame:
-    """doc_id and the array drop of the line hashes it loses, for the documents that lose any."""
-    keys = C.materialise(line_keys(docs, min_chars), "line_keys")
-    rows = keys.filter(F.col("doc_id").isNotNull())
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            C.delete(self.spark, f"{C.work_dir(self.spark)}/corvina/{name}")
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
+
+
+def batch_cuts(docs: DataFrame, batch_docs: int) -> list[int]:
+    """doc_ids, falling, that part the documents into batches of about batch_docs, or MOST_BATCHES of them."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull())
+    batches = min(MOST_BATCHES, -(-ids.count() // batch_docs))
     steps = [i / batches for i in range(1, batches)]
-    cuts = (rows.agg(F.percentile_approx("doc_id", steps, 1000)).first()[0] or []) if steps else []
-    runs, high = Runs(), None
-    for low in [*sorted(set(cuts), reverse=True), None]:
-        part = rows
-        if low is not None:
-            part = part.filter(F.col("doc_id") > low)
-        if high is not None:
-            part = part.filter(F.col("doc_id") <= high)
-        high = low
+    return sorted(set(ids.agg(F.percentile_approx("doc_id", steps, 1000)).first()[0] or []), reverse=True) if steps else []
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batch_docs: int = BATCH_DOCS) -> DataFrame:
+    """doc_id and the array drop of the line hashes it loses, for the documents that lose any."""
+    cuts = batch_cuts(docs, batch_docs)
+    keys = C.materialise(line_keys(docs, min_chars, cuts), "line_keys", "batch")
+    runs = Runs(docs.sparkSession)
+    for i in range(len(cuts) + 1):
         # a key comes once from each row; rows that share a doc_id are one document
-        part = part.groupBy("h", "doc_id").agg(F.lit(1).alias("one")).groupBy("h")
+        part = keys.filter(F.col("batch") == i).groupBy("h", "doc_id").agg(F.lit(1).alias("one")).groupBy("h")
         runs.add(part.agg(F.max("doc_id").alias("keeper"), F.count("*").alias("n")))
-    dropped = runs.merged().filter(F.col("n") >= min_docs).select("h", "keeper")
-    losing = keys.join(dropped, "h").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return C.materialise(losing.groupBy("doc_id").agg(F.collect_set("h").alias("drop")), "drops")
+    dropped = C.materialise(runs.merged().filter(F.col("n") >= min_docs), "dropped")
+    runs.drop()
+    losing = join_keys(keys.select("doc_id", "h"), dropped).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    drops = C.materialise(losing.groupBy("doc_id").agg(F.collect_set("h").alias("drop")), "drops")
+    C.release(keys)
+    C.release(dropped)
+    return drops
+
+
+def join_keys(keys: DataFrame, dropped: DataFrame) -> DataFrame:
+    """keys with the keeper of those that are dropped. Keys that very many documents hold never make one task's group."""
+    n, total = dropped.agg(F.count("*"), F.sum("n")).first()
+    pairs = dropped.select("h", "keeper")
+    if n * 48 <= C.BROADCAST_BYTES:
+        return keys.join(F.broadcast(pairs), "h")
+    hot = dropped.filter(F.col("n") > total // HOT).select("h", "keeper")  # fewer than HOT keys
+    rare = keys.join(F.broadcast(hot.select("h")), "h", "left_anti").join(pairs, "h")
+    return keys.join(F.broadcast(hot), "h").unionByName(rare)
 
 
 def _with_drops(docs: DataFrame, drops: DataFrame, columns: list[str]) -> DataFrame:
@@ -117,7 +162,7 @@ def _with_drops(docs: DataFrame, drops: DataFrame, columns: list[str]) -> DataFr
     small = 64 * (held[0] or 0) + 24 * (held[1] or 0) <= C.BROADCAST_BYTES
     of, drop = C.free_name(docs, "_of"), C.free_name(docs, "_drop")
     other = drops.select(F.col("doc_id").alias(of), F.col("drop").alias(drop))
-    return docs.select(*columns).join(F.broadcast(other) if small else other, docs["doc_id"].eqNullSafe(other[of]), "left").drop(of)
+    return docs.select(*map(C.quoted, columns)).join(F.broadcast(other) if small else other, F.col("doc_id").eqNullSafe(F.col(of)), "left").drop(of)
 
 
 def _kept(text: str | None, drop, min_chars: int) -> tuple[list[str], int]:

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corvina.llm import bpe, lines, packing, pii, queries, simhash
@@ -73,11 +74,37 @@ def test_drop_lines_keeps_columns(make):
 
 
 def test_runs_compact(spark):
-    runs = lines.Runs(fanout=2)
+    runs = lines.Runs(spark)
     for high in (40, 30, 20, 10):
         runs.add(spark.createDataFrame([(b"a", high, 1), (bytes([high]), high, 2)], "h binary, keeper long, n long"))
     assert [len(x) for x in runs.levels] == [0, 0, 1]
     assert {(bytes(r.h), r.keeper, r.n) for r in runs.merged().collect()} == {(b"a", 40, 4), (b"(", 40, 2), (b"\x1e", 30, 2), (b"\x14", 20, 2), (b"\n", 10, 2)}
+    runs.drop()
+
+
+def test_runs_are_merged_where_they_lie(spark):
+    runs = lines.Runs(spark)
+    batch = spark.range(2000).select(F.md5(F.col("id").cast("string").cast("binary")).cast("binary").alias("h"), F.col("id").alias("keeper"), F.lit(1).cast("long").alias("n"))
+    for _ in range(3):
+        runs.add(batch)
+    assert [len(x) for x in runs.levels] == [1, 1]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    merged = plan(runs.merge(*runs.runs()))
+    assert merged.count("Bucketed: true") == 2 and "SortMergeJoin" in merged and "Exchange" not in merged
+    joined = plan(runs.joined(batch.repartition(3)))
+    assert joined.count("SortMergeJoin") == 2 and joined.count("Exchange hashpartitioning") == 1  # the batch's own
+    assert runs.merged().agg(F.sum("n"), F.count("*")).first()[:] == (6000, 2000)
+    runs.drop()
+
+
+def test_lines_in_many_batches(spark, sf, make, monkeypatch):
+    got = sorted(lines.repeated_lines(spark.read.parquet(f"{sf}/documents.parquet"), batch_docs=23).collect())
+    want = sorted(lines.repeated_lines(spark.read.parquet(f"{sf}/documents.parquet")).collect())
+    assert [(d, sorted(map(bytes, h))) for d, h in got] == [(d, sorted(map(bytes, h))) for d, h in want] and got
+    monkeypatch.setattr(lines.C, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(lines, "HOT", 3)
+    shared = [f"a line that is in all of them\na line that is in few of them {i // 4}" for i in range(40)]
+    assert sorted(map(tuple, lines.line_dedup(make(shared)).collect())) == brute_lines([*enumerate(shared)])
 
 
 # ---- SimHash
