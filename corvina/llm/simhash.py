@@ -1,10 +1,12 @@
 """Operator 5: SimHash near-duplicates with BK-trees.
 
-Equal fingerprints are merged first. Two fingerprints within radius r agree in at least one of r + 1 bit bands, so a
-shard is the fingerprints that share one band; in each shard a BK-tree (children keyed by integer Hamming distance to
-the parent) answers radius queries by following only the edges within the radius. A shard is never broadcast, since its
-size has no bound: it is sent to one task, and a shard over SHARD fingerprints is split into chunks whose pairs are
-separate trees. Trees give spanning links, not pairs; links are joined into components by star contraction.
+Equal fingerprints are merged first. Cut into radius + p parts, two fingerprints within the radius agree in p of them, so
+a shard is the fingerprints that agree in one choice of parts: in two of five, about 26 bits, at first. In each shard a
+BK-tree (children keyed by integer Hamming distance to the parent) answers radius queries by following only the edges
+within the radius. The fingerprints of a shard over SHARD go to narrower ones, in three of six parts (32 bits), and a
+shard still over SHARD is split into chunks whose pairs are separate trees, so no task holds more than two chunks. A
+shard's tree is made where its fingerprints meet: to broadcast all shards would need a bound on their number. Trees give
+spanning links, not pairs; links are joined into components by star contraction.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows that share a doc_id share a
 component if their texts do; a null doc_id never names a component unless it is alone; an empty table gives no rows.
@@ -12,7 +14,7 @@ component if their texts do; a null doc_id never names a component unless it is
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -133,27 +135,50 @@ def spanning_links(fps: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def shards(nodes: DataFrame, radius: int, agreeing: int) -> DataFrame:
+    """fp with choice and bits of every shard it is in: a choice of parts to agree in, and the bits of these parts."""
+    n = radius + agreeing
+    edges = [64 * i // n for i in range(n + 1)]
+    of = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in c) for c in combinations(range(n), agreeing)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in of]
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)])
+    return nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.choice", "k.bits")
+
+
 def links(nodes: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     """Links (a, b) that join the distinct fingerprints fp of nodes as all links within radius would."""
-    bands = radius + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1).alias("part")) for i in range(bands)])
-    rows = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.part")
-    sizes = rows.groupBy("band", "part").agg(F.count("*").alias("n")).filter("n > 1")
-    chunks = F.ceil(F.col("n") / shard).cast("int")
-    rows = rows.join(sizes, ["band", "part"]).withColumn("chunks", chunks)
+    rows = shards(nodes, radius, 2)
+    sizes = C.materialise(rows.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
+    small = rows.join(sizes.filter(F.col("n") <= shard).drop("n"), ["choice", "bits"], "left_semi")
+    found = _tree_links(small.withColumns({"i": F.lit(0), "j": F.lit(0)}), radius)
+    large = sizes.filter(F.col("n") > shard)
+    if large.isEmpty():
+        return found
+    crowded = rows.join(F.broadcast(large.drop("n")) if C.small_enough(large, 24) else large.drop("n"), ["choice", "bits"], "left_semi")
+    return found.unionByName(_tree_links(_chunked(C.materialise(crowded.select("fp").distinct(), "crowded"), radius, shard), radius))
+
+
+def _chunked(nodes: DataFrame, radius: int, shard: int) -> DataFrame:
+    """The narrower shards of nodes; those over shard come as pairs (i, j) of chunks."""
+    rows = shards(nodes, radius, 3)
+    sizes = rows.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(sizes, ["choice", "bits"]).withColumn("chunks", F.ceil(F.col("n") / shard).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     # the chunk's pairs with every other chunk; pairs of one chunk are inside any of them
     pairs = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: j != F.col("own")))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(pairs))
-    rows = rows.select("fp", "band", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    # a salted pair of a hot shard is a key of its own, so the deal below stays even
-    rows = rows.repartition("band", "part", "i", "j").sortWithinPartitions("band", "part", "i", "j", "fp")
+    return rows.select("fp", "choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) from a tree for every shard or pair of chunks of rows (fp, choice, bits, i, j)."""
+    # a pair of chunks of a hot shard is a key of its own, so the deal stays even
+    rows = rows.repartition("choice", "bits", "i", "j").sortWithinPartitions("choice", "bits", "i", "j", "fp")
 
     def run(batches):
         key, held = None, []
         for batch in batches:
-            table = np.stack([np.asarray(batch.column(c).cast(pa.int64())) for c in ("band", "part", "i", "j", "fp")])
+            table = np.stack([np.asarray(batch.column(c).cast(pa.int64())) for c in ("choice", "bits", "i", "j", "fp")])
             if not table.shape[1]:
                 continue
             cuts = np.flatnonzero((table[:4, 1:] != table[:4, :-1]).any(0)) + 1

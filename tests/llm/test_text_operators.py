@@ -180,6 +180,20 @@ def test_links_of_dense_balls(spark, shard):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
 
 
+def test_shards_grow_with_the_input(spark):
+    """Rows that are shuffled to trees, and those copied for pairs of chunks, stay in proportion to the fingerprints."""
+    rows = {}
+    for n in (4000, 16_000):
+        nodes = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        keys = simhash.shards(nodes, 3, 2)
+        shared = keys.groupBy("choice", "bits").count().filter("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        rows[n] = keys.count(), shared
+    assert [r[0] for r in rows.values()] == [40_000, 160_000] and all(r[1] < n / 50 for n, r in rows.items())
+    base = spark.range(3000).select(F.expr("1L << cast(id % 64 as int) ^ (1L << cast(id div 64 as int))").alias("fp")).distinct()
+    chunked = simhash._chunked(base, 3, 256)
+    assert chunked.groupBy("choice", "bits", "i", "j").count().agg(F.max("count")).first()[0] <= 1024
+
+
 def test_components_of_a_path(spark):
     got = simhash.components(spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long"))
     assert {(r.id, r.label) for r in got.collect()} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
