@@ -70,6 +70,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def plainly_named(df: DataFrame) -> DataFrame:
+    """df with other names for the columns whose names PySpark would take for paths; toDF() gives the old ones back."""
+    return df.toDF(*[free_name(df, f"_column{i}") if set(c) & set(".`") else c for i, c in enumerate(df.columns)])
+
+
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

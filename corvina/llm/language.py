@@ -167,6 +167,7 @@ def languages(model: bytes) -> list[str]:
 
 def label(docs: DataFrame, model: bytes) -> DataFrame:
     """docs with two more columns, last: the language and its score, named _lang_pred and _lang_score or the like."""
+    given, docs = docs.columns, C.plainly_named(docs)
     can, lang_pred, lang_score = (C.free_name(docs, n) for n in ("_can", "_lang_pred", "_lang_score"))
     schema = T.StructType([*docs.schema.fields, T.StructField(can, T.BooleanType()), T.StructField(lang_pred, T.StringType()), T.StructField(lang_score, T.DoubleType())])
 
@@ -180,7 +181,7 @@ def label(docs: DataFrame, model: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, lang_pred, lang_score])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn(can, lettered).mapInArrow(run, schema).drop(can)
+    return docs.withColumn(can, lettered).mapInArrow(run, schema).drop(can).toDF(*given, lang_pred, lang_score)
 
 
 def predict(docs: DataFrame, model: bytes) -> DataFrame:

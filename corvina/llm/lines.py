@@ -162,7 +162,7 @@ def _with_drops(docs: DataFrame, drops: DataFrame, columns: list[str]) -> DataFr
     small = 64 * (held[0] or 0) + 24 * (held[1] or 0) <= C.BROADCAST_BYTES
     of, drop = C.free_name(docs, "_of"), C.free_name(docs, "_drop")
     other = drops.select(F.col("doc_id").alias(of), F.col("drop").alias(drop))
-    return docs.select(*map(C.quoted, columns)).join(F.broadcast(other) if small else other, F.col("doc_id").eqNullSafe(F.col(of)), "left").drop(of)
+    return docs.select(*columns).join(F.broadcast(other) if small else other, F.col("doc_id").eqNullSafe(F.col(of)), "left").drop(of)
 
 
 def _kept(text: str | None, drop, min_chars: int) -> tuple[list[str], int]:
@@ -176,6 +176,7 @@ def _kept(text: str | None, drop, min_chars: int) -> tuple[list[str], int]:
 
 def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with the repeated lines taken out of text; n_chars follows. Texts that lose nothing stay as they are."""
+    given, docs = docs.columns, C.plainly_named(docs)
     joined = _with_drops(docs, repeated_lines(docs, min_chars, min_docs), docs.columns)
     names, schema = docs.columns, docs.schema
 
@@ -190,7 +191,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
                     cols["n_chars"] = pa.array([len(t) if d else o for t, d, o in zip(text, drop, old, strict=True)], kind)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*given)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

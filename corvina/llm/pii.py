@@ -227,6 +227,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     Added spans, few as they are, are broadcast below a checked size and joined by shuffle above it; the base spans are
     found again where the text is.
     """
+    given, docs = docs.columns, C.plainly_named(docs)
     key, row, added = (C.free_name(docs, n) for n in ("_key", "_row", "_added"))
     found = find(docs, **options).filter(F.col("added").isNotNull()).select(F.col("row").alias(row), F.col("added").alias(added)).dropDuplicates([row])
     found = C.materialise(found, "added")
@@ -249,4 +250,4 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
                     cols["n_chars"] = pa.array([o if a is b or a == b else len(b) for a, b, o in zip(texts, out, old, strict=True)], kind)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*given)

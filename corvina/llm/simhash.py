@@ -248,7 +248,7 @@ def with_label(nodes: DataFrame, radius: int, shard: int) -> DataFrame:
 
 def row_key(docs: DataFrame) -> Column:
     """A digest of text, then one of all other columns."""
-    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias(C.free_name(docs, "_null"))))
+    rest = F.to_json(F.struct(*[C.quoted(c) for c in docs.columns if c != "text"], F.col("text").isNull().alias(C.free_name(docs, "_null"))))
     return F.concat(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))), F.unhex(F.md5(rest.cast("binary"))))
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvina.llm import ann, common, language, packing, quality, queries, topk, toxicity
@@ -303,7 +304,7 @@ def test_pipeline(spark, sf):
         kept[name] = {r.doc_id: r.text for r in docs.collect()}
         assert docs.count() == len(kept[name])
     source = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert kept["language"] == {d: t for d, t in source.items() if any(c.isalpha() for c in t or "")}
+    assert kept["language"] == source  # each of the four languages is told
     assert kept["line_dedup"].keys() == kept["language"].keys() and kept["line_dedup"] != kept["language"]
     from .test_text_operators import brute_components, brute_fingerprint, check_packing
 
@@ -325,8 +326,33 @@ def test_pipeline_keeps_one_row_of_each_component(spark, make):
     assert got == [(0, "grey"), (3, "green"), (7, "blue"), (7, "red")]
 
 
+def test_pipeline_tells_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    kinds = dict(docs.select("doc_id", "lang").collect())
+    unlabelled = docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    other = ["Привет мир как дела сегодня", "日本語のテキストです", "1 2 3 + 4", "", None]
+    strange = spark.createDataFrame([(10**9 + i, t, None, "x", 1) for i, t in enumerate(other)], "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.keep_known_languages(spark, unlabelled.unionByName(strange.select(*docs.columns)), "")
+    told = {r.doc_id: r.lang for r in got.collect()}
+    assert told.keys() == kinds.keys()  # no document goes but those in no language that was learned
+    assert sum(told[d] == k for d, k in kinds.items()) > 0.99 * len(kinds)
+
+
 def test_pipeline_stages_on_edges(spark, edges, empty):
+    same, words = "same text here and there", "word " * 40_000
+    want = {
+        # of the languages there is none to learn, so a letter is enough
+        "language": [t for t in EDGES if t and any(c.isalpha() for c in t)] + [same],
+        "line_dedup": [*EDGES, same],
+        "near_duplicates": [None, "one", "a b", words, "x" * 60_000, same, EDGES[-2], EDGES[-1]],
+        "personal_data": [*EDGES[:-2], "ÀÉß ﬁ \x1c [IP] 😀", "[PHONE] " * 50, same],
+    }
+    dotted = edges.withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0, name
-        assert stage(spark, edges, "").count() >= 1, name
+        got = stage(spark, dotted, "")
+        if name in want:
+            assert got.columns == dotted.columns, name
+            texts = [r.text for r in got.collect()]
+            assert sorted(t or "" for t in texts) == sorted(t or "" for t in want[name]), name
     assert packing.best_fit_packing(edges, public_tokenizers.path(queries.WORD_BPE)).count() >= len(EDGES)
