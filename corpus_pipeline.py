@@ -11,33 +11,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import language, lines, packing, pii, simhash
-from corvina.llm.common import documents_of, free_name, materialise, small_enough
+from corvina.llm.common import documents_of, free_name, materialise, quoted, small_enough
 from corvina.llm.queries import WORD_BPE
 
 #: No SQL expresses the classifier, the fingerprints or the tokenizer; tests compare with brute-force versions.
 ORACLE_SQL = None
+#: The least score of a known language; with four languages, one that is no likelier than the others scores 0.25.
+MIN_SCORE = 0.3
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (null text, no letter) go; the others keep all their columns.
+    """Documents whose language cannot be told go; lang of the others, if there is such a column, becomes the one told.
 
-    Without a single labelled row there is nothing to learn from, and only texts without a letter go.
+    It cannot be told of a null or empty text, one without a letter, and one whose best language scores below MIN_SCORE,
+    as texts in a language that no labelled row has do. Without a single labelled row there is nothing to learn from, and
+    only texts without a letter go. An empty table stays empty; rows are neither merged nor ordered.
     """
     model = language.train(docs)
     if not language.languages(model):
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     labelled = language.label(docs, model)
-    return labelled.filter(F.col(labelled.columns[-2]) != language.UNDETERMINED).select(*docs.columns)
+    lang, score = labelled.columns[-2:]
+    known = labelled.filter((F.col(lang) != language.UNDETERMINED) & (F.col(score) >= MIN_SCORE))
+    told = {"lang": F.col(lang)} if "lang" in docs.columns else {}
+    return known.withColumns(told).select(*map(quoted, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three or more documents hold stay in one of them; every row stays, and n_chars follows its text.
+
+    A null or empty text is one empty line and stays as it is; a row without doc_id loses what others hold.
+    """
     return lines.drop_lines(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a component of near duplicates one row stays, the first by doc_id (nulls last), then by a digest of the row.
 
-    Rows equal in all columns are reduced in each task before they are shuffled.
+    Rows equal in all columns are reduced in each task before they are shuffled. Null and empty texts are near duplicates
+    of each other.
     """
     heads = materialise(simhash.heads(docs), "heads")
     key = free_name(docs, "_key")
@@ -47,14 +59,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if not copied.isEmpty():
         copied = F.broadcast(copied) if small_enough(copied, 64) else copied
         kept = kept.unionByName(keyed.join(copied, key, "left_semi").dropDuplicates([key]))
-    return kept.select(*docs.columns)
+    return kept.select(*map(quoted, docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data and the words that tell of them are replaced; texts without any, null ones too, stay."""
     return pii.sanitise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4,096 tokens, as op3_packing returns them; a null text is the closing id alone."""
     return packing.best_fit_packing(docs, public_tokenizers.path(WORD_BPE))
 
 
