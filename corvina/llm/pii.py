@@ -7,8 +7,9 @@ min_docs documents or more, stands in a document of the entity, all its mentions
 ``term`` (to be removed) or, below the removal threshold, ``general`` (to be generalised). min_docs is the support that
 PMI needs: with one document every word found nowhere else would tell all. No text is shuffled, only hashes of words.
 
-Defined results: null and empty texts have no spans; rows with equal doc_id and text have equal spans and count as one
-document; an empty table gives no rows; other columns are ignored. Spans of one kind never overlap.
+Defined results: null and empty texts have no spans; every row counts as a document, also one that repeats another, and
+rows with equal doc_id and text have equal spans; an empty table gives no rows; other columns are ignored. Spans of one
+kind never overlap.
 """
 
 from __future__ import annotations
@@ -172,8 +173,9 @@ def disclosing(scanned: DataFrame, threshold: float, min_docs: int) -> DataFrame
     docs = scanned.filter(F.col("row").isNotNull())
     n = docs.count()
     held = docs.filter(F.size("entities") > 0)
-    seen = held.select("row", F.explode("entities").alias("e")).distinct()
-    entities = C.materialise(seen.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e").between(min_docs, n - 1)), "entities")
+    # times: the rows of one doc_id and text, which are documents of their own here as they are in n and n_t
+    seen = held.select("row", F.explode("entities").alias("e")).groupBy("row", "e").agg(F.count("*").alias("times"))
+    entities = C.materialise(seen.groupBy("e").agg(F.sum("times").alias("n_e")).filter(F.col("n_e").between(min_docs, n - 1)), "entities")
     named = C.materialise(seen.join(broadcast_if_small(entities, 32), "e"), "named")
     here = C.materialise(named.select("row").distinct(), "named-rows")
     words = scanned.filter(F.col("t").isNotNull()).groupBy("t").agg(F.sum("df").alias("n_t")).filter(F.col("n_t") >= min_docs)
@@ -185,8 +187,8 @@ def disclosing(scanned: DataFrame, threshold: float, min_docs: int) -> DataFrame
         return pmi / F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
 
     together = named.join(told, "row").filter(disclosure(F.least("n_e", "n_t")) >= threshold - 1e-9)
-    together = C.materialise(together.select("row", "e", "t", "n_e", "n_t"), "together")
-    pairs = together.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.min("n_e").alias("n_e"), F.min("n_t").alias("n_t")).filter(F.col("n_et") >= min_docs)
+    together = C.materialise(together.select("row", "e", "t", "n_e", "n_t", "times"), "together")
+    pairs = together.groupBy("e", "t").agg(F.sum("times").alias("n_et"), F.min("n_e").alias("n_e"), F.min("n_t").alias("n_t")).filter(F.col("n_et") >= min_docs)
     telling = C.materialise(pairs.select("e", "t", disclosure(F.col("n_et")).alias("disclosure")).filter(F.col("disclosure") >= threshold), "telling")
     return together.select("row", "e", "t").join(broadcast_if_small(telling, 48), ["e", "t"]).groupBy("row", "t").agg(F.max("disclosure").alias("disclosure"))
 

@@ -1,8 +1,10 @@
 """Classifiers against their split and held-out labels, vector searches against brute force, and the pipeline."""
 
+import io
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,43 @@ def test_fm_identity():
         assert math.isclose(got[d], 0.3 + w @ x + pairs, abs_tol=1e-12)
 
 
+def plain_features(text, n_chars):
+    """Features of a text for the factorisation machine, by plain counts."""
+    raw, words = text.encode(), plain_words(text)
+    counts = Counter(plain_hash(w) % quality.WORD_BUCKETS for w in words)
+    norm = math.sqrt(sum(counts.values())) or 1
+    out = {k: math.sqrt(n) / norm for k, n in counts.items()}
+    share = lambda *which: sum(c in which for c in raw) / max(len(raw), 1)
+    word = lambda c: 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128
+    pairs = list(zip(words, words[1:]))
+    n = max(len(words), 1)
+    ratios = [
+        share(*range(65, 91)), share(*range(48, 58)), sum(not word(c) and c > 32 and c not in b",.'-" for c in raw) / max(len(raw), 1), share(44, 46), share(10), share(124), share(33), share(*range(128, 256)),
+        sum(a == b for a, b in pairs) / n, 1 - len(set(words)) / n, max(Counter(words).values(), default=0) / n, 1 - len(set(pairs)) / max(len(pairs), 1),
+    ]
+    logs = [math.log2(1 + len(raw)), math.log2(1 + len(words)), math.log2(1 + max(n_chars, 0)), 2 * sum(map(len, words)) / n, math.log2(1 + abs(n_chars - len(raw)))]
+    steps = [min(int(min(math.sqrt(x) * 16, 15)), 15) for x in ratios] + [min(max(int(x), 0), 15) for x in logs]
+    return out | {quality.WORD_BUCKETS + 16 * i + s: 0.5 for i, s in enumerate(steps)}
+
+
+def test_quality_scores_equal_plain_pair_sums(labelled):
+    table, texts, _ = labelled
+    few = table.slice(0, 300)
+    model = quality.fit(few.append_column("n_chars", pa.array([float(len(t or "")) for t in few.column("text").to_pylist()])), epochs=2)
+    m = np.load(io.BytesIO(model))
+    tried = ["", "One", "BUY NOW!! BUY NOW!! | é\n", "a a a b", *[t[:400] for t in texts[:10]]]
+    got = []
+    for t in tried:
+        x = plain_features(t, len(t))
+        v = {k: m["v"][k].astype(float) for k in x}
+        keys = list(x)
+        pairs = sum(float(v[a] @ v[b]) * x[a] * x[b] for i, a in enumerate(keys) for b in keys[:i])
+        got.append(float(m["bias"]) + sum(float(m["w"][k]) * x[k] for k in keys) + pairs)
+    n, doc, key, value = quality.features(pa.array(tried), np.array([float(len(t)) for t in tried]))
+    assert np.allclose(quality.fm_score(n, doc, key, value, float(m["bias"]), m["w"], m["v"]), got, atol=1e-4)
+    assert len({round(x, 6) for x in got}) > 8
+
+
 @pytest.mark.parametrize(("query", "label", "cut"), [(queries.op1_quality, "quality", 0.3), (queries.op10_toxicity, "toxic", 0.5)])
 def test_classifiers_hold_out(spark, sf01, query, label, cut):
     got = query(spark, sf01).toPandas()
@@ -79,8 +118,6 @@ def test_counterfactual_penalty_lowers_the_change():
     table = pa.table({"doc_id": range(60), "text": texts, "y": [1] * 30 + [0] * 30})
 
     def change(penalty):
-        import io
-
         m = np.load(io.BytesIO(toxicity.fit(table, penalty=penalty)))
         w = dict(zip(m["keys"].tolist(), m["w"].tolist(), strict=True))
         score = lambda t: sum(w.get(k, 0) for k in toxicity._rows([t])[0].tolist())
@@ -102,8 +139,6 @@ def labelled(sf):
 
 
 def test_mentions_of_groups_leave_scores_alone(labelled):
-    import io
-
     table, texts, toxic = labelled
     clean = [t for t, y in zip(texts, toxic, strict=True) if not y][:100]
     false, moved = {}, {}
@@ -134,8 +169,6 @@ def plain_words(text):
 
 
 def test_toxicity_scores_equal_plain_sums(labelled):
-    import io
-
     table, texts, _ = labelled
     model = toxicity.fit(table.slice(0, 900))
     m = np.load(io.BytesIO(model))
@@ -160,6 +193,46 @@ def test_language_holds_out(spark, sf01):
     assert got.score.between(0, 1).all()
 
 
+def plain_language(model, text):
+    """The language of a text and its score by plain sums, one document and one pair of languages at a time."""
+    m = np.load(io.BytesIO(model))
+    low = bytes(c + 32 if 65 <= c < 91 else c for c in text.encode())
+    line = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in low)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x01000193 ^ c) % 2**32
+        return ((h ^ h >> 15) * 0x85EBCA6B % 2**32) >> 16
+
+    kinds = [[bucket(line[i : i + n]) + base for i in range(len(line) - n + 1)] for n, base in ((3, 0), (4, 1 << 16))]
+    kinds.append([plain_hash(w) % (1 << 16) + (2 << 16) for w in plain_words(text)])
+    score = [float(b) + sum(float(np.mean([w[k] for k in keys])) for keys in kinds if keys) for w, b in zip(m["weights"], m["bias"], strict=True)]
+    p = [1 / (1 + math.exp(-2 * s)) for s in score]
+    family = {g: x for kind, g, x in zip(m["kinds"], m["a"], p, strict=True) if kind == "family"}
+    best = max(family, key=family.get)
+    members = [n for n, g in zip(m["names"], m["of"], strict=True) if m["groups"][g] == best]
+    won, sure = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0)
+    for kind, a, b, x in zip(m["kinds"], m["a"], m["b"], p, strict=True):
+        if kind == "pair" and a in won:
+            won[a if x > 0.5 else b] += 1
+            sure[a] += x
+            sure[b] += 1 - x
+    choice = max(members, key=lambda n: (won[n], sure[n]))
+    return choice, family[best] / sum(family.values()) * (sure[choice] / (len(members) - 1) if len(members) > 1 else 1)
+
+
+def test_language_votes_equal_plain_ones():
+    texts = {"en": "the cat and the dog sat on this mat", "de": "der hund und die katze auf dem tisch", "nl": "de hond en het kind op een stoel", "fr": "le chat et le chien sur la table", "es": "el gato y el perro en la mesa", "pl": "kot i pies na stole"}
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(t.split())), k) for i, (k, t) in enumerate(list(texts.items()) * 8)]
+    model = language.fit(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": [r[2] for r in rows]}))
+    tried = [*texts.values(), "Der CHAT y the dog 12", "zzz", "é", "la de en", "hund chien perro pies"]
+    lang, score = language._predict(dict(np.load(io.BytesIO(model))), pa.array(tried))
+    want = [plain_language(model, t) for t in tried]
+    assert lang.tolist() == [w[0] for w in want] and np.allclose(score, [w[1] for w in want], atol=1e-9)
+    assert lang[:6].tolist() == list(texts)
+
+
 def test_language_edges(edges, empty, make):
     got = language.identify(edges).toPandas()
     assert len(got) == len(EDGES) + 1 and (got.lang_pred == "und").all()
