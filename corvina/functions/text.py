@@ -27,8 +27,6 @@ SPACE = r"[\s   -     　﻿]"
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: Latin letters with marks below U+0250 and the letters that they decompose to.
 _MARKED = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1]
-#: ASCII letters and digits with all lower-case letters that they are without their marks.
-WRITTEN = [(c, c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [(b, a) for a, b in _MARKED if b.isascii() and a == a.lower()]
 TOKEN = r"[\p{L}\p{N}]+"
 MARKED, PLAIN = "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)
 

@@ -68,15 +68,26 @@ def content_hashes(rows: DataFrame, doc: str, order: str, content: str) -> DataF
 
 
 def fingerprint(rows: DataFrame, fields: list[str], order: str, width: int = 1000) -> DataFrame:
-    """One SHA-256 over all rows in order: rows are hashed, then runs of width row hashes, then the runs.
+    """One SHA-256 over all rows in order (a whole number): rows are hashed, then runs of width numbers, then runs of runs.
 
-    The tree keeps any one group to width hashes and the last to one for each run, instead of the whole corpus.
+    Runs are folded until fewer than width numbers are left, so no group holds more than width runs, or the rows that
+    share a number. A row without a number takes the place of its hash; n_rows counts all.
     """
     row = F.sha2(F.concat_ws("\n", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).cast("binary"), 256)
-    leaves = rows.select(F.col(order).alias("o"), row.alias("h")).withColumn("run", F.floor(F.col("o") / width))
-    joined = lambda o: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, "h"))), lambda x: x["h"]), "")
-    runs = leaves.groupBy("run").agg(F.sha2(joined("o").cast("binary"), 256).alias("h"), F.count("*").alias("n"))
-    return runs.agg(F.sha2(joined("run").cast("binary"), 256).alias("fingerprint"), F.sum("n").alias("n_rows"))
+    level = rows.select(F.col(order).cast("long").alias("o"), row.alias("h"), F.lit(1).cast("long").alias("n"))
+    level = level.withColumn("o", F.coalesce("o", F.pmod(F.xxhash64("h"), F.lit(1 << 40))))
+    number = F.col(order).cast("long")
+    least, most, without = (x or 0 for x in rows.agg(F.min(number), F.max(number), F.count_if(number.isNull())).first())
+    if without:
+        least, most = min(least, 0), max(most, (1 << 40) - 1)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "")
+    agg = [F.sha2(joined.cast("binary"), 256).alias("h"), F.sum("n").alias("n")]
+    while True:
+        run = F.expr(f"o div {width} - if(o % {width} < 0, 1, 0)").alias("run")
+        level = level.groupBy(run).agg(*agg).withColumnRenamed("run", "o")
+        least, most = least // width, most // width
+        if most - least < width:
+            return level.agg(agg[0].alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
 def page_policy(category: Column, confidence: Column, non_content: Column, action: Column, weight: Column) -> Column:

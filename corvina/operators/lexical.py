@@ -1,8 +1,10 @@
-"""Full-text search: postings, document statistics and weighted BM25 over batches of prefix queries."""
+"""Full-text search: an index of postings and document lengths, and weighted BM25 over batches of prefix queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import text as X
@@ -10,6 +12,15 @@ from corvina.functions import text as X
 K1, B = 1.2, 0.75
 #: Idf of a term that half of the rows or more hold.
 IDF_FLOOR = 1e-6
+#: The head of terms that no query token can begin: these are ASCII letters and digits, two at least.
+OTHER = "_"
+
+
+class Index(NamedTuple):
+    """postings: (head, term, id, wtf, dl), head being the term's first two characters; totals: one row (n_rows, avgdl)."""
+
+    postings: DataFrame
+    totals: DataFrame
 
 
 def _tokens(rows: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
@@ -20,10 +31,17 @@ def _tokens(rows: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
     return counted.select("id", "dl", F.inline("f")).select("id", "dl", "w", F.explode("t").alias("raw"))
 
 
+def head_of(term: Column) -> Column:
+    head = F.substring(term, 1, 2)
+    return F.when(head.rlike("^[a-z0-9]{2}$"), head).otherwise(OTHER)
+
+
 def postings(rows: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
-    """id, term and wtf (weighted frequency). Counted before any shuffle leaves a task; marks are taken off what is left."""
-    counted = _tokens(rows, id_, weights).groupBy("id", "raw").agg(F.sum("w").alias("wtf"))
-    return counted.select("id", X.unmarked(F.col("raw")).alias("term"), "wtf").groupBy("id", "term").agg(F.sum("wtf").alias("wtf"))
+    """head, term, id, wtf (weighted frequency) and dl (tokens of the row). Counted in each task before any shuffle."""
+    counted = _tokens(rows, id_, weights).groupBy("id", "dl", "raw").agg(F.sum("w").alias("wtf"))
+    plain = F.when(F.col("raw").rlike(r"[^\x00-\x7F]"), X.unmarked(F.col("raw"))).otherwise(F.col("raw"))
+    merged = counted.select("id", "dl", plain.alias("term"), "wtf").groupBy("id", "dl", "term").agg(F.sum("wtf").alias("wtf"))
+    return merged.select(head_of(F.col("term")).alias("head"), "term", "id", "wtf", "dl")
 
 
 def lengths(rows: DataFrame, id_: str, fields: list[str]) -> DataFrame:
@@ -32,32 +50,34 @@ def lengths(rows: DataFrame, id_: str, fields: list[str]) -> DataFrame:
     return rows.select(F.col(id_).alias("id"), sum(sizes[1:], sizes[0]).cast("long").alias("dl"))
 
 
-def _heads(wanted: DataFrame) -> DataFrame:
-    """head and raw_head: the heads asked for, with every way to write their two characters with marks."""
-    written = wanted.sparkSession.createDataFrame(X.WRITTEN, "plain string, raw string")
-    first, second = (written.select(F.col("plain").alias(f"p{i}"), F.col("raw").alias(f"r{i}")) for i in (1, 2))
-    heads = wanted.select("head", F.substring("head", 1, 1).alias("p1"), F.substring("head", 2, 1).alias("p2")).distinct()
-    return heads.join(F.broadcast(first), "p1").join(F.broadcast(second), "p2").select("head", F.concat("r1", "r2").alias("raw_head"))
+def indexed(rows: DataFrame, id_: str, weights: dict[str, float]) -> Index:
+    """The index of rows, not written anywhere: for few rows, or to be written by writers.write_index."""
+    total = lengths(rows, id_, list(weights)).agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
+    return Index(postings(rows, id_, weights), total)
 
 
 def search(rows: DataFrame, queries: DataFrame, id_: str, weights: dict[str, float], limit: int = 10, mode: str = "fallback", keep: DataFrame | None = None, order: tuple = ("id",)) -> DataFrame:
+    """search_index() over rows that have no written index."""
+    return search_index(indexed(rows, id_, weights), queries, limit, mode, keep, order)
+
+
+def search_index(index: Index, queries: DataFrame, limit: int = 10, mode: str = "fallback", keep: DataFrame | None = None, order: tuple = ("id",)) -> DataFrame:
     """query_id, id, bm25, n_matched and lexical_rank for queries (query_id, query).
 
     Every token matches as a prefix. mode: and | or | fallback (all tokens, or any where no row has all). Lower scores are
     better; ties go by order, columns of keep or id. keep (id, ...): the rows that may be found; word statistics cover all
-    rows, but the fallback is decided on these. Tokens of rows are kept only if some query token begins with their first two characters: a
-    broadcast of at most 36 * 36 heads and their spellings with marks, as query tokens are ASCII letters and digits.
+    rows, but the fallback is decided on these. Only postings under the first two characters of some query token are read:
+    there are 36 * 36 such heads at most, whatever the number of queries, and a written index has a folder for each.
     """
     asked = queries.select("query_id", X.query_tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
     asked = asked.select("query_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
     wanted = asked.select("token").distinct().withColumn("head", F.substring("token", 1, 2))
-    near = _tokens(rows, id_, weights).withColumn("raw_head", F.substring("raw", 1, 2)).join(F.broadcast(_heads(wanted)), "raw_head")
-    counted = near.groupBy("id", "dl", "head", "raw").agg(F.sum("w").alias("wtf")).withColumn("term", X.unmarked(F.col("raw")))
-    hits = counted.join(wanted, "head").filter(F.startswith("term", "token")).groupBy("token", "id", "dl").agg(F.sum("wtf").alias("tf"))
-    total = lengths(rows, id_, list(weights)).agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
+    heads = [r[0] for r in wanted.select("head").distinct().collect()]
+    near = index.postings.filter(F.col("head").isin(heads))
+    hits = near.join(wanted, "head").filter(F.startswith("term", "token")).groupBy("token", "id", "dl").agg(F.sum("wtf").alias("tf"))
     df = hits.groupBy("token").agg(F.count("*").alias("n"))
     raw = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = df.join(F.broadcast(total)).select("token", "avgdl", F.when(raw > 0, raw).otherwise(IDF_FLOOR).alias("idf"))  # one row of totals
+    idf = df.join(F.broadcast(index.totals)).select("token", "avgdl", F.when(raw > 0, raw).otherwise(IDF_FLOOR).alias("idf"))  # one row of totals
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(idf, "token").select("token", "id", part.alias("part"))
     found = asked.join(scored, "token").groupBy("query_id", "n_tokens", "id").agg((-F.sum("part")).alias("bm25"), F.count("*").alias("n_matched"))
@@ -88,9 +108,11 @@ def keyword_scores(rows: DataFrame, queries: DataFrame, id_: str, name: str, tex
     asked = asked.groupBy("query_id", "token").agg(F.count("*").alias("times"))
     counts = token_frequency(rows, id_, text)
     in_text = asked.join(counts, "token").select("query_id", "id", (F.col("times") * 2 * F.col("tf")).alias("points"))
+    # a name that holds a token holds its first two characters, so distinct names meet tokens by pairs of characters
     names = rows.select(F.col(id_).alias("id"), F.lower(F.col(name)).alias("name"))
-    # each distinct name meets the tokens of the stated queries once
-    held = names.select("name").distinct().join(asked, F.contains(F.col("name"), F.col("token")))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, F.lit(2))))
+    distinct = names.select("name").distinct().filter(F.length("name") >= 2).select("name", F.explode(pairs).alias("head"))
+    held = distinct.join(asked.withColumn("head", F.substring("token", 1, 2)), "head").filter(F.contains(F.col("name"), F.col("token"))).drop("head")
     in_name = names.join(held, "name").select("query_id", "id", (F.col("times") * 5).alias("points"))
     scored = in_text.unionByName(in_name).groupBy("query_id", "id").agg(F.sum("points").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block; every row of the vectors meets each block once.
-BLOCK = 1024
+#: Bytes of query vectors of a block; every row of the vectors meets each block once.
+BLOCK_BYTES = 8 << 20
 
 
 def as_double(v: Column) -> Column:
@@ -34,17 +34,30 @@ def l2(q: Column, q_norm: Column, x: Column, x_norm: Column) -> Column:
     return q_norm.cast("double") + x_norm.cast("double") - 2 * dot(q, x)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, n_queries: int, id_: str = "vec_id", vector: str = "embedding", limit: int = 10) -> DataFrame:
+def usable(v: Column) -> Column:
+    """Whether a vector takes part: not null or empty, and all components finite."""
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+
+
+def knn(vectors: DataFrame, queries: DataFrame, id_: str = "vec_id", vector: str = "embedding", limit: int = 10) -> DataFrame:
     """query_id, id, distance and vector_rank of the limit nearest rows; ties go by id.
 
-    queries: (query_id, query_vector), n_queries of them at most as they are counted by the caller. Query blocks are
-    broadcast one by one's worth of rows: the block number is an equi-join key, so more queries mean more blocks and not
-    a larger broadcast of pairs. Rows of another dimension are an error.
+    queries: (query_id, query_vector). They are counted: up to BLOCK_BYTES of them are broadcast; more are cut into blocks,
+    and rows and queries are dealt to salted pairs of blocks, so no key gathers all vectors. Vectors that are null, empty
+    or hold null or non-finite components take no part on either side. Rows of another dimension are an error.
     """
-    blocks = max(1, math.ceil(n_queries / BLOCK))
-    q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", as_double(F.col("query_vector")).alias("q"), squared_norm(F.col("query_vector")).alias("qn"))
-    x = with_norm(vectors, vector).select(F.col(id_).alias("id"), as_double(F.col(vector)).alias("x"), "sq_norm", F.explode(F.sequence(F.expr("0L"), F.expr(f"{blocks - 1}L"))).alias("block"))
+    q = queries.filter(usable(F.col("query_vector"))).select("query_id", as_double(F.col("query_vector")).alias("q"), squared_norm(F.col("query_vector")).alias("qn"))
+    x = with_norm(vectors.filter(usable(F.col(vector))), vector).select(F.col(id_).alias("id"), as_double(F.col(vector)).alias("x"), "sq_norm")
+    size = q.agg(F.sum(8 * F.size("q") + 16)).first()[0] or 0
+    blocks = math.ceil(size / BLOCK_BYTES)
     same = F.when(F.size("q") == F.size("x"), l2(F.col("q"), F.col("qn"), F.col("x"), F.col("sq_norm"))).otherwise(F.raise_error(F.lit("dimension mismatch")))
-    pairs = x.join(q, "block").select("query_id", "id", same.alias("distance"))
+    if blocks <= 1:
+        pairs = x.join(F.broadcast(q))
+    else:
+        salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        pairs = x.withColumn("salt", dealt("id", salts)).withColumn("block", each(blocks)).join(q.withColumn("block", dealt("query_id", blocks)).withColumn("salt", each(salts)), ["block", "salt"])
+    pairs = pairs.select("query_id", "id", same.alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 10), "id"))
     return pairs.withColumn("vector_rank", rank).filter(F.col("vector_rank") <= limit).select("query_id", "id", "distance", "vector_rank")

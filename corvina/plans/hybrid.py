@@ -15,22 +15,23 @@ def limits(final: int, candidates: int) -> tuple[int, int]:
     return final, max(final, candidates, MIN_CANDIDATES)
 
 
-def search(queries: DataFrame, rows: DataFrame, id_: str, weights: dict[str, float], vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, final: int = 10, candidates: int = 15, expand: bool = True) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame | lexical.Index, id_: str = "", weights: dict[str, float] | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, final: int = 10, candidates: int = 15, expand: bool = True) -> DataFrame:
     """query_id, identity, retrieval_channels, rrf_score, best_rank, retrieval_rank and vector_distance.
 
-    queries: (query_id, query, corpus). vectors: (id, embedding) of the rows, query_vectors: (query_id, batch,
+    queries: (query_id, query, corpus). rows: a written index, or rows with the id and the weighted fields. vectors: (id, embedding) of the rows, query_vectors: (query_id, batch,
     query_vector); without them the vector channel is empty, which is no error.
     """
     final, candidates = limits(final, candidates)
     variants = rewrite.expand(queries, expand)
     asked = variants.select(F.struct("query_id", "batch").alias("query_id"), F.col("variant").alias("query"))
-    found = lexical.search(rows, asked, id_, weights, candidates)
+    index = rows if isinstance(rows, lexical.Index) else lexical.indexed(rows, id_, weights)
+    found = lexical.search_index(index, asked, candidates)
     lex = fusion.fuse_batches(found.select("query_id.query_id", "query_id.batch", F.col("lexical_rank").alias("rank"), F.col("id").alias("identity")), candidates)
     both = lex.select("query_id", F.lit("lexical").alias("channel"), "rank", "identity")
     distance = None
     if vectors is not None and query_vectors is not None:
         named = query_vectors.select(F.struct("query_id", "batch").alias("query_id"), "query_vector")
-        near = vector.knn(vectors, named, query_vectors.count(), "id", "embedding", candidates)
+        near = vector.knn(vectors, named, "id", "embedding", candidates)
         near = near.select("query_id.query_id", "query_id.batch", F.col("vector_rank").alias("rank"), F.col("id").alias("identity"), "distance")
         vec = fusion.fuse_batches(near, candidates)
         both = both.unionByName(vec.select("query_id", F.lit("vector").alias("channel"), "rank", "identity"))

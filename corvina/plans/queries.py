@@ -8,29 +8,11 @@ from pyspark.sql import functions as F
 from corvina.functions import text as X
 from corvina.operators import confidence, corpus, evaluation, fusion, lexical, memory, ontology, rewrite, routing, vector
 from corvina.plans import hybrid, sql
+from corvina.plans.registry import ORACLE_SQL, QUERIES, WEIGHTS, documents_index, query, table
 from corvina.streaming import events as stream
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 #: The stated queries of the full-text searches.
 ASKED = [(1, "und der"), (2, "les que ment"), (3, "thing hand"), (4, "zzzz und"), (5, "Ción ado"), (6, "aucun résultat zzzz"), (7, "heit"), (8, "the the of")]
-WEIGHTS = {"doc_id": 8.0, "source": 4.0, "text": 1.0}
 DOC_ROWS = "SELECT doc_id AS id, doc_id, source, text FROM documents"
 
 
@@ -57,7 +39,7 @@ def token_frequency(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, mode):
-    found = lexical.search(table(spark, sf_dir, "documents"), asked(spark), "doc_id", WEIGHTS, 10, mode)
+    found = lexical.search_index(documents_index(spark, sf_dir), asked(spark), 10, mode)
     return found.select("query_id", "id", F.round("bm25", 6).alias("bm25"), "n_matched", "lexical_rank")
 
 
@@ -80,9 +62,11 @@ def bm25_fallback(spark, sf_dir):
     return _bm25(spark, sf_dir, "fallback")
 
 
-@query(f"SELECT query_id, array_to_string(list_transform(t, lambda x: x || '*'), ' AND ') AS all_of, array_to_string(list_transform(t, lambda x: x || '*'), ' OR ') AS any_of FROM (SELECT query_id, {sql.tokens('query')} AS t FROM {ASKED_SQL} WHERE query_id <> 8)")
+@query(f"""
+SELECT query_id, array_to_string(list_transform(t, lambda x: x || '*'), ' AND ') AS all_of, array_to_string(list_transform(t, lambda x: x || '*'), ' OR ') AS any_of
+FROM (SELECT query_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM (SELECT query_id, {sql.tokens('query')} AS t FROM {ASKED_SQL}))""")
 def match_queries(spark, sf_dir):
-    q = asked(spark).filter("query_id <> 8").withColumn("t", X.query_tokens(F.col("query")))
+    q = asked(spark).withColumn("t", X.query_tokens(F.col("query")))
     return q.select("query_id", X.match_query(F.col("t")).alias("all_of"), X.match_query(F.col("t"), "OR").alias("any_of"))
 
 
@@ -102,23 +86,28 @@ def baseline_keyword_score(spark, sf_dir):
 VECTOR_ROWS = "SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings"
 
 
-def _query_vectors(vectors: DataFrame) -> DataFrame:
-    """The vectors of label 3 ask, as the stated queries."""
-    return vectors.filter("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+QUERY_ROWS = "SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id % 20 = 0"
 
 
-@query(f"WITH {sql.knn('SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 0', VECTOR_ROWS, 10)} SELECT query_id, id, round(distance, 6) + 0.0 AS distance, CAST(vector_rank AS INT) AS vector_rank FROM knn_found")
-def knn_l2(spark, sf_dir):
+def _knn_sql(limit: int) -> str:
+    return f"WITH {sql.knn(QUERY_ROWS, VECTOR_ROWS, limit)} SELECT query_id, id, round(distance, 6) + 0.0 AS distance, CAST(vector_rank AS INT) AS vector_rank FROM knn_found"
+
+
+def _knn(spark, sf_dir, limit):
+    """Every row whose id is divisible by 20 asks."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return vector.knn(v, q, 1).withColumn("distance", F.round("distance", 6) + 0.0)
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vector.knn(v, q, limit=limit).withColumn("distance", F.round("distance", 6) + 0.0)
 
 
-@query(f"WITH {sql.knn('SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE label = 3', VECTOR_ROWS, 5)} SELECT query_id, id, round(distance, 6) + 0.0 AS distance, CAST(vector_rank AS INT) AS vector_rank FROM knn_found")
+@query(_knn_sql(10))
+def knn_l2(spark, sf_dir):
+    return _knn(spark, sf_dir, 10)
+
+
+@query(_knn_sql(5))
 def knn_l2_multi_query(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    q = _query_vectors(v)
-    return vector.knn(v, q, q.count(), limit=5).withColumn("distance", F.round("distance", 6) + 0.0)
+    return _knn(spark, sf_dir, 5)
 
 
 @query("SELECT vec_id, round(CAST(CAST(list_inner_product(x, x) AS FLOAT) AS DOUBLE), 5) AS sq_norm, len(x) AS dims FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)")
@@ -136,7 +125,7 @@ KEYED_SQL = f"SELECT query_id * 10 + batch AS query_id, query FROM {BATCHES_SQL}
 
 def _batches(spark, sf_dir):
     b = spark.createDataFrame(BATCHES, "query_id int, batch int, query string")
-    found = lexical.search(table(spark, sf_dir, "documents"), b.select(F.struct("query_id", "batch").alias("query_id"), "query"), "doc_id", WEIGHTS, 15)
+    found = lexical.search_index(documents_index(spark, sf_dir), b.select(F.struct("query_id", "batch").alias("query_id"), "query"), 15)
     return found.select("query_id.query_id", "query_id.batch", F.col("lexical_rank").alias("rank"), F.col("id").alias("identity"))
 
 
@@ -165,7 +154,7 @@ def _hybrid(spark, sf_dir):
     q = spark.createDataFrame(HYBRID, "query_id int, query string, corpus string")
     v = table(spark, sf_dir, "embeddings")
     named = v.filter(F.col("vec_id").between(1, 4)).select(F.col("vec_id").cast("int").alias("query_id"), F.lit(0).alias("batch"), F.col("embedding").alias("query_vector"))
-    return q, hybrid.search(q, table(spark, sf_dir, "documents"), "doc_id", WEIGHTS, v.select(F.col("vec_id").alias("id"), "embedding"), named)
+    return q, hybrid.search(q, documents_index(spark, sf_dir), vectors=v.select(F.col("vec_id").alias("id"), "embedding"), query_vectors=named)
 
 
 @query(_HYBRID_SQL + " SELECT CAST(query_id AS INT) AS query_id, identity, rrf_score, CAST(best_rank AS INT) AS best_rank, channels, CAST(retrieval_rank AS INT) AS retrieval_rank, round(vector_distance, 6) + 0.0 AS vector_distance FROM hybrid")
@@ -189,7 +178,7 @@ def confidence_levels(spark, sf_dir):
 
 @query(f"WITH {sql.bm25(ASKED_SQL, DOC_ROWS, WEIGHTS, 10)}, h AS (SELECT query_id AS case_id, max(CASE WHEN lexical_rank <= 5 AND quality = 1 THEN 1 ELSE 0 END) AS hit_5, max(CASE WHEN lexical_rank <= 10 AND quality = 1 THEN 1 ELSE 0 END) AS hit_10 FROM bm25_found LEFT JOIN labels ON doc_id = id GROUP BY query_id), u AS (SELECT 5 AS k, hit_5 AS hit FROM h UNION ALL SELECT 10, hit_10 FROM h) SELECT k, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS total, round(avg(hit), 3) AS ratio FROM u GROUP BY k")
 def hit_at_k(spark, sf_dir):
-    found = lexical.search(table(spark, sf_dir, "documents"), asked(spark), "doc_id", WEIGHTS, 10)
+    found = lexical.search_index(documents_index(spark, sf_dir), asked(spark), 10)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     ranked = found.join(labels, "id", "left").select(F.col("query_id").alias("case_id"), F.col("lexical_rank").alias("rank"), "quality")
     return evaluation.summary(evaluation.hits(ranked, (5, 10), F.coalesce(F.col("quality") == 1, F.lit(False))), (5, 10))

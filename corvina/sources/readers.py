@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvina.functions.text import js_trim
+from corvina.operators import lexical
+from corvina.sources import shared
 
 TECH_COLUMNS = ("doc", "doc_root", "json_data", "chunk", "length", "chunk_id", "ata", "parts", "doc_type")
 EVENT_COLUMNS = ("doc", "chunk_id", "chunk")
@@ -106,7 +108,7 @@ def read_json_objects(spark: SparkSession, path: str, ata: DataFrame | None = No
     rows = rows.select("doc", F.regexp_replace("doc", r"\.json$", "").alias("nc_event_id"), "payload", F.nullif(F.regexp_extract("doc", r"^ATA-(\d{2})", 1), F.lit("")).alias("ATA_code"))
     if ata is None:
         return rows
-    return rows.join(F.broadcast(ata), "ATA_code", "left").withColumn("ATA_category", F.coalesce("ATA_category", F.lit("Unknown")))
+    return rows.join(shared.broadcast_if_small(ata, 64), "ATA_code", "left").withColumn("ATA_category", F.coalesce("ATA_category", F.lit("Unknown")))
 
 
 def is_safe_name(name):
@@ -149,3 +151,22 @@ def parse_labels(rows: DataFrame, value: str, allowed: list[str]) -> DataFrame:
 def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
     """custom_id, body (JSON text) and error of a JSONL of batch results."""
     return spark.read.schema("custom_id string, response string, error string").json(path)
+
+
+def file_fingerprint(spark: SparkSession, path: str) -> str:
+    """SHA-256 over path, size and time of change of every file below path; no content is read.
+
+    Files are dealt to groups of about a thousand by a hash of their line, so no group grows with the listing.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    line = files.select(F.concat_ws(":", "path", F.col("length").cast("string"), F.unix_millis("modificationTime").cast("string")).alias("line"))
+    hashed = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n").cast("binary"), 256)
+    groups = max(1, line.count() // 1000)
+    runs = line.groupBy(F.pmod(F.xxhash64("line"), F.lit(groups)).alias("g")).agg(hashed("line").alias("h"))
+    return runs.agg(hashed("h")).first()[0]
+
+
+def read_index(spark: SparkSession, path: str) -> lexical.Index:
+    """What writers.write_index wrote below path."""
+    kept = spark.read.parquet(f"{path}/postings").withColumn("head", F.col("head").cast("string"))
+    return lexical.Index(kept, spark.read.parquet(f"{path}/totals"))

@@ -9,19 +9,36 @@ from pyspark.sql import functions as F
 
 from corvina.functions.text import tsv_field
 from corvina.operators import lexical, vector
+from corvina.sources import readers, shared
+
+#: Suffix of a table that is being replaced.
+ASIDE = ".old"
 
 
 def replace_table(df: DataFrame, path: str, **options) -> None:
-    """Write beside path, then rename over it: readers see the old table or the new one, whole."""
-    spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    """Write beside path, put the old table aside, move the new one in, and delete the old: at no time is either lost.
+
+    After a crash between the two moves, recover() brings the old table back.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(staging)
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    recover(spark, path)
+    aside = path + ASIDE
+    old = shared.rename(spark, path, aside)
+    if not shared.rename(spark, staging, path):
+        if old:
+            shared.rename(spark, aside, path)
         raise OSError(f"cannot replace {path}")
+    if old:
+        shared.delete(spark, aside)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash of replace_table(): the old table comes back if no new one took its place, else it goes."""
+    aside = path.rstrip("/") + ASIDE
+    if shared.exists(spark, aside) and (shared.exists(spark, path) or not shared.rename(spark, aside, path)):
+        shared.delete(spark, aside)
 
 
 def write_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -30,10 +47,38 @@ def write_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def write_index(rows: DataFrame, path: str, id_: str, weights: dict[str, float]) -> None:
-    """Postings sorted by term, so that files prune by term, and document lengths."""
-    lexical.postings(rows, id_, weights).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    lexical.lengths(rows, id_, list(weights)).write.mode("overwrite").parquet(f"{path}/lengths")
+def write_index(rows: DataFrame, path: str, id_: str, weights: dict[str, float], source: str | None = None) -> None:
+    """Postings sorted by term in a folder for each head of two characters, the totals, and last what they were made of."""
+    index = lexical.indexed(rows, id_, weights)
+    index.postings.repartitionByRange("term").sortWithinPartitions("head", "term").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+    index.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    write_meta(rows.sparkSession, path, {"source": source or "", "fields": ",".join(f"{f}:{w}" for f, w in weights.items())})
+
+
+def write_meta(spark: SparkSession, path: str, values: dict[str, str]) -> None:
+    """Upsert key and value pairs into the small table meta below path."""
+    merged = read_meta(spark, path) | values
+    replace_table(spark.createDataFrame(sorted(merged.items()), "key string, value string").coalesce(1), f"{path}/meta")
+
+
+def read_meta(spark: SparkSession, path: str) -> dict[str, str]:
+    """The pairs of the table meta below path; none if it is missing."""
+    recover(spark, f"{path}/meta")
+    return dict(map(tuple, spark.read.parquet(f"{path}/meta").collect())) if shared.exists(spark, f"{path}/meta") else {}
+
+
+def ensure_index(rows: DataFrame | None, path: str, id_: str, weights: dict[str, float], source: str, spark: SparkSession | None = None) -> lexical.Index | None:
+    """The index at path, built anew from rows where it is missing or was made of another source or fields.
+
+    source: a fingerprint of what rows come from, such as readers.file_fingerprint. Without rows a stale index is no index.
+    """
+    spark = spark or rows.sparkSession
+    fresh = read_meta(spark, path) == {"source": source, "fields": ",".join(f"{f}:{w}" for f, w in weights.items())}
+    if not fresh and rows is None:
+        return None
+    if not fresh:
+        write_index(rows, path, id_, weights, source)
+    return readers.read_index(spark, path)
 
 
 def write_vectors(rows: DataFrame, path: str, vector_column: str = "embedding") -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -80,22 +81,37 @@ def session_stream(stream: DataFrame, turns: int = SESSION_TURNS) -> DataFrame:
     return stream.groupBy("session_id").applyInPandasWithState(step, out, "turn array<long>, role array<string>, text array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(path: str, key: str, order: str):
-    """A foreachBatch function: each batch's latest row of a key replaces the table's, whole and idempotent by batch id."""
+def upsert_sink(path: str, key: str, order: str, buckets: int = 64):
+    """A foreachBatch function: each batch's latest row of a key replaces the table's.
+
+    The table lies in buckets by a hash of the key, and a batch rewrites only those of its keys. A batch that was written
+    once, by its id, is not written again.
+    """
     from corvina.operators.memory import upsert
-    from corvina.sources.writers import replace_table
+    from corvina.sources import shared
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("first_seen", F.col(order))
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            new = spark.read.parquet(path).unionByName(new)
-        replace_table(upsert(new, key, [order], "first_seen"), path)
+        mark, table = f"{path}/batches/{batch_id}", f"{path}/rows"
+        if shared.exists(spark, mark):
+            return
+        new = shared.materialise(batch.withColumn("first_seen", F.col(order)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]
+        if touched:
+            old = [spark.read.parquet(table).filter(F.col("bucket").isin(touched)).select(new.columns)] if shared.exists(spark, table) else []
+            merged = shared.materialise(upsert(reduce(DataFrame.unionByName, old, new), key, [order], "first_seen"), "merged")
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        target, fs = shared.file_system(spark, mark)
+        fs.mkdirs(target)
 
     return write
 
 
+def read_upserted(spark, path: str) -> DataFrame:
+    """The table of upsert_sink()."""
+    return spark.read.parquet(f"{path}/rows").drop("bucket")
+
+
 def event_windows(events: DataFrame, size: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
     """Counts and sums by event type in tumbling or sliding windows; batch or stream, late rows dropped past the watermark."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events

@@ -62,11 +62,58 @@ def test_fallback_and_empty_queries(spark):
 def test_knn(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.8, 0.2])], "id long, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vector array<float>")
-    got = [(r.id, r.vector_rank, round(r.distance, 6)) for r in vector.knn(v, q, 1, "id", limit=2).orderBy("vector_rank").collect()]
+    got = [(r.id, r.vector_rank, round(r.distance, 6)) for r in vector.knn(v, q, "id", limit=2).orderBy("vector_rank").collect()]
     assert got == [(1, 1, 0.0), (3, 2, 0.08)]
     wrong = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, query_vector array<float>")
     with pytest.raises(Exception, match="dimension mismatch"):
-        vector.knn(v, wrong, 1, "id").collect()
+        vector.knn(v, wrong, "id").collect()
+
+
+def test_knn_edges_and_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, []), (6, [0.0, 1.0]), (7, [1.0, 0.0])], "id long, embedding array<float>")
+    q = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    want = {(a, b): 0.0 if {a, b} <= {1, 7} or a == b else 2.0 for a in (1, 6, 7) for b in (1, 6, 7)}
+    assert {(r.query_id, r.id): r.distance for r in vector.knn(v, q, "id").collect()} == want
+    assert vector.knn(v.limit(0), q, "id").count() == vector.knn(v, q.limit(0), "id").count() == 0
+    monkeypatch.setattr(vector, "BLOCK_BYTES", 32)
+    blocked = vector.knn(v, q, "id")
+    assert {(r.query_id, r.id): r.distance for r in blocked.collect()} == want
+    assert "salt" in blocked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keyword_scores_meet_names_by_pairs(spark):
+    names = ["Fuel_tank.md", "x", "", None, "tan ktank", "été-fuel.pdf"]
+    rows = spark.createDataFrame([(i, n, "fuel fuel tank") for i, n in enumerate(names)], "id int, name string, text string")
+    q = spark.createDataFrame([(1, "fuel tank tank"), (2, "tan"), (3, "")], "query_id int, query string")
+    found = lexical.keyword_scores(rows, q, "id", "name", "text")
+    text = {1: 2 * 2 + 2 * 2, 2: 0}
+    want = {(k, i): s for k, tokens in ((1, ["fuel", "tank", "tank"]), (2, ["tan"])) for i, n in enumerate(names) if (s := text[k] + 5 * sum(t in (n or "").lower() for t in tokens))}
+    assert {(r.query_id, r.id): r.score for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_is_read_and_rebuilt(spark, tmp_path):
+    from corvina.sources import readers, writers
+
+    df = spark.createDataFrame(GOLDEN, "id long, doc string, chunk_id string, content string")
+    source, path = str(tmp_path / "source"), str(tmp_path / "index")
+    df.write.parquet(source)
+    mark = readers.file_fingerprint(spark, source)
+    assert writers.ensure_index(None, path, "id", WEIGHTS, mark, spark) is None
+    index = writers.ensure_index(spark.read.parquet(source), path, "id", WEIGHTS, mark)
+    q = spark.createDataFrame([(1, "fuel frame")], "query_id int, query string")
+    found = lexical.search_index(index, q, mode="or")
+    assert {r.id: r.bm25 for r in found.collect()} == pytest.approx({1: -0.6729444732424259, 2: -0.5921911364533348, 3: -0.3218430089420298}, abs=1e-12)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all(content" not in plan and "PartitionFilters: [head" in plan
+    before = (tmp_path / "index" / "postings").stat().st_mtime_ns
+    assert writers.ensure_index(None, path, "id", WEIGHTS, mark, spark) is not None
+    assert (tmp_path / "index" / "postings").stat().st_mtime_ns == before
+    spark.createDataFrame([(9, "z.md", "z", "fuel")], df.schema).write.mode("append").parquet(source)
+    other = readers.file_fingerprint(spark, source)
+    assert other != mark and writers.ensure_index(None, path, "id", WEIGHTS, other, spark) is None
+    index = writers.ensure_index(spark.read.parquet(source), path, "id", WEIGHTS, other)
+    assert {r.id for r in lexical.search_index(index, q, mode="or").collect()} == {1, 2, 3, 9}
 
 
 def test_hybrid_fusion(spark):

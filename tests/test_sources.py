@@ -171,10 +171,60 @@ def test_window_stream(spark, tmp_path):
 
 
 def test_upsert_sink(spark, tmp_path):
-    write = events.upsert_sink(str(tmp_path / "t"), "k", "at")
-    write(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, at int, v string"), 0)
-    write(spark.createDataFrame([("a", 2, "z")], "k string, at int, v string"), 1)
-    assert {(r.k, r.at, r.v, r.first_seen) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", 2, "z", 1), ("b", 1, "y", 1)}
+    path = str(tmp_path / "t")
+    write = events.upsert_sink(path, "k", "at", buckets=4)
+    first = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, at int, v string")
+    write(first, 0)
+    bucket = {r.k: r.bucket for r in spark.read.parquet(f"{path}/rows").collect()}
+    files = lambda k: sorted(p.name for p in (tmp_path / "t" / "rows" / f"bucket={bucket[k]}").iterdir())
+    before = files("b")
+    write(spark.createDataFrame([("a", 2, "z")], first.schema), 1)
+    write(spark.createDataFrame([("a", 9, "replayed")], first.schema), 1)
+    write(first.limit(0), 2)
+    assert {(r.k, r.at, r.v, r.first_seen) for r in events.read_upserted(spark, path).collect()} == {("a", 2, "z", 1), ("b", 1, "y", 1)}
+    assert bucket["a"] == bucket["b"] or files("b") == before
+
+
+def test_replace_table_survives_a_crash(spark, tmp_path):
+    from corvina.sources import writers
+
+    path = str(tmp_path / "t")
+    read = lambda: {r.id for r in spark.read.parquet(path).collect()}
+    writers.replace_table(spark.range(3), path)
+    writers.replace_table(spark.range(5), path)
+    assert read() == set(range(5)) and not (tmp_path / "t.old").exists()
+    (tmp_path / "t").rename(tmp_path / "t.old")  # between the two moves
+    writers.recover(spark, path)
+    assert read() == set(range(5))
+    writers.write_meta(spark, str(tmp_path), {"a": "1", "b": "2"})
+    writers.write_meta(spark, str(tmp_path), {"b": "3"})
+    assert writers.read_meta(spark, str(tmp_path)) == {"a": "1", "b": "3"} and writers.read_meta(spark, path) == {}
+
+
+def test_fingerprint_folds(spark):
+    import hashlib
+
+    from corvina.operators import corpus
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = [-7, 0, 3, 10**6, 10**6 + 1, 5 * 10**12]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, t string")
+    level = [(i, sha(f"{i}\nt{i}")) for i in ids]
+    least, most = min(ids), max(ids)
+    while True:
+        runs = {}
+        for o, h in sorted(level):
+            runs.setdefault(o // 10, []).append(h)
+        level = [(o, sha("".join(h))) for o, h in runs.items()]
+        least, most = least // 10, most // 10
+        if most - least < 10:
+            break
+    got = corpus.fingerprint(df, ["id", "t"], "id", 10).first()
+    assert (got.fingerprint, got.n_rows) == (sha("".join(h for _, h in sorted(level))), 6)
+    odd = df.unionByName(spark.createDataFrame([(None, "x"), (None, "y")], df.schema))
+    assert corpus.fingerprint(odd, ["id", "t"], "id").first().n_rows == 8
+    assert corpus.fingerprint(odd.repartition(3), ["id", "t"], "id").first() == corpus.fingerprint(odd, ["id", "t"], "id").first()
+    assert corpus.fingerprint(df.limit(0), ["id", "t"], "id").first().n_rows == 0
 
 
 def test_blocks(spark):
