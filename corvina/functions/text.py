@@ -218,6 +218,12 @@ def tsv_field(x: Column) -> Column:
     return F.when(x.rlike(r'["\t\r\n\\]'), quoted).otherwise(x)
 
 
+def markdown_row(*cells: Column) -> Column:
+    """A line of a Markdown table: bars are escaped and white space is collapsed."""
+    plain = [F.replace(compact(F.coalesce(c.cast("string"), F.lit(""))), F.lit("|"), F.lit("\\|")) for c in cells]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *plain), F.lit(" |"))
+
+
 def template(text: str | Column, values: dict[str, Column]) -> Column:
     """{{name}} replaced by each value in turn."""
     out = F.lit(text) if isinstance(text, str) else text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.functions.text import fold
+from corvina.functions.text import fold, markdown_row
 
 STRATA = ("small", "medium", "large", "multi")
 
@@ -55,3 +55,11 @@ def stratified_sample(rows: DataFrame, id_: str, order: str, limit: int, strata:
     rest = rows.join(picked.select(id_), id_, "left_anti").orderBy(order, id_).limit(limit).withColumn("_filled", F.lit(1))
     both = picked.withColumn("_filled", F.lit(0)).unionByName(rest.select(*picked.columns, "_filled"))
     return both.orderBy("_filled", order, id_).limit(max(limit, 1)).drop("_filled")
+
+
+def markdown_report(title: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """pos and line of a Markdown report: a title, and a table of rows in order of its columns. For small aggregates."""
+    spark, first = rows.sparkSession, [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + " - |" * len(columns)]
+    head = spark.createDataFrame([*enumerate(first)], "pos long, line string")
+    body = rows.withColumn("pos", F.row_number().over(Window.orderBy(*columns)) + (len(first) - 1))
+    return head.unionByName(body.select(F.col("pos").cast("long").alias("pos"), markdown_row(*map(F.col, columns)).alias("line")))

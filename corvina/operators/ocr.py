@@ -94,3 +94,23 @@ def violations(pages: DataFrame, relations: DataFrame, images: DataFrame, parts:
     lost_parts = relations.join(part_ids, "from", "left_anti").select(F.lit("missing-part").alias("kind"), F.col("from").alias("id"))
     lost_pages = pages.join(parts, "slug", "left_anti").select(F.lit("page-without-part").alias("kind"), F.col("slug").alias("id"))
     return lost_images.unionByName(lost_parts).unionByName(lost_pages).distinct()
+
+
+def read_pages(pages: DataFrame, done: DataFrame, read) -> DataFrame:
+    """Documents (doc, value) of all pages: those already read stand, read() is called on the others only."""
+    return done.select("doc", "value").unionByName(read(pages.join(done.select("doc").distinct(), "doc", "left_anti")).select("doc", "value"))
+
+
+def sidecars(documents: DataFrame, caption_rows: DataFrame) -> DataFrame:
+    """doc, json and markdown: each page with the captions in the place of its images, as it is kept beside the page.
+
+    Captions that the policy leaves out are listed in json but not shown; pages without captions stay as they are.
+    """
+    said = with_policy(caption_rows).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "policy", F.coalesce(X.blank_to_null(F.col("technical_description")), F.col("short_summary")).alias("text"), "page_category"))).alias("s"))
+    page = documents.join(said, "doc", "left")
+    shown = F.filter(F.transform(F.filter("s", lambda x: x["policy"]["action"] != "exclude"), lambda x: x["text"]), lambda t: t != "")
+    alt = corpus.with_descriptions(F.col("markdown"), F.coalesce(shown, F.array().cast("array<string>")))
+    listed = F.coalesce(F.transform("s", lambda x: F.struct(x["page_category"].alias("page_category"), x["text"].alias("text"))), F.array().cast("array<struct<page_category:string,text:string>>"))
+    page = page.withColumn("alt", alt).withColumn("listed", listed)
+    body = F.struct(F.array(F.struct(F.lit(0).alias("index"), "markdown", F.col("alt").alias("markdown_alt"))).alias("pages"), F.col("listed").alias("image_caption_analyses"))
+    return page.select("doc", F.to_json(body).alias("json"), F.concat(F.regexp_replace("alt", r"\s+$", ""), F.lit("\n")).alias("markdown"))

@@ -28,9 +28,11 @@ def candidates(records: DataFrame) -> DataFrame:
     ).withColumn("slug", X.slugify(F.col("raw"))).filter("slug <> ''")
 
 
-def parts(found: DataFrame) -> DataFrame:
+def parts(found: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """One row for each slug: seed name by row order, all aliases, numbers, codes, zones, documents and first three snippets.
 
+    names (slug, name): canonical names given by a model; a part without one goes by its seed name.
+
     Snippets are cut to three before the shuffle's end by a window rank, so a part of many rows gathers three of them.
     """
     first = F.row_number().over(Window.partitionBy("slug").orderBy("row_idx", "raw"))
@@ -39,7 +41,12 @@ def parts(found: DataFrame) -> DataFrame:
         F.min_by("raw", F.struct("row_idx", "raw")).alias("seed"), collected("raw").alias("aliases"), nested("part_numbers").alias("part_numbers"), nested("ata_codes").alias("ata_codes"),
         nested("zones").alias("zones"), collected("doc").alias("supporting_docs"), collected("chunk_id").alias("supporting_chunks"),
     )
-    return whole.join(snippets, "slug").withColumn("canonical_name", X.title_case(F.col("seed")))
+    out = whole.join(snippets, "slug")
+    titled = X.title_case(F.col("seed"))
+    if names is None:
+        return out.withColumn("canonical_name", titled)
+    given = names.select("slug", X.blank_to_null(X.compact(F.col("name"))).alias("_name")).filter("_name IS NOT NULL").dropDuplicates(["slug"])
+    return out.join(given, "slug", "left").withColumn("canonical_name", F.coalesce("_name", titled)).drop("_name")
 
 
 def relations(part_rows: DataFrame) -> DataFrame:
@@ -85,6 +92,10 @@ def image_score(candidate: Column, identifier: Column, description: Column, supp
     return score, reasons, (candidate | identifier | description) & (score >= MIN_SCORE)
 
 
+#: The lists of a caption that an image keeps; one of the first three is a sign that it shows something.
+IMAGE_LISTS = ("visible_identifiers", "part_or_zone_candidates", "relationships_or_flows", "figure_or_table_refs")
+
+
 def grams(x: Column, n: int) -> Column:
     """All substrings of n letters, each once."""
     last = F.length(x) - n + 1
@@ -166,3 +177,46 @@ def neighbours(entities: DataFrame, classes: list[str], id_: str, title: str, li
         part = pairs.withColumn("n", n).filter(F.col("n") <= limit).select(F.lit(c).alias("class"), "entity", "neighbour", "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def image_nodes(documents: DataFrame, captions: DataFrame) -> DataFrame:
+    """The images of pages (doc, images as data URLs) that may be shown: id, doc, image_index, asset_path, caption, ... and content.
+
+    captions: rows of ocr.with_policy(). Image i goes by the ith caption of its page, or the last; pages without captions,
+    images whose caption is left out or says nothing, and images that do not decode have no node. A doc counts once.
+    """
+    said = F.array_sort(F.collect_list(F.struct("pos", "policy", "short_summary", "technical_description", "page_category", *IMAGE_LISTS)))
+    of = captions.groupBy("doc").agg(said.alias("s"))
+    pages = documents.dropDuplicates(["doc"]).join(of, "doc").select("doc", "s", F.posexplode("images").alias("image_index", "url"))
+    rows = pages.withColumn("c", F.element_at("s", F.least(F.col("image_index") + 1, F.size("s")))).withColumn("content", F.try_to_binary(F.substring_index("url", ",", -1), F.lit("base64")))
+    rows = rows.withColumn("caption", X.compact(F.coalesce(X.blank_to_null(F.col("c.short_summary")), F.col("c.technical_description"), F.lit(""))))
+    listed = [F.size(f"c.{n}") > 0 for n in IMAGE_LISTS[:3]]
+    signal = (F.col("caption") != "") | listed[0] | listed[1] | listed[2]
+    kept = rows.filter((F.col("c.policy.action") != "exclude") & signal & F.col("content").isNotNull())
+    name = F.concat(X.slugify(F.regexp_replace("doc", r"(?i)\.pdf$", "")), F.lit("-"), (F.col("image_index") + 1).cast("string"))
+    return kept.select(
+        name.alias("id"), "doc", X.page_root(F.col("doc")).alias("doc_root"), "image_index", F.concat(F.lit("wiki/images/"), name, F.lit(".png")).alias("asset_path"), "caption", "c.technical_description", "c.page_category",
+        *[f"c.{n}" for n in IMAGE_LISTS], F.col("c.policy.action").alias("retrieval_action"), "content",
+    )
+
+
+def wiki_content(description: Column, ata: Column, zone: Column, aliases: Column, numbers: Column, docs: Column, limit: int = 5) -> Column:
+    """What a found wiki page says in one line, with the first documents that support it."""
+    named = lambda name, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.concat(F.lit(name + ": "), v))
+    said = F.concat(F.array(F.coalesce(description, F.lit(""))), named("ATA", ata), named("Zone", zone), named("Alias", aliases), named("Part number", numbers), F.slice(named("Supporting doc", docs), 1, limit))
+    return F.array_join(F.filter(said, lambda v: v != ""), " · ")
+
+
+def wiki_path(raw: Column) -> Column:
+    """The path of a wiki page or image below the wiki's folder; null for any other path."""
+    path = F.regexp_replace(F.regexp_replace(F.try_url_decode(raw), "^/+", ""), "^wiki/", "")
+    image = path.rlike(r"(?i)^images/[^/]+\.(?:png|jpe?g|webp)$")
+    bad = (path == "") | F.contains(path, F.lit("\x00")) | F.contains(path, F.lit("\\")) | F.startswith(path, F.lit("/")) | F.array_contains(F.split(path, "/"), "..")
+    return F.when(~bad & (path.endswith(".md") | image), path)
+
+
+def minimum_counts(found: dict[str, DataFrame], least: dict[str, int]) -> DataFrame:
+    """kind and id of the artefacts that have fewer rows than they must; each is counted up to that number only."""
+    spark = next(iter(found.values())).sparkSession
+    short = [("too-few", f"{n}: {got} of {least[n]}") for n, df in found.items() if (got := df.limit(least.get(n, 0)).count()) < least.get(n, 0)]
+    return spark.createDataFrame(short, "kind string, id string")

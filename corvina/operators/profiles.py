@@ -136,6 +136,11 @@ def requests(pages: DataFrame, phase: str, model: str, max_tokens: int) -> DataF
     return rows.select("custom_id", "doc", F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit("/v1/responses").alias("url"), body.alias("body"))).alias("line"))
 
 
+def batch_manifest(asked: DataFrame, phase: str, model: str) -> DataFrame:
+    """One row about a batch of requests: phase, model, how many, and an order-free mark of their ids."""
+    return asked.agg(F.lit(phase).alias("phase"), F.lit(model).alias("model"), F.count("*").alias("n_requests"), F.count_distinct("custom_id").alias("n_ids"), F.bit_xor(F.xxhash64("custom_id")).alias("ids_mark"))
+
+
 def results(lines: DataFrame, asked: DataFrame) -> DataFrame:
     """doc, text and failure of result lines (value) by the requests (custom_id, doc) that they answer."""
     r = F.from_json("value", "struct<custom_id:string,response:struct<status_code:int,body:string>,error:struct<message:string,code:string>>")
@@ -149,6 +154,19 @@ def results(lines: DataFrame, asked: DataFrame) -> DataFrame:
     return joined.select("custom_id", "doc", F.when(failure.isNull(), F.col("text")).alias("text"), failure.alias("failure"))
 
 
+def import_counters(imported: DataFrame) -> DataFrame:
+    """One row of counts over results (text, failure, route): imported, failed, and the route of what was imported."""
+    ok = F.col("failure").isNull()
+    return imported.agg(F.count_if(ok).alias("imported"), F.count_if(~ok).alias("failed"), F.count_if(ok & (F.col("route") == routing.LIGHT)).alias("routed_nano"), F.count_if(ok & (F.col("route") == routing.DEEP)).alias("routed_deep"))
+
+
+def batch_status(asked: DataFrame, answered: DataFrame) -> DataFrame:
+    """One row of counts over requests (custom_id) and results (custom_id, failure): requested, answered, failed and open."""
+    got = answered.groupBy("custom_id").agg(F.min(F.col("failure").isNotNull()).alias("failed"))
+    both = asked.select("custom_id").join(got, "custom_id", "left")
+    return both.agg(F.count("*").alias("requested"), F.count_if(F.col("failed").isNotNull()).alias("answered"), F.count_if(F.col("failed")).alias("failed"), F.count_if(F.col("failed").isNull()).alias("open"))
+
+
 def latest(listing: DataFrame) -> DataFrame:
     """The path changed last, then by name, of a listing (path, modificationTime)."""
     return listing.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))

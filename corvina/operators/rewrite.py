@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvina.operators.payloads import merged_variants
 from corvina.functions.text import compact, query_tokens
 
 # Keyword families and the variants they add.
@@ -56,3 +57,22 @@ def expand(queries: DataFrame, rewrite: bool = True, cap: int = 4) -> DataFrame:
     """queries (query_id, query, corpus) as query_id, corpus, batch (from 0) and variant."""
     texts = variants(F.col("query"), F.col("corpus"), cap) if rewrite else F.array(F.trim("query"))
     return queries.select("query_id", "corpus", F.posexplode(texts).alias("batch", "variant"))
+
+
+def wants_model(query: Column) -> Column:
+    """Whether a query is worth a model's variants: it is about fuel and electricity, or names an ATA chapter and fuel."""
+    tokens = query_tokens(query)
+    has = lambda words: F.arrays_overlap(tokens, F.lit(words))
+    return (has(FUEL) & has(ELECTRICAL)) | (F.array_contains(tokens, "ata") & F.array_contains(tokens, "fuel"))
+
+
+def expand_with_model(queries: DataFrame, model, cap: int = 4) -> DataFrame:
+    """expand(), with the variants and hints that model adds (distinct queries (query, corpus) to query, corpus, variants, hints).
+
+    Each distinct query goes to the model once, and only if wants_model().
+    """
+    asked = queries.select("query", "corpus").filter(wants_model(F.col("query"))).distinct()
+    told = queries.join(model(asked).dropDuplicates(["query", "corpus"]), ["query", "corpus"], "left")
+    rules, none = variants(F.col("query"), F.col("corpus"), cap), F.array().cast("array<string>")
+    merged = merged_variants(rules, F.coalesce("variants", none), F.coalesce("hints", none), cap)
+    return told.select("query_id", "corpus", F.posexplode(merged).alias("batch", "variant"))

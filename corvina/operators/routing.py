@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,28 @@ def calibration(rows: DataFrame) -> DataFrame:
     return m.withColumn("decision", F.when(pending, "pending_labels").when(revise, "revise_matrix").otherwise("accept_matrix"))
 
 
+def unfinished(rows: DataFrame, finished: DataFrame, key: list[str]) -> DataFrame:
+    """rows whose key no finished row has: what a job that was stopped has still to do."""
+    return rows.join(finished.select(*key).distinct(), key, "left_anti")
+
+
+def replay(pages: DataFrame, cached: DataFrame, decide: Callable[[DataFrame], DataFrame], labels: DataFrame) -> DataFrame:
+    """calibration() of pages (doc): cached decisions (doc, route) stand, decide adds the route of the others; labels (doc, label)."""
+    decided = cached.select("doc", "route").join(pages.select("doc"), "doc", "left_semi").unionByName(decide(unfinished(pages, cached, ["doc"])).select("doc", "route"))
+    return calibration(decided.join(labels, "doc", "left").withColumn("outcome", outcome(F.col("route"), F.col("label"))))
+
+
+def benchmark_runs(sample: DataFrame, models: list[str]) -> DataFrame:
+    """A row for each page of the sample and each model to be tried on it."""
+    return sample.withColumn("model", F.explode(F.array(*map(F.lit, models))))
+
+
+def review_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """by, name and n: the rows of every value of each of the columns, in one pass."""
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).cast("string").alias("name")) for c in columns]))
+    return rows.select(named.alias("x")).groupBy("x.by", "x.name").agg(F.count("*").alias("n")).orderBy("by", "name")
+
+
 def execution(stage: Column, role: Column, complexity: Column, confidence: Column, asked: Column, analysed: Column | None = None) -> dict[str, Column]:
     """profile, complexity, model, cost and latency class of a request. complexity: auto or a level; analysed: the level that auto stands for."""
     rewrite = stage == "search_rewrite"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.functions.providers import Embedder, with_embedding
-from corvina.operators import corpus, ontology
-from corvina.sources import writers
+from corvina.operators import corpus, ocr, ontology
+from corvina.sources import readers, shared, writers
 
 WEIGHTS = {"doc": 8.0, "chunk_id": 4.0, "content": 1.0}
 
@@ -29,7 +29,7 @@ def build(records: DataFrame, events: DataFrame, path: str, embedder: Embedder,
     pages = wiki_pages(parts, occurrences, images)
     pages.write.mode("overwrite").parquet(f"{path}/wiki")
     mark = corpus.fingerprint(records, ["doc", "chunk_id", "content"], "row_idx")
-    counts = {n: spark.read.parquet(f"{path}/{n}") for n in ("vectors", "parts", "relations", "occurrences", "wiki")}
+    counts = {n: spark.read.parquet(f"{path}/{n}") for n in ("parts", "relations", "occurrences", "wiki")} | {"vectors": readers.read_vectors(spark, f"{path}/vectors")}
     out = writers.manifest(spark, counts, mark)
     out.write.mode("overwrite").json(f"{path}/manifest")
     return out
@@ -52,3 +52,27 @@ def wiki_pages(parts: DataFrame, occurrences: DataFrame, images: DataFrame | Non
     described = F.concat(F.col("canonical_name"), F.lit(" in "), F.size("supporting_docs").cast("string"), F.lit(" documents."))
     text = ontology.wiki_markdown(F.col("slug"), F.col("canonical_name"), described, F.col("ata_codes"), F.col("zones"), F.col("aliases"), F.col("part_numbers"), F.col("supporting_docs"), F.col("linked"), shown)
     return page.select("slug", F.col("canonical_name").alias("title"), text.alias("markdown"))
+
+
+def ensure(records: DataFrame | None, events: DataFrame, path: str, embedder: Embedder, source: str, spark: SparkSession | None = None) -> str:
+    """Build the artefacts below path if they are missing or were made of another source; what was done.
+
+    source: a fingerprint of the corpus. fresh: nothing had to be done; missing: there is nothing to build from.
+    """
+    spark = spark or events.sparkSession
+    if writers.read_meta(spark, path).get("built_of") == source and shared.exists(spark, f"{path}/manifest"):
+        return "fresh"
+    if records is None:
+        return "missing"
+    build(records, events, path, embedder)
+    writers.write_meta(spark, path, {"built_of": source})
+    return "built"
+
+
+def ocr_corpus(pages: DataFrame, done: DataFrame, read, captions: DataFrame, size: int = 3000, overlap: int = 120) -> DataFrame:
+    """Prepared rows of pages (doc): those in done (doc, value) are not read again, read() gives the OCR JSON of the others.
+
+    captions (doc, value): caption JSON of pages.
+    """
+    documents = ocr.parse_documents(ocr.read_pages(pages, done, read), "doc", "value")
+    return ocr.prepared(documents, ocr.captions(captions, "doc", "value"), size, overlap)

@@ -322,11 +322,6 @@ def conversation_hashes(spark, sf_dir):
     return corpus.content_hashes(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query()
-def chunk_documents(spark, sf_dir):
-    return corpus.chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", "pos", F.length("chunk").alias("n_chars"), F.sha2(F.col("chunk").cast("binary"), 256).alias("sha256"))
-
-
 def _policy_features():
     category = F.when(F.length("text") < 60, "blank_page").when(F.col("text").rlike("(?i)license"), "front_matter").when(F.col("lang") == "fr", "technical_table").when(F.col("lang") == "es", "unreadable").otherwise("technical_procedure")
     sure = F.round((F.length("text") % 100) / 100.0, 2)
@@ -682,3 +677,6 @@ def event_sessions(spark, sf_dir):
 def corpus_counters(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(F.col("quality") == 1).alias("n_good"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.sum("n_chars").alias("n_chars"))
+
+
+from corvina.plans import ocr_queries, scan_queries, text_queries  # noqa: E402,F401  they register more queries

@@ -123,12 +123,12 @@ def list_pages(spark: SparkSession, path: str, suffix: str = "pdf", limit: int |
     return files.limit(limit) if limit is not None else files
 
 
-def parse_scenarios(rows: DataFrame, text: str = "value", start: str = r"NC-\d{4}-\d{3}") -> DataFrame:
-    """Records of scenario texts: each begins with an id at a line's start; id, title (rest of the line) and body."""
+def parse_scenarios(rows: DataFrame, text: str = "value", start: str = r"NC-\d{4}-\d{3}", keep: list[str] | None = None) -> DataFrame:
+    """Records of scenario texts: each begins with an id at a line's start; id, title (rest of the line) and body. keep: columns of rows."""
     parts = F.posexplode(F.split(F.col(text), rf"(?m)(?=^{start}\b)"))
-    out = rows.select(parts.alias("pos", "record")).filter(js_trim(F.col("record")) != "")
+    out = rows.select(*(keep or []), parts.alias("pos", "record")).filter(js_trim(F.col("record")) != "")
     ref = F.regexp_extract("record", f"^({start})", 1)
-    return out.select("pos", F.nullif(ref, F.lit("")).alias("case_ref"), F.trim(F.regexp_extract("record", rf"^{start}[ \t:-]*([^\n]*)", 1)).alias("title"), js_trim(F.regexp_replace("record", r"^[^\n]*\n?", "")).alias("body"), F.when(ref == "", "unparsed").otherwise("parsed").alias("status"))
+    return out.select(*(keep or []), "pos", F.nullif(ref, F.lit("")).alias("case_ref"), F.trim(F.regexp_extract("record", rf"^{start}[ \t:-]*([^\n]*)", 1)).alias("title"), js_trim(F.regexp_replace("record", r"^[^\n]*\n?", "")).alias("body"), F.when(ref == "", "unparsed").otherwise("parsed").alias("status"))
 
 
 def parse_double_json(rows: DataFrame, id_: str, value: str) -> DataFrame:
@@ -170,3 +170,36 @@ def read_index(spark: SparkSession, path: str) -> lexical.Index:
     """What writers.write_index wrote below path."""
     kept = spark.read.parquet(f"{path}/postings").withColumn("head", F.col("head").cast("string"))
     return lexical.Index(kept, spark.read.parquet(f"{path}/totals"))
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """The vectors that writers.write_vectors wrote below path; None where there are none, which turns the channel off.
+
+    A count or a dimension other than the table of facts says is an error.
+    """
+    if not shared.exists(spark, f"{path}/rows"):
+        return None
+    rows = spark.read.parquet(f"{path}/rows")
+    facts = dict(map(tuple, spark.read.parquet(f"{path}/facts").collect()))
+    count, least, most = rows.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if count != facts["count"] or (count and not least == most == facts["dims"]):
+        raise ValueError(f"vectors do not match their facts: {count} of {facts['count']} rows, {least} to {most} of {facts['dims']} dimensions")
+    return rows
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON artefact (one array of objects a file) in the given columns; empty where the path is missing."""
+    if not shared.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def point_lookup(rows: DataFrame, name: str, asked: DataFrame) -> DataFrame:
+    """The rows whose name is asked for (asked: one column, name); names that leave their folder find nothing."""
+    wanted = asked.select(F.col(asked.columns[0]).alias(name)).filter(is_safe_name(F.col(name)) & (F.col(name) != "")).distinct()
+    return rows.join(shared.broadcast_if_small(wanted, 128), name)
+
+
+def with_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """rows (doc, ...) whose document is among the listed pages (doc)."""
+    return rows.join(pages.select("doc").distinct(), "doc", "left_semi")

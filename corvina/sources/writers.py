@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,41 @@ def recover(spark: SparkSession, path: str) -> None:
         shared.delete(spark, aside)
 
 
-def write_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Escaped TSV that quotes only fields that need it; a header line is the caller's row."""
+def write_tsv(df: DataFrame, path: str, columns: list[str], header: bool = False, gz: bool = False) -> None:
+    """Escaped TSV that quotes only fields that need it. header: the names at the head of each file, where readers skip them."""
     line = F.concat_ws("\t", *[tsv_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
-    df.select(line.alias("value")).write.mode("overwrite").text(path)
+    out = df.select(line.alias("value"))
+    if header:
+        head = "\t".join(columns)
+
+        def headed(frames):
+            yield pd.DataFrame({"value": [head]})
+            yield from frames
+
+        out = out.mapInPandas(headed, "value string")
+    out.write.mode("overwrite").option("compression", "gzip" if gz else "none").text(path)
+
+
+def write_files(df: DataFrame, path: str) -> None:
+    """A file of its own, called name, for each row (name, content text or bytes); written by tasks through the file system.
+
+    Each task stages a file beside its place and renames it, so a task that is run again leaves whole files.
+    """
+    target = path.removeprefix("file://") if path.startswith("file://") else path
+    content = F.col("content").cast("binary")
+
+    def put(rows):
+        from pyarrow import fs
+
+        store, root = (fs.LocalFileSystem(), target) if target.startswith("/") else fs.FileSystem.from_uri(target)
+        store.create_dir(root)
+        for row in rows:
+            staged = f"{root}/.{row.name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(staged) as out:
+                out.write(bytes(row.content))
+            store.move(staged, f"{root}/{row.name}")
+
+    df.select("name", content.alias("content")).foreachPartition(put)
 
 
 def write_index(rows: DataFrame, path: str, id_: str, weights: dict[str, float], source: str | None = None) -> None:
@@ -82,8 +114,40 @@ def ensure_index(rows: DataFrame | None, path: str, id_: str, weights: dict[str,
 
 
 def write_vectors(rows: DataFrame, path: str, vector_column: str = "embedding") -> None:
-    """Vectors with their single-precision squared norms; rows without a vector are left out."""
-    vector.with_norm(rows.filter(F.col(vector_column).isNotNull()), vector_column).write.mode("overwrite").parquet(path)
+    """Vectors with their single-precision squared norms, then their count and dimension as facts to read them by.
+
+    Rows without a vector are left out; vectors of more than one dimension are an error.
+    """
+    vector.with_norm(rows.filter(F.col(vector_column).isNotNull()), vector_column).withColumnRenamed(vector_column, "embedding").write.mode("overwrite").parquet(f"{path}/rows")
+    written = rows.sparkSession.read.parquet(f"{path}/rows")
+    count, least, most = written.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} dimensions")
+    rows.sparkSession.createDataFrame([("count", count), ("dims", least or 0)], "name string, value long").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def copy_assets(spark: SparkSession, source: str, target: str) -> None:
+    """The files below source as a table (name, content) at target; what was there goes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+    replace_table(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), target)
+
+
+def write_canonical(rows: DataFrame, path: str) -> dict[str, object]:
+    """Write the exact source text raw of records (order, raw) as gzip files in order, read them back and compare.
+
+    Returns the audit: rows, the fingerprint of what was to be written and of what was read, and whether both are one.
+    """
+    line = rows.select("order", F.regexp_replace("raw", r"\r?\n$", "").alias("value"))
+    line.repartitionByRange("order").sortWithinPartitions("order").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
+    back = readers.read_raw_tsv(rows.sparkSession, path).select(F.regexp_replace("raw", r"\r?\n$", "").alias("value"))
+    # rows and files keep their order, so equal multisets of lines are equal texts
+    marks = [df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "value")).alias("x")).first() for df in (line, back)]
+    return {"rows": marks[0].n, "source": f"{marks[0].h}:{marks[0].x}", "written": f"{marks[1].h}:{marks[1].x}", "exact": marks[0] == marks[1]}
+
+
+def append_turns(rows: DataFrame, path: str, session: str, buckets: int = 64) -> None:
+    """Append turns of sessions to the working memory, in folders by a hash of the session."""
+    rows.withColumn("bucket", F.pmod(F.xxhash64(session), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def manifest(spark: SparkSession, counts: dict[str, DataFrame], fingerprint: DataFrame) -> DataFrame:

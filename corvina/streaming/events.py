@@ -24,6 +24,47 @@ def parse_blocks(rows: DataFrame, text: str) -> DataFrame:
     return blocks.select(*[c for c in rows.columns if c != text], "seq", F.coalesce(F.nullif(event, F.lit("")), F.lit("message")).alias("event"), data.alias("data")).filter(F.col("data") != "")
 
 
+def framed(rows: DataFrame, key: str, seq: str, text: str) -> DataFrame:
+    """key, seq, event and data of the blocks of streams that come in pieces (key, seq, text), cut anywhere.
+
+    A stream's pieces are joined in order, so a block that is cut across them is one event; one without an end is last.
+    """
+    whole = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("o"), F.coalesce(text, F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("_text"))
+    return parse_blocks(whole, "_text")
+
+
+def frame_stream(stream: DataFrame, timeout: str = "10 minutes") -> DataFrame:
+    """request_id, block and n of the whole blocks of a stream of pieces (request_id, seq, text).
+
+    The state of a request is the end of its text that no blank line has closed yet; it is flushed, as it is, after the
+    timeout without new pieces. Pieces of one batch are put in order; a stream brings a request's batches in order.
+    """
+    millis = int(pd.Timedelta(timeout).total_seconds() * 1000)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rest, n = state.get if state.exists else ("", 0)
+        if state.hasTimedOut:
+            state.remove()
+            blocks = [rest]
+        else:
+            rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+            *blocks, rest = (rest + "".join(rows["text"].fillna(""))).replace("\r\n", "\n").split("\n\n")
+            state.update((rest, n + len(blocks)))
+            state.setTimeoutDuration(millis)
+        numbered = [(key[0], b, n + i) for i, b in enumerate(blocks) if b.strip()]
+        yield pd.DataFrame(numbered, columns=["request_id", "block", "n"])
+
+    return stream.groupBy("request_id").applyInPandasWithState(step, "request_id string, block string, n long", "rest string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def line_events(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos and block of replies sent as lines: a JSON reply is one delta, any other text one for each line."""
+    is_json = F.try_parse_json(F.col(text)).isNotNull()
+    lines = F.when(is_json, F.array(F.replace(F.col(text), F.lit("\n"), F.lit("\\n")))).otherwise(F.split(F.col(text), "\n"))
+    delta = rows.select(key, F.posexplode(lines).alias("pos", "v"))
+    return delta.select(key, "pos", sse_block(F.lit("delta"), F.to_json(F.struct("v"))).alias("block"))
+
+
 def encode_blocks(rows: DataFrame) -> DataFrame:
     """The text of rows (event, data)."""
     return rows.withColumn("block", sse_block(F.col("event"), F.col("data")))

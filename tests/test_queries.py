@@ -49,7 +49,7 @@ def test_chunks(spark, sf):
     from corvina.operators.corpus import chunk_bounds
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = plans.chunk_documents(spark, sf).collect()
+    got = plans.QUERIES["chunk_documents"](spark, sf).collect()
     assert sorted((r.id, r.pos, r.n_chars) for r in got) == sorted((d, i, len(c)) for d, t in docs.items() for i, c in enumerate(chunk_bounds(t)))
     for t in docs.values():
         pieces = list(chunk_bounds(t))
