@@ -69,6 +69,7 @@ class Pool:
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions of the spans start .. start + size, end to end."""
+    start, size = start.astype(np.int64), size.astype(np.int64)
     skip = np.cumsum(size)
     return np.repeat(start - skip + size, size) + np.arange(skip[-1] if len(skip) else 0)
 
@@ -85,7 +86,7 @@ class Table:
 
     def clear(self) -> None:
         self.keys, self.taken = np.zeros(self.slots, np.uint64), 0
-        self.at, self.size, self.text_at, self.text_size = (np.zeros(self.slots, np.int64) for _ in range(4))
+        self.at, self.size, self.text_at, self.text_size = (np.zeros(self.slots, np.uint32) for _ in range(4))
         self.pool, self.text = Pool(np.uint32), Pool(np.uint8)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -127,7 +128,7 @@ class Table:
 
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slots end to end, and the number of each."""
-        size = self.size[slots]
+        size = self.size[slots].astype(np.int64)
         return self.pool.values[spread(self.at[slots], size)], size
 
 
