@@ -17,7 +17,7 @@ OTHER = "_"
 
 
 class Index(NamedTuple):
-    """postings: (head, term, id, wtf, dl), head being the term's first two characters; totals: one row (n_rows, avgdl)."""
+    """postings: (head, term, id, wtf, n, dl), head being the term's first two characters; totals: one row (n_rows, avgdl)."""
 
     postings: DataFrame
     totals: DataFrame
@@ -37,11 +37,11 @@ def head_of(term: Column) -> Column:
 
 
 def postings(rows: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
-    """head, term, id, wtf (weighted frequency) and dl (tokens of the row). Counted in each task before any shuffle."""
-    counted = _tokens(rows, id_, weights).groupBy("id", "dl", "raw").agg(F.sum("w").alias("wtf"))
+    """head, term, id, wtf (weighted frequency), n (plain) and dl (tokens of the row). Counted in each task before any shuffle."""
+    counted = _tokens(rows, id_, weights).groupBy("id", "dl", "raw").agg(F.sum("w").alias("wtf"), F.count("*").alias("n"))
     plain = F.when(F.col("raw").rlike(r"[^\x00-\x7F]"), X.unmarked(F.col("raw"))).otherwise(F.col("raw"))
-    merged = counted.select("id", "dl", plain.alias("term"), "wtf").groupBy("id", "dl", "term").agg(F.sum("wtf").alias("wtf"))
-    return merged.select(head_of(F.col("term")).alias("head"), "term", "id", "wtf", "dl")
+    merged = counted.select("id", "dl", plain.alias("term"), "wtf", "n").groupBy("id", "dl", "term").agg(F.sum("wtf").alias("wtf"), F.sum("n").alias("n"))
+    return merged.select(head_of(F.col("term")).alias("head"), "term", "id", "wtf", "n", "dl")
 
 
 def lengths(rows: DataFrame, id_: str, fields: list[str]) -> DataFrame:

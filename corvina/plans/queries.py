@@ -679,4 +679,4 @@ def corpus_counters(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(F.col("quality") == 1).alias("n_good"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.sum("n_chars").alias("n_chars"))
 
 
-from corvina.plans import ocr_queries, scan_queries, text_queries  # noqa: E402,F401  they register more queries
+from corvina.plans import ocr_queries, scan_queries, search_queries, text_queries  # noqa: E402,F401  they register more queries

@@ -34,8 +34,8 @@ def given(spark: SparkSession, rows: list[tuple], schema: str) -> tuple[DataFram
     return spark.createDataFrame(rows, schema), sql.values(rows, ", ".join(c.split()[0] for c in schema.split(", ")))
 
 
-def documents_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+def documents_index(spark: SparkSession, sf_dir: str, where: str = "true") -> lexical.Index:
     """The index of the documents in the shared work folder, built where it is missing or older than its source."""
-    path = f"{shared.work_dir(spark)}/corvina/index-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    path = f"{shared.work_dir(spark)}/corvina/index-{hashlib.md5(f'{sf_dir} {where}'.encode()).hexdigest()}"
     source = readers.file_fingerprint(spark, f"{sf_dir}/documents.parquet")
-    return writers.ensure_index(table(spark, sf_dir, "documents"), path, "doc_id", WEIGHTS, source)
+    return writers.ensure_index(table(spark, sf_dir, "documents").filter(where), path, "doc_id", WEIGHTS, source)

@@ -81,10 +81,14 @@ def write_files(df: DataFrame, path: str) -> None:
 
 def write_index(rows: DataFrame, path: str, id_: str, weights: dict[str, float], source: str | None = None) -> None:
     """Postings sorted by term in a folder for each head of two characters, the totals, and last what they were made of."""
-    index = lexical.indexed(rows, id_, weights)
-    index.postings.repartitionByRange("term").sortWithinPartitions("head", "term").write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
-    index.totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    write_meta(rows.sparkSession, path, {"source": source or "", "fields": ",".join(f"{f}:{w}" for f, w in weights.items())})
+    spark = rows.sparkSession
+    # rebalancing deals heads to tasks, splits the crowded ones and joins the small
+    dealt = lexical.postings(rows, id_, weights).hint("rebalance", "head").sortWithinPartitions("head", "term")
+    dealt.write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
+    n_rows, n_tokens = rows.count(), spark.read.parquet(f"{path}/postings").agg(F.sum("n")).first()[0] or 0
+    totals = spark.createDataFrame([(n_rows, n_tokens / n_rows if n_rows else None)], "n_rows long, avgdl double")
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    write_meta(spark, path, {"source": source or "", "fields": ",".join(f"{f}:{w}" for f, w in weights.items())})
 
 
 def write_meta(spark: SparkSession, path: str, values: dict[str, str]) -> None:
