@@ -11,7 +11,7 @@ from corvina.plans.registry import WEIGHTS, documents_index, query, table
 from corvina.sources import readers, shared, writers
 
 #: Columns of a technical document's row: names, JSON and text with tabs, quotes, backslashes and line ends in them.
-TECH = "concat('doc', doc_id, '.pdf') AS doc, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS doc_root, concat('{\"a\": \"', lang, '\"}') AS json_data, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE text END AS chunk, concat(length(text), CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END) AS length, concat('doc', doc_id, '.pdf 0') AS chunk_id, concat('ATA ', doc_id % 90 + 10) AS ata, 'door\tframe \\ \"x\"' AS parts, lang AS doc_type"
+TECH = "concat('doc', doc_id, '.pdf') AS doc, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS doc_root, concat('{\"a\": \"', lang, '\"}') AS json_data, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE replace(text, chr(13), '') END AS chunk, concat(length(text), CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END) AS length, concat('doc', doc_id, '.pdf 0') AS chunk_id, concat('ATA ', doc_id % 90 + 10) AS ata, 'door\tframe \\ \"x\"' AS parts, lang AS doc_type"
 TECH_SQL = TECH.replace("'door\tframe \\ \"x\"'", "'door' || chr(9) || 'frame ' || chr(92) || ' \"x\"'")
 
 
@@ -37,30 +37,28 @@ def _written_tsv(spark, rows, columns, header, gz):
     return path
 
 
-@query(f"SELECT doc, doc_root, json_data, md5(chunk) AS chunk_md5, length, chunk_id, ata, parts, doc_type FROM (SELECT {TECH_SQL} FROM documents) WHERE strpos(chunk, chr(13)) = 0")
+@query(f"SELECT doc, doc_root, json_data, md5(chunk) AS chunk_md5, length, chunk_id, ata, parts, doc_type FROM (SELECT {TECH_SQL} FROM documents)")
 def tsv_scan(spark, sf_dir):
-    rows = _tech(spark, sf_dir).filter(~F.contains(F.col("chunk"), F.lit("\r")))
-    got = readers.read_tech_docs(spark, _written_tsv(spark, rows, list(readers.TECH_COLUMNS), True, False))
+    got = readers.read_tech_docs(spark, _written_tsv(spark, _tech(spark, sf_dir), list(readers.TECH_COLUMNS), True, False))
     return got.filter("_corrupt IS NULL").select(*[F.md5(F.col(c).cast("binary")).alias("chunk_md5") if c == "chunk" else c for c in readers.TECH_COLUMNS])
 
 
 @query(f"""
-WITH r AS (SELECT *, doc_id FROM (SELECT {TECH_SQL}, doc_id, text FROM documents) WHERE strpos(chunk, chr(13)) = 0)
+WITH r AS (SELECT *, doc_id FROM (SELECT {TECH_SQL}, doc_id, text FROM documents))
 SELECT doc, chunk_id, md5(regexp_replace(chunk, '^\\s+|\\s+$', '', 'g')) AS content_md5, json_data AS source_path, coalesce(TRY_CAST(regexp_extract(length, '^(\\d+)', 1) AS INT), 0) AS length, ata FROM r
 WHERE regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') <> '' AND doc_id % 2 = 0""")
 def tech_records_of_pages(spark, sf_dir):
-    rows = _tech(spark, sf_dir).filter(~F.contains(F.col("chunk"), F.lit("\r")))
-    scanned = readers.read_tech_docs(spark, _written_tsv(spark, rows, list(readers.TECH_COLUMNS), True, True))
+    scanned = readers.read_tech_docs(spark, _written_tsv(spark, _tech(spark, sf_dir), list(readers.TECH_COLUMNS), True, True))
     pages = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("doc"))
     got = corpus.tech_records(readers.with_pages(scanned, pages))
     return got.select("doc", "chunk_id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "source_path", "length", F.col("metadata")["ata"].alias("ata"))
 
 
-EVENT_SQL = "SELECT doc_id, concat('ATA-', doc_id % 90 + 10, '-e', doc_id) AS doc, concat('c-', 100 + doc_id % 7, '-', doc_id // 2) AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE ' ' || text END AS chunk FROM documents WHERE strpos(text, chr(13)) = 0"
+EVENT_SQL = "SELECT doc_id, concat('ATA-', doc_id % 90 + 10, '-e', doc_id) AS doc, concat('c-', 100 + doc_id % 7, '-', doc_id // 2) AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE ' ' || replace(text, chr(13), '') END AS chunk FROM documents"
 
 
 def _events(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter(~F.contains(F.col("text"), F.lit("\r")))
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\r"), F.lit("")))
     number = F.col("doc_id").cast("string")
     return rows.select(
         "doc_id", F.concat(F.lit("ATA-"), (F.col("doc_id") % 90 + 10).cast("string"), F.lit("-e"), number).alias("doc"),
@@ -100,57 +98,57 @@ def canonical_gz_round_trip(spark, sf_dir):
     return spark.createDataFrame([(audit["rows"], audit["exact"], audit["source"] == audit["written"])], "n_rows long, exact boolean, same_text boolean")
 
 
-@query("SELECT 'p' || page_id || ' x.md' AS doc, 'p' || page_id || ' x' AS chunk_id, md5(html) AS content_md5 FROM pages WHERE page_id < 40")
+@query("SELECT 'p' || page_id || ' x.md' AS doc, 'p' || page_id || ' x' AS chunk_id, md5(html) AS content_md5 FROM pages")
 def markdown_tree_scan(spark, sf_dir):
     path = shared.new_path(spark, "tree")
-    writers.write_files(table(spark, sf_dir, "pages").filter("page_id < 40").select(F.format_string("p%d x.md", "page_id").alias("name"), F.col("html").alias("content")), path)
+    writers.write_files(table(spark, sf_dir, "pages").select(F.format_string("p%d x.md", "page_id").alias("name"), F.col("html").alias("content")), path)
     return readers.read_markdown(spark, path).select("doc", "chunk_id", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 @query("""
 SELECT 'ATA-' || (page_id % 60 + 10) || '-' || page_id AS nc_event_id, CAST(page_id % 60 + 10 AS VARCHAR) AS ATA_code, coalesce(CASE WHEN page_id % 60 + 10 < 40 THEN 'Category ' || (page_id % 60 + 10) END, 'Unknown') AS ATA_category, url AS url_value
-FROM pages WHERE page_id < 40 AND page_id % 5 <> 0""")
+FROM pages WHERE page_id % 5 <> 0""")
 def json_tree_scan(spark, sf_dir):
     path = shared.new_path(spark, "json")
     name = F.concat(F.lit("ATA-"), (F.col("page_id") % 60 + 10).cast("string"), F.lit("-"), F.col("page_id").cast("string"), F.lit(".json"))
     body = F.when(F.col("page_id") % 5 == 0, "{").otherwise(F.to_json(F.struct("url", F.struct("page_id").alias("inner"))))
-    writers.write_files(table(spark, sf_dir, "pages").filter("page_id < 40").select(name.alias("name"), body.alias("content")), path)
+    writers.write_files(table(spark, sf_dir, "pages").select(name.alias("name"), body.alias("content")), path)
     ata = spark.range(10, 40).select(F.col("id").cast("string").alias("ATA_code"), F.concat(F.lit("Category "), F.col("id").cast("string")).alias("ATA_category"))
     return readers.read_json_objects(spark, path, ata).select("nc_event_id", "ATA_code", "ATA_category", F.col("payload")["url"].alias("url_value"))
 
 
 @query("""
-WITH f AS (SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '.txt' END AS doc FROM pages WHERE page_id < 40)
+WITH f AS (SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '.txt' END AS doc FROM pages)
 SELECT doc, row_number() OVER (ORDER BY doc) AS n FROM f WHERE ends_with(lower(doc), '.pdf') QUALIFY row_number() OVER (ORDER BY doc) <= 12""")
 def page_listing(spark, sf_dir):
     from pyspark.sql import Window
 
     path = shared.new_path(spark, "listing")
     kind = F.when(F.col("page_id") % 3 == 0, ".pdf").when(F.col("page_id") % 3 == 1, ".PDF").otherwise(".txt")
-    writers.write_files(table(spark, sf_dir, "pages").filter("page_id < 40").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), kind).alias("name"), F.lit("x").alias("content")), path)
+    writers.write_files(table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), kind).alias("name"), F.lit("x").alias("content")), path)
     return readers.list_pages(spark, path, limit=12).select("doc", F.row_number().over(Window.orderBy("doc")).cast("long").alias("n"))
 
 
-@query("SELECT 'p' || page_id || '.png' AS name, md5(html) AS content_md5, octet_length(encode(html)) AS bytes FROM pages WHERE page_id < 20")
+@query("SELECT 'p' || page_id || '.png' AS name, md5(html) AS content_md5, octet_length(encode(html)) AS bytes FROM pages")
 def copied_assets(spark, sf_dir):
     path, target = shared.new_path(spark, "assets"), shared.new_path(spark, "copied")
-    writers.write_files(table(spark, sf_dir, "pages").filter("page_id < 20").select(F.format_string("p%d.png", "page_id").alias("name"), F.col("html").alias("content")), path)
+    writers.write_files(table(spark, sf_dir, "pages").select(F.format_string("p%d.png", "page_id").alias("name"), F.col("html").alias("content")), path)
     spark.range(3).write.parquet(target)  # what was there goes
     writers.copy_assets(spark, path, target)
     return spark.read.parquet(target).select("name", F.md5("content").alias("content_md5"), F.octet_length("content").cast("int").alias("bytes")).withColumn("bytes", F.col("bytes").cast("long"))
 
 
-@query("SELECT count(*) AS n_files, CAST(sum(octet_length(encode(html))) AS BIGINT) AS n_bytes FROM pages WHERE page_id < 20")
+@query("SELECT count(*) AS n_files, CAST(sum(octet_length(encode(html))) AS BIGINT) AS n_bytes FROM pages")
 def bundle_totals(spark, sf_dir):
     path = shared.new_path(spark, "bundle")
-    writers.write_files(table(spark, sf_dir, "pages").filter("page_id < 20").select(F.format_string("p%d.md", "page_id").alias("name"), F.col("html").alias("content")), path)
+    writers.write_files(table(spark, sf_dir, "pages").select(F.format_string("p%d.md", "page_id").alias("name"), F.col("html").alias("content")), path)
     return writers.bundle_manifest(spark, path)[1]
 
 
-@query("SELECT true AS same, true AS changed, count(*) AS n_files FROM pages WHERE page_id < 10")
+@query("SELECT true AS same, true AS changed, count(*) AS n_files FROM pages")
 def file_fingerprints(spark, sf_dir):
     path = shared.new_path(spark, "stat")
-    rows = table(spark, sf_dir, "pages").filter("page_id < 10").select(F.format_string("p%d.md", "page_id").alias("name"), F.col("html").alias("content"))
+    rows = table(spark, sf_dir, "pages").select(F.format_string("p%d.md", "page_id").alias("name"), F.col("html").alias("content"))
     writers.write_files(rows, path)
     first, again = readers.file_fingerprint(spark, path), readers.file_fingerprint(spark, path)
     n = writers.bundle_manifest(spark, path)[1].first().n_files
@@ -158,23 +156,23 @@ def file_fingerprints(spark, sf_dir):
     return spark.createDataFrame([(first == again, first != readers.file_fingerprint(spark, path), n)], "same boolean, changed boolean, n_files long")
 
 
-@query("SELECT vec_id, label, len(embedding) AS dims, round(CAST(CAST(list_inner_product(x, x) AS FLOAT) AS DOUBLE), 5) AS sq_norm FROM (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings) WHERE vec_id % 3 <> 0")
+@query("SELECT vec_id, label, len(embedding) AS dims, round(CAST(CAST(list_inner_product(x, x) AS FLOAT) AS DOUBLE), 5) AS sq_norm FROM (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)")
 def vector_export_round_trip(spark, sf_dir):
     path = shared.new_path(spark, "vectors")
     rows = table(spark, sf_dir, "embeddings")
-    writers.write_vectors(rows.withColumn("embedding", F.when(F.col("vec_id") % 3 != 0, F.col("embedding"))), path)
+    without = rows.withColumn("embedding", F.lit(None).cast(rows.schema["embedding"].dataType))  # these are left out
+    writers.write_vectors(rows.unionByName(without), path)
     return readers.read_vectors(spark, path).select("vec_id", "label", F.size("embedding").cast("long").alias("dims"), F.round(F.col("sq_norm").cast("double"), 5).alias("sq_norm"))
 
 
 _TERM_SQL = f"""
 WITH t AS ({' UNION ALL '.join(f"SELECT doc_id AS id, unnest({sql.index_tokens(f'CAST({f} AS VARCHAR)')}) AS term, CAST({w} AS DOUBLE) AS w FROM documents" for f, w in WEIGHTS.items())})
-SELECT term, count(DISTINCT id) AS n_rows, sum(w) AS weight FROM t WHERE regexp_matches(term, '^[a-z0-9]{{2}}') AND left(term, 2) IN ('un', 'le', 'th', '12') GROUP BY term"""
+SELECT term, count(DISTINCT id) AS n_rows, sum(w) AS weight FROM t GROUP BY term"""
 
 
 @query(_TERM_SQL)
 def index_postings(spark, sf_dir):
-    kept = documents_index(spark, sf_dir).postings.filter(F.col("head").isin("un", "le", "th", "12"))
-    return kept.groupBy("term").agg(F.count("*").alias("n_rows"), F.sum("wtf").alias("weight"))
+    return documents_index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("n_rows"), F.sum("wtf").alias("weight"))
 
 
 @query(f"""
@@ -243,10 +241,10 @@ def human_labels(spark, sf_dir):
     return readers.parse_labels(files.select(value.alias("v")), "v", ["nano_sufficient", "deep_required"])
 
 
-@query("SELECT 'r' || doc_id AS custom_id, CASE WHEN doc_id % 2 = 0 THEN '{\"status_code\":200}' END AS response, CASE WHEN doc_id % 2 = 1 THEN 'bad' END AS error FROM documents WHERE doc_id % 10 < 4")
+@query("SELECT 'r' || doc_id AS custom_id, CASE WHEN doc_id % 2 = 0 THEN '{\"status_code\":200}' END AS response, CASE WHEN doc_id % 2 = 1 THEN 'bad' END AS error FROM documents")
 def batch_result_scan(spark, sf_dir):
     path, even = shared.new_path(spark, "results"), F.col("doc_id") % 2 == 0
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 10 < 4")
+    rows = table(spark, sf_dir, "documents")
     line = F.concat(F.lit('{"custom_id": "r'), F.col("doc_id").cast("string"), F.lit('", '), F.when(even, '"response": {"status_code":200}').otherwise('"error": "bad"'), F.lit("}"))
     rows.select(line.alias("value")).write.text(path)
     return readers.read_batch_results(spark, path)

@@ -108,21 +108,19 @@ def model_rewrite_variants(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT doc_id, left(regexp_replace(text, '[^a-z ]', '', 'g'), 40) AS t FROM documents),
-l AS (SELECT doc_id, t, list_transform(range(1, length(t) + 1), lambda i: unicode(t[i]) * 1) AS u FROM c)
+WITH l AS (SELECT doc_id, text AS t, list_transform(regexp_extract_all(text, '(?s).'), lambda c: CAST(unicode(c) AS BIGINT)) AS u FROM documents)
 SELECT doc_id, round(CAST(CAST(coalesce(list_sum(u), 0) % 97 / 100 AS FLOAT) AS DOUBLE), 4) AS a, round(CAST(CAST(coalesce(list_sum(list_transform(u, lambda x, i: x * i)), 0) % 101 / 100 AS FLOAT) AS DOUBLE), 4) AS b, round(CAST(CAST(length(t) % 89 / 100 AS FLOAT) AS DOUBLE), 4) AS c FROM l""")
 def offline_embeddings(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 40).alias("t"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     e = with_embedding(rows, "t", CharacterEmbedder())
     return e.select("doc_id", *[F.round(F.col("embedding")[i].cast("double"), 4).alias(n) for i, n in enumerate("abc")])
 
 
 @query("""
-WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND doc_id % 3 = 0)
+WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents)
 SELECT doc_id, (CAST(list_contains(w, 'the') AS INT) + CAST(list_contains(w, 'of') AS INT) + CAST(list_contains(w, 'zzz') AS INT)) / 3 AS relevance_score FROM d""")
 def offline_reranking(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return reranked(rows.select("doc_id", F.lit(1).alias("query_id"), F.lit("The of zzz").alias("query"), F.col("text").alias("content")), OverlapReranker()).select("doc_id", "relevance_score")
+    return reranked(table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("query_id"), F.lit("The of zzz").alias("query"), F.col("text").alias("content")), OverlapReranker()).select("doc_id", "relevance_score")
 
 
 # ---- ontology and wiki
@@ -205,10 +203,13 @@ def image_nodes(spark, sf_dir):
 
 
 @query(f"""
-WITH r AS (SELECT {ocr_queries.PAGE_NAME} AS doc, doc_id, {ocr_queries.PAGE_TEXT_SQL} AS t, doc_id % 6 AS k, 'a ' || lang || ' summary' AS s FROM documents WHERE doc_id % 6 <> 0 AND doc_id % 3 <> 0 AND doc_id % 5 IN (0, 1, 4) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0)
-SELECT doc, CASE WHEN k > 2 OR k = 1 THEN regexp_replace(t, '!\\[[^\\]]*\\]\\([^)]*\\)', '> Image description: ' || s, 'g') ELSE t || chr(10) || chr(10) || '> Image description: ' || s END || chr(10) AS markdown, 1 AS n_listed FROM r""")
+WITH {ocr_queries.CAPTIONS_SQL},
+w AS (SELECT *, category IN ('front_matter', 'blank_page') OR empty AS e FROM m WHERE pos = 0),
+s AS (SELECT doc_id, '> Image description: ' || summary AS said FROM w WHERE NOT (e AND confidence >= 0.75) AND (e OR action <> 'exclude')),
+r AS (SELECT {ocr_queries.PAGE_NAME} AS doc, doc_id, {ocr_queries.PAGE_TEXT_SQL} AS t, doc_id % 6 IN (0, 2) AS bare, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END AS n_listed FROM documents)
+SELECT doc, rtrim(CASE WHEN said IS NULL THEN t WHEN bare THEN rtrim(t) || chr(10) || chr(10) || said ELSE regexp_replace(t, '!\\[[^\\]]*\\]\\([^)]*\\)', said, 'g') END) || chr(10) AS markdown, n_listed FROM r LEFT JOIN s USING (doc_id)""")
 def enriched_sidecars(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 6 <> 0 AND doc_id % 3 <> 0 AND doc_id % 5 IN (0, 1, 4) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0")
+    docs = table(spark, sf_dir, "documents")
     name = F.expr(ocr_queries.PAGE_NAME)
     pages = docs.select(name.alias("doc"), F.expr(ocr_queries.PAGE_TEXT.replace("\n", "\\n")).alias("markdown"))
     said = ocr.captions(docs.select(name.alias("doc"), F.expr(ocr_queries.CAPTIONS).alias("value")), "doc", "value")
@@ -217,9 +218,9 @@ def enriched_sidecars(spark, sf_dir):
     return got.select("doc", "markdown", listed.alias("n_listed"))
 
 
-@query("SELECT doc_id AS doc, doc_id % 2 = 0 AS again FROM documents WHERE doc_id < 60")
+@query("SELECT doc_id AS doc, doc_id % 2 = 0 AS again FROM documents")
 def pages_read_once(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").filter("doc_id < 60").select(F.col("doc_id").alias("doc"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
     done = pages.filter("doc % 2 = 1").withColumn("value", F.lit("kept"))
     return ocr.read_pages(pages, done, lambda todo: todo.withColumn("value", F.lit("read"))).select("doc", (F.col("value") == "read").alias("again"))
 

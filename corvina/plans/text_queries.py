@@ -76,21 +76,21 @@ def separator_pages(spark, sf_dir):
 
 
 @query("""
-WITH i AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'data:image/png;base64,' || to_base64(encode(left(text, 24))) WHEN doc_id % 3 = 1 THEN to_base64(encode(left(text, 24))) ELSE '  ' END AS b FROM documents),
+WITH i AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'data:image/png;base64,' || to_base64(encode(text)) WHEN doc_id % 3 = 1 THEN to_base64(encode(text)) ELSE '  ' END AS b FROM documents),
 u AS (SELECT *, CASE WHEN trim(b) = '' THEN NULL WHEN starts_with(b, 'data:') THEN b ELSE 'data:image/jpeg;base64,' || b END AS url FROM i)
 SELECT doc_id, url, CAST(floor(length(string_split(url, ',')[-1]) * 3 / 4) AS BIGINT) AS approx, md5(from_base64(string_split(url, ',')[-1])) AS bytes_md5 FROM u""")
 def image_data_urls(spark, sf_dir):
-    raw = F.base64(F.substring("text", 1, 24).cast("binary"))
+    raw = F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit(""))
     b = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("data:image/png;base64,"), raw)).when(F.col("doc_id") % 3 == 1, raw).otherwise("  ")
     urls = table(spark, sf_dir, "documents").select("doc_id", ocr.data_url(b).alias("url"))
     return urls.select("doc_id", "url", X.approx_bytes(F.col("url")).alias("approx"), F.md5(ocr.decoded(F.col("url"))).alias("bytes_md5"))
 
 
 @query("""
-WITH u AS (SELECT lang, to_base64(encode(left(text, 9 + doc_id % 16))) AS b FROM documents)
+WITH u AS (SELECT lang, to_base64(encode(text)) AS b FROM documents)
 SELECT lang, CAST(sum(floor(length(b) * 3 / 4)) AS BIGINT) AS image_bytes, count(*) AS n_images FROM u GROUP BY lang""")
 def image_bytes_by_language(spark, sf_dir):
-    raw = F.concat(F.lit("data:image/jpeg;base64,"), F.base64(F.expr("substring(text, 1, 9 + cast(doc_id % 16 as int))").cast("binary")))
+    raw = F.concat(F.lit("data:image/jpeg;base64,"), F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")))
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(X.approx_bytes(raw)).alias("image_bytes"), F.count("*").alias("n_images"))
 
 
@@ -121,9 +121,9 @@ def flattened_values(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", jsontext.flattened(value).alias("flat"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '[\"\\\\]', '', 'g')) AS text_md5 FROM documents WHERE NOT regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')")
+@query(r"""SELECT doc_id, md5(regexp_replace(text, '["\\\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS text_md5 FROM documents""")
 def newlines_repaired(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).withColumn("t", F.regexp_replace("text", r'["\\]', ""))
+    plain = table(spark, sf_dir, "documents").withColumn("t", F.regexp_replace("text", r'["\\\x00-\x08\x0B\x0C\x0E-\x1F]', ""))
     broken = F.concat(F.lit('{"description": "'), "t", F.lit('"}'))
     return plain.select("doc_id", F.md5(F.get_json_object(jsontext.repaired(broken), "$.description").cast("binary")).alias("text_md5"))
 
@@ -192,20 +192,20 @@ def source_groups(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'validated_output' ELSE 'note' END AS type, CASE WHEN turn % 3 = 0 THEN '  ' ELSE ' ' || left(text, 20) END AS response, turn % 4 <> 0 AS ok FROM conversations)
+WITH e AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'validated_output' ELSE 'note' END AS type, CASE WHEN turn % 3 = 0 THEN '  ' ELSE ' ' || text END AS response, turn % 4 <> 0 AS ok FROM conversations)
 SELECT conv_id, turn, regexp_replace(response, '^\\s+|\\s+$', '', 'g') AS summary FROM e WHERE type = 'validated_output' AND regexp_replace(response, '^\\s+|\\s+$', '', 'g') <> '' AND ok""")
 def persisted_episodes(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.when(F.col("role") == "user", "validated_output").otherwise("note").alias("type"), F.lit(None).cast("string").alias("summary"),
-        F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), F.substring("text", 1, 20))).alias("response_text"), (F.col("turn") % 4 != 0).alias("validated"),
+        F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "text")).alias("response_text"), (F.col("turn") % 4 != 0).alias("validated"),
     )
     return payloads.episodes(rows).select("conv_id", "turn", "summary")
 
 
-@query(f"SELECT '{payloads.CAUTION}' AS text, 'L' || conv_id AS label, role AS description, left(text, 30) AS user_query, role AS input_description, 'ai' AS role, CASE turn % 2 WHEN 0 THEN '000' ELSE '100' END AS user_role FROM conversations WHERE turn < 3")
+@query(f"SELECT '{payloads.CAUTION}' AS text, 'L' || conv_id AS label, role AS description, text AS user_query, role AS input_description, 'ai' AS role, CASE turn % 2 WHEN 0 THEN '000' ELSE '100' END AS user_role FROM conversations")
 def cautious_replies(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("turn < 3")
-    asked = rows.select(F.substring("text", 1, 30).alias("user_message"), F.when(F.col("turn") % 2 == 0, "000").otherwise("100").alias("role"), F.concat(F.lit("L"), F.col("conv_id").cast("string")).alias("label"), F.col("role").alias("description"))
+    rows = table(spark, sf_dir, "conversations")
+    asked = rows.select(F.col("text").alias("user_message"), F.when(F.col("turn") % 2 == 0, "000").otherwise("100").alias("role"), F.concat(F.lit("L"), F.col("conv_id").cast("string")).alias("label"), F.col("role").alias("description"))
     return payloads.cautious(asked)
 
 
