@@ -41,14 +41,14 @@ def event_records(rows: DataFrame, dedupe: bool = False, order: str | None = Non
     return out.withColumn("metadata", F.create_map(F.lit("task_kind"), kind, F.lit("ATA_code"), ata))
 
 
-def drop_reasons(rows: DataFrame, pages: DataFrame, alias_of: Column, malformed: Column, id_: str = "chunk_id", order: str = "row_idx") -> DataFrame:
+def drop_reasons(rows: DataFrame, pages: DataFrame, alias_of: Column, malformed: Column, id_: str = "chunk_id", order: str = "row_idx", page: str = "doc") -> DataFrame:
     """rows with drop_reason: malformed, then missing_page, duplicate_chunk and alias, in this sequence; null stays.
 
     A row that falls earlier does not use up its chunk_id, and an alias document counts only while its canonical
-    document still has rows.
+    document still has rows. page: the column by which a row finds its page (doc of pages).
     """
     here = pages.select(F.col("doc").alias("_page")).distinct()
-    step = rows.withColumn("_bad", malformed).join(here, F.col("doc") == F.col("_page"), "left")
+    step = rows.withColumn("_bad", malformed).join(here, F.col(page) == F.col("_page"), "left")
     step = step.withColumn("drop_reason", F.when(F.col("_bad"), "malformed").when(F.col("_page").isNull(), "missing_page")).drop("_bad", "_page")
     first = F.row_number().over(Window.partitionBy(id_, F.col("drop_reason").isNull()).orderBy(order))
     step = step.withColumn("_n", first).withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("_n") > 1, "duplicate_chunk"))).drop("_n")

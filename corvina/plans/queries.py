@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.functions import text as X
-from corvina.operators import confidence, corpus, evaluation, fusion, lexical, memory, ontology, rewrite, routing, vector
+from corvina.operators import confidence, corpus, evaluation, fusion, joins, lexical, memory, ontology, rewrite, routing, vector
 from corvina.plans import hybrid, sql
 from corvina.plans.registry import ORACLE_SQL, QUERIES, WEIGHTS, documents_index, query, table
 from corvina.streaming import events as stream
@@ -283,13 +283,8 @@ def _canonical(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = docs.select(F.col("doc_id").alias("row_idx"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("page"), F.col("source").alias("doc"), F.md5(F.col("text").cast("binary")).alias("chunk_id"), (F.trim("text") == "").alias("bad"))
     seen = rows.join(labels.select(F.col("doc_id").alias("row_idx")), "row_idx", "left_semi").select(F.col("page").alias("doc"))
-    # pages are found by page name, aliases by document name
-    step = rows.withColumnRenamed("doc", "name").withColumnRenamed("page", "doc")
-    reasons = corpus.drop_reasons(step, seen, F.lit(None).cast("string"), F.col("bad"))
-    kept = reasons.filter("drop_reason IS NULL").select(F.col("name").alias("_target")).distinct()
-    alias = F.when(F.col("name").rlike("^src1[0-9]$"), F.concat(F.lit("src"), F.substring("name", -1, 1)))
-    out = reasons.withColumn("_a", alias).join(kept, F.col("_a") == F.col("_target"), "left")
-    return out.select("row_idx", F.col("name").alias("doc"), "chunk_id", F.coalesce("drop_reason", F.when(F.col("_target").isNotNull(), "alias")).alias("drop_reason"))
+    alias = F.when(F.col("doc").rlike("^src1[0-9]$"), F.concat(F.lit("src"), F.substring("doc", -1, 1)))
+    return corpus.drop_reasons(rows, seen, alias, F.col("bad"), page="page").select("row_idx", "doc", "chunk_id", "drop_reason")
 
 
 @query(_CANON_SQL + " SELECT row_idx, doc, chunk_id FROM c WHERE drop_reason IS NULL")
@@ -304,8 +299,7 @@ def canonical_audit(spark, sf_dir):
 
 @query("SELECT source AS doc_root, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
 def missing_page_counts(spark, sf_dir):
-    missing = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    return missing.groupBy(F.col("source").alias("doc_root")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_root")
+    return joins.counts_without_page(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", F.col("source"))
 
 
 @query("""
@@ -464,8 +458,8 @@ def linked_images(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS n FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 6")
 def linked_topk_per_key(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", rank.alias("n")).filter("n <= 6")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return joins.first_of_key(rows, "o_custkey", F.desc("o_totalprice"), "o_orderkey")
 
 
 WANTED = [7, 3, 3, 999999999, 1, 32, 7, 2]
@@ -474,7 +468,7 @@ WANTED = [7, 3, 3, 999999999, 1, 32, 7, 2]
 @query(f"SELECT CAST(w.pos AS INT) AS pos, o_orderkey, o_custkey, o_orderstatus FROM (SELECT unnest({WANTED}) AS id, generate_subscripts({WANTED}, 1) - 1 AS pos) w JOIN orders ON o_orderkey = id")
 def id_list_lookup(spark, sf_dir):
     ids = spark.range(1).select(F.posexplode(F.lit(WANTED)).alias("pos", "id"))
-    return table(spark, sf_dir, "orders").join(F.broadcast(ids), F.col("o_orderkey") == F.col("id")).select("pos", "o_orderkey", "o_custkey", "o_orderstatus").orderBy("pos")
+    return joins.lookup_in_order(table(spark, sf_dir, "orders"), "o_orderkey", ids).select("pos", "o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query("""
@@ -483,16 +477,15 @@ g AS (SELECT id, max(pos) AS pos, string_agg(content, '|' ORDER BY pos) AS highl
 SELECT c_custkey, c_name, pos, highlights FROM customer JOIN g ON id = c_custkey""")
 def reorder_join_highlights(spark, sf_dir):
     hits = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("content"))
-    g = hits.groupBy("id").agg(F.max("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "|").alias("highlights"))
-    return table(spark, sf_dir, "customer").join(g, F.col("c_custkey") == F.col("id")).select("c_custkey", "c_name", "pos", "highlights").orderBy("pos")
+    return joins.with_highlights(table(spark, sf_dir, "customer"), "c_custkey", hits).select("c_custkey", "c_name", "pos", "highlights")
 
 
 @query("SELECT c_custkey, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS ATA_code, coalesce(n_name, 'Unknown') AS category FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2")
 def dimension_enrichment(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").filter("n_regionkey <> 2").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("code"), "n_name")
-    doc = F.concat(F.lit("ATA-"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("-x"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract(doc, r"^ATA-(\d{2})", 1).alias("ATA_code"))
-    return rows.join(F.broadcast(names), F.col("ATA_code") == F.col("code"), "left").select("c_custkey", "ATA_code", F.coalesce("n_name", F.lit("Unknown")).alias("category"))
+    code = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    names = table(spark, sf_dir, "nation").filter("n_regionkey <> 2").select(code("n_nationkey").alias("ATA_code"), F.col("n_name").alias("ATA_category"))
+    found = joins.with_category(table(spark, sf_dir, "customer"), F.concat(F.lit("ATA-"), code("c_nationkey"), F.lit("-x")), names)
+    return found.select("c_custkey", "ATA_code", F.col("ATA_category").alias("category"))
 
 
 # ---- memory

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvina.functions.text import js_trim
-from corvina.operators import lexical
+from corvina.operators import joins, lexical
 from corvina.sources import shared
 
 TECH_COLUMNS = ("doc", "doc_root", "json_data", "chunk", "length", "chunk_id", "ata", "parts", "doc_type")
@@ -105,10 +105,10 @@ def read_json_objects(spark: SparkSession, path: str, ata: DataFrame | None = No
     """
     rows = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).withColumn("doc", F.col("_metadata.file_name"))
     rows = rows.withColumn("payload", F.from_json("value", "map<string,string>")).filter(F.col("payload").isNotNull() & F.coalesce(F.try_parse_json("value").isNotNull(), F.lit(False)))
-    rows = rows.select("doc", F.regexp_replace("doc", r"\.json$", "").alias("nc_event_id"), "payload", F.nullif(F.regexp_extract("doc", r"^ATA-(\d{2})", 1), F.lit("")).alias("ATA_code"))
+    rows = rows.select("doc", F.regexp_replace("doc", r"\.json$", "").alias("nc_event_id"), "payload")
     if ata is None:
-        return rows
-    return rows.join(shared.broadcast_if_small(ata, 64), "ATA_code", "left").withColumn("ATA_category", F.coalesce("ATA_category", F.lit("Unknown")))
+        return rows.withColumn("ATA_code", F.nullif(F.regexp_extract("doc", r"^ATA-(\d{2})", 1), F.lit("")))
+    return joins.with_category(rows, F.col("doc"), ata)
 
 
 def is_safe_name(name):

@@ -218,6 +218,26 @@ def test_images_meet_parts_by_any_value(spark):
     assert got == {(f"part:s{j}", f"image:i{k}") for k, v in enumerate(values) for j, n in enumerate(names) if v.lower() in n.lower() or n.lower() in v.lower()}
 
 
+def test_images_meet_parts_as_a_cross_product_does(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ab C-") for _ in range(rng.randint(1, n)))
+    images = [(f"i{k}", f"d{k % 3}", word(12), word(30) if k % 4 else None, [word(5) for _ in range(rng.randint(0, 2))], [word(3) for _ in range(rng.randint(0, 2))], [], ["x"] if k % 2 else []) for k in range(40)]
+    parts = [(f"s{k}", word(9), [word(4) for _ in range(rng.randint(0, 2))], [f"d{k % 4}"]) for k in range(30)]
+    low = lambda x: x.lower()
+    want = {}
+    for i, doc, caption, said, listed, seen, refs, flows in images:
+        for slug, name, aliases, docs in parts:
+            names = [low(a.strip(" ")) for a in {name, *aliases, slug} if len(a.strip(" ")) >= 3]
+            meets = lambda values: any(low(v) in a or a in low(v) for v in values for a in names)  # noqa: B023, E731
+            tells = any(a in low(caption) or (said and a in low(said)) for a in names)
+            score = 5 * meets(listed) + 4 * meets(seen) + 3 * tells + (doc in docs) + bool(refs) + bool(flows)
+            if (meets(listed) or meets(seen) or tells) and score >= 3:
+                want[f"part:{slug}", f"image:{i}"] = score
+    df = spark.createDataFrame(images, "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>")
+    p = spark.createDataFrame(parts, "slug string, canonical_name string, aliases array<string>, supporting_docs array<string>")
+    assert {(r["from"], r.to): r.score for r in ontology.image_relations(df, p).collect()} == want and len(want) > 50
+
+
 def test_image_scores(spark):
     image = [("a220-1", "A220_page_1.pdf", "Starter Air Valve location", "The starter air valve feeds", ["Starter Air Valve"], ["starter air valve"], ["Fig 1"], ["feeds"], "wiki/x.png")]
     images = spark.createDataFrame(image, "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>, asset_path string")

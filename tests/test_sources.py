@@ -146,8 +146,11 @@ def run_stream(spark, tmp_path, batches, schema, make, mode="update", name="out"
 
         os.utime(source / f"{i}.json", (1_000_000 + i, 1_000_000 + i))
     query = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert query.exception() is None
+    try:
+        query.awaitTermination(25)  # a query with timeouts of processing time does not end by itself
+        assert query.exception() is None
+    finally:
+        query.stop()
     return spark.table(name).collect()
 
 
@@ -164,6 +167,18 @@ def test_session_stream(spark, tmp_path):
     assert (1, 4, 3, 6, "user: t3\nuser: t4\nuser: t5\nuser: t6") in {tuple(r) for r in got}
 
 
+def test_frame_stream(spark, tmp_path):
+    piece = lambda i, t: {"request_id": "a", "seq": i, "text": t}
+    batches = [[piece(0, "event: x\nda"), piece(1, "ta: 1\n")], [piece(2, "\ndata: 2\r\n\r\nda"), piece(3, "ta: 3\n\ndata: 4")]]
+    got = run_stream(spark, tmp_path, batches, "request_id string, seq long, text string", events.frame_stream, name="frames", mode="append")
+    assert sorted((r.n, r.block) for r in got) == [(0, "event: x\ndata: 1"), (1, "data: 2"), (2, "data: 3")]
+
+
+def test_framed_pieces_flush_the_last_block(spark):
+    rows = spark.createDataFrame([(1, 2, "ta: 3"), (1, 0, "data: 1\n"), (1, 1, "\nda"), (2, 0, None)], "k int, s int, t string")
+    assert [(r.k, r.seq, r.data) for r in events.framed(rows, "k", "s", "t").orderBy("seq").collect()] == [(1, 0, "1"), (1, 1, "3")]
+
+
 def test_window_stream(spark, tmp_path):
     row = lambda h, v: {"ts": f"2024-01-01T{h:02}:00:00", "event_type": "a", "value": v}
     got = run_stream(spark, tmp_path, [[row(1, 1.0), row(2, 2.0)], [row(3, 4.0)]], "ts timestamp, event_type string, value double", events.event_windows, name="win")
