@@ -318,6 +318,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_partition: int = 50_000,
     done, loose = [], rows
     for r in range(rounds):
         packed = C.materialise(_pack(loose, partitions, r, capacity), f"packed{r}")
+        if r == 0:
+            C.release(rows)
         n, tasks = packed.filter("loose").agg(F.count("*"), F.count_distinct(F.shiftright("sequence_id", 28))).first()
         fewer = max(1, math.ceil(n / per_partition))
         if tasks < 2 or r == rounds - 1:

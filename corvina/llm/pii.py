@@ -165,7 +165,7 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def disclosing(scanned: DataFrame, threshold: float, min_docs: int) -> DataFrame:
-    """(row, t, disclosure) of the words of each document that tell enough of one of its entities.
+    """(row, t, disclosure), written, of the words of each document that tell enough of one of its entities.
 
     An entity and a word count as seen together in every document that holds both. Pairs are made only where the counts
     of the two allow the threshold at all: n_et is at most n_e and n_t, and the disclosure rises with it.
@@ -190,13 +190,17 @@ def disclosing(scanned: DataFrame, threshold: float, min_docs: int) -> DataFrame
     together = C.materialise(together.select("row", "e", "t", "n_e", "n_t", "times"), "together")
     pairs = together.groupBy("e", "t").agg(F.sum("times").alias("n_et"), F.min("n_e").alias("n_e"), F.min("n_t").alias("n_t")).filter(F.col("n_et") >= min_docs)
     telling = C.materialise(pairs.select("e", "t", disclosure(F.col("n_et")).alias("disclosure")).filter(F.col("disclosure") >= threshold), "telling")
-    return together.select("row", "e", "t").join(broadcast_if_small(telling, 48), ["e", "t"]).groupBy("row", "t").agg(F.max("disclosure").alias("disclosure"))
+    told = together.select("row", "e", "t").join(broadcast_if_small(telling, 48), ["e", "t"]).groupBy("row", "t").agg(F.max("disclosure").alias("disclosure"))
+    told = C.materialise(told, "disclosing")
+    for step in (entities, named, here, together, telling):
+        C.release(step)
+    return told
 
 
 def find(docs: DataFrame, threshold: float = 0.9, removal: float = 0.97, min_docs: int = 3) -> DataFrame:
     """row, doc_id, counts, base and added (array of kind, start, end) of every row of docs."""
     scanned = C.materialise(scan(docs), "pii")
-    telling = broadcast_if_small(C.materialise(disclosing(scanned, threshold, min_docs), "disclosing"), 64)
+    telling = broadcast_if_small(disclosing(scanned, threshold, min_docs), 64)
     rows = scanned.filter(F.col("row").isNotNull())
     words = rows.filter(F.size("entities") > 0).select("row", F.explode("words").alias("w")).select("row", "w.*").filter("s >= 0")
     kind = F.when(F.col("disclosure") >= removal, ADDED[1]).otherwise(ADDED[0]).alias("kind")

@@ -147,15 +147,21 @@ def shards(nodes: DataFrame, radius: int, agreeing: int) -> DataFrame:
 
 def links(nodes: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     """Links (a, b) that join the distinct fingerprints fp of nodes as all links within radius would."""
+    return _links(nodes, radius, shard)[0]
+
+
+def _links(nodes: DataFrame, radius: int, shard: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """links(), and the written tables that they are read from."""
     rows = shards(nodes, radius, 2)
     sizes = C.materialise(rows.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
     small = rows.join(sizes.filter(F.col("n") <= shard).drop("n"), ["choice", "bits"], "left_semi")
     found = _tree_links(small.withColumns({"i": F.lit(0), "j": F.lit(0)}), radius)
     large = sizes.filter(F.col("n") > shard)
     if large.isEmpty():
-        return found
+        return found, (sizes,)
     crowded = rows.join(F.broadcast(large.drop("n")) if C.small_enough(large, 24) else large.drop("n"), ["choice", "bits"], "left_semi")
-    return found.unionByName(_tree_links(_chunked(C.materialise(crowded.select("fp").distinct(), "crowded"), radius, shard), radius))
+    crowded = C.materialise(crowded.select("fp").distinct(), "crowded")
+    return found.unionByName(_tree_links(_chunked(crowded, radius, shard), radius)), (sizes, crowded)
 
 
 def _chunked(nodes: DataFrame, radius: int, shard: int) -> DataFrame:
@@ -201,14 +207,18 @@ def _links_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(table[:, 0].copy()), pa.array(table[:, 1].copy())], ["a", "b"])
 
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def components(pairs: DataFrame, rounds: int = 40, read: tuple[DataFrame, ...] = ()) -> DataFrame:
     """id and label (smallest id of its component) of all ids in pairs (a, b), by large-star and small-star steps.
 
+    read: written tables that nothing but pairs reads; they are deleted.
+
     Every step is a grouped minimum and an equi-join, so no component is gathered in one task; every round is written to
     the shared folder, and the previous one deleted.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = C.materialise(pairs.filter("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "edges")
+    for step in read:
+        C.release(step)
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -242,7 +252,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, shard: int
 
 def with_label(nodes: DataFrame, radius: int, shard: int) -> DataFrame:
     """nodes with label, which names the component of their fp."""
-    labels = components(links(nodes, radius, shard))
+    pairs, read = _links(nodes, radius, shard)
+    labels = components(pairs, read=read)
     return nodes.join(labels, nodes.fp == labels.id, "left").withColumn("label", F.coalesce("label", "fp")).drop("id")
 
 
