@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import language, lines, packing, pii, simhash
-from corvina.llm.common import documents_of, free_name, materialise, quoted, small_enough
+from corvina.llm.common import documents_of, free_name, materialise, quoted, release, small_enough
 from corvina.llm.queries import WORD_BPE
 
 #: No SQL expresses the classifier, the fingerprints or the tokenizer; tests compare with brute-force versions.
@@ -82,9 +82,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; the tables of the others are deleted as soon as the next one is written."""
     docs = documents_of(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
