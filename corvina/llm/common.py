@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 19
 #: Largest table, in rows times the row width given by the caller, that may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: A key of more than this part of all rows counts as hot.
+HOT = 100_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -57,6 +59,21 @@ def small_enough(df: DataFrame, row_bytes: int) -> bool:
     return df.count() * row_bytes <= BROADCAST_BYTES
 
 
+def join_counted(rows: DataFrame, named: DataFrame, on: str, row_bytes: int) -> DataFrame:
+    """rows joined by on with a written table named: a row for each key, n being the rows that have it.
+
+    named is broadcast if it is small. Else keys of more than a part in HOT of all rows, fewer than HOT keys, are, so that
+    a key of very many rows never makes one task's group; the others are joined by shuffle.
+    """
+    keys, total = named.agg(F.count("*"), F.sum("n")).first()
+    pairs = named.drop("n")
+    if keys * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(pairs), on)
+    hot = named.filter(F.col("n") > total // HOT).drop("n")
+    rare = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(pairs, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rare)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df has it (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -25,8 +25,6 @@ from corvina.llm import common as C
 STRIP = " \t\n\x0b\x0c\r"
 #: Documents of a batch, and the most batches: of a larger corpus, batches are larger.
 BATCH_DOCS, MOST_BATCHES = 100_000, 32
-#: A key of more than this part of all keys is joined by broadcast; there are fewer of them than this number.
-HOT = 100_000
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -138,24 +136,13 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
         runs.add(part.agg(F.max("doc_id").alias("keeper"), F.count("*").alias("n")))
     dropped = C.materialise(runs.merged().filter(F.col("n") >= min_docs), "dropped")
     runs.drop()
-    losing = join_keys(keys.select("doc_id", "h"), dropped).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    losing = C.join_counted(keys.select("doc_id", "h"), dropped, "h", 48).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = C.materialise(losing.groupBy("doc_id").agg(F.collect_set("h").alias("drop")), "drops")
     C.release(keys)
     C.release(dropped)
     return drops
 
 
-def join_keys(keys: DataFrame, dropped: DataFrame) -> DataFrame:
-    """keys with the keeper of those that are dropped. Keys that very many documents hold never make one task's group."""
-    n, total = dropped.agg(F.count("*"), F.sum("n")).first()
-    pairs = dropped.select("h", "keeper")
-    if n * 48 <= C.BROADCAST_BYTES:
-        return keys.join(F.broadcast(pairs), "h")
-    hot = dropped.filter(F.col("n") > total // HOT).select("h", "keeper")  # fewer than HOT keys
-    rare = keys.join(F.broadcast(hot.select("h")), "h", "left_anti").join(pairs, "h")
-    return keys.join(F.broadcast(hot), "h").unionByName(rare)
-
-
 def _with_drops(docs: DataFrame, drops: DataFrame, columns: list[str]) -> DataFrame:
     """The columns and, last, the hashes that the row loses."""
     held = drops.agg(F.count("*"), F.sum(F.size("drop"))).first()

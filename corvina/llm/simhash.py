@@ -243,11 +243,11 @@ def components(pairs: DataFrame, rounds: int = 40, read: tuple[DataFrame, ...] =
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, shard: int = SHARD) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row."""
     fps = C.materialise(fingerprints(docs, words), "fingerprints")
-    nodes = C.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "nodes")
+    nodes = C.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n")), "nodes")
     labelled = with_label(nodes, radius, shard)
     least = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    of_fp = labelled.select("fp", "label").join(least, "label").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = C.materialise(labelled.select("fp", "label", "n").join(least, "label").select("fp", "n", "component_id"), "components")
+    return C.join_counted(fps, named, "fp", 40).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def with_label(nodes: DataFrame, radius: int, shard: int) -> DataFrame:

@@ -102,7 +102,7 @@ def test_lines_in_many_batches(spark, sf, make, monkeypatch):
     want = sorted(lines.repeated_lines(spark.read.parquet(f"{sf}/documents.parquet")).collect())
     assert [(d, sorted(map(bytes, h))) for d, h in got] == [(d, sorted(map(bytes, h))) for d, h in want] and got
     monkeypatch.setattr(lines.C, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(lines, "HOT", 3)
+    monkeypatch.setattr(lines.C, "HOT", 3)
     shared = [f"a line that is in all of them\na line that is in few of them {i // 4}" for i in range(40)]
     assert sorted(map(tuple, lines.line_dedup(make(shared)).collect())) == brute_lines([*enumerate(shared)])
 
@@ -149,6 +149,14 @@ def test_simhash(spark, sf):
     assert any(d != c for d, _, c in got)
 
 
+def test_simhash_without_broadcast(make, monkeypatch):
+    monkeypatch.setattr(simhash.C, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(simhash.C, "HOT", 3)
+    texts = [f"one two three four {'five' if i % 2 else i}" for i in range(40)] + [None] * 30
+    got = simhash.near_duplicates(make(texts)).collect()
+    assert len(got) == 70 and {tuple(r) for r in got} == brute_components([(i, brute_fingerprint(t)) for i, t in enumerate(texts)])
+
+
 def test_simhash_edges(edges, empty):
     got = simhash.near_duplicates(edges).collect()
     assert len(got) == len(EDGES) + 1
