@@ -53,7 +53,7 @@ def stratified_sample(rows: DataFrame, id_: str, order: str, limit: int, strata:
     picked = even_picks(rows, "stratum", order, max(1, limit // strata))
     # at most limit rows are needed to fill up, so ranks are taken on top-k rows and never on all
     rest = rows.join(picked.select(id_), id_, "left_anti").orderBy(order, id_).limit(limit).withColumn("_filled", F.lit(1))
-    both = picked.withColumn("_filled", F.lit(0)).unionByName(rest.select(*picked.columns, "_filled"))
+    both = picked.withColumn("_filled", F.lit(0)).unionByName(rest)
     return both.orderBy("_filled", order, id_).limit(max(limit, 1)).drop("_filled")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvina.functions import text as X
+from corvina.functions.providers import with_caption
 from corvina.operators import corpus, ocr, profiles, routing
-from corvina.plans import sql
+from corvina.plans import build, sql
 from corvina.plans.registry import query, table
 
 #: Pages of two layouts with up to two images; texts of the documents' languages and sources only, so that JSON needs no escapes.
@@ -234,3 +235,40 @@ def replayed_calibration(spark, sf_dir):
     cached = pages.filter("doc % 3 = 0").withColumn("route", route)
     named = labels.select(F.col("doc_id").alias("doc"), F.when(F.col("quality") == 1, "nano_sufficient").otherwise("deep_required").alias("label"))
     return routing.replay(pages, cached, lambda todo: todo.withColumn("route", route), named)
+
+
+@query(f"SELECT 'primary' AS phase, 'm' AS model, count(*) AS n_requests, count(DISTINCT {ID_SQL}) AS n_ids FROM documents WHERE doc_id % 4 <> 0")
+def batch_manifest(spark, sf_dir):
+    asked = profiles.requests(_batch_pages(spark, sf_dir), "primary", "m", 500)
+    return profiles.batch_manifest(asked, "primary", "m").drop("ids_mark")
+
+
+@query("SELECT count(*) AS requested, count(*) FILTER (WHERE doc_id % 5 <> 3) AS answered, count(*) FILTER (WHERE doc_id % 5 IN (1, 2, 4)) AS failed, count(*) FILTER (WHERE doc_id % 5 = 3) AS open FROM documents WHERE doc_id % 4 <> 0")
+def batch_status(spark, sf_dir):
+    asked = profiles.requests(_batch_pages(spark, sf_dir), "primary", "m", 500)
+    return profiles.batch_status(asked, batch_results(spark, sf_dir))
+
+
+class _LengthCaptioner:
+    """Says how long a page is; a stand-in for a model."""
+
+    def caption(self, doc: str, markdown: str) -> str:
+        return f"{doc}: {len(markdown)}"
+
+
+@query("SELECT doc_id, 'd' || doc_id || ': ' || length(text) AS caption FROM documents")
+def offline_captions(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.format_string("d%d", "doc_id").alias("doc"), F.col("text").alias("markdown"))
+    return with_caption(rows, _LengthCaptioner()).select("doc_id", "caption")
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, lang, {PAGE_NAME} AS doc, doc_id % 2 = 0 AS kept FROM documents)
+SELECT doc, 0 AS pos, CASE WHEN kept THEN 'old ' ELSE 'new ' END || lang AS chunk, doc || ' 0' AS chunk_id, 'index' AS action, 'technical-content' AS reason FROM p""")
+def ocr_pipeline(spark, sf_dir):
+    """Every second page was read before; the others are read now. No page has a caption."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.expr(PAGE_NAME).alias("doc"))
+    said = lambda word: F.concat(F.lit('{"markdown": "' + word + " "), "lang", F.lit('"}'))
+    done = docs.filter("doc_id % 2 = 0").select("doc", said("old").alias("value"))
+    none = docs.limit(0).select("doc", F.lit("").alias("value"))
+    return build.ocr_corpus(docs, done, lambda todo: todo.withColumn("value", said("new")), none)
