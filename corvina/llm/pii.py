@@ -14,7 +14,6 @@ kind never overlap.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 
