@@ -12,7 +12,7 @@ from corvina.plans.registry import ORACLE_SQL, QUERIES, WEIGHTS, documents_index
 from corvina.streaming import events as stream
 
 #: The stated queries of the full-text searches.
-ASKED = [(1, "und der"), (2, "les que ment"), (3, "thing hand"), (4, "zzzz und"), (5, "Ción ado"), (6, "aucun résultat zzzz"), (7, "heit"), (8, "the the of")]
+ASKED = [(1, "und der"), (2, "les que ment"), (3, "thing hand"), (4, "zzzz und"), (5, "Ción ado"), (6, "aucun résultat zzzz"), (7, "heit"), (8, "the the of"), (9, "licensed apache version"), (10, "rights reserved"), (11, "mail 12")]
 DOC_ROWS = "SELECT doc_id AS id, doc_id, source, text FROM documents"
 
 

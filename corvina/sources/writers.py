@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pandas as pd
@@ -62,7 +63,7 @@ def write_files(df: DataFrame, path: str) -> None:
 
     Each task stages a file beside its place and renames it, so a task that is run again leaves whole files.
     """
-    target = path.removeprefix("file://") if path.startswith("file://") else path
+    target = re.sub("^file:(//)?", "", path)
     content = F.col("content").cast("binary")
 
     def put(rows):
