@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,8 +147,10 @@ def run_stream(spark, tmp_path, batches, schema, make, mode="update", name="out"
 
         os.utime(source / f"{i}.json", (1_000_000 + i, 1_000_000 + i))
     query = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination(25)  # a query with timeouts of processing time does not end by itself
+    end = time.time() + 90
+    try:  # a query with timeouts of processing time does not end by itself
+        while query.isActive and time.time() < end and sum(p["numInputRows"] for p in query.recentProgress) < sum(map(len, batches)):
+            time.sleep(0.3)
         assert query.exception() is None
     finally:
         query.stop()
