@@ -28,19 +28,36 @@ def candidates(records: DataFrame) -> DataFrame:
     ).withColumn("slug", X.slugify(F.col("raw"))).filter("slug <> ''")
 
 
-def parts(found: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def supports(found: DataFrame) -> DataFrame:
+    """Edges (slug, doc): the documents that name a part, as rows, for parts that very many documents name."""
+    return found.select("slug", "doc").filter(F.col("doc").isNotNull()).distinct()
+
+
+def first_values(found: DataFrame, column: str, name: str, most: int) -> DataFrame:
+    """slug, the first most distinct values of a column as an array, and how many there are; each task cuts its own first."""
+    rows = found.select("slug", F.col(column).alias("v")).filter("v IS NOT NULL").distinct()
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("slug").orderBy("v"))).filter(F.col("_n") <= most)
+    return first.groupBy("slug").agg(collected("v").alias(name)).join(rows.groupBy("slug").agg(F.count("*").alias(f"n_{name}")), "slug")
+
+
+def parts(found: DataFrame, names: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """One row for each slug: seed name by row order, all aliases, numbers, codes, zones, documents and first three snippets.
 
-    names (slug, name): canonical names given by a model; a part without one goes by its seed name.
+    names (slug, name): canonical names given by a model; a part without one goes by its seed name. most: the documents and
+    chunks that a row lists, beside the number of all (n_supporting_docs, n_supporting_chunks); supports() has all of them.
 
     Snippets are cut to three before the shuffle's end by a window rank, so a part of many rows gathers three of them.
     """
     first = F.row_number().over(Window.partitionBy("slug").orderBy("row_idx", "raw"))
     snippets = found.withColumn("_n", first).filter("_n <= 3").groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "snippet"))), lambda x: x["snippet"]).alias("snippets"))
+    listed = {"doc": "supporting_docs", "chunk_id": "supporting_chunks"}
     whole = found.groupBy("slug").agg(
         F.min_by("raw", F.struct("row_idx", "raw")).alias("seed"), collected("raw").alias("aliases"), nested("part_numbers").alias("part_numbers"), nested("ata_codes").alias("ata_codes"),
-        nested("zones").alias("zones"), collected("doc").alias("supporting_docs"), collected("chunk_id").alias("supporting_chunks"),
+        nested("zones").alias("zones"), *([collected(c).alias(n) for c, n in listed.items()] if most is None else []),
     )
+    if most is not None:
+        for c, n in listed.items():
+            whole = whole.join(first_values(found, c, n, most), "slug", "left").withColumns({n: F.coalesce(n, F.array().cast("array<string>")), f"n_{n}": F.coalesce(f"n_{n}", F.lit(0))})
     out = whole.join(snippets, "slug")
     titled = X.title_case(F.col("seed"))
     if names is None:
@@ -110,9 +127,11 @@ def _by_rarest(keys: DataFrame, rows: DataFrame, left_id: str, right_id: str) ->
     return counted.filter("all").select(left_id, "g").distinct().join(rows, "g").select(left_id, right_id)
 
 
-def image_relations(images: DataFrame, part_rows: DataFrame) -> DataFrame:
+def image_relations(images: DataFrame, part_rows: DataFrame, supported: DataFrame | None = None) -> DataFrame:
     """Links of images (id, doc, caption, technical_description and the arrays of its caption) with parts.
 
+    supported: the edges of supports(), for part rows that do not list all their documents.
+
     Images and parts meet by a piece first: a text that holds an alias holds all its pieces of three letters, and an alias
     that holds a value all of the value's, or a shorter value itself. So each alias meets texts, and each value aliases, by
     the one of its pieces that the fewest of them have, and one with a piece that none has meets nothing: common letters
@@ -132,10 +151,14 @@ def image_relations(images: DataFrame, part_rows: DataFrame) -> DataFrame:
     holding = _by_rarest(values.select("id", F.col("x").alias("key"), F.explode(own).alias("g")), of_names, "id", "slug")
     meet = held.select("slug", "id").unionByName(holding.select("slug", "id")).distinct()
     both = meet.join(p, "slug").join(images, "id")
+    backed = F.array_contains("supporting_docs", F.col("doc"))
+    if supported is not None:
+        both = both.join(supported.select("slug", "doc", F.lit(True).alias("_backed")), ["slug", "doc"], "left")
+        backed = F.coalesce("_backed", F.lit(False))
     score, reasons, holds = image_score(
         X.lists_alias(F.col("part_or_zone_candidates"), F.col("names")), X.lists_alias(F.col("visible_identifiers"), F.col("names")),
         X.includes_alias(F.col("technical_description"), F.col("names")) | X.includes_alias(F.col("caption"), F.col("names")),
-        F.array_contains("supporting_docs", F.col("doc")), F.size("figure_or_table_refs") > 0, F.size("relationships_or_flows") > 0,
+        backed, F.size("figure_or_table_refs") > 0, F.size("relationships_or_flows") > 0,
     )
     return both.filter(holds).select(F.concat(F.lit("part:"), "slug").alias("from"), F.lit("illustrated_by").alias("relation"), F.concat(F.lit("image:"), "id").alias("to"), "doc", score.alias("score"), reasons.alias("reasons"))
 

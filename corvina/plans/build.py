@@ -9,6 +9,8 @@ from corvina.functions.providers import Embedder, with_embedding
 from corvina.operators import corpus, ocr, ontology
 from corvina.sources import readers, shared, writers
 
+#: Documents and chunks that the row and the page of a part list.
+LISTED = 1000
 WEIGHTS = {"doc": 8.0, "chunk_id": 4.0, "content": 1.0}
 
 
@@ -21,12 +23,13 @@ def build(records: DataFrame, events: DataFrame, path: str, embedder: Embedder,
     writers.write_vectors(with_embedding(records, "content", embedder), f"{path}/vectors")
     writers.write_index(records, f"{path}/index", "row_idx", WEIGHTS)
     found = ontology.candidates(records)
-    ontology.parts(found).write.mode("overwrite").parquet(f"{path}/parts")
+    ontology.supports(found).write.mode("overwrite").parquet(f"{path}/supports")
+    ontology.parts(found, most=LISTED).write.mode("overwrite").parquet(f"{path}/parts")
     parts = spark.read.parquet(f"{path}/parts")
     ontology.relations(parts).write.mode("overwrite").parquet(f"{path}/relations")
     ontology.occurrences(events).write.mode("overwrite").parquet(f"{path}/occurrences")
     occurrences = spark.read.parquet(f"{path}/occurrences")
-    pages = wiki_pages(parts, occurrences, images)
+    pages = wiki_pages(parts, occurrences, images, spark.read.parquet(f"{path}/supports"))
     pages.write.mode("overwrite").parquet(f"{path}/wiki")
     mark = corpus.fingerprint(records, ["doc", "chunk_id", "content"], "row_idx")
     counts = {n: spark.read.parquet(f"{path}/{n}") for n in ("parts", "relations", "occurrences", "wiki")} | {"vectors": readers.read_vectors(spark, f"{path}/vectors")}
@@ -35,21 +38,25 @@ def build(records: DataFrame, events: DataFrame, path: str, embedder: Embedder,
     return out
 
 
-def wiki_pages(parts: DataFrame, occurrences: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """slug, title and markdown of every part; images: (id, doc, caption, ... asset_path), linked by score."""
+def wiki_pages(parts: DataFrame, occurrences: DataFrame, images: DataFrame | None = None, supported: DataFrame | None = None) -> DataFrame:
+    """slug, title and markdown of every part; images: (id, doc, caption, ... asset_path), linked by score.
+
+    parts: rows of ontology.parts(), with or without a limit on what they list; supported: the edges of ontology.supports().
+    """
     numbers = parts.select("slug", F.explode("part_numbers").alias("number"))
     of = occurrences.select("doc", F.explode("part_numbers").alias("number"))
     linked = ontology.shared(numbers, of, "slug", "doc", "number", "doc", 10).groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "doc"))), lambda x: x["doc"]).alias("linked"))
     page = parts.join(linked, "slug", "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<string>")))
     shown = None
     if images is not None:
-        best = ontology.linked_images(ontology.image_relations(images, parts), images)
+        best = ontology.linked_images(ontology.image_relations(images, parts, supported), images)
         title = F.coalesce(F.get("figure_or_table_refs", F.lit(0)), F.col("doc"))
         lines = F.concat(F.lit("- !["), title, F.lit("](../"), F.regexp_replace("asset_path", "^wiki/", ""), F.lit(")\n  - Source: ["), F.col("doc"), F.lit("](../../pages/"), F.col("doc"), F.lit(")"), F.when(F.col("caption") != "", F.concat(F.lit("\n  - Summary: "), F.col("caption"))).otherwise(""))
         best = best.groupBy(F.substring(F.col("from"), 6, 1000).alias("slug")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", lines.alias("line")))), lambda x: x["line"]).alias("image_lines"))
         page = page.join(best, "slug", "left").withColumn("image_lines", F.coalesce("image_lines", F.array().cast("array<string>")))
         shown = F.col("image_lines")
-    described = F.concat(F.col("canonical_name"), F.lit(" in "), F.size("supporting_docs").cast("string"), F.lit(" documents."))
+    n_docs = F.col("n_supporting_docs") if "n_supporting_docs" in parts.columns else F.size("supporting_docs")
+    described = F.concat(F.col("canonical_name"), F.lit(" in "), n_docs.cast("string"), F.lit(" documents."))
     text = ontology.wiki_markdown(F.col("slug"), F.col("canonical_name"), described, F.col("ata_codes"), F.col("zones"), F.col("aliases"), F.col("part_numbers"), F.col("supporting_docs"), F.col("linked"), shown)
     return page.select("slug", F.col("canonical_name").alias("title"), text.alias("markdown"))
 

@@ -209,6 +209,17 @@ def test_neighbours_share_one_of_several_values(spark):
     assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 1, (3, 2): 2, (6, 1): 1, (6, 2): 2}
 
 
+def test_parts_list_some_documents_and_keep_all_edges(spark):
+    rows = [(i, f"d{i}", f"c{i % 4}", "text", "", "fuel door") for i in range(9)] + [(9, None, None, "text", "", "Fuel  door; oil pump")]
+    found = ontology.candidates(spark.createDataFrame(rows, "row_idx long, doc string, chunk_id string, content string, ata string, parts string"))
+    cut = {r.slug: r for r in ontology.parts(found, most=3).collect()}
+    assert (cut["fuel-door"].supporting_docs, cut["fuel-door"].n_supporting_docs, cut["fuel-door"].n_supporting_chunks) == (["d0", "d1", "d2"], 9, 4)
+    assert (cut["oil-pump"].supporting_docs, cut["oil-pump"].n_supporting_docs) == ([], 0)
+    images = spark.createDataFrame([("i", "d8", "the fuel door", None, [], [], [], [])], "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>")
+    whole = ontology.image_relations(images, ontology.parts(found)).collect()
+    assert whole == ontology.image_relations(images, ontology.parts(found, most=3), ontology.supports(found)).collect() and whole[0].score == 4
+
+
 def test_images_meet_parts_by_any_value(spark):
     values = ["P2", "rame", "shie", "A", "", "xno 1 a by", "zz"]
     images = spark.createDataFrame([(f"i{k}", "d", "", None, [], [v], [], []) for k, v in enumerate(values)], "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>")
