@@ -11,24 +11,16 @@ from corvina.plans.registry import WEIGHTS, documents_index, query, table
 from corvina.sources import readers, shared, writers
 
 #: Columns of a technical document's row: names, JSON and text with tabs, quotes, backslashes and line ends in them.
-TECH = "concat('doc', doc_id, '.pdf') AS doc, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS doc_root, concat('{\"a\": \"', lang, '\"}') AS json_data, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE replace(text, chr(13), '') END AS chunk, concat(length(text), CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END) AS length, concat('doc', doc_id, '.pdf 0') AS chunk_id, concat('ATA ', doc_id % 90 + 10) AS ata, 'door\tframe \\ \"x\"' AS parts, lang AS doc_type"
-TECH_SQL = TECH.replace("'door\tframe \\ \"x\"'", "'door' || chr(9) || 'frame ' || chr(92) || ' \"x\"'")
+TECH = {
+    "doc": "concat('doc', doc_id, '.pdf')", "doc_root": "CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END", "json_data": "concat('{\"a\": \"', lang, '\"}')",
+    "chunk": "CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE replace(text, chr(13), '') END", "length": "concat(length(text), CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END)", "chunk_id": "concat('doc', doc_id, '.pdf 0')",
+    "ata": "concat('ATA ', doc_id % 90 + 10)", "parts": "concat('door', chr(9), 'frame ', chr(92), ' \"x\"')", "doc_type": "lang",
+}
+TECH_SQL = ", ".join(f"{e} AS {n}" for n, e in TECH.items())
 
 
 def _tech(spark, sf_dir):
-    return table(spark, sf_dir, "documents").selectExpr(*[f"cast({e.rsplit(' AS ', 1)[0]} as string) AS {e.rsplit(' AS ', 1)[1]}" for e in _columns(TECH.replace("\\", "\\\\").replace("\t", "\\t"))])
-
-
-def _columns(text: str) -> list[str]:
-    """The expressions of a select list; commas inside brackets or quotes part nothing."""
-    out, depth, quoted, start = [], 0, False, 0
-    for i, c in enumerate(text):
-        quoted ^= c == "'"
-        depth += (c == "(") - (c == ")") if not quoted else 0
-        if c == "," and not depth and not quoted:
-            out.append(text[start:i].strip())
-            start = i + 1
-    return [*out, text[start:].strip()]
+    return table(spark, sf_dir, "documents").selectExpr(*[f"cast({e} as string) AS {n}" for n, e in TECH.items()])
 
 
 def _written_tsv(spark, rows, columns, header, gz):

@@ -85,7 +85,8 @@ u AS (SELECT arm, 5 AS k, h5 AS hit FROM h UNION ALL SELECT arm, 10, h10 FROM h)
 SELECT arm, 'tech_docs' AS corpus, k, CAST(sum(hit) AS BIGINT) AS hits, count(*) AS total, round(avg(hit), 3) AS ratio FROM u GROUP BY arm, k""")
 def evaluation_arms(spark, sf_dir):
     q, tech, _, _ = _sources(spark, sf_dir)
-    relevant = q.crossJoin(table(spark, sf_dir, "documents").filter("doc_id % 4 = 0").select(F.col("doc_id").alias("identity"))).select("query_id", "identity")  # four stated queries
+    every = F.explode(F.array(*[F.lit(n) for n, _ in SEARCHES])).alias("query_id")
+    relevant = table(spark, sf_dir, "documents").filter("doc_id % 4 = 0").select(every, F.col("doc_id").alias("identity"))
     return hybrid.arms(q, tech, relevant)
 
 
