@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corvina.functions.text import js_trim
 from corvina.operators import joins, lexical
-from corvina.sources import shared
+from corvina.sources import shared, tsv
 
 TECH_COLUMNS = ("doc", "doc_root", "json_data", "chunk", "length", "chunk_id", "ata", "parts", "doc_type")
 EVENT_COLUMNS = ("doc", "chunk_id", "chunk")
 
 
-def _schema(columns: tuple[str, ...]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in (*columns, "_corrupt")])
-
-
 def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...], header: bool) -> DataFrame:
-    """Escaped TSV (tab, double quote, backslash, quoted line ends, gzip by extension); ragged rows carry _corrupt.
-
-    Empty quoted fields read as empty texts, not null.
-    """
-    rows = (
-        spark.read.schema(_schema(columns)).option("sep", "\t").option("quote", '"').option("escape", "\\").option("multiLine", True).option("header", header)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("emptyValue", "").csv(path)
-    )
-    return rows
+    """Escaped TSV (gzip by extension) by its own grammar; records of another width carry their text in _corrupt."""
+    return tsv.read_table(spark, path, columns, header)
 
 
 def read_tech_docs(spark: SparkSession, path: str) -> DataFrame:
@@ -42,53 +27,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, EVENT_COLUMNS, False).filter(F.col("_corrupt").isNull())
 
 
-class UnterminatedQuote(ValueError):
-    pass
-
-
-def raw_records(text: str, sep: str = "\t") -> Iterator[tuple[int, list[str], str]]:
-    """(index, fields, source text) of each record; quotes toggle anywhere, a backslash escapes inside quotes only."""
-    fields, field, quoted, start, i, index = [], [], False, 0, 0, 0
-    n = len(text)
-
-    def record(stop: int):
-        row = [*fields, "".join(field)]
-        return (index, row, text[start:stop]) if row != [""] else None
-
-    while i < n:
-        c = text[i]
-        if quoted and c == "\\" and i + 1 < n:
-            i += 1
-            field.append(text[i])
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c == sep:
-            fields.append("".join(field))
-            field = []
-        elif not quoted and c == "\n":
-            if (r := record(i + 1)) is not None:
-                yield r
-                index += 1
-            fields, field, start = [], [], i + 1
-        elif quoted or c != "\r":
-            field.append(c)
-        i += 1
-    if quoted:
-        raise UnterminatedQuote("unterminated quote")
-    if start < n and (r := record(n)) is not None:
-        yield r
-
-
 def read_raw_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """path, row_idx, fields and raw (the record's exact source text). One file is one record stream, so one task reads it."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p, text in zip(frame["path"], frame["value"], strict=True):
-                yield pd.DataFrame([(p, i, f, raw) for i, f, raw in raw_records(text)], columns=["path", "row_idx", "fields", "raw"])
-
-    return files.mapInPandas(run, "path string, row_idx long, fields array<string>, raw string")
+    """path, row_idx, fields and raw (the record's exact source text, without its line end)."""
+    return tsv.read_records(spark, path)
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

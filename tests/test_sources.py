@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 import time
 
 import pytest
@@ -42,15 +43,96 @@ def test_event_rows(spark, tmp_path):
     assert corpus.event_records(twice).count() == 2 and corpus.event_records(twice, dedupe=True).first().content == "one"
 
 
+def plain_records(text):
+    """(index, fields, raw) of every record, a character at a time."""
+    out, row, field, inside, escaped, start = [], [], "", False, False, 0
+
+    def emit(stop):
+        nonlocal row, field
+        row.append(field)
+        if text[start:stop] != "":
+            out.append((len(out), row, text[start:stop]))
+        row, field = [], ""
+
+    for i, c in enumerate(text):
+        if escaped:
+            field, escaped = field + c, False
+        elif inside and c in '\\"':
+            escaped, inside = c == "\\", c == "\\"
+        elif inside:
+            field += c
+        elif c == '"':
+            inside = True
+        elif c == "\t":
+            row.append(field)
+            field = ""
+        elif c == "\n":
+            emit(i)
+            start = i + 1
+        elif c != "\r":
+            field += c
+    if inside:
+        raise readers.tsv.UnterminatedQuote
+    if start < len(text):
+        emit(len(text))
+    return out
+
+
 def test_raw_records(spark, tmp_path):
-    text = 'h1\th2\r\n"a\nb"\tx"y"z\n\n"q\\"t"\t1'
-    got = list(readers.raw_records(text))
-    assert [(i, f) for i, f, _ in got] == [(0, ["h1", "h2"]), (1, ["a\nb", "xyz"]), (2, ['q"t', "1"])]
-    assert got[1][2] == '"a\nb"\tx"y"z\n'
-    with pytest.raises(readers.UnterminatedQuote):
-        list(readers.raw_records('"a'))
+    text = 'h1\th2\r\n"a\nb"\tx"y"z\n\n""\n"q\\"t"\t1'
+    want = [(0, ["h1", "h2"], "h1\th2\r"), (1, ["a\nb", "xyz"], '"a\nb"\tx"y"z'), (2, [""], '""'), (3, ['q"t', "1"], '"q\\"t"\t1')]
+    assert plain_records(text) == want
     (tmp_path / "r.tsv").write_text(text, newline="")
-    assert [r.row_idx for r in readers.read_raw_tsv(spark, str(tmp_path / "r.tsv")).collect()] == [0, 1, 2]
+    assert sorted((r.row_idx, r.fields, r.raw) for r in readers.read_raw_tsv(spark, str(tmp_path / "r.tsv")).collect()) == want
+    (tmp_path / "bad.tsv").write_text('a\n"b\nc\n')
+    with pytest.raises(readers.tsv.UnterminatedQuote):
+        readers.read_raw_tsv(spark, str(tmp_path / "bad.tsv"))
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Every file is cut into blocks of some forty bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_random_files_in_many_blocks(spark, tmp_path, small_splits):
+    rng = random.Random(11)
+    want = {}
+    for n in range(12):
+        while True:
+            text = "".join(rng.choice('ab"\\\t\n\n\ré "') for _ in range(rng.choice([0, 30, 400, 900])))
+            text = text + '"' * (n == 5) + "x" * 300 * (n == 6) + "\n" * (n % 3)
+            try:
+                want[f"f{n}.tsv"] = plain_records(text)
+                break
+            except readers.tsv.UnterminatedQuote:
+                continue
+        (tmp_path / f"f{n}.tsv").write_text(text, newline="")
+    got = {name: [] for name in want}
+    for r in readers.read_raw_tsv(spark, str(tmp_path)).collect():
+        got[r.path.rsplit("/", 1)[1]].append((r.row_idx, r.fields, r.raw))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_one_long_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    record = '"line one\nline two \\" still"\tb"in"side\t\n'
+    (tmp_path / "long.tsv").write_text(record * 200)
+    lines = readers.tsv._lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() > 100
+    rows = readers.read_tsv(spark, str(tmp_path), ("a", "b", "c"), False)
+    assert {tuple(r) for r in rows.collect()} == {('line one\nline two " still', "binside", "", None)} and rows.count() == 200
+
+
+def test_widths_and_empty_fields(spark, tmp_path):
+    (tmp_path / "w.tsv").write_text('h\ti\n""\t\na\n""\n\r\nb\tc\td\n')
+    got = readers.read_tsv(spark, str(tmp_path), ("x", "y"), True).collect()
+    assert [tuple(r) for r in got] == [("", "", None), ("a", None, "a"), ("b", "c", "b\tc\td")]
 
 
 def test_trees(spark, tmp_path):
@@ -81,7 +163,7 @@ def test_tsv_writer(spark, tmp_path):
     rows = [("plain", 'q"t'), ("tab\there", "back\\slash"), ("line\nend", "")]
     writers.write_tsv(spark.createDataFrame(rows, "a string, b string").coalesce(1), str(tmp_path / "t"), ["a", "b"])
     back = readers.read_tsv(spark, str(tmp_path / "t"), ("a", "b"), False)
-    assert {(r.a, r.b or "") for r in back.collect()} == set(rows)
+    assert {(r.a, r.b) for r in back.collect()} == set(rows)
 
 
 def test_replace_and_manifest(spark, tmp_path):
