@@ -6,7 +6,7 @@ import re
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import tsv_field
@@ -25,6 +25,11 @@ def replace_table(df: DataFrame, path: str, **options) -> None:
     spark, path = df.sparkSession, path.rstrip("/")
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(staging)
+    move_in(spark, staging, path)
+
+
+def move_in(spark: SparkSession, staging: str, path: str) -> None:
+    """Put what was written at staging in the place of path by two moves."""
     recover(spark, path)
     aside = path + ASIDE
     old = shared.rename(spark, path, aside)
@@ -137,17 +142,62 @@ def copy_assets(spark: SparkSession, source: str, target: str) -> None:
     replace_table(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), target)
 
 
+#: Records of one group of the running byte offsets.
+OFFSET_ROWS = 1 << 16
+
+
+def text_digest(lines: DataFrame, group: str, *order: str) -> DataFrame:
+    """One row: n_lines, n_bytes, and two sums of hashes over every line's bytes and its byte offset in the whole text.
+
+    lines: (group, ..., line); groups follow one another in order, lines inside a group by order. Offsets are running sums
+    inside each group plus the sizes of the groups before it, so no task holds more than a group, and lines that change
+    places change the digest.
+    """
+    size = F.octet_length("line").cast("long") + 1
+    sizes = lines.groupBy(group).agg(F.sum(size).alias("_size"))
+    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
+    starts = sizes.select(group, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.sum(size).over(Window.partitionBy(group).orderBy(*order)) - size
+    placed = lines.withColumn("_inside", inside).join(starts, group).withColumn("_at", F.col("_start") + F.col("_inside"))
+    hashed = F.xxhash64("_at", "line")
+    return placed.agg(F.count("*").alias("n_lines"), F.coalesce(F.sum(size), F.lit(0)).alias("n_bytes"), F.sum(hashed.cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "_at", "line")).alias("x"))
+
+
+def _source_lines(rows: DataFrame) -> DataFrame:
+    """The lines of records (order, raw) in groups of neighbouring rows."""
+    lines = rows.select("order", F.posexplode(F.split("raw", "\n")).alias("pos", "line"))
+    return lines.withColumn("group", F.floor(F.col("order") / OFFSET_ROWS))
+
+
+def _file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the text files below path as they stand; compressed files, so that one is read as one stream in order."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_name").alias("group"), F.col("value").alias("line"))
+    return lines.withColumn("pos", F.monotonically_increasing_id())
+
+
+def audit_text(rows: DataFrame, path: str) -> dict[str, object]:
+    """Whether the gzip text files below path hold exactly the records (order, raw), each followed by a line end, in order."""
+    source = text_digest(_source_lines(rows), "group", "order", "pos").first()
+    written = text_digest(_file_lines(rows.sparkSession, path), "group", "pos").first()
+    return {"rows": rows.count(), "n_lines": written.n_lines, "n_bytes": written.n_bytes, "source": f"{source.h}:{source.x}", "written": f"{written.h}:{written.x}", "exact": source == written}
+
+
 def write_canonical(rows: DataFrame, path: str) -> dict[str, object]:
-    """Write the exact source text raw of records (order, raw) as gzip files in order, read them back and compare.
+    """Write the exact source text raw of records as gzip files in order, compare, and only then put them at path.
 
-    Returns the audit: rows, the fingerprint of what was to be written and of what was read, and whether both are one.
+    rows: (order, raw), order being the record's index, once each; raw is kept to the byte, carriage returns and line ends
+    in quotes too. Returns the audit. Texts that do not come back exactly are an error, and what was at path stays.
     """
-    line = rows.select("order", F.regexp_replace("raw", r"\r?\n$", "").alias("value"))
-    line.repartitionByRange("order").sortWithinPartitions("order").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
-    back = readers.read_raw_tsv(rows.sparkSession, path).select(F.regexp_replace("raw", r"\r?\n$", "").alias("value"))
-    # rows and files keep their order, so equal multisets of lines are equal texts
-    marks = [df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "value")).alias("x")).first() for df in (line, back)]
-    return {"rows": marks[0].n, "source": f"{marks[0].h}:{marks[0].x}", "written": f"{marks[1].h}:{marks[1].x}", "exact": marks[0] == marks[1]}
+    spark, path = rows.sparkSession, path.rstrip("/")
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    dealt = rows.repartitionByRange("order").sortWithinPartitions("order").select(F.col("raw").alias("value"))
+    dealt.write.option("compression", "gzip").option("lineSep", "\n").text(staging)
+    audit = audit_text(rows, staging)
+    if not audit["exact"]:
+        shared.delete(spark, staging)
+        raise OSError(f"{path}: written and read texts differ")
+    move_in(spark, staging, path)
+    return audit
 
 
 def append_turns(rows: DataFrame, path: str, session: str, buckets: int = 64) -> None:

@@ -22,7 +22,7 @@ def duck(sf):
 
 def text(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
-        return ""
+        return "\0" + str(v)  # unlike any text
     if isinstance(v, float):
         return repr(round(v, 9) + 0.0)
     return v.isoformat() if isinstance(v, datetime.datetime) else str(v)

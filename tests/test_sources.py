@@ -135,6 +135,22 @@ def test_widths_and_empty_fields(spark, tmp_path):
     assert [tuple(r) for r in got] == [("", "", None), ("a", None, "a"), ("b", "c", "b\tc\td")]
 
 
+def test_canonical_text_is_kept_to_the_byte(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "OFFSET_ROWS", 7)
+    path, rng = str(tmp_path / "c"), random.Random(2)
+    raws = ["".join(rng.choice("a\tb\r\né") for _ in range(rng.randrange(12))) for _ in range(60)] + ["same", "same", "", "x\r"]
+    rows = spark.createDataFrame(list(enumerate(raws)), "order long, raw string").repartition(5)
+    text = "".join(r + "\n" for r in raws)
+    audit = writers.write_canonical(rows, path)
+    assert audit["exact"] and (audit["rows"], audit["n_bytes"], audit["n_lines"]) == (64, len(text.encode()), text.count("\n"))
+    files = sorted(p for p in (tmp_path / "c").iterdir() if p.name.startswith("part-"))
+    assert b"".join(gzip.decompress(p.read_bytes()) for p in files).decode() == text
+    swap = F.when(F.col("order") == 3, 62).when(F.col("order") == 62, 3).otherwise(F.col("order"))
+    assert not writers.audit_text(rows.withColumn("order", swap), path)["exact"]
+    assert not writers.audit_text(rows.withColumn("raw", F.rtrim("raw", F.lit("\r"))), path)["exact"]
+    assert writers.write_canonical(rows.filter("false"), path)["exact"]  # takes the place of what was there
+
+
 def test_trees(spark, tmp_path):
     for name, content in (("md/a b.md", "# A"), ("md/x/b.md", "# B"), ("js/ATA-52-1.json", '{"k": {"n": 1}}'), ("js/ATA-99-2.json", "{}"), ("js/bad.json", "{"), ("pdf/b.PDF", "x"), ("pdf/a.pdf", "x"), ("pdf/c.txt", "x")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
