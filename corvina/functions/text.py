@@ -4,8 +4,8 @@ expressions of the JVM treat them otherwise than the semantics asked for."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +27,13 @@ SPACE = r"[\s   -     　﻿]"
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: Latin letters with marks below U+0250 and the letters that they decompose to.
 _MARKED = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1]
+#: All other characters whose NFKD form holds ASCII, with that: one letter for most, up to WIDE for ligatures and the like.
+_FOLDED = {chr(c): a for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (a := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if x < "\x80"))}
+WIDE = max(map(len, _FOLDED.values()))
+_ONE = {c: a for c, a in _FOLDED.items() if len(a) == 1}
+_MORE = {c: a for c, a in _FOLDED.items() if len(a) > 1}
+#: The characters of several letters, and their letters side by side, each filled up to WIDE with a character that goes later.
+MORE, LETTERS = "".join(_MORE), "".join(a.ljust(WIDE, "\x80") for a in _MORE.values())
 TOKEN = r"[\p{L}\p{N}]+"
 MARKED, PLAIN = "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)
 
@@ -49,19 +56,24 @@ def blank_to_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
-def fold(x: Column) -> Column:
-    """Lower case without marks, non-ASCII removed: the NFKD folding of Latin text inside the JVM."""
-    plain = F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(x, MARKED, PLAIN), r"[^\x00-\x7F]", "")).otherwise(x)
-    return F.lower(plain)
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _nfkd(x: pd.Series) -> pd.Series:
-    return x.str.normalize("NFKD").str.replace(r"[^\x00-\x7F]", "", regex=True).str.lower()
+def _spread(x: Column) -> Column:
+    """x with characters of several letters spelled out; only characters outside ASCII are looked up."""
+    at = lambda c: F.position(c, F.lit(MORE))
+    letters = lambda c: let(at(c), lambda i: F.when(i > 0, F.substring(F.lit(LETTERS), (i - 1) * WIDE + 1, F.lit(WIDE))).otherwise(F.lit("")))
+    parts = F.regexp_extract_all(x, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda c: F.when(F.ascii(c) < 128, c).otherwise(letters(c))), "")
 
 
-def fold_nfkd(x: Column) -> Column:
-    """The full NFKD folding, ligatures and all, in Arrow batches; for text outside the Latin blocks."""
-    return F.pandas_udf(_nfkd, "string")(x)
+def fold(x: Column) -> Column:
+    """NFKD, all but ASCII removed, lower case, inside the JVM: é is e, ﬁ is fi, ２ is 2."""
+    other = r"[^\x00-\x7F]"
+    folded = let(F.translate(x, "".join(_ONE), "".join(_ONE.values())), lambda s: F.regexp_replace(F.when(s.rlike(other), _spread(s)).otherwise(s), other, ""))
+    return F.lower(F.when(x.rlike(other), folded).otherwise(x))
 
 
 def query_tokens(x: Column, distinct: bool = True) -> Column:
@@ -110,9 +122,25 @@ def stable_slug(x: Column, cap: int = 160) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, cap)
 
 
+#: The collation of lists and titles that people read: accents and case decide only between names that are else equal.
+LOCALE = "UNICODE"
+
+
+def in_locale(x: str | Column) -> list[Column]:
+    """Sort keys by the Unicode collation's root order; names that it holds equal go by their bytes."""
+    x = F.col(x) if isinstance(x, str) else x
+    return [F.collate(x, LOCALE), x]
+
+
+def locale_sorted(x: Column) -> Column:
+    """An array of texts in the order of in_locale(): sorting keeps the order by bytes of those that the collation holds equal."""
+    collated = F.array_sort(F.transform(F.array_sort(x), lambda v: F.collate(v, LOCALE)))
+    return F.transform(collated, lambda v: F.collate(v, "UTF8_BINARY"))
+
+
 def unique_sorted(x: Column) -> Column:
-    """Trimmed, non-empty, distinct, in binary order."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(x, js_trim), lambda v: v != "")))
+    """Trimmed, non-empty, distinct, in the order of in_locale()."""
+    return locale_sorted(F.array_distinct(F.filter(F.transform(x, js_trim), lambda v: v != "")))
 
 
 def ata_codes(*texts: Column) -> Column:

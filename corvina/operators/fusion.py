@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.functions.text import in_locale
+
 K = 60
 
 
+def _by_identity(rows: DataFrame) -> list:
+    """The last sort key: names in locale order, numbers as they are."""
+    return in_locale("identity") if rows.schema["identity"].dataType.typeName() == "string" else [F.col("identity")]
+
+
 def fuse_batches(rows: DataFrame, limit: int = 15, k: int = K) -> DataFrame:
     """One channel's rows (query_id, batch, rank, identity) as query_id, identity, rrf, best_rank, variant_hits and rank.
 
@@ -16,7 +23,7 @@ def fuse_batches(rows: DataFrame, limit: int = 15, k: int = K) -> DataFrame:
     fused = rows.groupBy("query_id", "identity").agg(
         F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("rrf"), F.min("rank").alias("best_rank"), F.count_distinct("batch").alias("variant_hits")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 12)), "best_rank", "identity")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 12)), "best_rank", *_by_identity(fused))
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
@@ -25,7 +32,7 @@ def fuse_channels(rows: DataFrame, limit: int = 10, k: int = K) -> DataFrame:
     fused = rows.groupBy("query_id", "identity").agg(
         F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("raw"), F.min("rank").alias("best_rank"), F.array_sort(F.collect_set("channel")).alias("retrieval_channels")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("raw", 12)), "best_rank", "identity")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("raw", 12)), "best_rank", *_by_identity(fused))
     ranked = fused.withColumn("retrieval_rank", F.row_number().over(order)).filter(F.col("retrieval_rank") <= limit)
     return ranked.withColumn("rrf_score", F.round("raw", 8)).drop("raw")
 

@@ -186,7 +186,7 @@ def wiki_markdown(slug: Column, title: Column, description: Column, ata: Column,
 def entity_search(entries: DataFrame, queries: DataFrame, title: Column, metadata: Column, id_: str, order: str, limit: int = 10) -> DataFrame:
     """query_id, id, score, wiki_rank: 3 for each query token in the title, else 1 for each in the metadata.
 
-    Tokens are joined, not entries with queries; title and metadata are texts.
+    Tokens are joined, not entries with queries; title and metadata are texts. Ties go by title in locale order, then id.
     """
     q = queries.select("query_id", F.explode(X.query_tokens(F.col("query"))).alias("token"))
     in_title = entries.select(F.col(id_).alias("id"), F.explode(X.query_tokens(title)).alias("token"), F.lit(3).alias("points"))
@@ -194,7 +194,7 @@ def entity_search(entries: DataFrame, queries: DataFrame, title: Column, metadat
     best = in_title.unionByName(in_meta).groupBy("id", "token").agg(F.max("points").alias("points"))
     scored = q.join(best, "token").groupBy("query_id", "id").agg(F.sum("points").alias("score"))
     named = scored.join(entries.select(F.col(id_).alias("id"), F.col(order).alias("_title")), "id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "_title", "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *X.in_locale("_title"), "id"))
     return named.withColumn("wiki_rank", rank).filter(F.col("wiki_rank") <= limit).drop("_title")
 
 

@@ -253,8 +253,8 @@ ENTITIES = [(1, "brass part"), (2, "Small copper brand"), (3, "standard steel 7"
 WITH q AS (SELECT query_id, unnest(list_distinct({sql.tokens('query')})) AS token FROM {sql.values(ENTITIES, 'query_id, query')}),
 e AS (SELECT p_partkey AS id, p_name, {sql.tokens('p_name')} AS title, {sql.tokens("p_brand || ' ' || p_type")} AS meta FROM part),
 s AS (SELECT query_id, id, p_name, CAST(sum(CASE WHEN list_contains(title, token) THEN 3 WHEN list_contains(meta, token) THEN 1 ELSE 0 END) AS BIGINT) AS score FROM q, e GROUP BY ALL)
-SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_name, id) AS INT) AS wiki_rank FROM s WHERE score > 0
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_name, id) <= 10""")
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_name COLLATE en, p_name, id) AS INT) AS wiki_rank FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_name COLLATE en, p_name, id) <= 10""")
 def wiki_entity_search(spark, sf_dir):
     q = spark.createDataFrame(ENTITIES, "query_id int, query string")
     found = ontology.entity_search(table(spark, sf_dir, "part"), q, F.col("p_name"), F.concat_ws(" ", "p_brand", "p_type"), "p_partkey", "p_name")

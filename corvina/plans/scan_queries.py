@@ -123,14 +123,14 @@ def json_tree_scan(spark, sf_dir):
 
 @query("""
 WITH f AS (SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '.txt' END AS doc FROM pages)
-SELECT doc, row_number() OVER (ORDER BY doc) AS n FROM f WHERE ends_with(lower(doc), '.pdf') QUALIFY row_number() OVER (ORDER BY doc) <= 12""")
+SELECT doc, row_number() OVER (ORDER BY doc COLLATE en, doc) AS n FROM f WHERE ends_with(lower(doc), '.pdf') QUALIFY row_number() OVER (ORDER BY doc COLLATE en, doc) <= 12""")
 def page_listing(spark, sf_dir):
     from pyspark.sql import Window
 
     path = shared.new_path(spark, "listing")
     kind = F.when(F.col("page_id") % 3 == 0, ".pdf").when(F.col("page_id") % 3 == 1, ".PDF").otherwise(".txt")
     writers.write_files(table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), kind).alias("name"), F.lit("x").alias("content")), path)
-    return readers.list_pages(spark, path, limit=12).select("doc", F.row_number().over(Window.orderBy("doc")).cast("long").alias("n"))
+    return readers.list_pages(spark, path, limit=12).select("doc", F.row_number().over(Window.orderBy(*X.in_locale("doc"))).cast("long").alias("n"))
 
 
 @query("SELECT 'p' || page_id || '.png' AS name, md5(html) AS content_md5, octet_length(encode(html)) AS bytes FROM pages")

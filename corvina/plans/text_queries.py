@@ -13,7 +13,8 @@ from corvina.plans.registry import given, query, table
 LABEL_SQL = lambda x: sql.compact(f"regexp_replace({x}, '(?i)<br\\s*/?>', ' ', 'g')")
 IS_PART_SQL = lambda x: f"""(length({x}) BETWEEN 4 AND 400 AND NOT regexp_matches({x}, '{X.SECTION}') AND NOT regexp_matches({x}, '(?i)\\b({X.GENERIC_WORDS})\\b')
   AND (regexp_matches({x}, '(?i)\\b({X.PART_WORDS})\\b') OR regexp_matches({x}, '(?i)\\bATA[\\s-]?\\d{{2}}\\b')))"""
-SORTED_SQL = lambda x: f"array_to_string(list_sort(list_distinct({x})), '|')"
+#: Distinct, in locale order, as unique_sorted() puts them.
+SORTED_SQL = lambda x: f"coalesce((SELECT string_agg(v, '|' ORDER BY v COLLATE en, v) FROM (SELECT DISTINCT unnest({x}) AS v)), '')"
 
 #: Markdown made of the columns of a part: three levels of heading, a line break inside one, and headings that name no part.
 PART_PAGE = "concat('# ', p_name, '\n## Door<br/>  ', p_brand, '\ntext ', p_type, '\n### Scope of frame\n#### Valve ', p_type, '\n# 12.3 Panel\n## Frame ', p_partkey, '\n## Tank ', p_type, '\n')"
@@ -53,6 +54,32 @@ def titles_and_slugs(spark, sf_dir):
     )
 
 
+#: Names with capitals, accents, blanks and signs in them, which no order by bytes puts as people read them.
+_NAMED = "CASE s_suppkey % 6 WHEN 0 THEN upper(s_name) WHEN 1 THEN concat('é', s_suppkey) WHEN 2 THEN concat('Ế', lower(s_name)) WHEN 3 THEN concat('e ', s_suppkey) WHEN 4 THEN concat('e-', s_suppkey) ELSE lower(s_name) END"
+
+
+@query(f"""
+WITH n AS (SELECT s_nationkey, {_NAMED} AS name FROM supplier)
+SELECT s_nationkey, string_agg(name, '|' ORDER BY name COLLATE en, name) AS names FROM (SELECT DISTINCT * FROM n) GROUP BY s_nationkey""")
+def locale_sorted_names(spark, sf_dir):
+    named = table(spark, sf_dir, "supplier").select("s_nationkey", F.expr(_NAMED).alias("name")).groupBy("s_nationkey").agg(F.collect_set("name").alias("n"))
+    return named.select("s_nationkey", F.array_join(X.unique_sorted(F.col("n")), "|").alias("names"))
+
+
+#: Letters of other forms and the plain ones that they fold to.
+_FORMS = {"Việt": "viet", "ﬁre": "fire", "２８": "28", "x²": "x2", "㎏": "kg", "Ａ³²": "a32", "日本": ""}
+
+
+@query(f"""
+WITH w AS (SELECT * FROM {sql.values([(i, plain) for i, plain in enumerate(_FORMS.values())], 'i, plain')}),
+t AS (SELECT doc_id, {sql.tokens("text || ' ' || w.plain || 'e ' || w.plain")} AS t FROM documents JOIN w ON w.i = doc_id % {len(_FORMS)})
+SELECT doc_id, md5(array_to_string(list_sort(list_distinct(t)), ' ')) AS tokens_, len(t) AS n FROM t""")
+def tokens_of_other_forms(spark, sf_dir):
+    form = F.element_at(F.array(*map(F.lit, _FORMS)), (F.col("doc_id") % len(_FORMS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.query_tokens(F.concat("text", F.lit(" "), form, F.lit("e "), form), distinct=False).alias("t"))
+    return rows.select("doc_id", F.md5(F.array_join(F.array_sort(F.array_distinct("t")), " ").cast("binary")).alias("tokens_"), F.size("t").cast("long").alias("n"))
+
+
 @query(f"""
 SELECT source, array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list([lang, ' ' || lang || ' ', '', ' ', source])), lambda x: trim(x)), lambda x: x <> ''))), '|') AS names FROM documents GROUP BY source""")
 def unique_sorted_names(spark, sf_dir):

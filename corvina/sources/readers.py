@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.functions.text import js_trim
+from corvina.functions.text import in_locale, js_trim
 from corvina.operators import joins, lexical
 from corvina.sources import shared, tsv
 
@@ -58,9 +58,9 @@ def is_safe_name(name):
 
 
 def list_pages(spark: SparkSession, path: str, suffix: str = "pdf", limit: int | None = None) -> DataFrame:
-    """File names with the suffix in any case, sorted; only the listing is read, no content."""
+    """File names with the suffix in any case, in locale order; only the listing is read, no content."""
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("doc"), "length", "modificationTime")
-    files = files.filter(F.lower("doc").endswith("." + suffix)).orderBy("doc")
+    files = files.filter(F.lower("doc").endswith("." + suffix)).orderBy(*in_locale("doc"))
     return files.limit(limit) if limit is not None else files
 
 

@@ -1,5 +1,7 @@
 """Text functions on fixtures."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from corvina.functions import jsontext
@@ -18,7 +20,24 @@ def test_tokens(spark):
     assert one(spark, X.match_query(X.query_tokens(F.col("t"))), t="  ") == ""
     assert one(spark, X.index_tokens(F.col("t")), t="Straße_été x² ﬁn A-1") == ["straße", "ete", "x²", "ﬁn", "a", "1"]
     assert one(spark, X.fold(F.col("t")), t="Éaß Ñ") == "ea n"
-    assert one(spark, X.fold_nfkd(F.col("t")), t="Éaß ﬁ") == "ea fi"
+    assert one(spark, X.query_tokens(F.col("t")), t="Việt ﬁre ２８ x² ㎏") == ["viet", "fire", "28", "x2", "kg"]
+
+
+def test_folding_of_every_character(spark):
+    every = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    fold = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if x < "\x80").lower()
+    rows = spark.createDataFrame([(c, chr(c), f"a{chr(c)}{chr((c * 7919) % 0xD000)}b {chr(c)}") for c in every], "c int, t string, u string")
+    got = rows.select("c", X.fold(F.col("t")), X.fold(F.col("u"))).toPandas()
+    assert [(c, *r) for c, *r in got.itertuples(index=False) if r != [fold(chr(c)), fold(f"a{chr(c)}{chr((c * 7919) % 0xD000)}b {chr(c)}")]] == []
+
+
+def test_locale_order(spark):
+    names = ["b", "a-b", "a b", "A", "a", "é", "z", "Ab", "ab", "É", "e", "f", "10", "9", "_x", "a\u0301", "á"]
+    want = ["_x", "10", "9", "a", "A", "a\u0301", "á", "a b", "a-b", "ab", "Ab", "b", "e", "é", "É", "f", "z"]
+    assert one(spark, X.unique_sorted(F.array(*map(F.lit, reversed(names)))) ) == want
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(*X.in_locale("n"))
+    assert [r.n for r in rows.collect()] == want
+    assert one(spark, X.unique_sorted(F.array(F.lit(" b "), F.lit("b"), F.lit(""), F.lit(None).cast("string")))) == ["b"]
 
 
 def test_codes(spark):
