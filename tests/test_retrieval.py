@@ -2,6 +2,7 @@
 
 import random
 import sqlite3
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,7 +79,33 @@ def test_knn_edges_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "BLOCK_BYTES", 32)
     blocked = vector.knn(v, q, "id")
     assert {(r.query_id, r.id): r.distance for r in blocked.collect()} == want
-    assert "salt" in blocked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_knn_keeps_ties_in_any_order_of_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i if i else None, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(300)] + [(1000 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(150)]
+    asked = [(f"q{i}", [rng.random() * 2 - 1 for _ in range(4)]) for i in range(9)] + [("q", [1.0, 1.0, 1.0, 1.0])]
+    single = lambda v: [struct.unpack("f", struct.pack("f", x))[0] for x in v]
+
+    def dot(a, b):
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            total += x * y
+        return total
+
+    norm = lambda v: single([dot(v, v)])[0]
+    want = set()
+    for name, q in [(n, single(q)) for n, q in asked]:
+        near = sorted((round(norm(q) + norm(x) - 2 * dot(q, x), 10), i is not None, i) for i, x in rows)
+        want |= {(name, i, rank, d) for rank, (d, _, i) in enumerate(near[:7], 1)}
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    q = spark.createDataFrame(asked, "query_id string, query_vector array<float>")
+    for cells, block in ((1 << 20, 1 << 20), (30, 1 << 20), (100, 64)):
+        monkeypatch.setattr(vector, "CELLS", cells)
+        monkeypatch.setattr(vector, "BLOCK_BYTES", block)
+        assert {(r.query_id, r.id, r.vector_rank, round(r.distance, 10)) for r in vector.knn(v, q, "id", limit=7).collect()} == want
+    with pytest.raises(ValueError):
+        vector.knn(v, q, "id", limit=0)
 
 
 def test_keyword_scores_meet_names_by_pairs(spark):
