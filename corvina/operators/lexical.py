@@ -44,14 +44,19 @@ def postings(rows: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
     return merged.select(head_of(F.col("term")).alias("head"), "term", "id", "wtf", "n", "dl")
 
 
+def field_sizes(fields) -> Column:
+    """The number of tokens over all fields of a row, unweighted."""
+    sizes = [F.regexp_count(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit(X.TOKEN)) for f in fields]
+    return sum(sizes[1:], sizes[0]).cast("long")
+
+
 def lengths(rows: DataFrame, id_: str, fields: list[str]) -> DataFrame:
     """id and dl, the number of tokens over all fields, unweighted."""
-    sizes = [F.regexp_count(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit(X.TOKEN)) for f in fields]
-    return rows.select(F.col(id_).alias("id"), sum(sizes[1:], sizes[0]).cast("long").alias("dl"))
+    return rows.select(F.col(id_).alias("id"), field_sizes(fields).alias("dl"))
 
 
 def indexed(rows: DataFrame, id_: str, weights: dict[str, float]) -> Index:
-    """The index of rows, not written anywhere: for few rows, or to be written by writers.write_index."""
+    """The index of rows, not written anywhere: for few rows, unlike sources.segments."""
     total = lengths(rows, id_, list(weights)).agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
     return Index(postings(rows, id_, weights), total)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions.providers import Embedder, with_embedding
 from corvina.operators import corpus, ocr, ontology
-from corvina.sources import readers, shared, writers
+from corvina.sources import readers, segments, shared, writers
 
 #: Documents and chunks that the row and the page of a part list.
 LISTED = 1000
@@ -21,7 +21,7 @@ def build(records: DataFrame, events: DataFrame, path: str, embedder: Embedder,
     """
     spark = records.sparkSession
     writers.write_vectors(with_embedding(records, "content", embedder), f"{path}/vectors")
-    writers.write_index(records, f"{path}/index", "row_idx", WEIGHTS)
+    segments.update_index(records, f"{path}/index", "row_idx", WEIGHTS)
     found = ontology.candidates(records)
     ontology.supports(found).write.mode("overwrite").parquet(f"{path}/supports")
     ontology.parts(found, most=LISTED).write.mode("overwrite").parquet(f"{path}/parts")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvina.operators import lexical
 from corvina.plans import sql
-from corvina.sources import readers, shared, writers
+from corvina.sources import readers, segments, shared
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,4 +38,4 @@ def documents_index(spark: SparkSession, sf_dir: str, where: str = "true") -> le
     """The index of the documents in the shared work folder, built where it is missing or older than its source."""
     path = f"{shared.work_dir(spark)}/corvina/index-{hashlib.md5(f'{sf_dir} {where}'.encode()).hexdigest()}"
     source = readers.file_fingerprint(spark, f"{sf_dir}/documents.parquet")
-    return writers.ensure_index(table(spark, sf_dir, "documents").filter(where), path, "doc_id", WEIGHTS, source)
+    return segments.ensure_index(table(spark, sf_dir, "documents").filter(where), path, "doc_id", WEIGHTS, source)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.functions.text import in_locale, js_trim
-from corvina.operators import joins, lexical
+from corvina.operators import joins
 from corvina.sources import shared, tsv
 
 TECH_COLUMNS = ("doc", "doc_root", "json_data", "chunk", "length", "chunk_id", "ata", "parts", "doc_type")
@@ -107,12 +107,6 @@ def file_fingerprint(spark: SparkSession, path: str) -> str:
     return runs.agg(hashed("h")).first()[0]
 
 
-def read_index(spark: SparkSession, path: str) -> lexical.Index:
-    """What writers.write_index wrote below path."""
-    kept = spark.read.parquet(f"{path}/postings").withColumn("head", F.col("head").cast("string"))
-    return lexical.Index(kept, spark.read.parquet(f"{path}/totals"))
-
-
 def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
     """The vectors that writers.write_vectors wrote below path; None where there are none, which turns the channel off.
 

@@ -51,7 +51,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.corvina_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what materialise() wrote for df, once nothing reads it any more."""
+    if path := getattr(df, "corvina_path", None):
+        delete(df.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sinks: staged overwrites, escaped TSV, manifests, posting tables, bundle listings."""
+"""Sinks: staged overwrites, escaped TSV, canonical texts, manifests, bundle listings."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.functions.text import tsv_field
-from corvina.operators import lexical, vector
-from corvina.sources import readers, shared
+from corvina.operators import vector
+from corvina.sources import shared
 
 #: Suffix of a table that is being replaced.
 ASIDE = ".old"
@@ -85,18 +85,6 @@ def write_files(df: DataFrame, path: str) -> None:
     df.select("name", content.alias("content")).foreachPartition(put)
 
 
-def write_index(rows: DataFrame, path: str, id_: str, weights: dict[str, float], source: str | None = None) -> None:
-    """Postings sorted by term in a folder for each head of two characters, the totals, and last what they were made of."""
-    spark = rows.sparkSession
-    # rebalancing deals heads to tasks, splits the crowded ones and joins the small
-    dealt = lexical.postings(rows, id_, weights).hint("rebalance", "head").sortWithinPartitions("head", "term")
-    dealt.write.mode("overwrite").partitionBy("head").parquet(f"{path}/postings")
-    n_rows, n_tokens = rows.count(), spark.read.parquet(f"{path}/postings").agg(F.sum("n")).first()[0] or 0
-    totals = spark.createDataFrame([(n_rows, n_tokens / n_rows if n_rows else None)], "n_rows long, avgdl double")
-    totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    write_meta(spark, path, {"source": source or "", "fields": ",".join(f"{f}:{w}" for f, w in weights.items())})
-
-
 def write_meta(spark: SparkSession, path: str, values: dict[str, str]) -> None:
     """Upsert key and value pairs into the small table meta below path."""
     merged = read_meta(spark, path) | values
@@ -109,20 +97,6 @@ def read_meta(spark: SparkSession, path: str) -> dict[str, str]:
     return dict(map(tuple, spark.read.parquet(f"{path}/meta").collect())) if shared.exists(spark, f"{path}/meta") else {}
 
 
-def ensure_index(rows: DataFrame | None, path: str, id_: str, weights: dict[str, float], source: str, spark: SparkSession | None = None) -> lexical.Index | None:
-    """The index at path, built anew from rows where it is missing or was made of another source or fields.
-
-    source: a fingerprint of what rows come from, such as readers.file_fingerprint. Without rows a stale index is no index.
-    """
-    spark = spark or rows.sparkSession
-    fresh = read_meta(spark, path) == {"source": source, "fields": ",".join(f"{f}:{w}" for f, w in weights.items())}
-    if not fresh and rows is None:
-        return None
-    if not fresh:
-        write_index(rows, path, id_, weights, source)
-    return readers.read_index(spark, path)
-
-
 def write_vectors(rows: DataFrame, path: str, vector_column: str = "embedding") -> None:
     """Vectors with their single-precision squared norms, then their count and dimension as facts to read them by.
 

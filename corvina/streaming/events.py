@@ -142,6 +142,8 @@ def upsert_sink(path: str, key: str, order: str, buckets: int = 64):
             old = [spark.read.parquet(table).filter(F.col("bucket").isin(touched)).select(new.columns)] if shared.exists(spark, table) else []
             merged = shared.materialise(upsert(reduce(DataFrame.unionByName, old, new), key, [order], "first_seen"), "merged")
             merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+            shared.release(merged)
+        shared.release(new)
         target, fs = shared.file_system(spark, mark)
         fs.mkdirs(target)
 

@@ -120,29 +120,79 @@ def test_keyword_scores_meet_names_by_pairs(spark):
 
 
 def test_index_is_read_and_rebuilt(spark, tmp_path):
-    from corvina.sources import readers, writers
+    from corvina.sources import readers, segments
 
     df = spark.createDataFrame(GOLDEN, "id long, doc string, chunk_id string, content string")
     source, path = str(tmp_path / "source"), str(tmp_path / "index")
     df.write.parquet(source)
     mark = readers.file_fingerprint(spark, source)
-    assert writers.ensure_index(None, path, "id", WEIGHTS, mark, spark) is None
-    index = writers.ensure_index(spark.read.parquet(source), path, "id", WEIGHTS, mark)
+    assert segments.ensure_index(None, path, "id", WEIGHTS, mark, spark) is None
+    index = segments.ensure_index(spark.read.parquet(source), path, "id", WEIGHTS, mark)
     q = spark.createDataFrame([(1, "fuel frame")], "query_id int, query string")
     found = lexical.search_index(index, q, mode="or")
     assert {r.id: r.bm25 for r in found.collect()} == pytest.approx({1: -0.6729444732424259, 2: -0.5921911364533348, 3: -0.3218430089420298}, abs=1e-12)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all(content" not in plan and "PartitionFilters: [head" in plan
-    before = (tmp_path / "index" / "postings").stat().st_mtime_ns
-    assert writers.ensure_index(None, path, "id", WEIGHTS, mark, spark) is not None
-    assert (tmp_path / "index" / "postings").stat().st_mtime_ns == before
+    before = (tmp_path / "index" / "manifest").stat().st_mtime_ns
+    assert segments.ensure_index(None, path, "id", WEIGHTS, mark, spark) is not None
+    assert (tmp_path / "index" / "manifest").stat().st_mtime_ns == before
     spark.createDataFrame([(9, "z.md", "z", "fuel")], df.schema).write.mode("append").parquet(source)
     other = readers.file_fingerprint(spark, source)
-    assert other != mark and writers.ensure_index(None, path, "id", WEIGHTS, other, spark) is None
-    index = writers.ensure_index(spark.read.parquet(source), path, "id", WEIGHTS, other)
+    assert other != mark and segments.ensure_index(None, path, "id", WEIGHTS, other, spark) is None
+    index = segments.ensure_index(spark.read.parquet(source), path, "id", WEIGHTS, other)
     assert {r.id for r in lexical.search_index(index, q, mode="or").collect()} == {1, 2, 3, 9}
 
 
+def test_one_changed_document_rewrites_one_segment(spark, tmp_path, monkeypatch):
+    from corvina.sources import segments, writers
+
+    path, schema, rng = str(tmp_path / "index"), "id long, doc string, chunk_id string, content string", random.Random(4)
+    words = [f"{a}{b}" for a in ("fuel", "frame", "rib", "é") for b in ("", "s", "ing", "1")]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(12)))
+    docs = {i: (f"d{i}", f"c{i}", text()) for i in range(40)}
+    q = spark.createDataFrame([(1, "fuel"), (2, "fuel fr"), (3, "rib e 1")], "query_id int, query string")
+
+    def frame():
+        return spark.createDataFrame([(i, *d) for i, d in docs.items()] + [(7, "d7", "again", "fuel")], schema)
+
+    def same():
+        found = [{(r.query_id, r.id, r.lexical_rank, round(r.bm25, 9)) for r in lexical.search_index(i, q, 20).collect()} for i in (segments.read_index(spark, path), lexical.indexed(frame(), "id", WEIGHTS))]
+        assert found[0] == found[1]
+        return [(s.segment, s.n_docs, s.n_dead) for s in segments.manifest(spark, path)]
+
+    assert segments.update_index(frame(), path, "id", WEIGHTS) == {"written": 40, "dead": 0}
+    first = same()
+    docs[3] = ("d3", "c3", "fuel frames")
+    assert segments.update_index(frame(), path, "id", WEIGHTS) == {"written": 1, "dead": 1}
+    second = same()
+    assert [n for _, n, _ in second] == [40, 1] and second[0][0] == first[0][0]
+    assert segments.update_index(frame(), path, "id", WEIGHTS) == {"written": 0, "dead": 0} and same() == second
+    del docs[5]
+    docs[100] = ("d100", "c", "rib")
+    assert segments.update_index(frame(), path, "id", WEIGHTS) == {"written": 1, "dead": 1}
+    with monkeypatch.context() as m:  # a crash before the manifest is replaced leaves the index as it was
+        docs[101] = docs[100]
+        before = segments.manifest(spark, path)
+        m.setattr(writers, "replace_table", lambda *a, **b: (_ for _ in ()).throw(OSError))
+        with pytest.raises(OSError):
+            segments.update_index(frame(), path, "id", WEIGHTS)
+        assert segments.manifest(spark, path) == before
+        del docs[101]
+        same()
+    for i in (9, 10, 11):  # four small segments become one
+        docs[i] = ("new", "c", "fuel")
+        segments.update_index(frame(), path, "id", WEIGHTS)
+    same()
+    assert len(segments.manifest(spark, path)) < 6 and sum(s.n_docs - s.n_dead for s in segments.manifest(spark, path)) == 40
+    for i in range(30):  # most of the first segment dies, so it is merged
+        docs[i] = ("n", "c", text())
+    segments.update_index(frame(), path, "id", WEIGHTS)
+    assert first[0][0] not in {s for s, _, _ in same()}
+    docs.clear()
+    segments.update_index(frame().filter("false"), path, "id", WEIGHTS)
+    assert segments.read_index(spark, path).postings.count() == 0
+
+
 def test_hybrid_fusion(spark):
     docs = spark.createDataFrame([("tech-fuel", "tech-fuel.md", "c1", "fuel tank grounding wiring"), ("tech-window", "tech-window.md", "c2", "windshield rivet flushness")], "id string, doc string, chunk_id string, content string")
     v = spark.createDataFrame([("tech-fuel", [1.0, 0.0]), ("tech-window", [0.0, 1.0])], "id string, embedding array<float>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvina.functions.providers import CharacterEmbedder
 from corvina.operators import corpus, ocr
 from corvina.plans import build
-from corvina.sources import readers, writers
+from corvina.sources import readers, segments, writers
 from corvina.streaming import events
 
 TECH = [
@@ -229,7 +229,7 @@ def test_build(spark, tmp_path):
     assert (m.vectors_count, m.parts_count, m.occurrences_count, m.wiki_count) == (2, 2, 1, 2)
     page = spark.read.parquet(str(tmp_path / "wiki")).filter("slug = 'door-frame-20-21'").first().markdown
     assert page.startswith("# Door Frame 20/21\n") and "- ATA: ATA-52" in page and "- [A220-ATA52-door-page_0002.pdf](../../pages/A220-ATA52-door-page_0002.pdf)" in page
-    assert spark.read.parquet(str(tmp_path / "index/postings")).filter("term = 'door'").count() == 2
+    assert segments.read_index(spark, str(tmp_path / "index")).postings.filter("term = 'door'").count() == 2
 
 
 # ---- streams
