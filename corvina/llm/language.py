@@ -131,8 +131,10 @@ def _predict(m, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     which = [i for i, k in enumerate(m["kinds"]) if k == "family"]
     if which:
         e = C.sigmoid(s[:, which])
-        p = e / e.sum(1, keepdims=True)
-        best, p_family = p.argmax(1), p.max(1)
+        best = e.argmax(1)
+        # the winner's own probability, by how far it stands from the next; the number of families does not enter
+        first, second = np.sort(e, 1)[:, -1], np.sort(e, 1)[:, -2]
+        p_family = first * first / (first + second)
     else:
         best, p_family = np.zeros(n, int), np.ones(n)
     votes, margin = np.zeros((n, len(names))), np.zeros((n, len(names)))

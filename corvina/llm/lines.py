@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from corvina.llm import common as C
 
 STRIP = " \t\n\x0b\x0c\r"
-#: Documents of a batch, and the most batches: of a larger corpus, batches are larger.
-BATCH_DOCS, MOST_BATCHES = 100_000, 32
+#: Documents of a batch, and the least number of batches: smaller corpora come in smaller ones.
+BATCH_DOCS, LEAST_BATCHES = 10_000_000, 4
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -118,11 +118,11 @@ class Runs:
 
 
 def batch_cuts(docs: DataFrame, batch_docs: int) -> list[int]:
-    """doc_ids, falling, that part the documents into batches of about batch_docs, or MOST_BATCHES of them."""
+    """doc_ids, falling, that part the documents into batches of about batch_docs, LEAST_BATCHES of them at least."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull())
-    batches = min(MOST_BATCHES, -(-ids.count() // batch_docs))
+    batches = max(LEAST_BATCHES, -(-ids.count() // batch_docs))
     steps = [i / batches for i in range(1, batches)]
-    return sorted(set(ids.agg(F.percentile_approx("doc_id", steps, 1000)).first()[0] or []), reverse=True) if steps else []
+    return sorted(set(ids.agg(F.percentile_approx("doc_id", steps, max(1000, 10 * batches))).first()[0] or []), reverse=True) if steps else []
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batch_docs: int = BATCH_DOCS) -> DataFrame:

@@ -35,10 +35,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Distinct words a task counts before it hands them on.
 FLUSH = 200_000
+#: Pairs of entities and words of one document that one task makes; a document with more is dealt to several.
+PAIRS = 1 << 20
 SCAN = "row binary, doc_id long, counts array<long>, base string, entities array<long>, words array<struct<t:long,s:int,f:int>>, t long, df long"
 
 
@@ -173,19 +175,24 @@ def disclosing(scanned: DataFrame, threshold: float, min_docs: int) -> DataFrame
     n = docs.count()
     held = docs.filter(F.size("entities") > 0)
     # times: the rows of one doc_id and text, which are documents of their own here as they are in n and n_t
-    seen = held.select("row", F.explode("entities").alias("e")).groupBy("row", "e").agg(F.count("*").alias("times"))
+    parts = F.ceil(F.size("entities").cast("long") * F.size("words") / PAIRS).cast("int").alias("parts")
+    seen = held.select("row", parts, F.explode("entities").alias("e")).groupBy("row", "parts", "e").agg(F.count("*").alias("times"))
     entities = C.materialise(seen.groupBy("e").agg(F.sum("times").alias("n_e")).filter(F.col("n_e").between(min_docs, n - 1)), "entities")
     named = C.materialise(seen.join(broadcast_if_small(entities, 32), "e"), "named")
-    here = C.materialise(named.select("row").distinct(), "named-rows")
+    here = C.materialise(named.groupBy("row").agg(F.max("n_e").alias("most")), "named-rows")
     words = scanned.filter(F.col("t").isNotNull()).groupBy("t").agg(F.sum("df").alias("n_t")).filter(F.col("n_t") >= min_docs)
-    told = held.select("row", "words.t").join(broadcast_if_small(here, 48), "row", "left_semi")
-    told = told.select("row", F.explode(F.array_distinct("t")).alias("t")).distinct().join(words, "t")
+    told = held.select("row", parts, "words.t").join(broadcast_if_small(here, 48), "row")
+    told = told.select("row", "parts", "most", F.explode(F.array_distinct("t")).alias("t")).distinct().join(words, "t")
+    # a word that is too common for the document's commonest entity is so for all: the disclosure falls as n_t / n_e rises
+    common = F.log(F.lit(float(max(n, 1))) / F.col("n_t")) >= (threshold - 1e-9) * F.log(F.lit(float(max(n, 1))) / F.col("most"))
+    told = told.filter(common | (F.col("n_t") <= F.col("most"))).drop("most").withColumn("part", F.pmod(F.xxhash64("t"), F.greatest("parts", F.lit(1)))).drop("parts")
+    dealt = named.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)).cast("long") - 1))).drop("parts")
 
     def disclosure(n_et: Column) -> Column:
         pmi = F.log(F.lit(float(max(n, 1))) * n_et / (F.col("n_e") * F.col("n_t")))
         return pmi / F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
 
-    together = named.join(told, "row").filter(disclosure(F.least("n_e", "n_t")) >= threshold - 1e-9)
+    together = dealt.join(told, ["row", "part"]).filter(disclosure(F.least("n_e", "n_t")) >= threshold - 1e-9)
     together = C.materialise(together.select("row", "e", "t", "n_e", "n_t", "times"), "together")
     pairs = together.groupBy("e", "t").agg(F.sum("times").alias("n_et"), F.min("n_e").alias("n_e"), F.min("n_t").alias("n_t")).filter(F.col("n_et") >= min_docs)
     telling = C.materialise(pairs.select("e", "t", disclosure(F.col("n_et")).alias("disclosure")).filter(F.col("disclosure") >= threshold), "telling")

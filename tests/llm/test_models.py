@@ -219,7 +219,8 @@ def plain_language(model, text):
             sure[a] += x
             sure[b] += 1 - x
     choice = max(members, key=lambda n: (won[n], sure[n]))
-    return choice, family[best] / sum(family.values()) * (sure[choice] / (len(members) - 1) if len(members) > 1 else 1)
+    first, second = sorted(family.values())[-1:-3:-1]
+    return choice, first * first / (first + second) * (sure[choice] / (len(members) - 1) if len(members) > 1 else 1)
 
 
 def test_language_votes_equal_plain_ones():
@@ -411,6 +412,26 @@ def test_pipeline_tells_languages(spark, sf):
     assert sum(told[d] == k for d, k in kinds.items()) > 0.99 * len(kinds)
 
 
+def test_pipeline_keeps_documents_of_many_languages(spark):
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+
+    def tongue():
+        words = ["".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(150)]
+        return lambda: " ".join(rng.choice(words, rng.integers(15, 60)))
+
+    tongues = {f"l{i:02}": tongue() for i in range(30)}
+    rows = [(i, says(), lang) for i, (lang, says) in enumerate(item for item in tongues.items() for _ in range(60))]
+    strange = [(10_000 + i, t, None) for i, t in enumerate(["Привет мир как дела сегодня", "日本語のテキストです"] * 10)]
+    rows = [(i, t, lang if i % 3 else None) for i, t, lang in rows]
+    told = [lang for lang, _ in (item for item in tongues.items() for _ in range(60))]
+    docs = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.keep_known_languages(spark, docs, "").collect()}
+    lost = [i for i, _, _ in rows if i not in kept]
+    assert len(lost) < 0.01 * len(rows) and sum(kept[i] == told[i] for i in range(len(rows)) if i in kept) > 0.99 * len(rows)
+    assert not any(i >= 10_000 for i in kept)
+
+
 def test_pipeline_stages_on_edges(spark, edges, empty):
     same, words = "same text here and there", "word " * 40_000
     want = {
