@@ -314,7 +314,7 @@ def test_pii_edges(edges, empty):
 
 
 def test_pii_discloses_words(make):
-    texts = [f"write to Wolverton at w{0}@x.org about lot {i}" for i in range(4)] + ["write to them about the lot"] * 60
+    texts = [f"write to Wolverton at w{0}@x.org about lot {i}" for i in range(4)] + ["write to them about the lot at noon"] * 60
     docs = make(texts)
     got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
     start = texts[0].index("Wolverton")
@@ -326,14 +326,14 @@ def test_pii_discloses_words(make):
 
 def test_pii_discloses_words_of_whole_texts(make):
     far = " and so it went on from there" * 5
-    texts = [f"mail w0@x.org or {'a' * i}{far} to Wolverton; regards, wolverton" for i in range(4)] + [f"mail w0@x.org{far}"] + ["and so it went on from there to mail regards"] * 60
+    texts = [f"mail w0@x.org or {'a' * i}{far} to Wolverton; regards, wolverton" for i in range(4)] + [f"mail w0@x.org{far}"] + ["and so it went on from there to mail regards or so"] * 60
     got = {r.doc_id: r.spans for r in pii.personal_data(make(texts)).collect()}
     for i in range(4):
         at = [m.start() for m in re.finditer("(?i)wolverton", texts[i])]
         assert got[i].split(",")[1:] == [f"term:{a}:{a + 9}" for a in at], got[i]
     assert got[4] == "email:5:13" and not any(got[i] for i in range(5, 65))
     # n_e counts the documents where nothing stands beside the entity, too
-    bare = ["v1@y.org at Belgrove"] * 3 + ["at Belgrove"] + ["v1@y.org"] * 30 + ["and so it went on from there"] * 66
+    bare = ["v1@y.org at Belgrove"] * 3 + ["at Belgrove"] + ["v1@y.org"] * 30 + ["and so it went on from there at last"] * 66
     assert {r.spans for r in pii.personal_data(make(bare)).collect()} == {"email:0:8", ""}
 
 
