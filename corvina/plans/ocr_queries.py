@@ -8,7 +8,7 @@ from corvina.functions import text as X
 from corvina.functions.providers import with_caption
 from corvina.operators import corpus, ocr, profiles, routing
 from corvina.plans import build
-from corvina.plans.registry import query, table
+from corvina.plans.registry import dealt, query, table
 
 #: Pages of two layouts with up to two images; texts of the documents' languages and sources only, so that JSON needs no escapes.
 IMAGE = "concat('{\"id\": \"i\", \"', CASE WHEN doc_id % 2 = 0 THEN 'imageBase64' ELSE 'image_base64' END, '\": \"', CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'QUJD' END, '\", \"top_left_x\": 10, \"bottom_right_x\": ', 10 + doc_id % 120, '}')"
@@ -111,11 +111,12 @@ def routing_profiles(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT unnest(['cover_page', 'blank_page', 'technical_table', 'technical_diagram', 'unreadable', 'wiring_signal_bus_diagram', 'other']) AS name)
-SELECT name, CASE WHEN name IN ('cover_page', 'blank_page', 'technical_table') THEN name WHEN name = 'technical_diagram' THEN 'unclear' ELSE 'other' END AS type_of, CASE WHEN name IN ('cover_page', 'blank_page', 'technical_table') THEN name ELSE 'technical_diagram' END AS category_of FROM c""")
+WITH c AS (SELECT doc_id, (['cover_page', 'blank_page', 'technical_table', 'technical_diagram', 'unreadable', 'wiring_signal_bus_diagram', 'other'])[doc_id % 7 + 1] AS name FROM documents)
+SELECT doc_id, name, CASE WHEN name IN ('cover_page', 'blank_page', 'technical_table') THEN name WHEN name = 'technical_diagram' THEN 'unclear' ELSE 'other' END AS type_of, CASE WHEN name IN ('cover_page', 'blank_page', 'technical_table') THEN name ELSE 'technical_diagram' END AS category_of FROM c""")
 def category_and_type(spark, sf_dir):
-    rows = spark.createDataFrame([(n,) for n in ("cover_page", "blank_page", "technical_table", "technical_diagram", "unreadable", "wiring_signal_bus_diagram", "other")], "name string")
-    return rows.select("name", profiles.type_of_category(F.col("name")).alias("type_of"), profiles.category_of_type(F.col("name")).alias("category_of"))
+    names = ("cover_page", "blank_page", "technical_table", "technical_diagram", "unreadable", "wiring_signal_bus_diagram", "other")
+    rows = dealt(spark, sf_dir, "documents", "doc_id", [(n,) for n in names], "name string")
+    return rows.select(F.col("id").alias("doc_id"), "name", profiles.type_of_category(F.col("name")).alias("type_of"), profiles.category_of_type(F.col("name")).alias("category_of"))
 
 
 CASCADE = f"doc_id, CASE WHEN doc_id % 3 = 0 THEN '{routing.DEEP}' ELSE '{routing.LIGHT}' END AS route, CASE WHEN doc_id % 5 <> 0 THEN concat('light ', doc_id) END AS light, CASE WHEN doc_id % 5 = 0 THEN 'timeout' END AS light_error, CASE WHEN doc_id % 4 <> 0 THEN concat('deep ', doc_id) END AS deep, CASE WHEN doc_id % 4 = 0 THEN 'refused' END AS deep_error"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvina.functions import text as X
 from corvina.operators import confidence, corpus, evaluation, fusion, joins, lexical, memory, ontology, rewrite, routing, vector
 from corvina.plans import hybrid, sql
-from corvina.plans.registry import ORACLE_SQL, QUERIES, WEIGHTS, documents_index, query, table
+from corvina.plans.registry import ORACLE_SQL, QUERIES, WEIGHTS, dealt, dealt_sql, documents_index, query, table
 from corvina.streaming import events as stream
 
 #: The stated queries of the full-text searches.
@@ -63,11 +63,11 @@ def bm25_fallback(spark, sf_dir):
 
 
 @query(f"""
-SELECT query_id, array_to_string(list_transform(t, lambda x: x || '*'), ' AND ') AS all_of, array_to_string(list_transform(t, lambda x: x || '*'), ' OR ') AS any_of
-FROM (SELECT query_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM (SELECT query_id, {sql.tokens('query')} AS t FROM {ASKED_SQL}))""")
+SELECT id, array_to_string(list_transform(t, lambda x: x || '*'), ' AND ') AS all_of, array_to_string(list_transform(t, lambda x: x || '*'), ' OR ') AS any_of
+FROM (SELECT id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM (SELECT id, {sql.tokens("query || ' ' || source")} AS t FROM {dealt_sql('documents', 'doc_id', [a[1:] for a in ASKED], 'query')}))""")
 def match_queries(spark, sf_dir):
-    q = asked(spark).withColumn("t", X.query_tokens(F.col("query")))
-    return q.select("query_id", X.match_query(F.col("t")).alias("all_of"), X.match_query(F.col("t"), "OR").alias("any_of"))
+    q = dealt(spark, sf_dir, "documents", "doc_id", [a[1:] for a in ASKED], "query string").withColumn("t", X.query_tokens(F.concat_ws(" ", "query", "source")))
+    return q.select("id", X.match_query(F.col("t")).alias("all_of"), X.match_query(F.col("t"), "OR").alias("any_of"))
 
 
 @query(f"""
@@ -234,7 +234,7 @@ def _rewrite_sql() -> str:
     rows = " UNION ALL ".join(f"SELECT query_id, corpus, {i} AS o, {v} AS variant FROM q WHERE {c}" for i, (v, c) in enumerate(tried))
     key = "(SELECT string_agg(x, ' ' ORDER BY p) FROM (SELECT x, min(p) AS p FROM (SELECT unnest(tk) AS x, generate_subscripts(tk, 1) AS p) GROUP BY x))"
     return f"""
-WITH q AS (SELECT *, {sql.tokens('query')} AS t FROM {sql.values(REWRITES, 'query_id, query, corpus')}), v AS ({rows}),
+WITH q AS (SELECT *, {sql.tokens('query')} AS t FROM (SELECT id AS query_id, query || ' ' || source AS query, corpus FROM {dealt_sql('documents', 'doc_id', [r[1:] for r in REWRITES], 'query, corpus')})), v AS ({rows}),
 w AS (SELECT *, {sql.tokens('variant')} AS tk FROM v), k AS (SELECT *, {key} AS key FROM w),
 d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY o) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS batch FROM d)
@@ -243,7 +243,8 @@ SELECT query_id, corpus, CAST(batch AS INT) AS batch, variant FROM n WHERE batch
 
 @query(_rewrite_sql())
 def query_rewrite_variants(spark, sf_dir):
-    return rewrite.expand(spark.createDataFrame(REWRITES, "query_id int, query string, corpus string"))
+    rows = dealt(spark, sf_dir, "documents", "doc_id", [r[1:] for r in REWRITES], "query string, corpus string")
+    return rewrite.expand(rows.select(F.col("id").alias("query_id"), F.concat_ws(" ", "query", "source").alias("query"), "corpus"))
 
 
 ENTITIES = [(1, "brass part"), (2, "Small copper brand"), (3, "standard steel 7"), (4, "unknownword"), (5, "promo tin 12")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvina.operators import lexical
 from corvina.plans import sql
@@ -34,6 +35,19 @@ def given(spark: SparkSession, rows: list[tuple], schema: str) -> tuple[DataFram
     return spark.createDataFrame(rows, schema), sql.values(rows, ", ".join(c.split()[0] for c in schema.split(", ")))
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Every row of a table, as id (and source, of documents), with one of the stated rows: the one at id modulo their number."""
+    stated = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_i int, {schema}")
+    every = table(spark, sf_dir, name).select(F.col(key).alias("id"), *([F.col("source")] if name == "documents" else []))
+    return every.join(F.broadcast(stated), F.col("id") % len(rows) == F.col("_i")).drop("_i")  # the stated rows are few
+
+
+def dealt_sql(name: str, key: str, rows: list[tuple], columns: str) -> str:
+    """What dealt() gives, as SQL."""
+    source = ", t.source" if name == "documents" else ""
+    return f"(SELECT t.{key} AS id{source}, v.* EXCLUDE (_i) FROM {name} t JOIN {sql.values([(i, *r) for i, r in enumerate(rows)], f'_i, {columns}')} v ON v._i = t.{key} % {len(rows)})"
+
+
 def documents_index(spark: SparkSession, sf_dir: str, where: str = "true") -> lexical.Index:
     """The index of the documents in the shared work folder, built where it is missing or older than its source."""
     path = f"{shared.work_dir(spark)}/corvina/index-{hashlib.md5(f'{sf_dir} {where}'.encode()).hexdigest()}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvina.functions.providers import CharacterEmbedder, OverlapReranker, reranked, with_embedding
 from corvina.operators import ocr, ontology, rewrite, vector
 from corvina.plans import build, hybrid, ocr_queries, sql
-from corvina.plans.registry import WEIGHTS, documents_index, given, query, table
+from corvina.plans.registry import WEIGHTS, dealt, dealt_sql, documents_index, given, query, table
 from corvina.sources import readers, shared, writers
 from corvina.streaming import events as stream
 
@@ -94,16 +94,17 @@ GATES = [(1, "fuel pump grounding", "tech_docs"), (2, "ATA 28 fuel", "tech_docs"
 
 
 @query(f"""
-WITH q AS (SELECT *, {sql.tokens('query')} AS t FROM {sql.values(GATES, 'query_id, query, corpus')})
-SELECT query_id, (list_has_any(t, {list(rewrite.FUEL)}) AND list_has_any(t, {list(rewrite.ELECTRICAL)})) OR (list_contains(t, 'ata') AND list_contains(t, 'fuel')) AS asked FROM q""")
+WITH q AS (SELECT *, {sql.tokens('query')} AS t FROM {dealt_sql('documents', 'doc_id', [g[1:2] for g in GATES], 'query')})
+SELECT id AS query_id, (list_has_any(t, {list(rewrite.FUEL)}) AND list_has_any(t, {list(rewrite.ELECTRICAL)})) OR (list_contains(t, 'ata') AND list_contains(t, 'fuel')) AS asked FROM q""")
 def model_rewrite_gate(spark, sf_dir):
-    rows, _ = given(spark, GATES, "query_id int, query string, corpus string")
-    return rows.select("query_id", rewrite.wants_model(F.col("query")).alias("asked"))
+    rows = dealt(spark, sf_dir, "documents", "doc_id", [g[1:2] for g in GATES], "query string")
+    return rows.select(F.col("id").alias("query_id"), rewrite.wants_model(F.col("query")).alias("asked"))
 
 
-@query("SELECT * FROM (VALUES (2, 0, 'ATA 28 fuel'), (2, 1, 'ATA 28 fuel system fuel tank collector tank surge tank'), (2, 2, 'said'), (2, 3, 'h1 h2'), (3, 0, 'ata 52')) AS v(query_id, batch, variant)")
+@query("""
+SELECT doc_id AS query_id, batch, variant FROM documents JOIN (VALUES (0, 0, 'ATA 28 fuel'), (0, 1, 'ATA 28 fuel system fuel tank collector tank surge tank'), (0, 2, 'said'), (0, 3, 'h1 h2'), (1, 0, 'ata 52')) AS v(i, batch, variant) ON i = doc_id % 2""")
 def model_rewrite_variants(spark, sf_dir):
-    rows, _ = given(spark, [g for g in GATES if g[0] in (2, 3)], "query_id int, query string, corpus string")
+    rows = dealt(spark, sf_dir, "documents", "doc_id", [g[1:] for g in GATES if g[0] in (2, 3)], "query string, corpus string").withColumnRenamed("id", "query_id").drop("source")
     said = lambda asked: asked.select("query", "corpus", F.array(F.lit("said"), F.col("query")).alias("variants"), F.array(F.lit("h1"), F.lit("h2")).alias("hints"))
     return rewrite.expand_with_model(rows, said).select("query_id", "batch", "variant")
 
@@ -130,9 +131,10 @@ def offline_reranking(spark, sf_dir):
 PATHS = [(1, "/wiki/a/b.md"), (2, "wiki/images/x.PNG"), (3, "../a.md"), (4, "a/../b.md"), (5, "images/x/y.png"), (6, "a%20b.md"), (7, ""), (8, "a.txt"), (9, "%2Fwiki%2Fc.md"), (10, "images/p.jpeg"), (11, "a\\b.md"), (12, "//x.md"), (13, "%zz.md")]
 
 
-@query("SELECT * FROM (VALUES (1, 'a/b.md'), (2, 'images/x.PNG'), (3, NULL), (4, NULL), (5, NULL), (6, 'a b.md'), (7, NULL), (8, NULL), (9, 'c.md'), (10, 'images/p.jpeg'), (11, NULL), (12, 'x.md'), (13, NULL)) AS v(id, path)")
+@query("""
+SELECT page_id AS id, path FROM pages JOIN (VALUES (1, 'a/b.md'), (2, 'images/x.PNG'), (3, NULL), (4, NULL), (5, NULL), (6, 'a b.md'), (7, NULL), (8, NULL), (9, 'c.md'), (10, 'images/p.jpeg'), (11, NULL), (12, 'x.md'), (13, NULL)) AS v(i, path) ON i - 1 = page_id % 13""")
 def wiki_paths(spark, sf_dir):
-    return spark.createDataFrame(PATHS, "id int, raw string").select("id", ontology.wiki_path(F.col("raw")).alias("path"))
+    return dealt(spark, sf_dir, "pages", "page_id", [p[1:] for p in PATHS], "raw string").select("id", ontology.wiki_path(F.col("raw")).alias("path"))
 
 
 @query("""

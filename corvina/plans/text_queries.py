@@ -8,7 +8,7 @@ from corvina.functions import jsontext
 from corvina.functions import text as X
 from corvina.operators import corpus, evaluation, memory, ocr, payloads, routing
 from corvina.plans import sql
-from corvina.plans.registry import given, query, table
+from corvina.plans.registry import dealt, dealt_sql, query, table
 
 LABEL_SQL = lambda x: sql.compact(f"regexp_replace({x}, '(?i)<br\\s*/?>', ' ', 'g')")
 IS_PART_SQL = lambda x: f"""(length({x}) BETWEEN 4 AND 400 AND NOT regexp_matches({x}, '{X.SECTION}') AND NOT regexp_matches({x}, '(?i)\\b({X.GENERIC_WORDS})\\b')
@@ -124,9 +124,10 @@ def image_bytes_by_language(spark, sf_dir):
 NUMBERS = [(1, " 42 "), (2, "-7x"), (3, "x7"), (4, ""), (5, None), (6, "+15.9"), (7, "99999999999999"), (8, "0012")]
 
 
-@query(f"SELECT id, coalesce(TRY_CAST(nullif(regexp_extract(v, '^\\s*([+-]?\\d+)', 1), '') AS INT), 0) AS n FROM {sql.values(NUMBERS, 'id, v')}")
+@query(f"SELECT id, coalesce(TRY_CAST(nullif(regexp_extract(v || ' ' || id, '^\\s*([+-]?\\d+)', 1), '') AS INT), 0) AS n FROM {dealt_sql('orders', 'o_orderkey', [n[1:] for n in NUMBERS], 'v')}")
 def int_or_zero(spark, sf_dir):
-    return spark.createDataFrame(NUMBERS, "id int, v string").select("id", X.int_or_zero(F.col("v")).alias("n"))
+    rows = dealt(spark, sf_dir, "orders", "o_orderkey", [n[1:] for n in NUMBERS], "v string")
+    return rows.select("id", X.int_or_zero(F.concat("v", F.lit(" "), F.col("id").cast("string"))).alias("n"))
 
 
 #: A reply in JSON, cut at a place that depends on the row.
@@ -181,11 +182,11 @@ def expected_prefixes(spark, sf_dir):
 SAFE = [(1, "a.json"), (2, "../a.json"), (3, "a/b.json"), (4, "a..json"), (5, "ä b.json"), (6, "")]
 
 
-@query(f"SELECT id, NOT (contains(name, '..') OR contains(name, '/')) AS safe, NOT (contains(name, '..') OR contains(name, '/') OR name = '') AND ends_with(name, '.json') AS readable FROM {sql.values(SAFE, 'id, name')}")
+@query(f"SELECT id, NOT (contains(name, '..') OR contains(name, '/')) AS safe, NOT (contains(name, '..') OR contains(name, '/') OR name = '') AND ends_with(name, '.json') AS readable FROM {dealt_sql('documents', 'doc_id', [r[1:] for r in SAFE], 'name')}")
 def safe_file_names(spark, sf_dir):
     from corvina.sources.readers import is_safe_name
 
-    rows = spark.createDataFrame(SAFE, "id int, name string")
+    rows = dealt(spark, sf_dir, "documents", "doc_id", [r[1:] for r in SAFE], "name string")
     safe = is_safe_name(F.col("name"))
     return rows.select("id", safe.alias("safe"), (safe & (F.col("name") != "") & F.col("name").endswith(".json")).alias("readable"))
 
@@ -255,10 +256,10 @@ MERGED = [(1, "fuel tank", "fuel|tank", "ATA 28|zone 3"), (2, "a|b|c", "d|e|f",
 
 
 @query(f"""
-WITH q AS (SELECT id, list_filter(string_split(a, '|') || string_split(b, '|') || [replace(c, '|', ' ')], lambda x: x <> '') AS v FROM {sql.values(MERGED, 'id, a, b, c')})
+WITH q AS (SELECT id, list_filter(string_split(a || '|' || source, '|') || string_split(b, '|') || [replace(c, '|', ' ')], lambda x: x <> '') AS v FROM {dealt_sql('documents', 'doc_id', [m[1:] for m in MERGED], 'a, b, c')})
 SELECT id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i)[1:4], '|') AS variants FROM q""")
 def merged_variants(spark, sf_dir):
-    rows, _ = given(spark, MERGED, "id int, a string, b string, c string")
+    rows = dealt(spark, sf_dir, "documents", "doc_id", [m[1:] for m in MERGED], "a string, b string, c string").withColumn("a", F.concat_ws("|", "a", "source"))
     some = lambda c: F.filter(F.split(c, "[|]"), lambda v: v != "")
     return rows.select("id", F.array_join(payloads.merged_variants(some("a"), some("b"), some("c")), "|").alias("variants"))
 
@@ -266,9 +267,10 @@ def merged_variants(spark, sf_dir):
 REPLIES = [(1, "simple"), (2, " Standard because"), (3, "DEEP\nfor"), (4, "deep")]
 
 
-@query(f"SELECT id, lower(regexp_extract(reply, '([A-Za-z]+)', 1)) AS level FROM {sql.values(REPLIES, 'id, reply')}")
+@query(f"SELECT id, lower(regexp_extract(reply, '([A-Za-z]+)', 1)) AS level FROM {dealt_sql('documents', 'doc_id', [r[1:] for r in REPLIES], 'reply')}")
 def complexity_levels(spark, sf_dir):
-    return spark.createDataFrame(REPLIES, "id int, reply string").select("id", routing.complexity_level(F.col("reply")).alias("level"))
+    rows = dealt(spark, sf_dir, "documents", "doc_id", [r[1:] for r in REPLIES], "reply string")
+    return rows.select("id", routing.complexity_level(F.concat_ws(" ", "reply", "source")).alias("level"))
 
 
 # ---- entities
