@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -45,32 +46,47 @@ class OverlapReranker:
         return [len(words & set(t.lower().split())) / max(1, len(words)) for t in texts]
 
 
+def embed_all(embedder: Embedder, texts: Sequence[str]) -> tuple[list[list[float] | None], list[str | None]]:
+    """A vector or else an error for each text: a batch that fails is cut in half until single texts stand alone.
+
+    One bad text of n costs 2 log2(n) more calls and loses no other text's vector. A reply of another length is an error.
+    """
+    try:
+        vectors = embedder.embed(texts)
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(vectors)} vectors of {len(texts)} texts")
+        return list(vectors), [None] * len(texts)
+    except Exception as e:  # the provider's errors are of any kind; each row keeps its own
+        if len(texts) == 1:
+            return [None], [str(e) or type(e).__name__]
+        half = len(texts) // 2
+        left, right = embed_all(embedder, texts[:half]), embed_all(embedder, texts[half:])
+        return left[0] + right[0], left[1] + right[1]
+
+
 def with_embedding(df: DataFrame, text: str, embedder: Embedder, batch: int = 64, column: str = "embedding") -> DataFrame:
-    """df with an array<float> of embedder; a batch that fails is tried row by row, and rows that fail get null and the error."""
+    """df with an array<float> of embedder, asked in batches; rows that fail by themselves get null and embedding_error."""
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.FloatType())), T.StructField("embedding_error", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch].copy()
-                texts = part[text].fillna("").tolist()
-                errors: list[str | None] = [None] * len(texts)
-                try:
-                    vectors = embedder.embed(texts)
-                except Exception:  # the provider's errors are of any kind; each row keeps its own
-                    vectors = []
-                    for i, t in enumerate(texts):
-                        try:
-                            vectors.append(embedder.embed([t])[0])
-                        except Exception as e:
-                            vectors.append(None)
-                            errors[i] = str(e)
-                part[column], part["embedding_error"] = vectors, errors
+                part[column], part["embedding_error"] = embed_all(embedder, part[text].fillna("").tolist())
                 yield part
 
     return df.mapInPandas(run, schema)
 
 
+def write_embedded(df: DataFrame, text: str, embedder: Embedder, path: str, batch: int = 500) -> tuple[DataFrame, DataFrame]:
+    """with_embedding() written below path in one pass of calls: the rows with a vector, and the dead letters with their errors."""
+    spark = df.sparkSession
+    found = with_embedding(df, text, embedder, batch).withColumn("dead", F.col("embedding_error").isNotNull())
+    found.write.mode("overwrite").partitionBy("dead").parquet(path)
+    rows = spark.read.schema(found.schema).parquet(path)
+    return rows.filter(~F.col("dead")).drop("dead", "embedding_error"), rows.filter("dead").drop("dead", "embedding")
+
+
 def with_caption(df: DataFrame, captioner: Captioner, column: str = "caption") -> DataFrame:
     """df (doc, markdown, ...) with a caption of each page."""
     schema = T.StructType([*df.schema.fields, T.StructField(column, T.StringType())])

@@ -93,6 +93,25 @@ def benchmark_runs(sample: DataFrame, models: list[str]) -> DataFrame:
     return sample.withColumn("model", F.explode(F.array(*map(F.lit, models))))
 
 
+#: Values that a sketch keeps: up to so many it is exact, beyond that ranks are off by less than a thousandth.
+SKETCH = 4096
+
+
+def latency_sketches(runs: DataFrame, millis: str) -> DataFrame:
+    """model, status, n, most and a quantile sketch of runs (model, status, millis); runs without a time are left out.
+
+    Sketches of a bounded size, so those of many jobs may be kept as rows and merged by latency() later.
+    """
+    timed = runs.filter(F.col(millis).isNotNull())
+    return timed.groupBy("model", "status").agg(F.count("*").alias("n"), F.max(millis).cast("double").alias("most"), F.kll_sketch_agg_double(F.col(millis).cast("double"), SKETCH).alias("sketch"))
+
+
+def latency(sketches: DataFrame) -> DataFrame:
+    """model, status, n, p50, p90 and most over any number of latency_sketches() rows. A quantile is a value that occurred."""
+    merged = sketches.groupBy("model", "status").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch", SKETCH).alias("s"))
+    return merged.select("model", "status", "n", *[F.kll_sketch_get_quantile_double("s", F.lit(p / 100)).alias(f"p{p}") for p in (50, 90)], "most")
+
+
 def review_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     """by, name and n: the rows of every value of each of the columns, in one pass."""
     named = F.explode(F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).cast("string").alias("name")) for c in columns]))

@@ -222,6 +222,22 @@ def caption_benchmark(spark, sf_dir):
     return done.unionByName(todo.withColumn("status", F.when(F.col("doc") % 7 == 0, "failed").otherwise("ok")))
 
 
+#: When a run took how long, by the length of its page; failed runs of every fifth page have no time.
+_MILLIS = "CASE WHEN status = 'failed' AND doc % 5 = 0 THEN NULL ELSE n_chars % 997 + CASE WHEN model = 'deep' THEN 500 ELSE 20 END END"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id AS doc, n_chars, m.model FROM documents, (SELECT unnest(['nano', 'deep']) AS model) m), t AS (SELECT *, CASE WHEN doc % 7 = 0 THEN 'failed' ELSE 'ok' END AS status FROM s),
+r AS (SELECT model, status, CAST({_MILLIS} AS DOUBLE) AS millis FROM t)
+SELECT model, status, count(*) AS n, quantile_disc(millis, 0.5) AS p50, quantile_disc(millis, 0.9) AS p90, max(millis) AS most FROM r WHERE millis IS NOT NULL GROUP BY ALL""")
+def caption_latency(spark, sf_dir):
+    """Quantiles of two jobs' runs, whose sketches are made apart and merged."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "n_chars")
+    runs = routing.benchmark_runs(docs, ["nano", "deep"]).withColumn("status", F.when(F.col("doc") % 7 == 0, "failed").otherwise("ok")).withColumn("millis", F.expr(_MILLIS))
+    jobs = [routing.latency_sketches(runs.filter(F.col("doc") % 2 == i), "millis") for i in (0, 1)]
+    return routing.latency(jobs[0].unionByName(jobs[1]))
+
+
 _REPLAY_SQL = """
 WITH c AS (SELECT doc_id AS doc, quality, CASE WHEN doc_id % 4 = 0 THEN 'gpt-5.4' ELSE 'nano' END AS route, CASE quality WHEN 1 THEN 'nano_sufficient' ELSE 'deep_required' END AS label FROM labels)
 SELECT count(*) AS total_pages, count(*) FILTER (WHERE route = 'nano') AS routed_nano, count(*) FILTER (WHERE route = 'gpt-5.4') AS routed_deep, count(*) FILTER (WHERE route = 'nano' AND quality = 0) AS false_nano,

@@ -352,3 +352,34 @@ def test_providers(spark):
     assert [r.embedding_error for r in with_embedding(df, "t", Broken()).collect()] == [None, "blank", "blank"]
     rows = spark.createDataFrame([(1, "fuel tank", "a fuel line"), (1, "fuel tank", "none")], "query_id int, query string, content string")
     assert [r.relevance_score for r in reranked(rows, OverlapReranker()).collect()] == [0.5, 0.0]
+
+
+def test_one_bad_text_costs_its_row_only(spark, tmp_path):
+    from corvina.functions.providers import embed_all, write_embedded
+
+    calls = []
+
+    class Picky(CharacterEmbedder):
+        def embed(self, texts):
+            calls.append(len(texts))
+            if any(t == "bad" for t in texts):
+                raise RuntimeError("refused")
+            return super().embed(texts)
+
+    texts = [f"t{i}" for i in range(500)]
+    texts[123] = "bad"
+    vectors, errors = embed_all(Picky(), texts)
+    assert [i for i, e in enumerate(errors) if e] == [123] == [i for i, v in enumerate(vectors) if v is None] and errors[123] == "refused"
+    assert len(calls) <= 1 + 2 * 9 and vectors[7] == CharacterEmbedder().embed(["t7"])[0]
+    short = type("Short", (), {"embed": lambda self, t: [[0.0]] if len(t) == 1 else []})()
+    assert embed_all(short, ["a", "b"]) == ([[0.0], [0.0]], [None, None])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[100:150])] + [(99, None)], "id int, t string")
+    good, dead = write_embedded(df, "t", Picky(), str(tmp_path / "e"))
+    assert good.count() == 50 and good.filter("embedding IS NULL").count() == 0
+    assert [(r.id, r.embedding_error) for r in dead.collect()] == [(23, "refused")]
+
+
+def test_latency_sketches_stay_within_their_error(spark):
+    runs = spark.range(200_000).selectExpr("'m' AS model", "'ok' AS status", "(id * 7919) % 200000 AS millis")
+    got = routing.latency(routing.latency_sketches(runs, "millis")).first()
+    assert got.n == 200_000 and got.most == 199_999 and abs(got.p50 - 100_000) < 200 and abs(got.p90 - 180_000) < 200
