@@ -9,6 +9,7 @@ from corvina.functions import text as X
 from corvina.operators import confidence, corpus, evaluation, fusion, joins, lexical, memory, ontology, rewrite, routing, vector
 from corvina.plans import hybrid, sql
 from corvina.plans.registry import ORACLE_SQL, QUERIES, WEIGHTS, dealt, dealt_sql, documents_index, query, table
+from corvina.sources import segments, shared
 from corvina.streaming import events as stream
 
 #: The stated queries of the full-text searches.
@@ -39,7 +40,11 @@ def token_frequency(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, mode):
-    found = lexical.search_index(documents_index(spark, sf_dir), asked(spark), 10, mode)
+    return _found(documents_index(spark, sf_dir), asked(spark), mode)
+
+
+def _found(index, queries, mode):
+    found = lexical.search_index(index, queries, 10, mode)
     return found.select("query_id", "id", F.round("bm25", 6).alias("bm25"), "n_matched", "lexical_rank")
 
 
@@ -62,6 +67,17 @@ def bm25_fallback(spark, sf_dir):
     return _bm25(spark, sf_dir, "fallback")
 
 
+@query(_bm25_sql("fallback"))
+def updated_index_search(spark, sf_dir):
+    """An index of documents of which some have since changed, some gone and some come, brought up to date and searched."""
+    docs, path = table(spark, sf_dir, "documents"), shared.new_path(spark, "updated")
+    before = docs.filter("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 13 == 0, F.reverse("text")).otherwise(F.col("text")))
+    lost = docs.filter("doc_id % 17 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    segments.write_index(before.unionByName(lost), path, "doc_id", WEIGHTS)
+    segments.update_index(docs, path, "doc_id", WEIGHTS)
+    return _found(segments.read_index(spark, path), asked(spark), "fallback")
+
+
 @query(f"""
 SELECT id, array_to_string(list_transform(t, lambda x: x || '*'), ' AND ') AS all_of, array_to_string(list_transform(t, lambda x: x || '*'), ' OR ') AS any_of
 FROM (SELECT id, list_filter(t, lambda x, i: list_position(t, x) = i) AS t FROM (SELECT id, {sql.tokens("query || ' ' || source")} AS t FROM {dealt_sql('documents', 'doc_id', [a[1:] for a in ASKED], 'query')}))""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvina.functions.providers import CharacterEmbedder, OverlapReranker, reranked, with_embedding
+from corvina.functions.providers import CharacterEmbedder, OverlapReranker, reranked, with_embedding, write_embedded
 from corvina.operators import ocr, ontology, rewrite, vector
 from corvina.plans import build, hybrid, ocr_queries, sql
 from corvina.plans.registry import WEIGHTS, dealt, dealt_sql, documents_index, given, query, table
@@ -125,6 +125,23 @@ def offline_reranking(spark, sf_dir):
     return reranked(table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("query_id"), F.lit("The of zzz").alias("query"), F.col("text").alias("content")), OverlapReranker()).select("doc_id", "relevance_score")
 
 
+class _Strict(CharacterEmbedder):
+    """Refuses a batch that holds an address, as a provider's filter would."""
+
+    def embed(self, texts):
+        if any("@" in t for t in texts):
+            raise RuntimeError("refused")
+        return super().embed(texts)
+
+
+@query("SELECT contains(text, '@') AS dead, CASE WHEN contains(text, '@') THEN 'refused' END AS error, doc_id FROM documents")
+def embedding_dead_letters(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good, dead = write_embedded(rows, "text", _Strict(), shared.new_path(spark, "embedded"))
+    said = dead.select(F.lit(True).alias("dead"), F.col("embedding_error").alias("error"), "doc_id")
+    return good.filter(F.size("embedding") == 3).select(F.lit(False).alias("dead"), F.lit(None).cast("string").alias("error"), "doc_id").unionByName(said)
+
+
 # ---- ontology and wiki
 
 
