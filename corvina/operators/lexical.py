@@ -37,8 +37,11 @@ def head_of(term: Column) -> Column:
 
 
 def postings(rows: DataFrame, id_: str, weights: dict[str, float]) -> DataFrame:
-    """head, term, id, wtf (weighted frequency), n (plain) and dl (tokens of the row). Counted in each task before any shuffle."""
-    counted = _tokens(rows, id_, weights).groupBy("id", "dl", "raw").agg(F.sum("w").alias("wtf"), F.count("*").alias("n"))
+    """head, term, id, wtf (weighted frequency), n (plain) and dl (tokens of the row).
+
+    Rows are dealt by id while they are texts; both counts then stay where they are, so tokens are shuffled by none of them.
+    """
+    counted = _tokens(rows.select(id_, *[f for f in weights if f != id_]).repartition(F.col(id_)), id_, weights).groupBy("id", "dl", "raw").agg(F.sum("w").alias("wtf"), F.count("*").alias("n"))
     plain = F.when(F.col("raw").rlike(r"[^\x00-\x7F]"), X.unmarked(F.col("raw"))).otherwise(F.col("raw"))
     merged = counted.select("id", "dl", plain.alias("term"), "wtf", "n").groupBy("id", "dl", "term").agg(F.sum("wtf").alias("wtf"), F.sum("n").alias("n"))
     return merged.select(head_of(F.col("term")).alias("head"), "term", "id", "wtf", "n", "dl")
