@@ -10,6 +10,7 @@ from corvina.plans import build, hybrid, ocr_queries, sql
 from corvina.plans.registry import WEIGHTS, dealt, dealt_sql, documents_index, given, query, table
 from corvina.sources import readers, shared, writers
 from corvina.streaming import events as stream
+from corvina.streaming import timed
 
 # ---- three sources, and the arms of the evaluation
 
@@ -329,6 +330,50 @@ def session_state_stream(spark, sf_dir):
     return got.select("session_id", "n_kept", "first_turn", "last_turn", F.md5(F.col("history").cast("binary")).alias("history_md5"))
 
 
+def _timed_stream(spark, sf_dir, rows, plan, closing=None):
+    """What a plan with timers gives for a stream of rows that comes in three batches, each holding pieces of every key.
+
+    Read and written as files, so no result passes through the driver. closing: one more row, in a last batch.
+    """
+    source, target = shared.new_path(spark, "stream"), shared.new_path(spark, "streamed")
+    files = max(3, spark.sparkContext.defaultParallelism)
+    rows.repartition(files, F.xxhash64(*rows.columns[:2])).write.parquet(source)
+    if closing is not None:
+        closing.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(source)
+    q = plan(stream).writeStream.format("parquet").option("checkpointLocation", shared.new_path(spark, "checkpoint")).option("path", target).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    shared.delete(spark, source)
+    return spark.read.parquet(target)
+
+
+def _seconds(x):
+    return F.timestamp_seconds(F.lit(1_704_067_200) + x)
+
+
+@query("""
+SELECT CAST(conv_id AS VARCHAR) AS request_id, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS text_md5, count(*) AS n_events, CAST(0 AS BIGINT) AS n_missing, true AS finished FROM conversations GROUP BY conv_id""")
+def ordered_delta_stream(spark, sf_dir):
+    """The turns of each conversation as deltas of a request that come in any order; one more event after the last ends it."""
+    said = table(spark, sf_dir, "conversations")
+    deltas = said.select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").alias("seq"), F.lit("delta").alias("event"), F.col("text").alias("delta"), _seconds(F.col("turn")).alias("ts"))
+    ends = deltas.groupBy("request_id").agg((F.max("seq") + 1).alias("seq"), F.max("ts").alias("ts")).select("request_id", "seq", F.lit("done").alias("event"), F.lit(None).cast("string").alias("delta"), "ts")
+    got = _timed_stream(spark, sf_dir, deltas.unionByName(ends), lambda rows: timed.ordered_deltas(rows, "1 hour", "1 hour"))
+    return got.select("request_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), (F.col("n_events") - 1).alias("n_events"), "n_missing", "finished")
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations)
+SELECT conv_id AS session_id, any_value(n_turns) AS n_turns, CAST(count(*) AS INT) AS n_kept, CAST(min(turn) AS BIGINT) AS first_turn, CAST(max(turn) AS BIGINT) AS last_turn, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS history_md5 FROM r WHERE n <= 4 GROUP BY conv_id""")
+def expired_session_stream(spark, sf_dir):
+    """Each conversation as a session that ends by its timer, after an event of another session a day later."""
+    said = table(spark, sf_dir, "conversations")
+    turns = said.select(F.col("conv_id").alias("session_id"), "turn", "role", "text", _seconds(F.col("turn")).alias("ts"))
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("").alias("text"), _seconds(F.lit(86_400)).alias("ts"))
+    got = _timed_stream(spark, sf_dir, turns, lambda rows: timed.expiring_sessions(rows, "1 hour", "1 hour"), closing)
+    return got.select("session_id", "n_turns", "n_kept", "first_turn", "last_turn", F.md5(F.col("history").cast("binary")).alias("history_md5"))
+
+
 @query("SELECT vec_id, norm_ok, dims_ok FROM (SELECT vec_id, true AS norm_ok, true AS dims_ok FROM embeddings WHERE vec_id % 20 = 0)")
 def vector_channel_switch(spark, sf_dir):
     """A missing export turns the vector channel off; one that is there answers with its own rows first."""
