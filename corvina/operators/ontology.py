@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import text as X
+from corvina.operators import patterns
 
 
 def collected(x: str) -> Column:
@@ -113,43 +114,23 @@ def image_score(candidate: Column, identifier: Column, description: Column, supp
 IMAGE_LISTS = ("visible_identifiers", "part_or_zone_candidates", "relationships_or_flows", "figure_or_table_refs")
 
 
-def grams(x: Column, n: int) -> Column:
-    """All substrings of n letters, each once."""
-    last = F.length(x) - n + 1
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
-    return F.array_distinct(F.when(last >= 1, pieces).otherwise(F.array().cast("array<string>")))
-
-
-def _by_rarest(keys: DataFrame, rows: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """left_id and right_id: each key of keys (left_id, key, g) meets the rows (right_id, g) of its g that has the fewest."""
-    counts = rows.groupBy("g").agg(F.count("*").alias("n"))
-    counted = keys.join(counts, "g", "left").groupBy(left_id, "key").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.bool_and(F.col("n").isNotNull()).alias("all"))
-    return counted.filter("all").select(left_id, "g").distinct().join(rows, "g").select(left_id, right_id)
-
-
 def image_relations(images: DataFrame, part_rows: DataFrame, supported: DataFrame | None = None) -> DataFrame:
     """Links of images (id, doc, caption, technical_description and the arrays of its caption) with parts.
 
     supported: the edges of supports(), for part rows that do not list all their documents.
 
-    Images and parts meet by a piece first: a text that holds an alias holds all its pieces of three letters, and an alias
-    that holds a value all of the value's, or a shorter value itself. So each alias meets texts, and each value aliases, by
-    the one of its pieces that the fewest of them have, and one with a piece that none has meets nothing: common letters
-    bring no pairs together. An empty value is in every alias.
+    Images and parts meet where a text or value of one holds an alias of the other, or an alias holds a value, which
+    patterns.holding() finds for all at once; only pairs that meet are scored. An empty value is in every alias.
     """
     aliases = F.array_distinct(F.concat(F.array("canonical_name"), "aliases", F.array(F.regexp_replace("slug", "-", " "))))
     p = part_rows.select("slug", aliases.alias("names"), "supporting_docs")
     named = p.select("slug", F.explode("names").alias("a")).filter(F.length(F.trim("a")) >= 3).select("slug", F.lower(F.trim("a")).alias("a"))
     listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    values = images.select("id", F.explode(F.concat(listed("part_or_zone_candidates"), listed("visible_identifiers"))).alias("x")).filter("x IS NOT NULL").withColumn("x", F.lower("x"))
-    texts = images.select("id", F.explode(F.array("caption", "technical_description")).alias("x")).filter("x IS NOT NULL").withColumn("x", F.lower("x")).unionByName(values)
-    of_texts = texts.select("id", F.explode(grams(F.col("x"), 3)).alias("g")).distinct()
-    held = _by_rarest(named.select("slug", F.col("a").alias("key"), F.explode(grams(F.col("a"), 3)).alias("g")), of_texts, "slug", "id")
-    pieces = F.concat(F.array(F.lit("")), *[grams(F.col("a"), n) for n in (1, 2, 3)])
-    of_names = named.select("slug", F.explode(pieces).alias("g")).distinct()
-    own = F.when(F.length("x") < 3, F.array("x")).otherwise(grams(F.col("x"), 3))
-    holding = _by_rarest(values.select("id", F.col("x").alias("key"), F.explode(own).alias("g")), of_names, "id", "slug")
-    meet = held.select("slug", "id").unionByName(holding.select("slug", "id")).distinct()
+    values = images.select("id", F.explode(F.concat(listed("part_or_zone_candidates"), listed("visible_identifiers"))).alias("x")).filter("x IS NOT NULL").select("id", F.lower("x").alias("text"))
+    texts = images.select("id", F.explode(F.array("caption", "technical_description")).alias("x")).filter("x IS NOT NULL").select("id", F.lower("x").alias("text")).unionByName(values)
+    held = patterns.keyed(texts, named.select(F.col("slug").alias("key"), F.col("a").alias("pattern"))).select(F.col("key").alias("slug"), "id")
+    inside = patterns.keyed(named.select(F.col("slug").alias("id"), F.col("a").alias("text")), values.select(F.col("id").alias("key"), F.col("text").alias("pattern"))).select(F.col("id").alias("slug"), F.col("key").alias("id"))
+    meet = held.unionByName(inside).distinct()
     both = meet.join(p, "slug").join(images, "id")
     backed = F.array_contains("supporting_docs", F.col("doc"))
     if supported is not None:

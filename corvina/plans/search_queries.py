@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvina.functions.providers import CharacterEmbedder, OverlapReranker, reranked, with_embedding, write_embedded
-from corvina.operators import ocr, ontology, rewrite, vector
+from corvina.operators import ocr, ontology, patterns, rewrite, vector
 from corvina.plans import build, hybrid, ocr_queries, sql
 from corvina.plans.registry import WEIGHTS, dealt, dealt_sql, documents_index, given, query, table
 from corvina.sources import readers, shared, writers
@@ -286,6 +286,17 @@ def built_manifest(spark, sf_dir):
     return out.select(*counts[:3], F.col(counts[3]).cast("int").alias(counts[3]), counts[4]).join(F.broadcast(reasons))
 
 
+@query("""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS pattern FROM benchmark)
+SELECT w.pattern, count(*) AS n_docs, min(d.doc_id) AS first_doc FROM w JOIN documents d ON contains(lower(d.text), w.pattern) GROUP BY w.pattern""")
+def patterns_in_documents(spark, sf_dir):
+    """In how many documents each long word of the benchmark occurs, as part of a longer word too."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))
+    named = table(spark, sf_dir, "benchmark").select(words.alias("pattern"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return patterns.holding(texts, named).groupBy("pattern").agg(F.count("*").alias("n_docs"), F.min("id").alias("first_doc"))
+
+
 # ---- streams
 
 
