@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions.text import tsv_field
 from corvina.operators import vector
-from corvina.sources import shared
+from corvina.sources import files, shared
 
 #: Suffix of a table that is being replaced.
 ASIDE = ".old"
@@ -63,26 +63,14 @@ def write_tsv(df: DataFrame, path: str, columns: list[str], header: bool = False
     out.write.mode("overwrite").option("compression", "gzip" if gz else "none").text(path)
 
 
-def write_files(df: DataFrame, path: str) -> None:
-    """A file of its own, called name, for each row (name, content text or bytes); written by tasks through the file system.
+def write_files(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A file of its own, called name (folders included), for each row (name, content text or bytes).
 
-    Each task stages a file beside its place and renames it, so a task that is run again leaves whole files.
+    Files appear when all tasks have ended (see sources.files); overwrite removes what was there.
     """
-    target = re.sub("^file:(//)?", "", path)
-    content = F.col("content").cast("binary")
-
-    def put(rows):
-        from pyarrow import fs
-
-        store, root = (fs.LocalFileSystem(), target) if target.startswith("/") else fs.FileSystem.from_uri(target)
-        store.create_dir(root)
-        for row in rows:
-            staged = f"{root}/.{row.name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(staged) as out:
-                out.write(bytes(row.content))
-            store.move(staged, f"{root}/{row.name}")
-
-    df.select("name", content.alias("content")).foreachPartition(put)
+    files.register(df.sparkSession)
+    rows = df.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"))
+    rows.write.format(files.NAME).mode("overwrite" if overwrite else "append").option("path", path).save()
 
 
 def write_meta(spark: SparkSession, path: str, values: dict[str, str]) -> None:
@@ -111,9 +99,11 @@ def write_vectors(rows: DataFrame, path: str, vector_column: str = "embedding")
 
 
 def copy_assets(spark: SparkSession, source: str, target: str) -> None:
-    """The files below source as a table (name, content) at target; what was there goes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
-    replace_table(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), target)
+    """The files below source as a table (name, content) at target, named by their path below source; what was there goes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+    root = re.sub("^[a-z0-9]+:(//[^/]*)?", "", source).rstrip("/") + "/"
+    below = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), "^" + re.escape(root), "")
+    replace_table(found.select(below.alias("name"), "content"), target)
 
 
 #: Records of one group of the running byte offsets.
@@ -195,5 +185,5 @@ def mismatches(found: DataFrame, expected: dict[str, object]) -> DataFrame:
 
 def bundle_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Every file below path with its size, in order, and the totals."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    return files.orderBy("path"), files.agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return found.orderBy("path"), found.agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
