@@ -67,6 +67,12 @@ def bm25_fallback(spark, sf_dir):
     return _bm25(spark, sf_dir, "fallback")
 
 
+@query(_bm25_sql("fallback"))
+def bm25_bounded(spark, sf_dir):
+    """Searches that score only the blocks whose bound reaches the last place."""
+    return _found(documents_index(spark, sf_dir, bounded=True), asked(spark), "fallback")
+
+
 @query(_bm25_sql("fallback"))
 def updated_index_search(spark, sf_dir):
     """An index of documents of which some have since changed, some gone and some come, brought up to date and searched."""

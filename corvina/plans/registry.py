@@ -48,8 +48,8 @@ def dealt_sql(name: str, key: str, rows: list[tuple], columns: str) -> str:
     return f"(SELECT t.{key} AS id{source}, v.* EXCLUDE (_i) FROM {name} t JOIN {sql.values([(i, *r) for i, r in enumerate(rows)], f'_i, {columns}')} v ON v._i = t.{key} % {len(rows)})"
 
 
-def documents_index(spark: SparkSession, sf_dir: str, where: str = "true") -> lexical.Index:
+def documents_index(spark: SparkSession, sf_dir: str, where: str = "true", bounded: bool = False) -> lexical.Index:
     """The index of the documents in the shared work folder, built where it is missing or older than its source."""
-    path = f"{shared.work_dir(spark)}/corvina/index-{hashlib.md5(f'{sf_dir} {where}'.encode()).hexdigest()}"
+    path = f"{shared.work_dir(spark)}/corvina/index-{hashlib.md5(f'{sf_dir} {where}{" bounds" * bounded}'.encode()).hexdigest()}"
     source = readers.file_fingerprint(spark, f"{sf_dir}/documents.parquet")
-    return segments.ensure_index(table(spark, sf_dir, "documents").filter(where), path, "doc_id", WEIGHTS, source)
+    return segments.ensure_index(table(spark, sf_dir, "documents").filter(where), path, "doc_id", WEIGHTS, source, bounded=bounded)
