@@ -232,6 +232,25 @@ def test_build(spark, tmp_path):
     assert segments.read_index(spark, str(tmp_path / "index")).postings.filter("term = 'door'").count() == 2
 
 
+def test_stale_artefacts_say_why(spark, tmp_path):
+    records = spark.createDataFrame([(i, d, f"{d} 0", c, a, p) for i, (d, c, a, p) in enumerate(TECH)], "row_idx long, doc string, chunk_id string, content string, ata string, parts string")
+    none, path, facts = records.limit(0).select("doc", "chunk_id", "content"), str(tmp_path), {"corpus": "tech", "model": "m1"}
+    lost = ["vectors-missing", "index-missing"]
+    tables = [f"{n}-missing" for n in build.KNOWLEDGE]
+    assert build.inspect(spark, path, facts) == ["manifest-missing", "version-mismatch", "corpus-mismatch", "model-mismatch", *lost, *tables]
+    m = build.build(records, none, path, CharacterEmbedder(), knowledge_only=True, facts=facts)
+    assert "vectors_count" not in m.columns and m.first().parts_count == 2
+    assert build.inspect(spark, path, facts | {"records": 2}) == ["knowledge-only", *lost]
+    assert build.ensure(records, none, path, CharacterEmbedder(), "one", facts=facts) == "built"
+    assert build.inspect(spark, path, facts | {"records": 2, "built_of": "one"}) == []
+    assert build.inspect(spark, path, {"records": 3, "corpus": "other", "model": "m2"}) == ["records-mismatch", "corpus-mismatch", "model-mismatch"]
+    segments.update_index(records.filter("row_idx = 0"), f"{path}/index", "row_idx", build.WEIGHTS)
+    (tmp_path / "wiki").rename(tmp_path / "moved")
+    assert build.inspect(spark, path, facts) == ["index_rows-mismatch", "wiki-missing"]
+    assert build.ensure(records, none, path, CharacterEmbedder(), "one", facts=facts) == "built"
+    assert build.ensure(None, none, path, CharacterEmbedder(), "one", facts=facts) == "fresh"
+
+
 # ---- streams
 
 
