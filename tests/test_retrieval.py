@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions.providers import CharacterEmbedder, OverlapReranker, reranked, with_embedding
 from corvina.operators import confidence, evaluation, fusion, lexical, memory, ocr, ontology, routing, vector
-from corvina.plans import hybrid
+from corvina.plans import build, hybrid
 
 WEIGHTS = {"doc": 8.0, "chunk_id": 4.0, "content": 1.0}
 
@@ -297,6 +297,15 @@ def test_parts_list_some_documents_and_keep_all_edges(spark):
     assert whole == ontology.image_relations(images, ontology.parts(found, most=3), ontology.supports(found)).collect() and whole[0].score == 4
 
 
+def test_pages_list_all_documents_of_parts_whose_rows_list_some(spark):
+    rows = [(i, f"d{i}", "c", "text", "", "fuel door") for i in range(9)] + [(9, None, None, "text", "", "oil pump")]
+    found = ontology.candidates(spark.createDataFrame(rows, "row_idx long, doc string, chunk_id string, content string, ata string, parts string"))
+    none = spark.createDataFrame([], "doc string, part_numbers array<string>")
+    pages = {r.slug: r.markdown for r in build.wiki_pages(ontology.parts(found, most=3), none, supported=ontology.supports(found)).collect()}
+    assert [line[3 : line.index("]")] for line in pages["fuel-door"].splitlines() if line.startswith("- [")] == [f"d{i}" for i in range(9)]
+    assert "Fuel Door in 9 documents." in pages["fuel-door"] and "- No linked technical document recorded." in pages["oil-pump"]
+
+
 def test_images_meet_parts_by_any_value(spark):
     values = ["P2", "rame", "shie", "A", "", "xno 1 a by", "zz"]
     images = spark.createDataFrame([(f"i{k}", "d", "", None, [], [v], [], []) for k, v in enumerate(values)], "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>")
