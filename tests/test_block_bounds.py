@@ -96,3 +96,21 @@ def test_empty_index_and_queries(spark):
     full = lexical.indexed(spark.createDataFrame([(1, "fuel"), (2, None)], "id long, text string"), "id", {"text": 1.0}, bounded=True)
     assert [r.id for r in lexical.search_index(full, some).collect()] == [1]
     assert lexical.search_index(full, some.filter("false")).count() == 0
+
+
+def test_tasks_count_tokens_of_bounded_texts(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "TASK_BYTES", 1000)
+    rows = spark.createDataFrame([(i, f"wörd{i} word" * 10) for i in range(200)], "id long, text string")
+    n_bytes = sum(len((f"wörd{i} word" * 10).encode()) for i in range(200))
+    found = lexical.postings(rows, "id", {"text": 1.0})
+    assert found.rdd.getNumPartitions() == -(-n_bytes // 1000)
+    assert {r.term: r.n for r in found.filter("id = 7").collect()} == {"word7": 1, "wordword7": 9, "word": 1}
+    assert lexical.tasks(rows.limit(0), ["text"]) == 1
+
+
+def test_few_tokens_meet_postings_where_these_are_read(spark):
+    rows = spark.createDataFrame([(i, "the thing and then") for i in range(20)], "id long, text string")
+    asked = spark.createDataFrame([(1, "th the"), (2, "none")], "query_id int, query string")
+    found = lexical.search_index(lexical.indexed(rows, "id", {"text": 1.0}), asked)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.query_id, r.id, r.n_matched) for r in found.orderBy("lexical_rank").collect()] == [(1, i, 2) for i in range(10)]
