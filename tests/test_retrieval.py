@@ -4,6 +4,8 @@ import random
 import sqlite3
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,6 +308,21 @@ def test_pages_list_all_documents_of_parts_whose_rows_list_some(spark):
     assert "Fuel Door in 9 documents." in pages["fuel-door"] and "- No linked technical document recorded." in pages["oil-pump"]
 
 
+def test_a_task_gathers_few_neighbours_of_many_queries_at_once(monkeypatch):
+    monkeypatch.setattr(vector, "SEEN", 100)
+    monkeypatch.setattr(vector, "CELLS", 400)
+    sizes, keep = [], vector._Nearest._keep
+    monkeypatch.setattr(vector._Nearest, "_keep", lambda self, parts: (sizes.append(sum(map(len, parts))), keep(self, parts)))
+    x = np.random.default_rng(1).integers(-3, 4, (500, 4)).astype(float)
+    norms = (x * x).sum(1)
+    state = vector._Nearest(x[:40], norms[:40], 3)
+    state.see(pa.array(range(500)), x, norms)
+    assert max(sizes) <= 100 + 400 and len(sizes) > 2
+    far = ((x[:40, None, :] - x[None]) ** 2).sum(2)
+    found = state.found.sort_values(["q", "near", "id"])
+    assert [found["id"][found["q"] == q].tolist() for q in range(40)] == [sorted(range(500), key=lambda i: (far[q, i], i))[:3] for q in range(40)]
+
+
 def test_images_meet_parts_by_any_value(spark):
     values = ["P2", "rame", "shie", "A", "", "xno 1 a by", "zz"]
     images = spark.createDataFrame([(f"i{k}", "d", "", None, [], [v], [], []) for k, v in enumerate(values)], "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>")
