@@ -425,7 +425,7 @@ b AS (SELECT DISTINCT slug, 'ata:ATA-' || unnest(regexp_extract_all(content, '(?
 z AS (SELECT DISTINCT slug, 'zone:' || unnest(list_concat(['RH', 'left-hand', 'left', 'aft'], list_transform(regexp_extract_all(content, '(?i)\\b(frame\\s+\\d+(?:/\\d+)?|station\\s+\\d+)\\b', 1), lambda x: lower(x)))) AS t FROM c)
 SELECT 'part:' || slug AS "from", 'belongs_to' AS relation, t AS "to" FROM b UNION ALL SELECT 'part:' || slug, 'located_in', t FROM z""")
 def part_relations(spark, sf_dir):
-    return ontology.relations(ontology.parts(ontology.candidates(_part_pages(spark, sf_dir))))
+    return ontology.edges(ontology.candidates(_part_pages(spark, sf_dir)))
 
 
 @query("""

@@ -323,6 +323,16 @@ def test_a_task_gathers_few_neighbours_of_many_queries_at_once(monkeypatch):
     assert [found["id"][found["q"] == q].tolist() for q in range(40)] == [sorted(range(500), key=lambda i: (far[q, i], i))[:3] for q in range(40)]
 
 
+def test_edges_are_the_relations_of_all_parts(spark, tmp_path):
+    rows = [(i, f"d{i % 3}", "c", f"ATA {i % 4 + 20} near frame {i} in the RH zone", f"{i % 2}", "fuel door; oil pump" if i % 2 else "") for i in range(30)] + [(30, "d", "c", None, None, "bare part")]
+    spark.createDataFrame(rows, "row_idx long, doc string, chunk_id string, content string, ata string, parts string").coalesce(1).write.parquet(str(tmp_path / "r"))
+    found = ontology.candidates(spark.read.parquet(str(tmp_path / "r")))
+    tasks = found.rdd.getNumPartitions()
+    assert tasks == 2 * spark.sparkContext.defaultParallelism  # one file, but not one task
+    whole = sorted(map(tuple, ontology.relations(ontology.parts(found)).collect()))
+    assert sorted(map(tuple, ontology.edges(found).collect())) == whole and len(whole) > 30
+
+
 def test_images_meet_parts_by_any_value(spark):
     values = ["P2", "rame", "shie", "A", "", "xno 1 a by", "zz"]
     images = spark.createDataFrame([(f"i{k}", "d", "", None, [], [v], [], []) for k, v in enumerate(values)], "id string, doc string, caption string, technical_description string, part_or_zone_candidates array<string>, visible_identifiers array<string>, figure_or_table_refs array<string>, relationships_or_flows array<string>")
