@@ -371,7 +371,7 @@ PAGE = "# RH {0} door frame {1}/{2}\nATA {3} near Station {1}, aft and Left-hand
 
 
 def _part_pages(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = shared.spread(table(spark, sf_dir, "part"))
     size = F.col("p_size").cast("string")
     two = F.lpad((F.col("p_size") % 100).cast("string"), 2, "0")
     content = X.template("# RH {{name}} door frame {{size}}/{{key}}\nATA {{two}} near Station {{size}}, aft and Left-hand. A220-{{two}}-{{key}} and {{brand}}; see ata-{{other}}", {"name": F.col("p_name"), "size": size, "key": F.col("p_partkey"), "two": two, "brand": F.upper("p_brand"), "other": F.lpad((F.col("p_partkey") % 60).cast("string"), 2, "0")})

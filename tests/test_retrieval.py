@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvina.functions.providers import CharacterEmbedder, OverlapReranker, reranked, with_embedding
 from corvina.operators import confidence, evaluation, fusion, lexical, memory, ocr, ontology, routing, vector
 from corvina.plans import build, hybrid
+from corvina.sources import shared
 
 WEIGHTS = {"doc": 8.0, "chunk_id": 4.0, "content": 1.0}
 
@@ -329,6 +330,8 @@ def test_edges_are_the_relations_of_all_parts(spark, tmp_path):
     found = ontology.candidates(spark.read.parquet(str(tmp_path / "r")))
     tasks = found.rdd.getNumPartitions()
     assert tasks == 2 * spark.sparkContext.defaultParallelism  # one file, but not one task
+    dealt = spark.read.parquet(str(tmp_path / "r")).repartition(3)
+    assert shared.spread(dealt) is dealt
     whole = sorted(map(tuple, ontology.relations(ontology.parts(found)).collect()))
     assert sorted(map(tuple, ontology.edges(found).collect())) == whole and len(whole) > 30
 
