@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvina.functions.batches import HELD_BYTES, text_slices
 from corvina.sources import shared
 
 QUOTED = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S)
@@ -108,45 +109,50 @@ def blocks(lines: DataFrame) -> DataFrame:
     return counted.select("file", "block", "entry", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "exit")
 
 
-PIECE = pa.schema([("path", pa.string()), ("row_idx", pa.int64()), ("block", pa.int64()), ("whole", pa.bool_()), ("raw", pa.string())])
+PIECE = pa.schema([("path", pa.string()), ("row_idx", pa.int64()), ("block", pa.int64()), ("whole", pa.bool_()), ("raw", pa.string()), ("fields", pa.list_(pa.string()))])
 
 
 def _pieces(batches):
-    """Records, and the pieces of those that a block's end cuts; a record is named by the number of records that end before it."""
+    """Records with their fields, and the pieces of those that a block's end cuts; a record is named by the number of records
+    that end before it. Lines and records are held as objects by batches.HELD_BYTES, besides the one that goes on."""
     key, path, held, index, inside, whole = None, None, [], 0, False, True
     out: list[tuple] = []
+    size = 0
 
     def flush():
-        nonlocal out
-        rows, out = out, []
+        nonlocal out, size
+        rows, out, size = out, [], 0
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECE, strict=True)], schema=PIECE)
 
     for now, rows in _runs(batches):
         if now != key:
             if held:
-                out.append((path, index, key[1], False, "\n".join(held)))
+                out.append((path, index, key[1], False, "\n".join(held), None))
             key, path, held = now, rows["path"][0].as_py(), []
             inside, index = rows["entry"][0].as_py(), rows["first"][0].as_py()
             whole = not inside
-        for line in rows["line"].to_pylist():
-            if not inside and line == "":
-                continue
-            inside = leaves_open(line, inside) if '"' in line else inside
-            held.append(line)
-            if not inside:
-                out.append((path, index, key[1], whole, "\n".join(held) if len(held) > 1 else line))
-                held, whole, index = [], True, index + 1
-                if len(out) >= 4096:
-                    yield flush()
+        for some in text_slices(rows, "line"):
+            for line in some["line"].to_pylist():
+                if not inside and line == "":
+                    continue
+                inside = leaves_open(line, inside) if '"' in line else inside
+                held.append(line)
+                if not inside:
+                    raw = "\n".join(held) if len(held) > 1 else line
+                    out.append((path, index, key[1], whole, raw, fields_of(raw) if whole else None))
+                    held, whole, index, size = [], True, index + 1, size + len(raw)
+                    if len(out) >= 4096 or size >= HELD_BYTES:
+                        yield flush()
     if held:
-        out.append((path, index, key[1], False, "\n".join(held)))
+        out.append((path, index, key[1], False, "\n".join(held), None))
     if out:
         yield flush()
 
 
 def _with_fields(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["path"], batch["row_idx"], pa.array([fields_of(r) for r in batch["raw"].to_pylist()], pa.list_(pa.string())), batch["raw"]], ["path", "row_idx", "fields", "raw"])
+        for some in text_slices(batch, "raw"):
+            yield pa.RecordBatch.from_arrays([some["path"], some["row_idx"], pa.array([fields_of(r) for r in some["raw"].to_pylist()], pa.list_(pa.string())), some["raw"]], ["path", "row_idx", "fields", "raw"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -164,18 +170,19 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     ends = table.withColumn("last", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block")))).filter("last = 1")
     if not ends.filter("exit").isEmpty():
         raise UnterminatedQuote("unterminated quote")
-    pieces = "path string, row_idx long, block long, whole boolean, raw string"
+    pieces = "path string, row_idx long, block long, whole boolean, raw string, fields array<string>"
 
     def cut(where: str) -> DataFrame:
         known = F.broadcast(table.filter(where).select("file", "block", "entry", "first"))
         return lines.join(known, ["file", "block"]).mapInArrow(_pieces, pieces)
 
-    records = cut("true").filter("whole").select("path", "row_idx", "raw")
+    records = cut("true").filter("whole").select("path", "row_idx", "fields", "raw")
     crossing = table.filter("entry OR exit")
     if not crossing.isEmpty():
         parts = cut("entry OR exit").filter("NOT whole").groupBy("path", "row_idx").agg(F.array_sort(F.collect_list(F.struct("block", "raw"))).alias("p"))
-        records = records.unionByName(parts.select("path", "row_idx", F.array_join(F.transform("p", lambda x: x["raw"]), "\n").alias("raw")))
-    return records.mapInArrow(_with_fields, "path string, row_idx long, fields array<string>, raw string")
+        joined = parts.select("path", "row_idx", F.array_join(F.transform("p", lambda x: x["raw"]), "\n").alias("raw"))
+        records = records.unionByName(joined.mapInArrow(_with_fields, "path string, row_idx long, fields array<string>, raw string"))
+    return records
 
 
 def read_table(spark: SparkSession, path: str, columns: tuple[str, ...], header: bool) -> DataFrame:
