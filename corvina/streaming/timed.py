@@ -28,28 +28,33 @@ def _millis(gap: str) -> int:
 
 
 class _Timed(StatefulProcessor):
-    """A key's one timer, at its latest event plus gap."""
+    """A key's whole state as one value, the first of it the time of its latest event, and its one timer, that plus gap.
+
+    Each call of a state is a round trip to the JVM, so a key's rows of a batch are read first, and then its value is written once.
+    """
+
+    state: str
 
     def __init__(self, gap: int):
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "ms long")
+        self.value = handle.getValueState("value", "latest long, " + self.state)
 
-    def move_timer(self, events: list[int]) -> None:
-        old = self.latest.get()[0] if self.latest.exists() else None
-        new = max(events + ([old] if old is not None else []))
-        if new != old:
+    def keep(self, old: tuple | None, latest: int, *rest) -> None:
+        """Write the value, and move the timer where the latest event is a later one."""
+        self.value.update((latest, *rest))
+        if old is None or latest != old[0]:
             if old is not None:
-                self.handle.deleteTimer(old + self.gap)
-            self.latest.update((new,))
-            self.handle.registerTimer(new + self.gap)
+                self.handle.deleteTimer(old[0] + self.gap)
+            self.handle.registerTimer(latest + self.gap)
 
-    def drop_timer(self) -> None:
-        if self.latest.exists():
-            self.handle.deleteTimer(self.latest.get()[0] + self.gap)
-            self.latest.clear()
+    def drop(self, old: tuple | None) -> None:
+        """Clear what there was of the key."""
+        if old is not None:
+            self.handle.deleteTimer(old[0] + self.gap)
+            self.value.clear()
 
     def close(self) -> None:
         pass
@@ -58,51 +63,43 @@ class _Timed(StatefulProcessor):
 class _Deltas(_Timed):
     """The text of a request: deltas in order of seq, those that came early waiting for the ones before them."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.done = handle.getValueState("done", "text string, next long, n long, gaps long, last long")
-        self.early = handle.getMapState("early", "seq long", "delta string")
-
-    def _take(self, flush: bool) -> tuple[str, int, int, int]:
-        """Append what follows without a gap, or all that waits if flush, in order."""
-        text, nxt, n, gaps, last = self.done.get() if self.done.exists() else ("", 0, 0, 0, -1)
-        waiting = dict((k[0], v[0]) for k, v in self.early.iterator())
+    state = "text string, next long, n long, gaps long, last long, early array<struct<seq: long, delta: string>>"
+
+    @staticmethod
+    def _take(text: str, nxt: int, n: int, gaps: int, waiting: dict[int, str], flush: bool) -> tuple[str, int, int, int]:
+        """Append what follows without a gap, or all that waits if flush, in order; it leaves waiting."""
         pieces = []
         for seq in sorted(waiting):
             if seq > nxt and not flush:
                 break
-            if seq >= nxt:
-                gaps += seq - nxt
-                nxt, n = seq + 1, n + 1
-                pieces.append(waiting[seq])
-            self.early.removeKey((seq,))
-        self.done.update((text + "".join(pieces), nxt, n, gaps, last))
+            gaps += seq - nxt
+            nxt, n = seq + 1, n + 1
+            pieces.append(waiting.pop(seq))
         return text + "".join(pieces), nxt, n, gaps
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        text, nxt, n, gaps, last = self.done.get() if self.done.exists() else ("", 0, 0, 0, -1)
-        seen = []
+        old = self.value.get()
+        latest, text, nxt, n, gaps, last, early = old or (None, "", 0, 0, 0, -1, [])
+        waiting = {x[0]: x[1] for x in early}
         for r in rows:
-            seen.append(r.ms)
+            latest = r.ms if latest is None else max(latest, r.ms)
             if r.seq >= nxt:
-                self.early.updateValue((r.seq,), ((r.delta or "") if r.event == "delta" else "",))
+                waiting[r.seq] = (r.delta or "") if r.event == "delta" else ""
             if r.event == "done":
                 last = r.seq
-        self.done.update((text, nxt, n, gaps, last))
-        self.move_timer(seen)
-        text, nxt, n, gaps = self._take(False)
+        text, nxt, n, gaps = self._take(text, nxt, n, gaps, waiting, False)
         if last >= 0 and nxt > last:
-            yield self._end(key, text, n, gaps, True)
+            self.drop(old)
+            yield Row(request_id=key[0], text=text, n_events=n, n_missing=gaps, finished=True)
+        else:
+            self.keep(old, latest, text, nxt, n, gaps, last, list(waiting.items()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        text, _, n, gaps = self._take(True)
-        yield self._end(key, text, n, gaps, False)
-
-    def _end(self, key, text: str, n: int, gaps: int, finished: bool) -> Row:
-        self.drop_timer()
-        self.done.clear()
-        self.early.clear()
-        return Row(request_id=key[0], text=text, n_events=n, n_missing=gaps, finished=finished)
+        old = self.value.get()
+        _, text, nxt, n, gaps, _, early = old
+        text, _, n, gaps = self._take(text, nxt, n, gaps, {x[0]: x[1] for x in early}, True)
+        self.drop(old)
+        yield Row(request_id=key[0], text=text, n_events=n, n_missing=gaps, finished=False)
 
 
 def ordered_deltas(stream: DataFrame, gap: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
@@ -123,34 +120,29 @@ def ordered_deltas(stream: DataFrame, gap: str = "10 minutes", late: str = "5 mi
 class _Sessions(_Timed):
     """The last turns of a session, as a list that is rewritten with at most that many entries."""
 
+    state = "n long, kept array<struct<turn: long, role: string, text: string>>"
+
     def __init__(self, gap: int, turns: int):
         super().__init__(gap)
         self.turns = turns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.kept = handle.getListState("kept", "turn long, role string, text string")
-        self.count = handle.getValueState("count", "n long")
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        kept = {x[0]: tuple(x) for x in self.kept.get()}
-        n, seen = (self.count.get()[0] if self.count.exists() else 0), []
+        old = self.value.get()
+        latest, n, before = old or (None, 0, [])
+        kept = {x[0]: tuple(x) for x in before}
         for r in rows:
-            seen.append(r.ms)
+            latest = r.ms if latest is None else max(latest, r.ms)
             kept[r.turn] = (r.turn, r.role, r.text)
             if len(kept) > self.turns:
                 del kept[min(kept)]
             n += 1
-        self.kept.put([kept[t] for t in sorted(kept)])
-        self.count.update((n,))
-        self.move_timer(seen)
+        self.keep(old, latest, n, [kept[t] for t in sorted(kept)])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        kept, n = [tuple(x) for x in self.kept.get()], self.count.get()[0]
-        self.kept.clear()
-        self.count.clear()
-        self.drop_timer()
+        old = self.value.get()
+        _, n, kept = old
+        self.drop(old)
         history = "\n".join(f"{r}: {t}" for _, r, t in kept)
         yield Row(session_id=key[0], n_turns=n, n_kept=len(kept), first_turn=kept[0][0], last_turn=kept[-1][0], history=history)
 

@@ -4,6 +4,8 @@ import json
 import os
 import random
 
+from pyspark.sql import Row
+
 from corvina.streaming import timed
 
 PIECES = "request_id string, seq long, event string, delta string, ts timestamp"
@@ -81,3 +83,53 @@ def test_a_session_that_goes_on(spark, tmp_path):
     batches = [[turn(1, 0, 0)], [turn(1, 1, 20)], [turn(1, 2, 40)], [turn(2, 0, 200)], [turn(2, 1, 201)], [turn(1, 9, 210)], [turn(3, 0, 400)], [turn(3, 1, 401)]]
     got, _ = run(spark, tmp_path, batches, TURNS, timed.expiring_sessions, "goes_on")
     assert [(r.n_turns, r.first_turn, r.last_turn) for r in sorted(got, key=lambda r: r.first_turn) if r.session_id == 1] == [(3, 0, 2), (1, 9, 9)]
+
+
+class _Handle:
+    """One key's states and timers, which counts the calls of them."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return _Value(self, name)
+
+    getMapState = getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class _Value:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def __getattr__(self, call):
+        def run(*args):
+            self.handle.calls += 1
+            if call in ("update", "clear"):
+                self.handle.values[self.name] = args[0] if args else None
+            return self.handle.values.get(self.name) if call == "get" else iter(()) if call == "iterator" else call == "exists" and self.handle.values.get(self.name) is not None
+
+        return run
+
+
+def test_calls_of_state_do_not_grow_with_rows():
+    """A key's rows of a batch take a few round trips to its state, however many they are."""
+    pieces = [Row(seq=i, event="delta", delta=f"<{i}>", ms=i) for i in range(300)] + [Row(seq=300, event="done", delta=None, ms=300)]
+    handle, deltas = _Handle(), timed._Deltas(1000)
+    deltas.init(handle)
+    assert list(deltas.handleInputRows(("a",), iter(pieces[100:300]), None)) == [] and handle.calls <= 3 and handle.timers == {1299}
+    assert [r.text for r in deltas.handleInputRows(("a",), iter(pieces[:100] + pieces[300:]), None)] == ["".join(f"<{i}>" for i in range(300))]
+    assert handle.calls <= 6 and not handle.timers and not any(handle.values.values())
+    handle, sessions = _Handle(), timed._Sessions(1000, 4)
+    sessions.init(handle)
+    for part in (range(0, 300, 2), range(1, 300, 2)):
+        assert list(sessions.handleInputRows((1,), iter([Row(turn=i, role="user", text="t", ms=i) for i in part]), None)) == []
+    assert handle.calls <= 7 and handle.timers == {1299}
+    assert [(r.n_turns, r.first_turn, r.last_turn) for r in sessions.handleExpiredTimer((1,), None, None)] == [(300, 296, 299)]
