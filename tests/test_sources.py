@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from corvina.functions.providers import CharacterEmbedder
@@ -182,6 +183,23 @@ def test_tsv_writer(spark, tmp_path):
     assert {(r.a, r.b) for r in back.collect()} == set(rows)
 
 
+def test_tsv_header_is_written_without_python_workers(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('r\t', id) AS a", "if(id % 2 = 0, '', 'x\ny') AS b").repartition(3)
+    for name, df in (("t", rows), ("none", rows.filter("a = ''")), ("few", rows.filter("a = 'r\t7'").repartition(4, "a"))):
+        plans, path = [], str(tmp_path / name)
+        written = DataFrameWriter.text
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(DataFrameWriter, "text", lambda w, *a, **k: plans.append(w._df._jdf.queryExecution().optimizedPlan().toString()) or written(w, *a, **k))
+            writers.write_tsv(df, path, ["a", "b"], header=True, gz=True)
+        assert plans and not any("MapIn" in p for p in plans)
+        found = [gzip.open(f, "rt", newline="").read() for f in (tmp_path / name).glob("*.gz")]
+        held = [t for t in found if t]
+        assert held and all(t.startswith("a\tb\n") and t.count("a\tb\n") == 1 for t in held)
+        assert len(held) == {"t": 3}.get(name, 1)
+        back = readers.read_tsv(spark, path, ("a", "b"), True)
+        assert sorted(tuple(r)[:2] for r in back.collect()) == sorted(map(tuple, df.collect()))
+
+
 def test_replace_and_manifest(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in (3, 5):
