@@ -422,3 +422,18 @@ def test_latency_sketches_stay_within_their_error(spark):
     runs = spark.range(200_000).selectExpr("'m' AS model", "'ok' AS status", "(id * 7919) % 200000 AS millis")
     got = routing.latency(routing.latency_sketches(runs, "millis")).first()
     assert got.n == 200_000 and got.most == 199_999 and abs(got.p50 - 100_000) < 200 and abs(got.p90 - 180_000) < 200
+
+
+def test_updates_count_tokens_of_bounded_texts(spark, tmp_path, monkeypatch):
+    from corvina.sources import segments
+
+    monkeypatch.setattr(lexical, "TASK_BYTES", 1000, raising=False)
+    tasks, write, path = [], segments._write, str(tmp_path / "index")
+    monkeypatch.setattr(segments, "_write", lambda postings, *a: tasks.append(postings.rdd.getNumPartitions()) or write(postings, *a))
+    rows = spark.createDataFrame([(i, f"word{i:03} door " * 10) for i in range(100)], "id long, text string")
+    now = rows.withColumn("text", F.when(F.col("id") % 2 == 0, F.upper("text")).otherwise(F.col("text"))).withColumn("text", F.replace("text", F.lit("DOOR"), F.lit("PUMP")))
+    assert segments.update_index(rows, path, "id", {"text": 1.0})["written"] == 100
+    assert segments.update_index(now, path, "id", {"text": 1.0}) == {"written": 50, "dead": 50}
+    assert tasks == [13, 7]  # of 13,000 and 6,500 bytes
+    index, asked = segments.read_index(spark, path), spark.createDataFrame([(1, "pump"), (2, "door")], "query_id int, query string")
+    assert {(r.query_id, r.id % 2) for r in lexical.search_index(index, asked, 100).collect()} == {(1, 0), (2, 1)}
